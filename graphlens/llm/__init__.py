@@ -1,0 +1 @@
+"""Operators for preparing large text corpora.  Nothing outside this subpackage imports it."""
