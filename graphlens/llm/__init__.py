@@ -1 +1,8 @@
 """Operators for preparing large text corpora.  Nothing outside this subpackage imports it."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run on executors travel by value: workers need no copy of this package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

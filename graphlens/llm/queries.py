@@ -4,14 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlens.llm import exact_dedup
+from graphlens.llm import bpe, exact_dedup, token_store
 from graphlens.llm.shared import table
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(_texts(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return exact_dedup.exact_duplicates(_texts(spark, sf_dir))
+
+
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored(_texts(spark, sf_dir))
 
 
-QUERIES = {"op8_exact_dedup": op8_exact_dedup}
+QUERIES = {"op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup, "op10_token_store": op10_token_store}
 
 ORACLE_SQL = {"op8_exact_dedup": exact_dedup.ORACLE}
