@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlens.llm import bpe, exact_dedup, token_store
+from graphlens.llm import bpe, exact_dedup, langid, quality, token_store
 from graphlens.llm.shared import table
 
 
@@ -12,10 +12,18 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.predicted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_texts(spark, sf_dir))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(_texts(spark, sf_dir), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_texts(spark, sf_dir))
 
@@ -24,6 +32,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(_texts(spark, sf_dir))
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup, "op10_token_store": op10_token_store}
+QUERIES = {"op3_language_id": op3_language_id, "op6_quality": op6_quality, "op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup, "op10_token_store": op10_token_store}
 
 ORACLE_SQL = {"op8_exact_dedup": exact_dedup.ORACLE}
