@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlens.llm import bpe, exact_dedup, langid, quality, token_store
+from graphlens.llm import bpe, decontam, exact_dedup, langid, quality, token_store
 from graphlens.llm.shared import table
 
 
@@ -12,6 +12,10 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contamination(_texts(spark, sf_dir), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -32,6 +36,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(_texts(spark, sf_dir))
 
 
-QUERIES = {"op3_language_id": op3_language_id, "op6_quality": op6_quality, "op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup, "op10_token_store": op10_token_store}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup, "op10_token_store": op10_token_store}
 
-ORACLE_SQL = {"op8_exact_dedup": exact_dedup.ORACLE}
+ORACLE_SQL = {"op1_decontamination": decontam.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
