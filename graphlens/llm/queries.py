@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlens.llm import bpe, decontam, exact_dedup, langid, quality, token_store
+from graphlens.llm import bpe, decontam, exact_dedup, langid, quality, substrings, token_store
 from graphlens.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removed(_texts(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_texts(spark, sf_dir))
 
@@ -36,6 +40,6 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(_texts(spark, sf_dir))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup, "op10_token_store": op10_token_store}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op4_substring_dedup": op4_substring_dedup, "op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup, "op10_token_store": op10_token_store}
 
 ORACLE_SQL = {"op1_decontamination": decontam.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
