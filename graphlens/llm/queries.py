@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphlens.llm import bpe, decontam, exact_dedup, langid, quality, substrings, token_store
+from graphlens.llm import bpe, decontam, exact_dedup, langid, ngram_join, quality, substrings, token_store
 from graphlens.llm.shared import table
 
 
@@ -36,10 +36,14 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_texts(spark, sf_dir))
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(_texts(spark, sf_dir))
+
+
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.stored(_texts(spark, sf_dir))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op4_substring_dedup": op4_substring_dedup, "op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup, "op10_token_store": op10_token_store}
+QUERIES = {"op1_decontamination": op1_decontamination, "op3_language_id": op3_language_id, "op6_quality": op6_quality, "op4_substring_dedup": op4_substring_dedup, "op5_bpe": op5_bpe, "op8_exact_dedup": op8_exact_dedup, "op9_ngram_jaccard": op9_ngram_jaccard, "op10_token_store": op10_token_store}
 
 ORACLE_SQL = {"op1_decontamination": decontam.ORACLE, "op8_exact_dedup": exact_dedup.ORACLE}
