@@ -112,7 +112,7 @@ def write_store(docs: DataFrame, path: str, vocabulary_path: str | None = None,
     """Encode every text, append ``end_id`` and write the shards to ``path`` in ascending order of doc_id."""
     vocab = vocabulary_path or default_vocabulary()
     dtype = "<u2" if tokenizer(vocab).get_vocab_size(with_added_tokens=True) <= 1 << 16 and end_id < 1 << 16 else "<u4"
-    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 2 * input_partitions(docs))
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), input_partitions(docs))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -7,10 +7,11 @@ white-space-separated words in order; special tokens hold no white space and are
 from __future__ import annotations
 
 import os
+import re
 import sys
 
 #: Words a worker keeps between batches; beyond it the store starts anew (ids don't depend on it).
-MAX_CACHED = 600_000
+MAX_CACHED = 400_000
 
 
 def default_vocabulary() -> str:
@@ -29,42 +30,103 @@ def tokenizer(path: str):
     return made
 
 
-def encode_words(tok, words: list[bytes]) -> list[list[int]]:
-    """Ids of each word, every word encoded on its own."""
-    found: list[list[int]] = []
-    for at in range(0, len(words), 8192):
-        texts = [w.decode("utf-8", "replace") for w in words[at : at + 8192]]
-        found += [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
-    return found
+#: Closing punctuation: without the apostrophe (it may open a contraction) and the signs of special tokens.
+TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+#: Words whose ids are those of their lower-cased letters followed by those of their closing punctuation.
+PLAIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(TAIL.decode())}]*)")
+
+
+def core(word: bytes) -> bytes:
+    """What plain words with the same letters share."""
+    return word.lower().rstrip(TAIL)
+
+
+def byte_table() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others take code points from 256 on, in order."""
+    own = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
+
+
+class WordIds:
+    """Ids of words as bytes; letters and closing punctuation are encoded apart, each distinct part once while it is kept.
+
+    A plain part is lower-case, composed and one pre-token as it stands, so it goes to the library's model with a
+    blank as the only split; every other word takes the library's whole path.
+    """
+
+    def __init__(self, path: str, dtype: str = "<u4", limit: int = MAX_CACHED):
+        import numpy as np
+        from tokenizers import normalizers, pre_tokenizers
+
+        self.tok, self.model, self.limit, self.parts, self.dtype = tokenizer(path), tokenizer(path), limit, {"": b""}, np.dtype(dtype)
+        self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.bytes = byte_table()
+        pieces = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(pieces.values()) + 1, bool)
+        self.ends[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
+
+    def _learn(self, parts: list[str]) -> None:
+        """Encode parts, many in a text, and cut the ids after each word end."""
+        import numpy as np
+
+        known, width = self.parts, self.dtype.itemsize
+        for at in range(0, len(parts), 1024):
+            group = parts[at : at + 1024]
+            text = " ".join([t if t.isascii() else t.encode().decode("latin-1").translate(self.bytes) for t in group])
+            ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = (width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw, begin = ids.tobytes(), 0
+            if len(cuts) != len(group) or cuts[-1] != len(raw):
+                raise ValueError("the vocabulary does not end each word by a piece of its own")
+            for part, end in zip(group, cuts):
+                known[part] = raw[begin:end]
+                begin = end
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        import numpy as np
+
+        texts = [w.decode("utf-8", "replace") for w in words]
+        plain = [PLAIN.fullmatch(t) for t in texts]
+        heads = [m[1].lower() if m else "" for m in plain]
+        tails = [m[2] if m else "" for m in plain]
+        need = {*heads, *tails}
+        if len(self.parts) + len(need) > self.limit:
+            self.parts = {"": b""}
+        self._learn([part for part in need if part not in self.parts])
+        known = self.parts
+        out = [known[h] + known[t] for h, t in zip(heads, tails)]
+        other = [i for i, m in enumerate(plain) if not m]
+        for at in range(0, len(other), 4096):
+            group = other[at : at + 4096]
+            for i, e in zip(group, self.tok.encode_batch_fast([texts[i] for i in group], add_special_tokens=False)):
+                out[i] = np.array(e.ids, self.dtype).tobytes()
+        return out
 
 
 class CachedEncoder:
     """Ids of whole texts; a word is encoded when first met and looked up afterwards."""
 
     def __init__(self, path: str, dtype: str, limit: int = MAX_CACHED):
-        self.tok, self.dtype, self.limit, self.known = tokenizer(path), dtype, limit, {}
+        self.ids, self.limit, self.known = WordIds(path, dtype, 2 * limit), limit, {}
 
     def learn(self, words: set[bytes]) -> None:
-        import numpy as np
-
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.limit:
             self.known, new = {}, list(words)
-        for w, ids in zip(new, encode_words(self.tok, new)):
-            self.known[w] = np.array(ids, self.dtype).tobytes()
+        self.known.update(zip(new, self.ids.encode(new)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        out, at = [], 0
-        while at < len(split):  # groups of texts that fit the store
-            seen: set[bytes] = set()
-            end = at
-            while end < len(split) and (end == at or len(seen) < self.limit // 2):
-                seen.update(split[end])
-                end += 1
-            self.learn(seen)
-            out += [b"".join(map(self.known.__getitem__, words)) for words in split[at:end]]
-            at = end
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):  # about 2 MB of text at a time
+            split, size = [], 0
+            while at < len(texts) and (not split or size + len(texts[at]) <= 2 << 20):
+                size += len(texts[at])
+                split.append(texts[at].split())
+                at += 1
+            self.learn(set().union(*split))
+            out += [b"".join(map(self.known.__getitem__, words)) for words in split]
         return out
 
 
