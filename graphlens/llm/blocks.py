@@ -23,7 +23,7 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=3).compress
-        for batch in batches:
+        for batch in (whole.slice(lo, 2500) for whole in batches for lo in range(0, whole.num_rows, 2500)):
             table = batch.take(pa.array(np.argsort(batch.column("block").to_numpy(), kind="stable")))
             block, texts, ids = table.column("block").to_numpy(), table.column("text").to_pylist(), table.column("doc_id")
             cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]

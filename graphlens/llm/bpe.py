@@ -17,33 +17,34 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.shared import bucket, input_partitions
-from graphlens.llm.tokens import default_vocabulary, encode_words, joiner, tokenizer, vocabulary
+from graphlens.llm.blocks import blocks, unpacked
+from graphlens.llm.shared import input_partitions
+from graphlens.llm.tokens import core, default_vocabulary, joiner, pieces_by_id, worker_words
 
 
-def blocks(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text as bytes and block; both uses of it share one exchange."""
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    return texts.withColumn("block", bucket(n, F.col("doc_id"), F.col("text"))).repartition("block")
+def _distinct(table, classes: int) -> dict[int, list[bytes]]:
+    """The distinct words of a block's texts by class, sorted: the same list whenever it is made."""
+    import zlib
+
+    words: set[bytes] = set()
+    for sizes, texts in zip(table.column("sizes"), table.column("texts")):
+        for text in unpacked(sizes.as_py(), texts.as_py()):
+            words.update(text.split())
+    by: dict[int, list[bytes]] = {}
+    for w in words:
+        by.setdefault(zlib.crc32(core(w)) % classes, []).append(w)
+    return {k: sorted(by[k]) for k in sorted(by)}
 
 
 def _ask(classes: int):
     def ask(table):
-        import zlib
-
         import pyarrow as pa
         import zstandard
 
-        words: set[bytes] = set()
-        for text in table.column("text"):
-            words.update(text.as_py().split())
-        by: dict[int, list[bytes]] = {}
-        for w in words:
-            by.setdefault(zlib.crc32(w) % classes, []).append(w)
         pack = zstandard.ZstdCompressor(level=3).compress
+        by = _distinct(table, classes)
         block = table.column("block")[0].as_py()
-        keys = sorted(by)
-        return pa.table({"class": pa.array(keys, pa.int32()), "block": pa.array([block] * len(keys), pa.int32()), "words": pa.array([pack(b"\n".join(sorted(by[k]))) for k in keys], pa.binary())})
+        return pa.table({"class": pa.array(list(by), pa.int32()), "block": pa.array([block] * len(by), pa.int32()), "words": pa.array([pack(b"\n".join(w)) for w in by.values()], pa.binary())})
 
     return ask
 
@@ -55,45 +56,75 @@ def _answer(path: str):
         import zstandard
 
         unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=3).compress
-        asked = [unpack(x.as_py()).split(b"\n") for x in table.column("words")]
-        distinct = sorted(set().union(*asked))
-        ids = dict(zip(distinct, encode_words(tokenizer(path), distinct)))
-        lens, flat = [], []
-        for words in asked:
-            own = [ids[w] for w in words]
-            lens.append(pack(np.fromiter(map(len, own), np.uint32, len(own)).tobytes()))
-            flat.append(pack(np.array([i for x in own for i in x], np.uint32).tobytes()))
-        return pa.table({"block": table.column("block"), "words": table.column("words"), "lens": pa.array(lens, pa.binary()), "ids": pa.array(flat, pa.binary())})
+        distinct: set[bytes] = set()
+        for x in table.column("words"):
+            distinct.update(unpack(x.as_py()).split(b"\n"))
+        words = list(distinct)
+        number = dict(zip(words, range(len(words))))
+        own = worker_words(path).encode(words)
+        sizes, ids = [], []
+        for x in table.column("words"):
+            asked = [own[number[w]] for w in unpack(x.as_py()).split(b"\n")]
+            n = np.fromiter(map(len, asked), np.uint32, len(asked)) // 4
+            sizes.append(pack(n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()))
+            ids.append(pack(b"".join(asked)))
+        return pa.table({"block": table.column("block"), "class": table.column("class"), "lens": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     return answer
 
 
-def _assemble(texts, answers):
+def _decoded(raw: bytes, pieces: list[str | None], between: str) -> str:
+    """The id-to-piece join of one text."""
     import numpy as np
-    import pyarrow as pa
-    import zstandard
-
-    unpack = zstandard.ZstdDecompressor().decompress
-    known: dict[bytes, bytes] = {}
-    for words, lens, ids in zip(*(answers.column(c).to_pylist() for c in ("words", "lens", "ids"))):
-        ends = 4 * np.cumsum(np.frombuffer(unpack(lens), np.uint32), dtype=np.int64)
-        raw, at = unpack(ids), 0
-        for w, end in zip(unpack(words).split(b"\n"), ends.tolist()):
-            known[w] = raw[at:end]
-            at = end
-    found = [b"".join(map(known.__getitem__, t.as_py().split())) for t in texts.column("text")]
-    return pa.table({"doc_id": texts.column("doc_id"), "ids": pa.array(found, pa.binary())})
-
-
-def encode(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers) of each row of ``docs``."""
+
+    ids = np.frombuffer(raw, np.uint32)
+    if len(ids) and ids.max() >= len(pieces):
+        ids = ids[ids < len(pieces)]
+    return between.join(filter(None, map(pieces.__getitem__, ids.tolist())))
+
+
+def _assemble(classes: int, path: str, between: str | None):
+    """Joins ids to words by position; with ``between``, the pieces to ids as well."""
+
+    def assemble(texts, answers):
+        import numpy as np
+        import pyarrow as pa
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        known: dict[bytes, bytes] = {}
+        by = _distinct(texts, classes)
+        for k, packed_lens, packed in zip(*(answers.column(c).to_pylist() for c in ("class", "lens", "ids"))):
+            words, raw_lens = by.pop(k), unpack(packed_lens)
+            lens = np.frombuffer(raw_lens, np.uint8 if len(raw_lens) == len(words) else np.uint32)
+            raw, at = unpack(packed), 0
+            for w, end in zip(words, (4 * np.cumsum(lens, dtype=np.int64)).tolist()):
+                known[w] = raw[at:end]
+                at = end
+        own, found, decoded = [], [], []
+        for ids, sizes, packed in zip(*(texts.column(c) for c in ("doc_ids", "sizes", "texts"))):
+            own.append(ids.values)
+            raw = [b"".join(map(known.__getitem__, t.split())) for t in unpacked(sizes.as_py(), packed.as_py())]
+            found.append(pa.array(raw, pa.binary()))
+            if between is not None:
+                pieces = pieces_by_id(path)
+                decoded.append(pa.array([_decoded(r, pieces, between) for r in raw], pa.string()))
+        out = {"doc_id": pa.chunked_array(own), "ids": pa.chunked_array(found)}
+        return pa.table(out | ({} if between is None else {"decoded": pa.chunked_array(decoded)}))
+
+    return assemble
+
+
+def encode(docs: DataFrame, vocabulary_path: str | None = None, decoded: bool = False) -> DataFrame:
+    """doc_id and ids (little-endian unsigned 32-bit integers) of each row of ``docs``; with ``decoded`` their text, too."""
     path = vocabulary_path or default_vocabulary()
     spark = docs.sparkSession
     classes = 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = blocks(docs, input_partitions(docs))
+    dealt = blocks(docs, 2 * input_partitions(docs))
     asked = dealt.groupBy("block").applyInArrow(_ask(classes), "class int, block int, words binary")
-    answers = asked.groupBy("class").applyInArrow(_answer(path), "block int, words binary, lens binary, ids binary")
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
+    answers = asked.groupBy("class").applyInArrow(_answer(path), "block int, class int, lens binary, ids binary")
+    out = f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary" + (", decoded string" if decoded else "")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_assemble(classes, path, joiner(path) if decoded else None), out)
 
 
 def decode(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
@@ -101,21 +132,14 @@ def decode(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     from pyspark.sql.types import StringType, StructField, StructType
 
     path = vocabulary_path or default_vocabulary()
-    pieces, between = encoded.sparkSession.sparkContext.broadcast(dict(vocabulary(path))), joiner(path)
+    between = joiner(path)
 
     def run(batches: Iterator) -> Iterator:
-        import numpy as np
         import pyarrow as pa
 
-        piece = pieces.value
-        dense = [piece.get(i) for i in range(max(piece, default=-1) + 1)]
-        for batch in batches:
-            out = []
-            for raw in batch.column("ids"):
-                ids = np.frombuffer(raw.as_py() or b"", np.uint32)
-                if len(ids) and ids.max() >= len(dense):
-                    ids = ids[ids < len(dense)]
-                out.append(between.join(filter(None, map(dense.__getitem__, ids.tolist()))))
+        pieces = pieces_by_id(path)
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
+            out = [_decoded(raw.as_py() or b"", pieces, between) for raw in batch.column("ids")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
@@ -123,5 +147,5 @@ def decode(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
 
 def round_trip(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of ``docs``."""
-    both = decode(encode(docs, vocabulary_path), vocabulary_path)
+    both = encode(docs, vocabulary_path, decoded=True)
     return both.select("doc_id", F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

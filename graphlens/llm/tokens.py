@@ -130,6 +130,23 @@ class CachedEncoder:
         return out
 
 
+def worker_words(path: str, limit: int = MAX_CACHED) -> WordIds:
+    """The word encoder of this Python worker, kept over tasks and groups."""
+    kept = sys.__dict__.setdefault("_token_words", {})
+    if path not in kept:
+        kept[path] = WordIds(path, "<u4", limit)
+    return kept[path]
+
+
+def pieces_by_id(path: str) -> list[str | None]:
+    """The piece at each id, kept over tasks and groups."""
+    kept = sys.__dict__.setdefault("_token_pieces", {})
+    if path not in kept:
+        known = dict(vocabulary(path))
+        kept[path] = [known.get(i) for i in range(max(known, default=-1) + 1)]
+    return kept[path]
+
+
 def worker_encoder(path: str, dtype: str) -> CachedEncoder:
     """The encoder of this Python worker, kept over tasks (functions arrive by value, so it hangs on ``sys``)."""
     kept = sys.__dict__.setdefault("_token_encoders", {})
