@@ -167,6 +167,6 @@ def scored(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CL
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with their own columns."""
-    own = docs.withColumnsRenamed({c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("text",)})
+    own = docs.toDF(*[c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)])
     kept = score(own, fit(docs, labels, rows_per_class)).filter(F.col("score") >= threshold).drop("score")
     return kept.toDF(*docs.columns)
