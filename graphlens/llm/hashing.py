@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,10 +12,16 @@ _SEED = 0xD1B54A32D192ED03
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base^0 .. base^(n-1) modulo 2^64."""
-    out = np.full(max(n, 1), base & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)[:n]
+    """base^0 .. base^(n-1) modulo 2^64; the usual lengths are kept for the life of the worker."""
+    kept = sys.__dict__.setdefault("_hash_powers", {})
+    out = kept.get(base)
+    if out is None or len(out) < n:
+        out = np.full(max(n, 1 << 16), base & 0xFFFFFFFFFFFFFFFF, np.uint64)
+        out[0] = 1
+        out = np.multiply.accumulate(out)
+        if n <= 1 << 22:
+            kept[base] = out
+    return out[:n]
 
 
 def inverse(base: int) -> int:

@@ -6,11 +6,14 @@ their number; everything below works on classes.
 * Order.  Shingles are ordered rarest first by a counting sketch over all documents (``SKETCH`` counters, a fixed
   size); it only has to be the same for all, so its noise costs speed and never a link.
 * Prefixes.  With O = ceil(t * n), the first n - O + l shingles of two documents that reach the threshold share at
-  least l.  Each document takes the l up to ``MOST`` with the least estimated cost: the longer prefix against the
-  candidates it lets through, which common shingles raise.  A pair needs min(l, l') shared prefix shingles.
-* Candidates.  Round one pairs each document of a posting list with the shortest one in reach of its length, so a list
-  of m documents gives m pairs; links found make components.  Round two takes the lists in which documents of
-  different components are left, and pairs those across components: a link inside a component adds nothing to it.
+  least l.  Each document takes the l of ``CHOICES`` with the least estimated cost: the longer prefix against the
+  candidates it lets through, which common shingles raise.  A pair needs l = min(l, l') shared shingles, and with their
+  sizes known and the overlap A that they need, only places before n - A + l count on either side.
+* First candidates.  A posting list pairs its documents with ``HUBS`` of them, so a list of m gives at most HUBS * m
+  pairs; links found make components.
+* Other candidates.  Lists in which documents of different components are left are met in full, across components
+  only: a link inside a component adds nothing to it.  The documents of such lists are dealt to blocks, and each pair
+  of blocks is a task of bounded size that counts shared shingles and passes on the pairs with enough of them.
 * Verification.  Pairs are checked on whole sets: a partner is delivered once to each block that needs it.
 
 Components come from smallest labels passed along links with pointer jumping, each step a written table.
@@ -37,7 +40,11 @@ T_NUM, T_DEN = 75, 100
 SKETCH_BITS = 20
 SLOTS = 64
 BLOOM_BITS = 23
-MOST = 4
+#: Matches that a document may ask for.
+CHOICES = (1, 2, 4, 8, 16, 32)
+HUBS = 3
+#: Contested postings in a block of documents, on average.
+BLOCK_ROWS = 1_000_000
 VERIFY_COST = 4.0
 
 
@@ -78,10 +85,10 @@ def survey(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
         for batch, at, group, sets in _read(batches):
             id_type = batch.schema.field("doc_id").type
             cls = [class_of(s) for s in sets]
-            for c, s in zip(cls, sets):
-                if c not in seen:
-                    seen.add(c)
-                    np.add.at(counts, (s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64), 1)
+            fresh = [s for c, s in zip(cls, sets) if c not in seen and not seen.add(c)]
+            if fresh:
+                at_ = np.concatenate(fresh) & np.uint64((1 << SKETCH_BITS) - 1)
+                counts += np.bincount(at_.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
             m = len(group)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, m), batch.column("text_hash").slice(at, m), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
         if id_type is not None:
@@ -173,8 +180,8 @@ def _distinct(table) -> Iterator[tuple[list[int], list[bytes]]]:
             yield own[at : at + len(group)], group
 
 
-def prefixes(sets: list[np.ndarray], sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Prefix shingles of each set, the set they belong to, and the matches each set asks for."""
+def prefixes(sets: list[np.ndarray], sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix shingles of each set, the set they belong to, their places in its order, and the matches each set asks for."""
     n = np.fromiter(map(len, sets), np.int64, len(sets))
     flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
     seen = sketch[(flat & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
@@ -187,7 +194,7 @@ def prefixes(sets: list[np.ndarray], sketch: np.ndarray) -> tuple[np.ndarray, np
     need = -(-n * T_NUM // T_DEN)
     cost = np.concatenate([[0.0], np.cumsum(others)])
     best, price = np.ones(len(sets), np.int64), None
-    for l in range(1, MOST + 1):
+    for l in CHOICES:
         end = np.minimum(n - need + l, n)
         p = np.where(l <= need, end + VERIFY_COST * (cost[first + end] - cost[first]) / l, np.inf)
         if price is None:
@@ -196,7 +203,10 @@ def prefixes(sets: list[np.ndarray], sketch: np.ndarray) -> tuple[np.ndarray, np
             better = p < price
             best[better], price = l, np.minimum(price, p)
     keep = rank < np.repeat(n - need + best, n)
-    return flat[keep], owner[keep], best
+    return flat[keep], owner[keep], rank[keep], best
+
+
+PREFIX_PARTS = ("cls", "n", "l", "per", "place", "tokens")
 
 
 def _emit_prefixes(sketch, classes: int):
@@ -208,25 +218,26 @@ def _emit_prefixes(sketch, classes: int):
         rows: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for cls, texts in _distinct(table):
             sets = shingle_sets(texts)
-            tokens, owner, l = prefixes(sets, sketch.value)
+            tokens, owner, place, l = prefixes(sets, sketch.value)
             tokens = tokens >> np.uint64(16)
             of = (tokens % np.uint64(classes)).astype(np.int64)
             order = np.lexsort((owner, of))
-            tokens, owner, of = tokens[order], owner[order], of[order]
+            tokens, owner, of, place = tokens[order], owner[order], of[order], place[order].astype(np.uint32)
             ids, n = np.array(cls, np.int64), np.fromiter(map(len, sets), np.uint32, len(sets))
             keys, at = np.unique(of, return_index=True)
             for k, a, b in zip(keys.tolist(), at.tolist(), [*at[1:].tolist(), len(of)]):
                 docs, per = np.unique(owner[a:b], return_counts=True)
-                rows.setdefault(k, []).append((ids[docs], n[docs], l[docs].astype(np.uint8), per.astype(np.uint32), tokens[a:b]))
-        out = {"class": list(rows), "cls": [], "n": [], "l": [], "per": [], "tokens": []}
+                rows.setdefault(k, []).append((ids[docs], n[docs], l[docs].astype(np.uint8), per.astype(np.uint32), place[a:b], tokens[a:b]))
+        out = {"class": list(rows), "cls": [], "n": [], "l": [], "per": [], "place": [], "tokens": []}
         for parts in rows.values():
-            cls, n, l, per, tokens = (np.concatenate(x) for x in zip(*parts))
+            cls, n, l, per, place, tokens = (np.concatenate(x) for x in zip(*parts))
             out["cls"].append(cls.tobytes())
             out["n"].append(squeeze(n.tobytes()))
             out["l"].append(squeeze(l.tobytes()))
             out["per"].append(squeeze(per.tobytes()))
+            out["place"].append(squeeze(place.tobytes()))
             out["tokens"].append(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
-        return pa.table({"class": pa.array(out["class"], pa.int32())} | {c: pa.array(out[c], pa.binary()) for c in ("cls", "n", "l", "per", "tokens")})
+        return pa.table({"class": pa.array(out["class"], pa.int32())} | {c: pa.array(out[c], pa.binary()) for c in PREFIX_PARTS})
 
     return emit
 
@@ -236,39 +247,42 @@ def _reach(short: np.ndarray, long: np.ndarray) -> np.ndarray:
     return T_DEN * short.astype(np.int64) >= T_NUM * long.astype(np.int64)
 
 
-def hub_pairs(token: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (member, hub) for lists sorted by token and n: each with the shortest in reach, again for what is out of reach."""
-    members, hubs, left = [], [], np.arange(len(token))
-    while len(left):
-        new = np.concatenate([[True], token[left][1:] != token[left][:-1]])
-        hub = left[np.maximum.accumulate(np.where(new, np.arange(len(left)), 0))]
-        fits = _reach(n[hub], n[left])
-        own = fits & (hub != left)
-        members.append(left[own])
-        hubs.append(hub[own])
-        left = left[~fits]
-    return np.concatenate(members or [np.zeros(0, np.int64)]), np.concatenate(hubs or [np.zeros(0, np.int64)])
+def near_enough(n1, l1, p1, n2, l2, p2) -> np.ndarray:
+    """Whether a shared shingle at places p1 and p2 counts for sets of these sizes and matches asked for."""
+    n1, n2 = n1.astype(np.int64), n2.astype(np.int64)
+    least = np.minimum(l1, l2).astype(np.int64)
+    overlap = -(-T_NUM * (n1 + n2) // (T_NUM + T_DEN))
+    return _reach(np.minimum(n1, n2), np.maximum(n1, n2)) & (p1 < n1 - overlap + least) & (p2 < n2 - overlap + least)
 
 
-CANDIDATES = "token long, a long, b long, n int, m int"
+def hub_pairs(token: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (member, hub) for lists sorted by token: each document with those of the least mixed class ids."""
+    if not len(token):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.lexsort((mix(cls.view(np.uint64)), token))
+    begin = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+    size = np.diff(np.append(begin, len(order)))
+    first = np.repeat(begin, size)
+    rank = np.arange(len(order)) - first
+    members, hubs = [], []
+    for k in range(HUBS):
+        own = np.flatnonzero(rank > k)
+        members.append(order[own])
+        hubs.append(order[first[own] + k])
+    return np.concatenate(members), np.concatenate(hubs)
 
 
-def _counted(a: np.ndarray, b: np.ndarray, need: np.ndarray):
-    """Distinct (a, b) with the number of times they stand there, and what they need."""
-    order = np.lexsort((b, a))
-    a, b, need = a[order], b[order], need[order]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    return a[new], b[new], np.diff(np.append(new, len(a))), need[new]
+CANDIDATES = "token long, a long, b long, n int, m int, place int"
 
 
 def _postings(table):
-    """Rows with a token: the documents of lists of two or more; rows without: pairs (member a, hub b), shared n, needed m."""
+    """Rows with a token: the documents of lists of two or more; rows without: pairs (member a, hub b) for verification."""
     import pyarrow as pa
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    tokens, cls, n, l = [], [], [], []
-    for c, nn, ll, per, raw in zip(*(table.column(x) for x in ("cls", "n", "l", "per", "tokens"))):
+    tokens, cls, n, l, place = [], [], [], [], []
+    for c, nn, ll, per, at, raw in zip(*(table.column(x) for x in PREFIX_PARTS)):
         per = np.frombuffer(unpack(per.as_py()), np.uint32)
         six = np.frombuffer(raw.as_py(), np.uint8).reshape(-1, 6)
         wide = np.zeros((len(six), 8), np.uint8)
@@ -277,18 +291,21 @@ def _postings(table):
         cls.append(np.repeat(np.frombuffer(c.as_py(), np.int64), per))
         n.append(np.repeat(np.frombuffer(unpack(nn.as_py()), np.uint32), per))
         l.append(np.repeat(np.frombuffer(unpack(ll.as_py()), np.uint8), per))
-    tokens, cls, n, l = (np.concatenate(x) for x in (tokens, cls, n, l))
+        place.append(np.frombuffer(unpack(at.as_py()), np.uint32))
+    tokens, cls, n, l, place = (np.concatenate(x) for x in (tokens, cls, n, l, place))
     own, at, count = np.unique(tokens, return_inverse=True, return_counts=True)
     live = count[at] > 1
-    tokens, cls, n, l = tokens[live], cls[live], n[live], l[live]
-    order = np.lexsort((cls, n, tokens))
-    tokens, cls, n, l = tokens[order], cls[order], n[order], l[order]
-    i, j = hub_pairs(tokens, n)
-    a, b, shared, need = _counted(cls[i], cls[j], np.minimum(l[i], l[j]))
-    k, p = len(tokens), len(a)
+    tokens, cls, n, l, place = tokens[live], cls[live], n[live], l[live], place[live]
+    # pairs for a first look need no count: of long documents a quarter of the shared shingles shows them
+    some = (mix(tokens.view(np.uint64)) % np.uint64(4) == 0) | (n < 64)
+    t, c, m, q, w = tokens[some], cls[some], n[some], l[some], place[some]
+    i, j = hub_pairs(t, c)
+    fit = near_enough(m[i], q[i], w[i], m[j], q[j], w[j])
+    pairs = np.unique(np.stack([c[i[fit]], c[j[fit]]], axis=1), axis=0) if fit.any() else np.zeros((0, 2), np.int64)
+    k, p = len(tokens), len(pairs)
     return pa.table({
-        "token": pa.chunked_array([pa.array(tokens), pa.nulls(p, pa.int64())]), "a": np.concatenate([cls, a]), "b": pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(b)]),
-        "n": np.concatenate([n, shared]).astype(np.int32), "m": np.concatenate([l, need]).astype(np.int32),
+        "token": pa.chunked_array([pa.array(tokens), pa.nulls(p, pa.int64())]), "a": np.concatenate([cls, pairs[:, 0]]), "b": pa.chunked_array([pa.nulls(k, pa.int64()), pa.array(pairs[:, 1])]),
+        "n": np.concatenate([n, np.zeros(p)]).astype(np.int32), "m": np.concatenate([l, np.zeros(p)]).astype(np.int32), "place": np.concatenate([place, np.zeros(p)]).astype(np.int32),
     })
 
 
@@ -393,34 +410,87 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def contested(live: DataFrame, labels: DataFrame, classes: int) -> DataFrame:
-    """Pairs (a, b) across components in the same posting lists, with enough shared prefix shingles."""
+def _pack_contested(blocks: int):
+    """Contested rows packed by block, a copy for each pair of blocks (i <= j) that the block is in."""
+    names = ("token", "a", "label", "n", "m", "place")
 
-    def pair(table):
+    def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        import zstandard
+
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for batch in batches:
+            cols = {c: batch.column(c).to_numpy() for c in names}
+            of = (mix(cols["a"].view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+            i, j, own, rows = [], [], [], []
+            for k in np.unique(of).tolist():
+                at = of == k
+                packed = squeeze(np.concatenate([cols[c][at].astype(np.int64) for c in names]).tobytes())
+                for other in range(blocks):
+                    i.append(min(k, other))
+                    j.append(max(k, other))
+                    own.append(k)
+                    rows.append(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(own, pa.int32()), pa.array(rows, pa.binary())], names=["i", "j", "own", "packed"])
+
+    return run
+
+
+def _pair_up(table):
+    """Pairs (a, b) of the two blocks, of different components, with enough shared shingles."""
+    import pyarrow as pa
+    import zstandard
 
-        token, cls, label, n, l = (table.column(c).to_numpy() for c in ("token", "a", "label", "n", "m"))
-        order = np.lexsort((cls, n, token))
-        token, cls, label, n, l = token[order], cls[order], label[order], n[order], l[order]
-        begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        out = []
-        for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(token)]):
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, hi)
-                j = j[(label[j] != label[i]) & _reach(n[i : i + 1], n[j])]
-                if len(j):
-                    x, y = np.full(len(j), cls[i]), cls[j]
-                    out.append((np.maximum(x, y), np.minimum(x, y), np.minimum(l[i], l[j])))
-        a, b, need = (np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        a, b, shared, need = _counted(a, b, need)
-        return pa.table({"a": a, "b": b, "shared": shared.astype(np.int32), "need": need.astype(np.int32)})
-
-    labelled = live.join(labels.withColumnRenamed("cls", "a"), "a", "left").withColumn("label", F.coalesce("label", "a"))
-    labelled = written(labelled, "labelled")
+    unpack = zstandard.ZstdDecompressor().decompress
+    parts = [np.frombuffer(unpack(x.as_py()), np.int64).reshape(6, -1) for x in table.column("packed")]
+    side = np.concatenate([np.full(p.shape[1], k) for p, k in zip(parts, table.column("own").to_pylist())])
+    token, cls, label, n, l, place = np.concatenate(parts, axis=1)
+    same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    order = np.lexsort((side, token))
+    token, cls, label, n, l, place, side = (x[order] for x in (token, cls, label, n, l, place, side))
+    ids, doc = np.unique(cls, return_inverse=True)
+    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist()
+    keys, held, merged = [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def merge(keys, merged):
+        own, count = np.unique(np.concatenate([*keys, np.repeat(merged[0], merged[1])]), return_counts=True)
+        return own, count
+
+    for lo, hi in zip(begin, [*begin[1:], len(token)]):
+        mid = hi if same else lo + int(np.searchsorted(side[lo:hi], side[lo], side="right"))
+        left, right = np.arange(lo, mid), np.arange(lo, hi) if same else np.arange(mid, hi)
+        if not len(right) or (label[lo:hi] == label[lo]).all():
+            continue
+        step = max(1, 2_000_000 // len(right))
+        for at in range(0, len(left), step):  # a bounded piece of the list against the other side
+            x, y = left[at : at + step, None], right[None, :]
+            ok = (label[x] != label[y]) & near_enough(n[x], l[x], place[x], n[y], l[y], place[y])
+            if same:
+                ok &= x < y
+            p, q = np.nonzero(ok)
+            if len(p):
+                u, v = doc[left[at + p]], doc[right[q]]
+                keys.append(np.minimum(u, v) * len(ids) + np.maximum(u, v))
+                held += len(p)
+                if held > 4_000_000:
+                    merged, keys, held = merge(keys, merged), [], 0
+    own, count = merge(keys, merged) if keys else merged
+    u, v = own // max(1, len(ids)), own % max(1, len(ids))
+    asks = np.zeros(len(ids), np.int64)
+    asks[doc] = l
+    enough = count >= np.minimum(asks[u], asks[v])
+    a, b = ids[u[enough]], ids[v[enough]]
+    return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+
+def contested(live: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components in the same posting lists, with enough shared prefix shingles."""
+    labelled = written(live.join(labels.withColumnRenamed("cls", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")), "labelled")
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    rows = labelled.join(mixed, "token", "left_semi").withColumn("class", F.pmod("token", F.lit(classes)).cast("int"))
-    counted = rows.groupBy("class").applyInArrow(pair, "a long, b long, shared int, need int")
-    return counted.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).filter("shared >= need").select("a", "b")
+    rows = written(labelled.join(mixed, "token", "left_semi").select("token", "a", "label", "n", "m", "place"), "contested")
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    packed = rows.mapInArrow(_pack_contested(blocks), "i int, j int, own int, packed binary")
+    return packed.groupBy("i", "j").applyInArrow(_pair_up, "a long, b long")
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -430,16 +500,16 @@ def grouped(docs: DataFrame) -> DataFrame:
     members, sketch = survey(texts)
     buckets = 2 * input_partitions(texts)
     classes = 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    lists = dealt(texts, buckets).groupBy("bucket").applyInArrow(_emit_prefixes(spark.sparkContext.broadcast(sketch), classes), "class int, cls binary, n binary, l binary, per binary, tokens binary")
+    lists = dealt(texts, buckets).groupBy("bucket").applyInArrow(_emit_prefixes(spark.sparkContext.broadcast(sketch), classes), "class int, cls binary, n binary, l binary, per binary, place binary, tokens binary")
     found = written(lists.groupBy("class").applyInArrow(_postings, CANDIDATES), "candidates")
     live = found.filter("token IS NOT NULL")
-    first = written(found.filter("token IS NULL").groupBy("a", "b").agg(F.sum("n").alias("shared"), F.min("m").alias("need")).filter("shared >= need").select("a", "b"), "pairs")
+    first = written(found.filter("token IS NULL").select("a", "b").distinct(), "pairs")
     bloom = spark.sparkContext.broadcast(class_filter(live.select(F.col("a").alias("cls"))))
     kept = written(dealt(texts, buckets, bloom).groupBy("bucket").applyInArrow(_repack, PACKED), "live", "none")
     links = written(verified(first, kept, buckets), "links")
     labels = components(links)
     ordered = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = written(contested(live, labels, classes).join(ordered, ["a", "b"], "left_anti"), "pairs")
+    second = written(contested(live, labels).join(ordered, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(second, kept, buckets), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
