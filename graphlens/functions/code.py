@@ -96,3 +96,63 @@ def cwe(text: Column) -> Column:
 def short_hash(*parts: Column, between: str = ":") -> Column:
     """The first 16 hex digits of SHA-256 over the joined parts."""
     return F.substring(F.sha2(F.concat_ws(between, *parts), 256), 1, 16)
+
+
+def route_path(part: Column) -> Column:
+    """A route with one leading slash, single slashes inside and none at the end."""
+    p = F.replace(F.trim(F.coalesce(part, F.lit(""))), F.lit("\\"), F.lit("/"))
+    return F.concat(F.lit("/"), F.regexp_replace(F.regexp_replace(p, "/{2,}", "/"), "^/|/$", ""))
+
+
+def joined_route(outer: Column, inner: Column) -> Column:
+    """The route of a method under its class."""
+    a, b = route_path(outer), route_path(inner)
+    return F.when(a == "/", b).when(b == "/", a).otherwise(F.concat(a, b))
+
+
+def short_package(name: Column) -> Column:
+    """The last two segments of a package."""
+    return F.substring_index(name, ".", -2)
+
+
+def purl(ecosystem: Column, group: Column, name: Column, version: Column) -> Column:
+    """A package address for Maven, npm and PyPI."""
+    at = F.when(F.coalesce(version, F.lit("")) != "", F.concat(F.lit("@"), version)).otherwise("")
+    npm = F.concat(F.lit("pkg:npm/"), F.replace(name, F.lit("@"), F.lit("%40")), at)
+    pypi = F.concat(F.lit("pkg:pypi/"), F.replace(F.lower(name), F.lit("_"), F.lit("-")), at)
+    return F.when(ecosystem == "npm", npm).when(ecosystem == "pip", pypi).otherwise(F.concat(F.lit("pkg:maven/"), group, F.lit("/"), name, at))
+
+
+def filled(template: Column, count: Column, groups: Column) -> Column:
+    """A template with {count} and {1}, {2}, ... replaced."""
+    start = F.replace(template, F.lit("{count}"), count.cast("string"))
+    return F.aggregate(F.transform(groups, lambda g, i: F.struct((i + 1).alias("i"), F.coalesce(g, F.lit("")).alias("g"))), start, lambda t, x: F.replace(t, F.concat(F.lit("{"), x["i"].cast("string"), F.lit("}")), x["g"]))
+
+
+def regression_ok(kind: Column, pattern: Column, positive: Column, negative: Column) -> Column:
+    """Whether a rule matches all its positive samples and none of its negative ones."""
+    hit = lambda s: F.when(kind == "SUBSTRING", s.contains(pattern)).otherwise(F.rlike(s, F.concat(F.lit("(?s)"), pattern)))
+    return F.forall(positive, hit) & ~F.exists(negative, hit)
+
+
+#: Annotations of HTTP entries, and of parameters and types that carry user input or never do.
+ENTRY_MARKS = ("@requestmapping", "@getmapping", "@postmapping", "@putmapping", "@deletemapping", "@patchmapping")
+INPUT_MARKS = ("@requestparam", "@pathvariable", "@requestbody", "@requestheader", "@matrixvariable", "@modelattribute")
+INPUT_TYPES = ("httpservletrequest", "servletrequest", "multipartfile", "multipartrequest", "servletwebexchange")
+OUTPUT_TYPES = ("httpservletresponse", "servletresponse", "model", "modelandview", "bindingresult", "errors", "redirectattributes", "sessionstatus")
+
+
+def is_http_entry(source: Column) -> Column:
+    low = F.lower(F.coalesce(source, F.lit("")))
+    return reduce(lambda a, b: a | b, [low.contains(m) for m in ENTRY_MARKS])
+
+
+def user_parameters(signature: Column) -> Column:
+    """Indices of parameters that a user controls: marked ones, else all that aren't outputs."""
+    inside = F.regexp_extract(F.lower(F.coalesce(signature, F.lit(""))), r"\((.*)\)", 1)
+    params = F.transform(F.filter(F.split(inside, r",(?![^<]*>)"), lambda p: F.trim(p) != ""), lambda p, i: F.struct(F.trim(p).alias("p"), i.alias("i")))
+    has = lambda text, words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+    kind = lambda p: F.regexp_extract(F.regexp_replace(p, r"@\w+(\([^)]*\))?\s*", ""), r"^(?:final\s+)?(\S+)", 1)
+    marked = F.filter(params, lambda x: has(x["p"], INPUT_MARKS) | has(kind(x["p"]), INPUT_TYPES))
+    rest = F.filter(params, lambda x: ~has(kind(x["p"]), OUTPUT_TYPES))
+    return F.transform(F.when(F.size(marked) > 0, marked).otherwise(rest), lambda x: x["i"])

@@ -161,3 +161,28 @@ def merge_first_seen(old: DataFrame, new: DataFrame) -> DataFrame:
     """External findings by fingerprint: the first time seen stays, the last one is renewed."""
     both = old.select("fingerprint", "first_seen", "last_seen").unionByName(new.select("fingerprint", F.col("seen").alias("first_seen"), F.col("seen").alias("last_seen")))
     return both.groupBy("fingerprint").agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+
+
+def evaluate_advice(samples: DataFrame) -> DataFrame:
+    """Accuracy of heuristic and suggested verdicts, mean latency, and total cost (null if any cost is unknown)."""
+    done = (F.col("status") == "COMPLETED") & F.col("suggested").isNotNull()
+    n, m = F.count("*"), F.count_if(done)
+    right, good = F.count_if(F.col("heuristic") == F.col("expected")), F.count_if(done & (F.col("suggested") == F.col("expected")))
+    cost = F.when(F.count_if(done & F.col("cost").isNull()) > 0, F.lit(None).cast("double")).otherwise(F.coalesce(F.sum(F.when(done, F.col("cost"))), F.lit(0.0)))
+    rate = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    return samples.agg(n.alias("samples"), rate(right, n).alias("heuristic_accuracy"), m.alias("available"), rate(good, m).alias("advice_accuracy"), F.coalesce(F.avg(F.when(done, F.col("latency"))), F.lit(0.0)).alias("mean_latency"), cost.alias("total_cost"))
+
+
+def risk_signals(findings: DataFrame, evidence: int = 20) -> DataFrame:
+    """(signal, n, severity, evidence): findings by rule with their worst severity and the first units, by id."""
+    ranked = findings.select("rule_id", "unit_id", severity_rank(F.col("severity")).alias("rank"), "severity")
+    units = findings.select("rule_id", "unit_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("rule_id").orderBy("unit_id"))).filter(F.col("r") <= evidence)
+    shown = units.groupBy("rule_id").agg(F.array_join(F.sort_array(F.collect_list("unit_id")), ",").alias("evidence"))
+    sums = ranked.groupBy("rule_id").agg(F.count("*").alias("n"), F.min_by("severity", "rank").alias("severity"))
+    return sums.join(shown, "rule_id").select(F.col("rule_id").alias("signal"), "n", "severity", "evidence")
+
+
+def whitelisted(citations: DataFrame, known: DataFrame) -> DataFrame:
+    """(case_id, kept, rejected): citations that are among the known ones of their case, and the others."""
+    both = citations.join(known, "case_id", "left")
+    return both.select("case_id", F.array_intersect("cited", F.coalesce("known", F.array())).alias("kept"), F.array_except("cited", F.coalesce("known", F.array())).alias("rejected"))

@@ -192,3 +192,26 @@ def evaluate(results: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> Da
     case = results.groupBy("case_id").agg(F.min(F.when(F.col("relevant") & (F.col("rank") <= max(cutoffs)), F.col("rank"))).alias("first"), F.max(F.when(F.col("rank") == 1, F.col("score"))).alias("top"))
     hits = [F.avg(F.when(F.col("first") <= k, 1.0).otherwise(0.0)).alias(f"hit_{k}") for k in cutoffs]
     return case.agg(F.count("*").alias("cases"), *hits, F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), F.avg("top").alias("mean_top"))
+
+
+def finding_context(findings: DataFrame, units: DataFrame, edges: DataFrame, impact_units: int = 20) -> DataFrame:
+    """(finding_id, qualified_name, relation, score) of located findings (finding_id, unit_id): the unit itself, then its
+    callers and callees at one step (up to 20 each, by name), then security-relevant units that depend on it."""
+    known = units.withColumn("security", security_score())
+    own = findings.filter("unit_id IS NOT NULL").select("finding_id", F.col("unit_id").alias("id"))
+    calls = edges.filter("kind = 'CALLS'").select("src", "dst").distinct()
+    named = known.select("id", "qualified_name", "security")
+    parts = [own.join(named, "id").select("finding_id", "qualified_name", F.lit(0).alias("stage"), F.lit("FINDING").alias("relation"), (1.0 + 0.5 * F.col("security")).alias("score"))]
+    callers = own.withColumnRenamed("id", "dst").join(calls, "dst").select("finding_id", F.col("src").alias("id"))
+    callees = own.withColumnRenamed("id", "src").join(calls, "src").select("finding_id", F.col("dst").alias("id"))
+    for stage, (relation, near, base) in enumerate((("CALLER", callers, 0.6), ("CALLEE", callees, 0.5)), 1):
+        hit = near.distinct().join(named, "id").withColumn("r", F.row_number().over(Window.partitionBy("finding_id").orderBy("qualified_name", "id"))).filter(F.col("r") <= EXPAND_PER_SEED)
+        parts.append(hit.select("finding_id", "qualified_name", F.lit(stage).alias("stage"), F.lit(relation).alias("relation"), (base + 0.5 * F.col("security")).alias("score")))
+    near = reduce(DataFrame.unionByName, parts)
+    links = edges.filter(F.col("kind").isin(*IMPACT_KINDS)).select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
+    back = own.withColumnRenamed("id", "src").join(links, "src").select("finding_id", F.col("dst").alias("src"))
+    second = back.join(links, "src").select("finding_id", F.col("dst").alias("id")).unionByName(back.withColumnRenamed("src", "id")).distinct()
+    more = second.join(named.filter("security > 0"), "id").join(near.select("finding_id", "qualified_name"), ["finding_id", "qualified_name"], "left_anti")
+    top = more.withColumn("r", F.row_number().over(Window.partitionBy("finding_id").orderBy("qualified_name", "id"))).filter(F.col("r") <= impact_units)
+    found = near.unionByName(top.select("finding_id", "qualified_name", F.lit(3).alias("stage"), F.lit("IMPACT").alias("relation"), (0.2 + 0.5 * F.col("security")).alias("score")))
+    return found.groupBy("finding_id", "qualified_name").agg(F.min(F.struct("stage", "relation", "score")).alias("x")).select("finding_id", "qualified_name", "x.relation", "x.score")
