@@ -76,14 +76,18 @@ def config_lines(files: DataFrame) -> DataFrame:
     return rows.select("name", "line", key.alias("key"), bare.alias("value")).filter("key <> '' AND value <> ''")
 
 
-def config_audit(files: DataFrame, rules: DataFrame) -> DataFrame:
+def config_audit(files: DataFrame, rules: list[dict]) -> DataFrame:
     """(name, rule_id, severity, line) of violated rules (rule_id, severity, type, key, value_pattern, negate) in each file.
 
+    Rules are data that travels with the plan: each file is expanded by them, and one equi join meets them with its lines.
+
     PRESENT and plain VALUE_PATTERN: no line of the key, or none with a fitting value (the first line is named);
     negated VALUE_PATTERN and FORBIDDEN: every line whose value fits, or is switched on.
     """
     whole = F.rlike("value", F.concat(F.lit(r"\A(?:"), F.col("value_pattern"), F.lit(r")\z")))
-    pairs = files.select("name").distinct().join(F.broadcast(rules), F.lit(True)).join(config_lines(files), ["name", "key"], "left")
+    names = ("rule_id", "severity", "type", "key", "value_pattern")
+    each_rule = F.array(*[F.struct(*[F.lit(r.get(c)).cast("string").alias(c) for c in names], F.lit(bool(r.get("negate"))).alias("negate")) for r in rules])
+    pairs = files.select("name", F.explode(each_rule).alias("r")).select("name", "r.*").distinct().join(config_lines(files), ["name", "key"], "left")
     bad = F.when(F.col("type") == "FORBIDDEN", F.lower("value").isin(*ENABLED)).otherwise(whole)
     listing = (F.col("type") == "FORBIDDEN") | ((F.col("type") == "VALUE_PATTERN") & F.col("negate"))
     each = pairs.filter(listing & F.coalesce(bad, F.lit(False))).select("name", "rule_id", "severity", "line")

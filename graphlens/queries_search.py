@@ -242,7 +242,9 @@ def k2_config_audit(spark, sf_dir):
         F.concat(F.lit('X11Forwarding "'), F.when(k % 3 == 0, "yes").otherwise("no"), F.lit('"')), F.concat(F.lit("Ciphers = '"), F.when(k % 5 == 0, "des").otherwise("aes"), F.lit("'")),
     )
     files = load(spark, sf_dir, "supplier").select(F.concat(F.lit("h"), k.cast("string")).alias("name"), text.alias("content"))
-    rules = spark.createDataFrame([("len", "HIGH", "PRESENT", "PASS_MIN_LEN", "([8-9]|[1-9][0-9]+)", False), ("tries", "MEDIUM", "VALUE_PATTERN", "MaxAuthTries", "([1-5])", False), ("x11", "MEDIUM", "FORBIDDEN", "X11Forwarding", None, False), ("cipher", "LOW", "VALUE_PATTERN", "Ciphers", "des|rc4", True)], "rule_id string, severity string, type string, key string, value_pattern string, negate boolean")
+    names = ("rule_id", "severity", "type", "key", "value_pattern", "negate")
+    rows = [("len", "HIGH", "PRESENT", "PASS_MIN_LEN", "([8-9]|[1-9][0-9]+)", False), ("tries", "MEDIUM", "VALUE_PATTERN", "MaxAuthTries", "([1-5])", False), ("x11", "MEDIUM", "FORBIDDEN", "X11Forwarding", None, False), ("cipher", "LOW", "VALUE_PATTERN", "Ciphers", "des|rc4", True)]
+    rules = [dict(zip(names, r)) for r in rows]
     return security.config_audit(files, rules)
 
 
