@@ -42,8 +42,8 @@ def _word(h: Column, words: int) -> Column:
 def repeated_filter(hashes: DataFrame, max_words: int = 1 << 20) -> tuple[DataFrame, int]:
     """Bloom filter (word, bits) of the values of column ``h`` that occur more than once, and its number of words."""
     again = written(hashes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated")
-    words = 1 << 10
-    while words < max_words and words * 8 < again.count():
+    n, words = again.count(), 1 << 10
+    while words < max_words and words * 8 < n:
         words *= 2
     bits = again.select(_word(F.col("h"), words).alias("word"), _mask(F.col("h")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
     return bits, words

@@ -46,13 +46,13 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
 
 
 def input_partitions(df: DataFrame) -> int:
-    """Number of partitions the scan of ``df`` has: it grows with the bytes of the input."""
-    return max(1, df.rdd.getNumPartitions())
-
+    """Number of partitions the scan of ``df`` has: it grows with the bytes of the input.
 
-def parts_for(df: DataFrame) -> int:
-    """Partitions for a step that moves about as much as the input: never fewer than the session's setting."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), 2 * input_partitions(df))
+    For a plan with exchanges the session's setting serves: asking such a plan for its partitions would run it.
+    """
+    if df._jdf.queryExecution().executedPlan().nodeName() == "AdaptiveSparkPlan":
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(1, df.rdd.getNumPartitions())
 
 
 def bucket(n: int, *cols: Column) -> Column:
