@@ -20,7 +20,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.shared import written
+from graphlens.llm.shared import apart, restored, written
 
 WINDOW = 10
 SHINGLE = 3
@@ -131,7 +131,8 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), "text")
     wins, _ = numbered(items, window)
     bad = written(hits(texts, wins, ["_d", "_h"]).filter("wid IS NOT NULL").select("_d", "_h").distinct(), "contaminated")
-    return docs.withColumn("_h", F.xxhash64("text")).join(bad.withColumnRenamed("_h", "_g"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti").drop("_h")
+    own = apart(docs).withColumn("_h", F.xxhash64("text"))
+    return restored(own.join(bad.withColumnRenamed("_h", "_g"), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti"), docs)
 
 
 ORACLE = r"""

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.shared import SPACE_CLASS, written
+from graphlens.llm.shared import SPACE_CLASS, apart, restored, written
 
 BITS = 5
 
@@ -91,14 +91,14 @@ def exact_duplicates(docs: DataFrame, max_words: int = 1 << 20) -> DataFrame:
 
 def keep_first(docs: DataFrame, max_words: int = 1 << 20) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: full rows shuffle only if their hash may be repeated."""
-    hashed = docs.withColumn("_norm", normalised(F.col("text"))).withColumn("_h", F.xxhash64("_norm"))
+    hashed = apart(docs).withColumn("_norm", normalised(F.col("text"))).withColumn("_h", F.xxhash64("_norm"))
     bloom, words = repeated_filter(hashed.select(F.col("_h").alias("h")), max_words)
     bloom = written(bloom, "bloom")
     tested = possibly_repeated(hashed, F.col("_h"), bloom, words)
     keyed = tested.filter("_again").withColumns({"_sha": F.sha2("_norm", 256), "_n": F.char_length(F.coalesce("text", F.lit("")))})
     best = written(keyed.groupBy("_sha").agg(F.min(_order(F.col("_n"), F.col("doc_id"), F.lit(0))).alias("_best")), "best")
     stay = keyed.join(best, "_sha").filter((F.col("_n") == -F.col("_best.l")) & F.col("doc_id").eqNullSafe(F.col("_best.i"))).dropDuplicates(["_sha"])
-    return tested.filter("not _again").select(*docs.columns).unionByName(stay.select(*docs.columns))
+    return restored(tested.filter("not _again"), docs).union(restored(stay, docs))
 
 
 ORACLE = r"""

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.blocks import unpacked
 from graphlens.llm.hashing import chunks, mix, sequence_hashes, word_hashes
-from graphlens.llm.shared import input_partitions, written
+from graphlens.llm.shared import apart, input_partitions, restored, written
 
 SHINGLE = 5
 #: The threshold as a fraction of whole numbers.
@@ -533,5 +533,5 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = written(grouped(docs.select("doc_id", "text")).filter("label IS NOT NULL").withColumn("key", F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))), "grouped")
     best = written(rows.groupBy("label").agg(F.min("key").alias("best"), F.count("*").alias("size")).filter("size > 1"), "stay")
     gone = written(rows.join(best, "label").filter(F.col("key") != F.col("best")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_g")).distinct(), "gone")
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    return hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti").select(*docs.columns)
+    hashed = apart(docs).withColumn("_h", F.xxhash64("text"))
+    return restored(hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti"), docs)

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.shared import crc_mod
+from graphlens.llm.shared import apart, crc_mod, restored
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
@@ -167,6 +167,4 @@ def scored(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CL
 
 def keep_good(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score reaches ``threshold``, with their own columns."""
-    own = docs.toDF(*[c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)])
-    kept = score(own, fit(docs, labels, rows_per_class)).filter(F.col("score") >= threshold).drop("score")
-    return kept.toDF(*docs.columns)
+    return restored(score(apart(docs), fit(docs, labels, rows_per_class)).filter(F.col("score") >= threshold), docs)

@@ -55,6 +55,16 @@ def input_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def apart(docs: DataFrame) -> DataFrame:
+    """``docs`` with every column but doc_id and text renamed by its place, so that no name of an operator clashes."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)])
+
+
+def restored(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs`` under their own names, from a frame that came from ``apart``."""
+    return kept.select(*[c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)]).toDF(*docs.columns)
+
+
 def bucket(n: int, *cols: Column) -> Column:
     """Bucket 0..n-1 from the content of a row: the same on each attempt, and spread for copies and hot sources."""
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")

@@ -63,9 +63,10 @@ def test_exact_dedup(docs, rows, empty):
     assert ordered((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
     assert sum(r["kept"] for r in got) == len(groups)
     assert exact_dedup.exact_duplicates(empty).collect() == []
-    wide = docs.withColumn("_h", F.lit(1)).withColumn("keep_id", F.lit("x"))
-    kept = exact_dedup.keep_first(wide.drop("_h").withColumn("source", F.lit("s")))
-    assert kept.columns == ["doc_id", "text", "keep_id", "source"] and kept.count() == len(groups)
+    wide = docs.withColumn("_h", F.lit(1)).withColumn("keep_id", F.lit("x")).withColumn("_again", F.lit("s"))
+    kept = exact_dedup.keep_first(wide)
+    assert kept.columns == wide.columns and kept.count() == len(groups)
+    assert {(r["_h"], r["keep_id"], r["_again"]) for r in kept.collect()} == {(1, "x", "s")}
 
 
 def test_exact_dedup_with_a_saturated_filter(docs):
@@ -104,8 +105,8 @@ def test_decontamination(spark, docs, rows, empty):
     one = decontam.hits(docs, wins, ["doc_id"]).filter("wid IS NOT NULL").collect()
     many = decontam.hits(docs, wins, ["doc_id"], block_windows=4).filter("wid IS NOT NULL").collect()
     assert one and ordered(one) == ordered(many)
-    kept = decontam.clean(docs.withColumn("_d", F.lit(0)).drop("_d").withColumn("n", F.lit(1)), bench)
-    assert kept.columns == ["doc_id", "text", "n"] and kept.count() == sum(not r[-1] for r in brute_windows(rows, items))
+    kept = decontam.clean(docs.withColumn("_d", F.lit(0)).withColumn("_h", F.lit(1)), bench)
+    assert kept.columns == ["doc_id", "text", "_d", "_h"] and kept.count() == sum(not r[-1] for r in brute_windows(rows, items))
     assert decontam.contamination(empty, bench).collect() == []
     none = decontam.contamination(docs, bench.limit(0)).collect()
     assert len(none) == len(rows) and not any(r["contaminated"] for r in none)
@@ -252,8 +253,8 @@ def test_ngram_join(docs, rows, empty):
     got = ngram_join.linked(docs).collect()
     assert ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
     assert ngram_join.linked(empty).collect() == []
-    kept = ngram_join.keep_one(docs.dropDuplicates().withColumn("label", F.lit("own")))
-    assert kept.columns == ["doc_id", "text", "label"] and kept.count() == groups
+    kept = ngram_join.keep_one(docs.dropDuplicates().withColumn("label", F.lit("own")).withColumn("_g", F.lit(1)))
+    assert kept.columns == ["doc_id", "text", "label", "_g"] and kept.count() == groups
 
 
 def test_ngram_join_on_chains_of_near_copies(spark, monkeypatch):
