@@ -155,3 +155,31 @@ def variants(seeds: DataFrame, units: DataFrame, limit: int = 500) -> DataFrame:
     score = F.least(F.lit(0.95), 0.65 + 0.25 * like + F.when(dynamic(F.col("seed_arg")) & dynamic(F.col("unit_arg")), 0.05).otherwise(0.0))
     rows = both.select("project_id", "seed_id", "rule_id", "unit_id", "sink", score.alias("score")).withColumn("fingerprint", short_hash(F.col("project_id"), F.col("rule_id"), F.col("unit_id"), between="|"))
     return rows.orderBy(F.desc("score"), "fingerprint", "seed_id", "sink").limit(min(limit, 500))
+
+
+#: Annotations that restrict or open a route.
+CONSTRAINTS = ("@PreAuthorize", "@PostAuthorize", "@Secured", "@RolesAllowed", "@PermitAll", "@DenyAll")
+
+
+def authorization(methods: DataFrame, policies: DataFrame) -> DataFrame:
+    """(id, source, constraint) of methods (id, route, annotations, class_annotations; annotations comma-joined).
+
+    A method's own constraint overrides its class's; without either, a policy unit (policy_id, text) that names the route
+    or covers any request decides, the least id of them; else the source is NONE.
+    """
+    own = lambda c: F.array_join(F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda a: a.isin(*CONSTRAINTS)), ",")
+    rows = methods.select("id", "route", own("annotations").alias("m"), own("class_annotations").alias("c"))
+    open_ = rows.filter("m = '' AND c = ''").select("route").distinct()
+    named = policies.select("policy_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r'"(/[^"]*)"'), F.lit(1)))).alias("route"))
+    by_route = open_.join(named, "route").groupBy("route").agg(F.min("policy_id").alias("by_route"))
+    general = policies.filter(F.col("text").contains("anyRequest()")).agg(F.min("policy_id").alias("by_all")).withColumn("k", F.lit(1))
+    both = rows.join(by_route, "route", "left").withColumn("k", F.lit(1)).join(general, "k")  # one row of the least general policy
+    found = F.coalesce("by_route", "by_all")
+    source = F.when(F.col("m") != "", "METHOD").when(F.col("c") != "", "CLASS").when(found.isNotNull(), "POLICY").otherwise("NONE")
+    return both.select("id", source.alias("source"), F.when(F.col("m") != "", F.col("m")).when(F.col("c") != "", F.col("c")).otherwise(F.coalesce(found, F.lit(""))).alias("constraint"))
+
+
+def entry_siblings(fields: DataFrame, units: DataFrame) -> DataFrame:
+    """Fields (id, parent_qualified_name) whose class holds an entry point."""
+    hosts = units.filter("is_entry_point").select("parent_qualified_name").distinct()
+    return fields.join(hosts, "parent_qualified_name", "left_semi")

@@ -49,3 +49,12 @@ def markdown(reports: DataFrame) -> str:
     for r in rows:
         lines += ["", f"## {r['finding_id']} {r['verdict']} ({r['confidence']:.2f})", "", f"{r['rule_id']} at `{r['file_path']}:{r['line']}`"]
     return "\n".join(lines) + "\n"
+
+
+def package_pages(facts: DataFrame) -> DataFrame:
+    """A page (package, page, facts_hash) for each row of package facts; equal facts have equal hashes."""
+    body = F.concat(
+        F.lit("# "), "package", F.lit("\n\n- units: "), F.col("units").cast("string"), F.lit("\n- entry points: "), F.col("entry_points").cast("string"), F.lit("\n- used by: "), F.col("inbound").cast("string"),
+        F.lit("\n- uses: "), F.col("outbound").cast("string"), F.lit("\n- key symbols: "), "key_symbols", F.lit("\n"),
+    )
+    return facts.select("package", body.alias("page"), F.sha2(body, 256).alias("facts_hash"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from graphlens.operators import findings, flow, security
 from graphlens.plans import exports, index
-from graphlens.sources import files, importers, manifests, texts
+from graphlens.sources import files, flows, importers, manifests, texts
 from graphlens.streaming import feed
 
 
@@ -147,3 +147,39 @@ def test_bursts_as_a_stream(spark, tmp_path):
     finally:
         q.stop()
     assert sorted(r["changes"] for r in spark.table("bursts").collect()) == [1, 2]
+
+
+def test_python_taint_summaries(spark):
+    src = "def f(self, a, b):\n    x = a + 1\n    y = x\n    db.execute(y, 2)\n    go(b)\n    return y\n"
+    u = spark.createDataFrame([("m", "python", src), ("n", "java", src), ("bad", "python", "def (")], "qualified_name string, language string, raw_source string")
+    got = {tuple(r) for r in flows.summaries(u).collect()}
+    assert got == {("m", 0, "RETURN", None, None), ("m", 0, "SINK", "execute", 0), ("m", 1, "CALL_ARG", "go", 0)}
+
+
+def test_python_control_flow():
+    src = "def f(a):\n    while a:\n        if b:\n            break\n        else:\n            continue\n    try:\n        g()\n    except E:\n        return 1\n    h()\n    return 2\n    dead()\n"
+    edges = flows.cfg_of("m", src)
+    label = {a: (text, line) for _, a, _, _, text, line in edges}
+    named = {(label[a][0], label.get(b, ("EXIT", 0))[0], kind) for _, a, b, kind, *_ in edges}
+    assert named == {
+        ("ENTRY", "while a:", "NEXT"), ("while a:", "if b:", "TRUE"), ("if b:", "break", "TRUE"), ("if b:", "continue", "FALSE"), ("continue", "while a:", "CONTINUE"), ("break", "try:", "BREAK"),
+        ("while a:", "try:", "FALSE"), ("try:", "g()", "NEXT"), ("try:", "return 1", "EXCEPTION"), ("g()", "h()", "NEXT"), ("return 1", "EXIT", "RETURN"), ("h()", "return 2", "NEXT"), ("return 2", "EXIT", "RETURN"),
+    }
+
+
+def test_authorization(spark):
+    methods = [("a", "/a", "@GetMapping,@Secured", "@DenyAll"), ("b", "/b", "", "@DenyAll"), ("c", "/c", "", ""), ("d", "/d", None, None)]
+    m = spark.createDataFrame(methods, "id string, route string, annotations string, class_annotations string")
+    p = spark.createDataFrame([("p2", 'match("/c").permit()'), ("p1", "x")], "policy_id string, text string")
+    got = {r["id"]: (r["source"], r["constraint"]) for r in security.authorization(m, p).collect()}
+    assert got == {"a": ("METHOD", "@Secured"), "b": ("CLASS", "@DenyAll"), "c": ("POLICY", "p2"), "d": ("NONE", "")}
+    everywhere = spark.createDataFrame([("p0", "anyRequest().authenticated()")], "policy_id string, text string")
+    assert {r["id"]: r["source"] for r in security.authorization(m, everywhere).collect()}["d"] == "POLICY"
+
+
+def test_entry_siblings_and_pages(spark):
+    u = spark.createDataFrame([("A", True), ("B", False)], "parent_qualified_name string, is_entry_point boolean")
+    f = spark.createDataFrame([("x", "A"), ("y", "B")], "id string, parent_qualified_name string")
+    assert [r["id"] for r in security.entry_siblings(f, u).collect()] == ["x"]
+    facts = spark.createDataFrame([("p", 1, 0, 2, 3, "K")], "package string, units long, entry_points long, inbound long, outbound long, key_symbols string")
+    assert exports.package_pages(facts).first()["page"].startswith("# p\n\n- units: 1")
