@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.shared import bucket
+from graphlens.llm.shared import bucket, release
 
 
 def blocks(docs: DataFrame, n: int) -> DataFrame:
@@ -37,6 +37,7 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
                 ],
                 names=["block", "doc_ids", "sizes", "texts"],
             )
+        release()
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("block", bucket(n, F.col("doc_id"), F.col("text")))
     return texts.mapInArrow(pack, f"block int, doc_ids array<{id_type}>, sizes binary, texts binary").repartition("block")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlens.llm.blocks import blocks, unpacked
-from graphlens.llm.shared import input_partitions
+from graphlens.llm.shared import input_partitions, release
 from graphlens.llm.tokens import core, default_vocabulary, joiner, pieces_by_id, worker_words
 
 
@@ -44,6 +44,7 @@ def _ask(classes: int):
         pack = zstandard.ZstdCompressor(level=3).compress
         by = _distinct(table, classes)
         block = table.column("block")[0].as_py()
+        release()
         return pa.table({"class": pa.array(list(by), pa.int32()), "block": pa.array([block] * len(by), pa.int32()), "words": pa.array([pack(b"\n".join(w)) for w in by.values()], pa.binary())})
 
     return ask
@@ -68,6 +69,7 @@ def _answer(path: str):
             n = np.fromiter(map(len, asked), np.uint32, len(asked)) // 4
             sizes.append(pack(n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()))
             ids.append(pack(b"".join(asked)))
+        release()
         return pa.table({"block": table.column("block"), "class": table.column("class"), "lens": pa.array(sizes, pa.binary()), "ids": pa.array(ids, pa.binary())})
 
     return answer
@@ -109,6 +111,8 @@ def _assemble(classes: int, path: str, between: str | None):
             if between is not None:
                 pieces = pieces_by_id(path)
                 decoded.append(pa.array([_decoded(r, pieces, between) for r in raw], pa.string()))
+        known.clear()
+        release()
         out = {"doc_id": pa.chunked_array(own), "ids": pa.chunked_array(found)}
         return pa.table(out | ({} if between is None else {"decoded": pa.chunked_array(decoded)}))
 

@@ -61,7 +61,7 @@ def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix((sums[k:] - sums[:n]) * powers(inverse(_BASE), n))
 
 
-def chunks(texts: list[bytes], size: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """Consecutive groups of texts of about ``size`` bytes, each with the index of its first."""
     at = 0
     while at < len(texts):

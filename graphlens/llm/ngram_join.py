@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.blocks import unpacked
 from graphlens.llm.hashing import chunks, mix, sequence_hashes, word_hashes
-from graphlens.llm.shared import apart, input_partitions, restored, written
+from graphlens.llm.shared import apart, input_partitions, release, restored, written
 
 SHINGLE = 5
 #: The threshold as a fraction of whole numbers.
@@ -161,6 +161,7 @@ def dealt(texts: DataFrame, buckets: int, bloom=None) -> DataFrame:
                 cls, kept, size = [], [], 0
         if cls:
             yield _pack_rows([c % buckets for c in cls], cls, kept)
+        release()
 
     return texts.mapInArrow(run, PACKED).repartition("bucket")
 
@@ -237,6 +238,7 @@ def _emit_prefixes(sketch, classes: int):
             out["per"].append(squeeze(per.tobytes()))
             out["place"].append(squeeze(place.tobytes()))
             out["tokens"].append(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+        release()
         return pa.table({"class": pa.array(out["class"], pa.int32())} | {c: pa.array(out[c], pa.binary()) for c in PREFIX_PARTS})
 
     return emit
@@ -383,6 +385,8 @@ def _verify(table, pairs):
         s, t = sets[x], sets[y]
         shared = len(np.intersect1d(s, t, assume_unique=True))
         ok.append(T_DEN * shared >= T_NUM * (len(s) + len(t) - shared))
+    sets.clear()
+    release()
     keep = pa.array(ok, pa.bool_())
     return pa.table({"a": pairs.column("a"), "b": pairs.column("b")}).filter(keep)
 
@@ -453,15 +457,18 @@ def _pair_up(table):
     keys, held, merged = [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def merge(keys, merged):
-        own, count = np.unique(np.concatenate([*keys, np.repeat(merged[0], merged[1])]), return_counts=True)
-        return own, count
+        """Counts of the new keys added to those so far: memory follows the distinct pairs, not how often they stand there."""
+        own, count = np.unique(np.concatenate(keys), return_counts=True)
+        both, n = np.concatenate([merged[0], own]), np.concatenate([merged[1], count])
+        own, at = np.unique(both, return_inverse=True)
+        return own, np.bincount(at, weights=n, minlength=len(own)).astype(np.int64)
 
     for lo, hi in zip(begin, [*begin[1:], len(token)]):
         mid = hi if same else lo + int(np.searchsorted(side[lo:hi], side[lo], side="right"))
         left, right = np.arange(lo, mid), np.arange(lo, hi) if same else np.arange(mid, hi)
         if not len(right) or (label[lo:hi] == label[lo]).all():
             continue
-        step = max(1, 2_000_000 // len(right))
+        step = max(1, 500_000 // len(right))
         for at in range(0, len(left), step):  # a bounded piece of the list against the other side
             x, y = left[at : at + step, None], right[None, :]
             ok = (label[x] != label[y]) & near_enough(n[x], l[x], place[x], n[y], l[y], place[y])
@@ -472,7 +479,7 @@ def _pair_up(table):
                 u, v = doc[left[at + p]], doc[right[q]]
                 keys.append(np.minimum(u, v) * len(ids) + np.maximum(u, v))
                 held += len(p)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     merged, keys, held = merge(keys, merged), [], 0
     own, count = merge(keys, merged) if keys else merged
     u, v = own // max(1, len(ids)), own % max(1, len(ids))
@@ -480,6 +487,7 @@ def _pair_up(table):
     asks[doc] = l
     enough = count >= np.minimum(asks[u], asks[v])
     a, b = ids[u[enough]], ids[v[enough]]
+    release()
     return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
 

@@ -20,28 +20,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.llm.shared import apart, crc_mod, restored
+from graphlens.llm.hashing import chunks, word_hashes
+from graphlens.llm.shared import apart, crc_mod, release, restored
 
 BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 THRESHOLD = 0.7
 ROWS_PER_CLASS = 2000
 
-_PRIME = 0x9E3779B97F4A7C15
-_INVERSE = pow(_PRIME, -1, 1 << 64)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
-
-
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every feature of every text, and the index of its text."""
     raw = b"".join(b" " + t + b" " for t in texts)
@@ -58,10 +44,7 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     f3 = (three[at3] * np.uint32(2654435761)) >> shift
     f4 = (four[at4] * np.uint32(2246822519) + np.uint32(374761393)) >> shift
     first = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    last = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(b.astype(np.uint64) + np.uint64(1)) * _powers(_PRIME, len(b)))])
-    words = _mix((sums[last] - sums[first]) * _powers(_INVERSE, len(b) + 1)[first])
-    of_word = owner[first]
+    words, of_word = word_hashes([raw])[0], owner[first]
     near = of_word[1:] == of_word[:-1]
     pairs = (words[1:] ^ words[:-1])[near]
     top = np.uint64(64 - BUCKET_BITS)
@@ -145,15 +128,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         own = Model(*held.value)
         for batch in batches:
             texts = [t or b"" for t in pc.cast(batch.column("text"), pa.binary()).to_pylist()]
-            found, at = [], 0
-            while at < len(texts):  # about 2 MB of text at a time
-                end, size = at, 0
-                while end < len(texts) and (end == at or size + len(texts[end]) <= 2 << 20):
-                    size += len(texts[end])
-                    end += 1
-                found.append(own.score(texts[at:end]))
-                at = end
+            found = [own.score(group) for _, group in chunks(texts, 1 << 19)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())], names=[*batch.schema.names, "score"])
+        release()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("score", DoubleType())]))
 

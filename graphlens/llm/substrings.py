@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.blocks import blocks, unpacked
 from graphlens.llm.hashing import chunks, sequence_hashes, word_hashes
-from graphlens.llm.shared import input_partitions
+from graphlens.llm.shared import input_partitions, release
 
 WINDOW = 35
 ANCHOR = 8
@@ -94,6 +94,7 @@ def _ask_anchors(classes: int, window: int):
             got = [anchors(words[a:b], window)[1] for a, b in zip(bounds, bounds[1:]) if b - a >= window]
             if got:
                 found.append(np.concatenate(got))
+        release()
         return _send(table.column("block")[0].as_py(), *_repeats(found), classes)
 
     return ask
@@ -227,6 +228,7 @@ def _locate(window: int, id_type):
                     words = text.split()
                     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
                     automaton.mark(words, " " + b" ".join(words).decode("latin-1") + " ", ends, own)
+        release()
         kept = [b" ".join([w for w, c in zip(t.split(), own.tolist()) if not c]) if own.any() else b" ".join(t.split()) for t, own in zip(texts, covered)]
         return pa.table({
             "doc_id": pa.chunked_array(ids, id_type), "n_words": pa.array([len(c) for c in covered], pa.int64()),

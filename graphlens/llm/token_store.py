@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlens.llm.shared import input_partitions, work_dir
+from graphlens.llm.shared import input_partitions, release, work_dir
 from graphlens.llm.tokens import default_vocabulary, tokenizer, worker_encoder
 
 SHARD_BYTES = 16 << 20
@@ -139,6 +139,7 @@ def write_store(docs: DataFrame, path: str, vocabulary_path: str | None = None,
                     yield flush()
         if keys:
             yield flush()
+        release()
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("tie", F.xxhash64("text"))
     ordered = texts.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
