@@ -32,8 +32,8 @@ def tokenizer(path: str):
 
 #: Closing punctuation: without the apostrophe (it may open a contraction) and the signs of special tokens.
 TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
-#: Words whose ids are those of their lower-cased letters followed by those of their closing punctuation.
-PLAIN = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(TAIL.decode())}]*)")
+#: Letters of words whose ids are those of the lower-cased letters followed by those of their closing punctuation.
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
 def core(word: bytes) -> bytes:
@@ -59,21 +59,22 @@ class WordIds:
         import numpy as np
         from tokenizers import normalizers, pre_tokenizers
 
-        self.tok, self.model, self.limit, self.parts, self.dtype = tokenizer(path), tokenizer(path), limit, {"": b""}, np.dtype(dtype)
+        self.tok, self.model, self.limit, self.parts, self.dtype = tokenizer(path), tokenizer(path), limit, {b"": b""}, np.dtype(dtype)
         self.model.normalizer, self.model.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
-        self.bytes = byte_table()
+        self.bytes = {b: c for b, c in byte_table().items() if b != 0x20}
         pieces = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(pieces.values()) + 1, bool)
         self.ends[[i for piece, i in pieces.items() if piece.endswith("</w>")]] = True
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, parts: list[bytes]) -> None:
         """Encode parts, many in a text, and cut the ids after each word end."""
         import numpy as np
 
         known, width = self.parts, self.dtype.itemsize
         for at in range(0, len(parts), 1024):
             group = parts[at : at + 1024]
-            text = " ".join([t if t.isascii() else t.encode().decode("latin-1").translate(self.bytes) for t in group])
+            text = b" ".join(group)
+            text = text.decode() if text.isascii() else text.decode("latin-1").translate(self.bytes)
             ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
             cuts = (width * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
             raw, begin = ids.tobytes(), 0
@@ -86,20 +87,26 @@ class WordIds:
     def encode(self, words: list[bytes]) -> list[bytes]:
         import numpy as np
 
-        texts = [w.decode("utf-8", "replace") for w in words]
-        plain = [PLAIN.fullmatch(t) for t in texts]
-        heads = [m[1].lower() if m else "" for m in plain]
-        tails = [m[2] if m else "" for m in plain]
+        heads = [w.rstrip(TAIL) for w in words]
+        tails = [w[len(h) :] for w, h in zip(words, heads)]
+        other = []
+        for i, h in enumerate(heads):
+            if h.isalpha():  # of bytes: ASCII letters alone
+                heads[i] = h.lower()
+            elif h.isascii() or not (text := h.decode("utf-8", "replace")) or not PLAIN.fullmatch(text):
+                other.append(i)
+                heads[i] = tails[i] = b""
+            else:
+                heads[i] = text.lower().encode()
         need = {*heads, *tails}
         if len(self.parts) + len(need) > self.limit:
-            self.parts = {"": b""}
+            self.parts = {b"": b""}
         self._learn([part for part in need if part not in self.parts])
         known = self.parts
         out = [known[h] + known[t] for h, t in zip(heads, tails)]
-        other = [i for i, m in enumerate(plain) if not m]
         for at in range(0, len(other), 4096):
             group = other[at : at + 4096]
-            for i, e in zip(group, self.tok.encode_batch_fast([texts[i] for i in group], add_special_tokens=False)):
+            for i, e in zip(group, self.tok.encode_batch_fast([words[i].decode("utf-8", "replace") for i in group], add_special_tokens=False)):
                 out[i] = np.array(e.ids, self.dtype).tobytes()
         return out
 
