@@ -218,6 +218,19 @@ def test_quotes(spark):
     assert quotes.reply_ordered(spark.createDataFrame([], schema)).collect() == []
 
 
+def test_quotes_of_several_lines(spark):
+    """Runs of lines and paragraphs, inline replies, blank lines with spaces, CRLF, new line ends, lines left out."""
+    data = [
+        (1, 0, "u", "one a\ntwo b\nthree c"), (1, 1, "u", "> one a\n> two b\nreply one"), (2, 0, "u", "p one\n\np two\nline\n\np three"), (2, 1, "u", "> p two\n> line\n>\n> p three\nr"),
+        (3, 0, "u", "q one\nq two"), (3, 1, "u", "> q one\nfirst own\n> q two\nsecond own"), (3, 2, "u", "> first own\n> second own\nx"), (4, 0, "u", "a b\r\n \t\r\nc d\r\ne f\r\n\r\ng"), (4, 1, "u", "> C d e\n> f\n>\n> g\ny"),
+        (5, 0, "u", "l one\nl two\nl three"), (5, 1, "u", "> l one\n> l three\nz"), (6, 0, "u", "s t u v"), (6, 1, "u", "s t"), (6, 2, "u", "> s t\n> u v\nw"), (7, 0, "u", "m n o"), (7, 1, "u", "> m n\nk"),
+    ]
+    got = quotes.reply_ordered(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
+    want = {(1, 1): 0, (2, 1): 0, (3, 1): 0, (3, 2): 1, (4, 1): 0, (5, 1): 0, (6, 2): 0}
+    assert {(r["conv_id"], r["turn"]): r["parent_turn"] for r in got if r["parent_turn"] is not None} == want
+    assert [(r["depth"], r["n_quotes"], r["n_linked"]) for r in got if r["conv_id"] == 3] == [(0, 0, 0), (1, 2, 2), (2, 1, 1)]
+
+
 def test_long_threads_keep_their_path(spark):
     data = [(7, i, "u", f"message {i}" if i == 0 else f"> message {i - 1}\nmessage {i}") for i in range(20)]
     got = quotes.reply_ordered(spark.createDataFrame(data, "conv_id long, turn long, role string, text string")).collect()
