@@ -18,6 +18,11 @@ their number; everything below works on classes.
 
 Components come from smallest labels passed along links with pointer jumping, each step a written table.
 
+The links themselves lie inside components, so ``links`` and the number of links a document compare all classes of a
+component on whole sets: shingles of many of its classes by products of matrices, the others by their pairs.  Large
+components are dealt to blocks, a task for each pair of blocks.  Numbers of links count documents: the copies of a class
+are linked to each other and to all copies of a linked class.
+
 Defined cases: null, empty and blank texts have no shingles and are linked to nothing; a text of fewer words than a
 shingle is one shingle; a null id is the component's id only where no other id is in it; repeated ids are separate rows.
 """
@@ -46,6 +51,10 @@ HUBS = 3
 #: Contested postings in a block of documents, on average.
 BLOCK_ROWS = 1_000_000
 VERIFY_COST = 4.0
+#: Classes and shingles of a component that are compared in one task.
+PART_CLASSES, PART_SHINGLES = 2000, 4_000_000
+#: Shingles of more classes than this are compared by matrices.
+RARE = 8
 
 
 def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
@@ -501,8 +510,115 @@ def contested(live: DataFrame, labels: DataFrame) -> DataFrame:
     return packed.groupBy("i", "j").applyInArrow(_pair_up, "a long, b long")
 
 
-def grouped(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, label (null: linked to nothing) and component_id of each row of ``docs``."""
+def overlaps(sets: list[np.ndarray], left: int | None) -> np.ndarray:
+    """Shared shingles of the first ``left`` sets with each other one, or (None) of all with those after them."""
+    rows, at = (len(sets), 0) if left is None else (left, left)
+    out = np.zeros((rows, len(sets) - at), np.float32)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), np.fromiter(map(len, sets), np.int64, len(sets)))
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    size = np.diff(np.append(begin, len(flat)))
+    for k in range(2, RARE + 1):
+        lists = owner[begin[size == k][:, None] + np.arange(k)]
+        for i, j in zip(*np.triu_indices(k, 1)):
+            x, y = lists[:, i], lists[:, j]
+            if left is not None:
+                across = (x < left) & (y >= left)
+                x, y = x[across], y[across]
+            np.add.at(out, (x, y - at), 1)
+    often = np.flatnonzero(size > RARE)
+    for k in range(0, len(often), 4096):
+        own = often[k : k + 4096]
+        column = np.repeat(np.arange(len(own)), size[own])
+        doc = owner[np.repeat(begin[own] - (np.cumsum(size[own]) - size[own]), size[own]) + np.arange(len(column))]
+        has = np.zeros((len(sets), len(own)), np.float32)
+        has[doc, column] = 1
+        out += has[:rows] @ has[at:].T
+    return out if left is not None else np.triu(out, 1)
+
+
+def _ship_parts(table, parts):
+    """The texts of a bucket's linked classes, packed by the task they go to: a group of components, or two blocks of one."""
+    import pyarrow as pa
+
+    wanted: dict[int, list[dict]] = {}
+    for r in parts.to_pylist():
+        wanted.setdefault(r["cls"], []).append(r)
+    out = {c: [] for c in ("part", "i", "j", "labels", "own", "weights", "cls", "sizes", "texts")}
+    for cls, texts in _unpack_rows(table):
+        held: dict[tuple, list[tuple[dict, bytes]]] = {}
+        for c, t in zip(cls.tolist(), texts):
+            for r in wanted.get(c, ()):
+                held.setdefault((r["part"], r["i"], r["j"]), []).append((r, t))
+        for key, rows in held.items():
+            packed = _pack_rows([0] * len(rows), [r["cls"] for r, _ in rows], [t for _, t in rows])
+            for c, v in zip(("part", "i", "j"), key):
+                out[c].append(v)
+            for c, name in (("labels", "label"), ("own", "own"), ("weights", "weight")):
+                out[c].append(np.array([r[name] for r, _ in rows], np.int64).tobytes())
+            for c in ("cls", "sizes", "texts"):
+                out[c].append(packed.column(c)[0].as_py())
+    kinds = {"part": pa.int64(), "i": pa.int32(), "j": pa.int32()}
+    return pa.table({c: pa.array(v, kinds.get(c, pa.binary())) for c, v in out.items()})
+
+
+def _meet(pairs: bool):
+    """Links of a task: as pairs (a, b) of classes, or as (cls, n) with the documents of the linked classes."""
+
+    def run(table):
+        import pyarrow as pa
+
+        label, own, weight = (np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in table.column(c)]) for c in ("labels", "own", "weights"))
+        cls, texts = [], []
+        for c, t in _unpack_rows(table):
+            cls.append(c)
+            texts += t
+        cls, one = np.concatenate(cls), table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        order = np.lexsort((cls, own, label))
+        begin = np.flatnonzero(np.concatenate([[True], label[order][1:] != label[order][:-1]])).tolist()
+        x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for lo, hi in zip(begin, [*begin[1:], len(order)]):
+            at = order[lo:hi]
+            sets = shingle_sets([texts[k] for k in at.tolist()])
+            n = np.fromiter(map(len, sets), np.int64, len(sets))
+            left = None if one else int((own[at] == own[at[0]]).sum())
+            shared = overlaps(sets, left)
+            i, j = np.nonzero(shared)
+            both = shared[i, j].astype(np.int64)
+            j = j + (left or 0)
+            ok = T_DEN * both >= T_NUM * (n[i] + n[j] - both)
+            x.append(at[i[ok]])
+            y.append(at[j[ok]])
+        release()
+        x, y = np.concatenate(x), np.concatenate(y)
+        if pairs:
+            return pa.table({"a": np.maximum(cls[x], cls[y]), "b": np.minimum(cls[x], cls[y])})
+        n = np.zeros(len(cls), np.int64)
+        np.add.at(n, x, weight[y])
+        np.add.at(n, y, weight[x])
+        return pa.table({"cls": cls[n > 0], "n": n[n > 0]})
+
+    return run
+
+
+def met(classes: DataFrame, kept: DataFrame, buckets: int, pairs: bool) -> DataFrame:
+    """All links between classes (cls, label, size, n) of one component; ``kept`` has their texts by bucket."""
+    own = classes.groupBy("label").agg(F.count("*").alias("m"), F.sum("n").alias("total")).filter("m > 1")
+    own = own.withColumn("blocks", F.ceil(F.greatest(F.col("m") / PART_CLASSES, F.col("total") / PART_SHINGLES)).cast("int"))
+    rows = classes.join(own, "label").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    rows = rows.withColumn("part", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("label"), F.lit(buckets))).otherwise(F.col("label")))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("whole", F.col("blocks") > 1)
+    parts = rows.select(
+        bucket_of(F.col("cls"), buckets).alias("bucket"), "cls", "label", F.col("size").alias("weight"), "own", "part",
+        (F.least("own", "other") + F.when(F.col("whole"), 1).otherwise(0)).cast("int").alias("i"), (F.greatest("own", "other") + F.when(F.col("whole"), 1).otherwise(0)).cast("int").alias("j"),
+    )
+    shipped = kept.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(_ship_parts, "part long, i int, j int, labels binary, own binary, weights binary, cls binary, sizes binary, texts binary")
+    return shipped.groupBy("part", "i", "j").applyInArrow(_meet(pairs), "a long, b long" if pairs else "cls long, n long")
+
+
+def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """(members, classes, kept, buckets): documents, classes with least id, size and label, texts of classes by bucket."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
     members, sketch = survey(texts)
@@ -522,23 +638,43 @@ def grouped(docs: DataFrame) -> DataFrame:
     if more.limit(1).count():
         labels = components(links.unionByName(more))
     # the smallest id of each class, then of each component; classes without links keep their own
-    by_class = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own")).join(labels, "cls", "left")
-    by_class = written(by_class.select("cls", "own", F.coalesce("label", "cls").alias("label")), "classes")
+    by_class = members.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("own"), F.count("*").alias("size"), F.min("n").alias("n")).join(labels, "cls", "left")
+    by_class = written(by_class.select("cls", "own", "size", "n", F.coalesce("label", "cls").alias("label")), "classes")
+    return members, by_class, kept, buckets
+
+
+def grouped(docs: DataFrame, count: bool = False) -> DataFrame:
+    """doc_id, text_hash, n_shingles, label (null: no shingles), component_id and, with ``count``, n_links of each row of ``docs``."""
+    members, by_class, kept, buckets = joined(docs)
     least = by_class.groupBy("label").agg(F.min("own").alias("component_id"))
-    ids = written(by_class.join(least, "label").select("cls", "label", "component_id"), "components")
-    some = members.filter("n > 0").join(ids, "cls").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "label", "component_id")
-    none = members.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    ids = by_class.join(least, "label").select("cls", "label", "component_id", "size")
+    n_links = F.lit(None).cast("long")
+    if count:
+        partners = written(met(by_class, kept, buckets, False), "partners").groupBy("cls").agg(F.sum("n").alias("partners"))
+        ids = ids.join(partners, "cls", "left")
+        n_links = F.col("size") - 1 + F.coalesce("partners", F.lit(0))
+    ids = written(ids.select("cls", "label", "component_id", n_links.alias("n_links")), "components")
+    some = members.filter("n > 0").join(ids, "cls").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "label", "component_id", "n_links")
+    none = members.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return some.unionByName(none)
 
 
 def linked(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs``."""
-    return grouped(docs).select("doc_id", "n_shingles", "component_id")
+    """doc_id, n_shingles, component_id and n_links (other documents that reach the threshold) of each row of ``docs``."""
+    return grouped(docs, True).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """All links between different sets, each once: least ids and numbers of documents of both classes (id_a, size_a, id_b, size_b)."""
+    _, by_class, kept, buckets = joined(docs)
+    pairs = written(met(by_class, kept, buckets, True), "links")
+    side = lambda c: by_class.select(F.col("cls").alias(c), F.col("own").alias(f"id_{c}"), F.col("size").alias(f"size_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("id_a", "size_a", "id_b", "size_b")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the row of the smallest id."""
-    rows = written(grouped(docs.select("doc_id", "text")).filter("label IS NOT NULL").withColumn("key", F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))), "grouped")
+    rows = written(grouped(docs.select("doc_id", "text")).drop("n_links").filter("label IS NOT NULL").withColumn("key", F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))), "grouped")
     best = written(rows.groupBy("label").agg(F.min("key").alias("best"), F.count("*").alias("size")).filter("size > 1"), "stay")
     gone = written(rows.join(best, "label").filter(F.col("key") != F.col("best")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_g")).distinct(), "gone")
     hashed = apart(docs).withColumn("_h", F.xxhash64("text"))

@@ -270,6 +270,37 @@ def test_ngram_join(docs, rows, empty):
     assert kept.columns == ["doc_id", "text", "label", "_g"] and kept.count() == groups
 
 
+def brute_links(rows):
+    """Links of each row, and the number of pairs of rows with different sets that are linked."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else (frozenset([tuple(w)]) if w else frozenset()))
+    near = lambda a, b: bool(s := len(a & b)) and 100 * s >= 75 * (len(a) + len(b) - s)
+    pairs = [(x, y) for x in range(len(rows)) for y in range(x) if near(sets[x], sets[y])]
+    count = Counter(k for p in pairs for k in p)
+    return ordered((d, count[k]) for k, (d, _) in enumerate(rows)), sum(sets[x] != sets[y] for x, y in pairs)
+
+
+@pytest.mark.parametrize("part", [2000, 3])
+def test_ngram_links_are_all_met(spark, docs, rows, part, monkeypatch):
+    """Numbers of links inside components too, with components in one task and in pairs of blocks."""
+    monkeypatch.setattr(ngram_join, "PART_CLASSES", part)
+    rng, made = random.Random(3), []
+    for f in range(3):  # families with shingles of many members and of few
+        base = words(rng, 120, 10**6)
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(6)):
+                own[rng.randrange(len(own))] = f"edit{rng.randrange(10**6)}"
+            made.append((len(made) + 10**6, " ".join(own)))
+    every = [*rows, *made, made[0]]
+    want, pairs = brute_links(every)
+    frame = spark.createDataFrame(every, DOCS).repartition(3)
+    assert ordered((r["doc_id"], r["n_links"]) for r in ngram_join.linked(frame).collect()) == want
+    assert sum(r["size_a"] * r["size_b"] for r in ngram_join.links(frame).collect()) == pairs
+
+
 def test_ngram_join_on_chains_of_near_copies(spark, monkeypatch):
     """Families whose pairs lie on both sides of the threshold, with many blocks of contested lists."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 500)
