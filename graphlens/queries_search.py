@@ -164,6 +164,15 @@ def v7_context_pack(spark, sf_dir):
     return retrieval.context_pack(top, 6000)
 
 
+@query(None)
+def v7_context_pack_all(spark, sf_dir):
+    """Over all documents: each takes a character of the budget at least, so no more than 6,000 can have a place."""
+    from pyspark.sql import Window
+
+    first = load(spark, sf_dir, "documents").filter("trim(text) <> ''").orderBy("doc_id").limit(6000)
+    return retrieval.context_pack(first.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("rank"), F.col("doc_id").alias("id"), "text"), 6000)
+
+
 @query(
     duck(
         "SELECT count(*) AS cases, avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0.0 END) AS hit_1, avg(CASE WHEN first <= 3 THEN 1.0 ELSE 0.0 END) AS hit_3, avg(CASE WHEN first <= 5 THEN 1.0 ELSE 0.0 END) AS hit_5, avg(CASE WHEN first <= 10 THEN 1.0 ELSE 0.0 END) AS hit_10, round(avg(coalesce(1.0 / first, 0.0)), 9) AS mrr, round(avg(top), 9) AS mean_top FROM cases",
@@ -215,10 +224,18 @@ def j4_affected_components(spark, sf_dir):
 
 @query(duck(f"SELECT p_partkey, version, row_number() OVER (ORDER BY {_key('version')}, p_partkey) AS place FROM components WHERE p_partkey <= 150"))
 def f12_version_order(spark, sf_dir):
+    return _version_order(load(spark, sf_dir, "components").filter("p_partkey <= 150"))
+
+
+@query(None)
+def f12_version_order_all(spark, sf_dir):
+    return _version_order(load(spark, sf_dir, "components"))
+
+
+def _version_order(components: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    own = load(spark, sf_dir, "components").filter("p_partkey <= 150")
-    return own.select("p_partkey", "version", F.row_number().over(Window.orderBy(version_key(F.col("version")), "p_partkey")).cast("long").alias("place"))
+    return components.select("p_partkey", "version", F.row_number().over(Window.orderBy(version_key(F.col("version")), "p_partkey")).cast("long").alias("place"))
 
 
 _CONF = "SELECT 'h' || CAST(s_suppkey AS VARCHAR) AS name, s_suppkey AS k FROM supplier"
@@ -256,7 +273,15 @@ def k2_config_audit(spark, sf_dir):
     )
 )
 def k2_threat_report(spark, sf_dir):
-    e = load(spark, sf_dir, "events").filter("event_id < 3000")
+    return _threat_report(load(spark, sf_dir, "events").filter("event_id < 3000"))
+
+
+@query(None)
+def k2_threat_report_all(spark, sf_dir):
+    return _threat_report(load(spark, sf_dir, "events"))
+
+
+def _threat_report(e: DataFrame) -> DataFrame:
     text = F.when(F.col("event_id") % 4 == 0, F.lit("Failed password for u7 from 1.2.3.4")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("fw DST=10."), (F.col("event_id") % 3).cast("string"), F.lit(".0.9 ok"))).otherwise("nothing")
     logs = e.groupBy(F.concat(F.lit("log"), (F.col("user_id") % 20).cast("string")).alias("name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", text.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
     rules = [
@@ -295,6 +320,15 @@ _TOK = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9_]+'),
     )
 )
 def f17_variants(spark, sf_dir):
-    seeds = load(spark, sf_dir, "findings").filter("rule_id = 'SQL_INJECTION' AND status = 'CONFIRMED' AND event_id < 60")
-    seeds = seeds.select("project_id", F.concat_ws(":", "unit_id", "rule_id").alias("seed_id"), "rule_id", "unit_id", F.lit('st.executeQuery("select" + name)').alias("detail")).distinct()
-    return security.variants(seeds, load(spark, sf_dir, "units")).withColumn("score", F.round("score", 9))
+    return _variants(load(spark, sf_dir, "findings").filter("event_id < 60"), load(spark, sf_dir, "units"))
+
+
+@query(None)
+def f17_variants_all(spark, sf_dir):
+    """Seeds from all findings; of their variants the operator gives the 500 of the highest scores."""
+    return _variants(load(spark, sf_dir, "findings"), load(spark, sf_dir, "units"))
+
+
+def _variants(findings: DataFrame, units: DataFrame) -> DataFrame:
+    seeds = findings.filter("rule_id = 'SQL_INJECTION' AND status = 'CONFIRMED'").select("project_id", F.concat_ws(":", "unit_id", "rule_id").alias("seed_id"), "rule_id", "unit_id", F.lit('st.executeQuery("select" + name)').alias("detail")).distinct()
+    return security.variants(seeds, units).withColumn("score", F.round("score", 9))

@@ -1,0 +1,30 @@
+"""Queries over whole tables against DuckDB: the SQL of the query over a subset, without what makes the subset."""
+
+from pathlib import Path
+
+import pytest
+
+from tests import oracle
+from tests.test_queries import QUERIES, SQL
+
+pytestmark = pytest.mark.skipif(not oracle.SMALL.exists(), reason="the tables are not here")
+
+#: (query, what its SQL leaves out, the same without that, scale factor)
+CUTS = [
+    ("k2_threat_report", " WHERE event_id < 3000", "", "0.01"),
+    ("f12_version_order", " WHERE p_partkey <= 150", "", "0.001"),
+    ("f17_variants", " AND event_id < 60", "", "0.001"),
+    ("v7_context_pack", "doc_id < 30 AND ", "", "0.001"),
+]
+
+
+@pytest.mark.parametrize(("name", "cut", "whole", "sf"), CUTS)
+def test_whole_table_equals_sql(spark, monkeypatch, name, cut, whole, sf):
+    monkeypatch.setattr(oracle, "SMALL", Path(f"/root/testdata/sf{sf}"))
+    sql = SQL[name].replace(cut, whole)
+    assert sql != SQL[name]
+    if name == "s3_sections":
+        sql = sql.replace("p_partkey < 500 AND ", "")
+    if name == "f17_variants":
+        sql = f"SELECT * FROM ({sql}) ORDER BY score DESC, fingerprint, seed_id, sink LIMIT 500"
+    assert oracle.compare(spark, QUERIES[f"{name}_all"], sql) > 0
