@@ -49,10 +49,19 @@ _EXTERNAL = "SELECT 'x' || CAST(event_id AS VARCHAR) AS finding_id, 'p1' AS proj
     )
 )
 def j8_finding_units(spark, sf_dir):
+    return _finding_units(spark, sf_dir, load(spark, sf_dir, "events").filter("event_id < 500"))
+
+
+@query(None)
+def j8_finding_units_all(spark, sf_dir):
+    return _finding_units(spark, sf_dir, load(spark, sf_dir, "events"))
+
+
+def _finding_units(spark, sf_dir, events):
     units = load(spark, sf_dir, "units")
     n = load(spark, sf_dir, "supplier").count()
     own = units.filter("project_id = 'p1'").select("num", "file_path", F.col("qualified_name").alias("symbol"))
-    e = load(spark, sf_dir, "events").filter("event_id < 500").withColumn("num", F.col("event_id") % n + 1).join(own, "num")
+    e = events.withColumn("num", F.col("event_id") % n + 1).join(own, "num")
     ext = e.select(F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("finding_id"), F.lit("p1").alias("project_id"), "file_path", (10 * F.col("num") + F.col("event_id") % 12).cast("int").alias("line"), "symbol")
     return fd.units_of(ext, units).select("finding_id", "unit_id")
 
@@ -165,8 +174,17 @@ def d3_external_first_seen(spark, sf_dir):
 
 @query("SELECT user_id AS batch, CASE WHEN bool_and(event_type IN ('view', 'click')) THEN 'SUCCEEDED' WHEN bool_or(event_type IN ('view', 'click', 'signup')) THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM events WHERE event_id % 37 = 0 GROUP BY 1")
 def a14_batch_status(spark, sf_dir):
+    return _batch_status(load(spark, sf_dir, "events").filter("event_id % 37 = 0"))
+
+
+@query(None)
+def a14_batch_status_all(spark, sf_dir):
+    return _batch_status(load(spark, sf_dir, "events"))
+
+
+def _batch_status(events):
     s = F.when(F.col("event_type").isin("view", "click"), "SUCCEEDED").when(F.col("event_type") == "signup", "PARTIAL").otherwise("FAILED")
-    return fd.batch_status(load(spark, sf_dir, "events").filter("event_id % 37 = 0").select(F.col("user_id").alias("batch"), s.alias("status")))
+    return fd.batch_status(events.select(F.col("user_id").alias("batch"), s.alias("status")))
 
 
 @query(

@@ -15,6 +15,8 @@ CUTS = [
     ("f12_version_order", " WHERE p_partkey <= 150", "", "0.001"),
     ("f17_variants", " AND event_id < 60", "", "0.001"),
     ("v7_context_pack", "doc_id < 30 AND ", "", "0.001"),
+    ("j8_finding_units", "event_id < 500", "true", "0.001"),
+    ("a14_batch_status", " WHERE event_id % 37 = 0", "", "0.001"),
 ]
 
 
