@@ -195,11 +195,20 @@ _CHURN = "SELECT 'src/' || lower(replace(r_name, ' ', '')) || '/' || replace(n_n
     )
 )
 def a6_hotspots(spark, sf_dir):
+    return _hotspots(spark, sf_dir, load(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0"))
+
+
+@query(None)
+def a6_hotspots_all(spark, sf_dir):
+    return _hotspots(spark, sf_dir, load(spark, sf_dir, "orders"))
+
+
+def _hotspots(spark, sf_dir, o):
     files = graph.scan_targets(load(spark, sf_dir, "units"), "p1").select("file_path", complexity(F.col("raw_source")).alias("complexity"))
-    o, c, n, r = (load(spark, sf_dir, t) for t in ("orders", "customer", "nation", "region"))
+    c, n, r = (load(spark, sf_dir, t) for t in ("customer", "nation", "region"))
     places = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     path = F.concat(F.lit("src/"), F.lower(F.replace("r_name", F.lit(" "), F.lit(""))), F.lit("/"), F.replace("n_name", F.lit(" "), F.lit("")), F.lit(".java"))
-    churn = o.filter("o_orderkey % 3 = 0").join(places, F.col("o_custkey") == F.col("c_custkey")).groupBy(path.alias("file_path")).agg(F.count("*").alias("changes"))
+    churn = o.join(places, F.col("o_custkey") == F.col("c_custkey")).groupBy(path.alias("file_path")).agg(F.count("*").alias("changes"))
     return metrics.hotspots(files, churn)
 
 

@@ -80,9 +80,18 @@ def s12_churn(spark, sf_dir):
 
 @query("SELECT p_partkey, 'd' || CAST(p_partkey AS VARCHAR) || '#' || s AS qualified_name FROM part, (VALUES ('One'), ('Two'), ('One-L5')) t(s) WHERE p_partkey < 500 AND p_partkey % 6 <> 0 AND p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'd' || CAST(p_partkey AS VARCHAR) || '#d' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey < 500 AND p_partkey % 2 = 1")
 def s3_sections(spark, sf_dir):
+    return _sections(load(spark, sf_dir, "part").filter("p_partkey < 500 AND p_partkey % 6 <> 0"))
+
+
+@query(None)
+def s3_sections_all(spark, sf_dir):
+    return _sections(load(spark, sf_dir, "part"))
+
+
+def _sections(part):
     k = F.col("p_partkey")
     text = F.when(k % 2 == 0, F.lit("# One\ntext\n## Two\nmore\n### One\n#### deep\n")).otherwise("plain\ntext")
-    docs = load(spark, sf_dir, "part").filter("p_partkey < 500 AND p_partkey % 6 <> 0").select(F.concat(F.lit("d"), k.cast("string")).alias("file_path"), text.alias("content"))
+    docs = part.select(F.concat(F.lit("d"), k.cast("string")).alias("file_path"), text.alias("content"))
     return texts.sections(docs).select(F.substring("file_path", 2, 9).cast("long").alias("p_partkey"), "qualified_name")
 
 
@@ -176,7 +185,16 @@ def s5_citation_whitelist(spark, sf_dir):
     )
 )
 def v8_finding_context(spark, sf_dir):
-    f = load(spark, sf_dir, "findings").filter("event_id < 40").select(F.col("id").alias("finding_id"), "unit_id")
+    return _finding_context(spark, sf_dir, load(spark, sf_dir, "findings").filter("event_id < 40"))
+
+
+@query(None)
+def v8_finding_context_all(spark, sf_dir):
+    return _finding_context(spark, sf_dir, load(spark, sf_dir, "findings"))
+
+
+def _finding_context(spark, sf_dir, findings):
+    f = findings.select(F.col("id").alias("finding_id"), "unit_id")
     return retrieval.finding_context(f, load(spark, sf_dir, "units"), load(spark, sf_dir, "edges")).withColumn("score", F.round("score", 6))
 
 

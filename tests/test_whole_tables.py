@@ -17,6 +17,9 @@ CUTS = [
     ("v7_context_pack", "doc_id < 30 AND ", "", "0.001"),
     ("j8_finding_units", "event_id < 500", "true", "0.001"),
     ("a14_batch_status", " WHERE event_id % 37 = 0", "", "0.001"),
+    ("v8_finding_context", " WHERE event_id < 40", "", "0.001"),
+    ("s3_sections", "p_partkey < 500 AND p_partkey % 6 <> 0 AND ", "", "0.01"),
+    ("a6_hotspots", " WHERE o_orderkey % 3 = 0", "", "0.001"),
 ]
 
 
