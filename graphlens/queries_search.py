@@ -304,6 +304,12 @@ def p18_redaction(spark, sf_dir):
     return d.select("doc_id", redact(F.col("text")).alias("text"))
 
 
+@query(None)
+def p18_redaction_all(spark, sf_dir):
+    """Every document, since other words than those name secrets too."""
+    return load(spark, sf_dir, "documents").select("doc_id", redact(F.col("text")).alias("text"))
+
+
 @query(duck("SELECT id, file_path FROM units WHERE regexp_full_match(file_path, 'src/a[^/]*/NATION_[^/].*\\.java')"))
 def f15_glob(spark, sf_dir):
     return load(spark, sf_dir, "units").filter(F.rlike("file_path", glob_pattern(F.lit("src/a*/NATION_?**.java")))).select("id", "file_path")

@@ -15,6 +15,7 @@ CUTS = [
     ("f12_version_order", " WHERE p_partkey <= 150", "", "0.001"),
     ("f17_variants", " AND event_id < 60", "", "0.001"),
     ("v7_context_pack", "doc_id < 30 AND ", "", "0.001"),
+    ("p18_redaction", " WHERE contains(lower(text), 'token') OR contains(lower(text), 'secret')", "", "0.001"),
     ("j8_finding_units", "event_id < 500", "true", "0.001"),
     ("a14_batch_status", " WHERE event_id % 37 = 0", "", "0.001"),
     ("v8_finding_context", " WHERE event_id < 40", "", "0.001"),
@@ -33,3 +34,10 @@ def test_whole_table_equals_sql(spark, monkeypatch, name, cut, whole, sf):
     if name == "f17_variants":
         sql = f"SELECT * FROM ({sql}) ORDER BY score DESC, fingerprint, seed_id, sink LIMIT 500"
     assert oracle.compare(spark, QUERIES[f"{name}_all"], sql) > 0
+
+
+def test_redaction_without_the_words_token_and_secret(spark, tmp_path):
+    texts = ["password: x1", "my api_key=x2, ok", "Authorization: Bearer abc", "plain", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["text"] for r in QUERIES["p18_redaction_all"](spark, str(tmp_path)).collect()}
+    assert got == {0: "password: [REDACTED]", 1: "my api_key=[REDACTED], ok", 2: "Authorization: Bearer [REDACTED]", 3: "plain", 4: None}
