@@ -2,8 +2,9 @@
 
 A text is brought to a canonical form (case, copyright lines, equivalent spellings, punctuation and white space), and
 the SHA-256 of the whole form is joined to the digests of known texts.  Whole documents are looked up, and so is every
-whole line of them, which finds one-line notices.  Known texts come as a table (license_id, text); ``KNOWN`` is a
-small default.  The known side is broadcast up to ``MAX_BROADCAST`` texts and joined by exchange beyond.
+whole line of them, which finds one-line notices.  Known texts come as a table (license_id, text).  By default
+these are ``KNOWN``, the whole texts in the folder ``licence_texts`` (a file each, named by its id) with their usual
+variants, and one-line notices of ``NAMES``.  The known side is broadcast up to ``MAX_BROADCAST`` texts and joined by exchange beyond.
 
 Defined cases: null text counts as empty; a form without any word matches nothing; of several known texts with one
 form the least id is given; each row of ``docs`` gives a row, repeated ids included.
@@ -42,6 +43,19 @@ KNOWN = [
     ("all-rights-reserved", "All rights reserved."),
 ]
 
+#: Ids of the SPDX list, and the names that notices give them.  A notice has the id with "-notice" behind it.
+NAMES = {
+    "MIT": ("MIT License", "MIT"), "ISC": ("ISC License",), "0BSD": ("BSD Zero Clause License",), "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache-2.0 License", "Apache 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "New BSD License"), "MPL-1.1": ("Mozilla Public License, version 1.1", "MPL 1.1"), "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0", "MPL 2.0"),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU General Public License v2.0", "GPL version 2", "GPLv2"), "GPL-3.0": ("GNU General Public License, version 3", "GNU General Public License v3.0", "GPL version 3", "GPLv3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1", "GNU Lesser General Public License v2.1", "LGPL version 2.1", "LGPLv2.1"), "LGPL-3.0": ("GNU Lesser General Public License, version 3", "GNU Lesser General Public License v3.0", "LGPL version 3", "LGPLv3"),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3", "GNU Affero General Public License v3.0", "AGPL version 3", "AGPLv3"), "EPL-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0", "Eclipse Public License v2.0"),
+    "BSL-1.0": ("Boost Software License, Version 1.0",), "Zlib": ("zlib License",), "Unlicense": ("Unlicense",), "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal"),
+    **{f"CC-{k}-4.0": (f"CC {k} 4.0", f"Creative Commons {n} 4.0 International License") for k, n in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))},
+}
+SUBJECTS = ("", "This work is ", "This project is ", "This software is ", "This program is ", "This file is ", "This code is ")
+VERBS = ("licensed under", "released under", "distributed under")
+
 COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
 
 
@@ -54,8 +68,43 @@ def canonical(text: Column) -> Column:
     return F.trim(form)
 
 
+def variants(text: str) -> set[str]:
+    """The text and its usual forms: without appendix, other addresses and links, other holders, bullets for numbers."""
+    import re
+
+    def also(own: set[str], f) -> set[str]:
+        return own | {f(t) for t in own}
+
+    address = r"(?m)^[ \t]*51 Franklin St.*\n?"
+    own = also({text}, lambda t: re.sub(r"(END OF TERMS AND CONDITIONS)[\s\S]*", r"\1", t))
+    own = also(own, lambda t: t.replace("https://", "http://"))
+    own = also(own, lambda t: re.sub(address, "", t, count=1)) | {re.sub(address, "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA\n", t, count=1) for t in own}
+    if "Redistribution and use" in text:
+        holder = lambda t: t.replace("the University nor", "the copyright holder nor").replace("THE REGENTS AND", "THE COPYRIGHT HOLDERS AND").replace("THE REGENTS OR", "THE COPYRIGHT HOLDER OR")
+        own = also(own, holder)
+        own = also(own, lambda t: t.replace("THE COPYRIGHT HOLDER OR", "THE COPYRIGHT OWNER OR"))
+        own = also(own, lambda t: t.replace("provided that the following conditions\nare met", "provided that the following conditions are met"))
+        own = also(also(own, lambda t: re.sub(r"(?m)^[123]\. ", "* ", t)), lambda t: re.sub(r"(?m)^All rights reserved\.\n", "", t))
+        own |= {f"{title}\n\n{t}" for t in own for title in ("BSD 3-Clause License" if "Neither the name" in text else "BSD 2-Clause License",)}
+    return own
+
+
+def default_licences() -> list[tuple[str, str]]:
+    """``KNOWN``, the shipped texts and the notices."""
+    from pathlib import Path
+
+    out = list(KNOWN)
+    for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        out += [(f.stem, t) for t in sorted(variants(f.read_text(encoding="utf-8")))]
+    for i, names in NAMES.items():
+        spdx = [i, f"{i}-only", f"{i}-or-later", f"{i}+"] if "GPL" in i else [i]
+        lines = [f"SPDX-License-Identifier: {x}" for x in spdx] + [f"{s}{v} {the}{n}" for n in names for s in SUBJECTS for v in VERBS for the in ("the ", "a ", "")]
+        out += [(f"{i}-notice", x) for x in lines]
+    return out
+
+
 def known_licences(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    return spark.createDataFrame(KNOWN if known is None else known, "license_id string, text string")
+    return spark.createDataFrame(default_licences() if known is None else known, "license_id string, text string")
 
 
 def scan(docs: DataFrame, known: DataFrame) -> DataFrame:
@@ -83,7 +132,7 @@ def _sql_form(text: str) -> str:
 
 
 def oracle() -> str:
-    """The same scan in DuckDB's SQL, over the default known texts."""
+    """The same scan in DuckDB's SQL, over ``KNOWN``: for documents that have no other known text."""
     values = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in KNOWN)
     return f"""
 WITH known AS (SELECT sha256(form) AS digest, min(license_id) AS license_id FROM (SELECT license_id, {_sql_form('text')} AS form FROM (VALUES {values}) AS k(license_id, text)) WHERE form <> '' GROUP BY 1),

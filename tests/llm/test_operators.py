@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -346,3 +347,17 @@ def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
     made = token_store.PerfectHash.build(keys)
     assert sorted(made.slots(keys).tolist()) == list(range(len(keys)))
+
+
+def test_shipped_licences(spark):
+    """Whole texts as they are published, re-wrapped and without appendix, and notices behind comment marks."""
+    folder = Path(licences.__file__).parent / "licence_texts"
+    texts = {f.stem: f.read_text(encoding="utf-8") for f in folder.glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-2-Clause", "BSD-3-Clause"} <= set(texts)
+    whole = [(i, i, t) for i, t in texts.items()] + [(f"{i} wide", i, re.sub(r"[ \t]+", " ", t.upper() if i != "CC0-1.0" else t)) for i, t in texts.items()]
+    whole.append(("short", "Apache-2.0", texts["Apache-2.0"].split("APPENDIX:")[0]))
+    lines = [("spdx", "GPL-2.0-notice", "# SPDX-License-Identifier: GPL-2.0-only"), ("gpl", "GPL-2.0-notice", "This work is licensed under the GNU General Public License, version 2."), ("mpl", "MPL-2.0-notice", "// Licensed under the Mozilla Public License 2.0")]
+    docs = spark.createDataFrame([(k, t) for k, _, t in whole] + [(k, f"text\n{t}\nmore") for k, _, t in lines], "doc_id string, text string")
+    got = {r["doc_id"]: r for r in licences.scan(docs, licences.known_licences(spark)).collect()}
+    assert {k: got[k]["license_id"] for k, _, _ in whole} == {k: i for k, i, _ in whole}
+    assert {k: got[k]["notices"] for k, _, _ in lines} == {k: i for k, i, _ in lines}
