@@ -1,7 +1,7 @@
-"""Exact duplicates by two-pass Bloom filtering, with built-in functions only.
+"""Exact duplicates by an exact count of hashes and a Bloom filter of the repeated ones, with built-in functions only.
 
-Pass one reads the texts once and keeps a digest row per document.  Hashes that occur more than once go into a
-register-blocked Bloom filter (one 64-bit word a hash, ``BITS`` bits in it); the filter's size follows the number of
+Pass one reads the texts once and keeps a digest row per document.  Their 64-bit hashes are counted exactly, which
+shuffles every distinct hash once; hashes that occur more than once go into a register-blocked Bloom filter (one 64-bit word a hash, ``BITS`` bits in it); the filter's size follows the number of
 repeated hashes up to ``max_words``, so what is broadcast has a fixed bound.  Pass two tests every row against the
 filter: rows that miss it have no equal anywhere and pass straight through, the others are grouped by SHA-256.  A
 saturated filter only lets more rows into the exact step; no result depends on it.
