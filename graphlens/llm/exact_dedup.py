@@ -1,13 +1,19 @@
-"""Exact duplicates by an exact count of hashes and a Bloom filter of the repeated ones, with built-in functions only.
+"""Exact duplicates by two-pass Bloom filtering, with built-in functions only.
 
-Pass one reads the texts once and keeps a digest row per document.  Their 64-bit hashes are counted exactly, which
-shuffles every distinct hash once; hashes that occur more than once go into a register-blocked Bloom filter (one 64-bit word a hash, ``BITS`` bits in it); the filter's size follows the number of
-repeated hashes up to ``max_words``, so what is broadcast has a fixed bound.  Pass two tests every row against the
-filter: rows that miss it have no equal anywhere and pass straight through, the others are grouped by SHA-256.  A
-saturated filter only lets more rows into the exact step; no result depends on it.
+Pass one fills a register-blocked counting Bloom filter: the hash of a row names a word of the filter and two of its
+``COUNTERS`` counters.  Every task adds its rows up in its own part of the filter and sends the words that it touched;
+the sums of these parts say which counters were hit more than once, and one bit each of those is all that is kept.
+Hashes are neither exchanged nor counted themselves.  Pass two tests every row against these bits: a row with a counter
+that only it hit has no equal anywhere and passes straight through, the others (repeats, and rows that share both
+counters with other hashes) shuffle and are grouped by SHA-256.
+
+The filter has as many words as there are rows, up to ``max_words``, so what a task sends and what is broadcast has a
+fixed bound.  Beyond ``CROWD`` rows a word nearly all rows would pass the test: then no filter is made and every row
+takes the exact step.  No result depends on the filter.
 
 Defined cases: null text counts as empty; empty and blank texts are equal to each other; a null doc_id comes after
-every other id when the smallest is sought; of rows that repeat the same id and text exactly one is kept.
+every other id when the smallest is sought; of rows that repeat the same id and text exactly one is kept; an empty
+table gives no rows; other columns, whatever their names, stay with their rows.
 """
 
 from __future__ import annotations
@@ -17,7 +23,9 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.shared import SPACE_CLASS, apart, restored, written
 
-BITS = 5
+COUNTERS = 8
+MAX_WORDS = 1 << 21
+CROWD = 8
 
 
 def normalised(text: Column) -> Column:
@@ -25,35 +33,49 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE_CLASS}+", "")
 
 
+def _counters(h: Column) -> tuple[Column, Column]:
+    """Two different counters of a word, from separate bits of the hash."""
+    one = h.bitwiseAND(F.lit(COUNTERS - 1))
+    return one, (one + 1 + F.pmod(F.shiftrightunsigned(h, 8), F.lit(COUNTERS - 1).cast("bigint"))) % F.lit(COUNTERS)
+
+
 def _mask(h: Column) -> Column:
-    """BITS positions in one 64-bit word, from separate bits of the hash."""
-    mask = F.lit(0).cast("bigint")
-    for i in range(BITS):
-        bit = F.shiftrightunsigned(h, 6 * i).bitwiseAND(F.lit(63)).cast("int")
-        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit))
-    return mask
+    """The bits of the hash's counters."""
+    one = F.lit(1).cast("bigint")
+    first, second = (F.call_function("shiftleft", one, at.cast("int")) for at in _counters(h))
+    return first.bitwiseOR(second)
 
 
 def _word(h: Column, words: int) -> Column:
-    """The word of a hash, from a second hash of it so that word and mask are independent."""
+    """The word of a hash, from a second hash of it so that word and counters are independent."""
     return F.pmod(F.xxhash64(h), F.lit(words).cast("bigint"))
 
 
-def repeated_filter(hashes: DataFrame, max_words: int = 1 << 20) -> tuple[DataFrame, int]:
-    """Bloom filter (word, bits) of the values of column ``h`` that occur more than once, and its number of words."""
-    again = written(hashes.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "repeated")
-    n, words = again.count(), 1 << 10
-    while words < max_words and words * 8 < n:
+def repeated_filter(hashes: DataFrame, rows: int, max_words: int = MAX_WORDS) -> tuple[DataFrame, int]:
+    """Pass one over column ``h`` of ``rows`` rows: (word, bits) of the counters hit more than once, and the number of words.
+
+    Without rows, or with too many for the filter, there is no filter (0 words).
+    """
+    words = 1 << 10
+    while words < rows:
         words *= 2
-    bits = again.select(_word(F.col("h"), words).alias("word"), _mask(F.col("h")).alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("bits"))
-    return bits, words
+    words = min(words, max_words)
+    if not 0 < rows <= CROWD * words:
+        return hashes.sparkSession.range(0).select(F.col("id").alias("word"), F.col("id").alias("bits")), 0
+    first, second = _counters(F.col("h"))
+    hit = hashes.select(_word(F.col("h"), words).alias("word"), first.alias("a"), second.alias("b"))
+    parts = hit.groupBy("word").agg(*[F.count_if((F.col("a") == i) | (F.col("b") == i)).alias(f"c{i}") for i in range(COUNTERS)])
+    bits = sum((F.when(F.col(f"c{i}") > 1, F.lit(1 << i)).otherwise(0) for i in range(COUNTERS)), F.lit(0))
+    return parts.select("word", bits.cast("bigint").alias("bits")).filter("bits > 0"), words
 
 
 def possibly_repeated(df: DataFrame, h: Column, bloom: DataFrame, words: int) -> DataFrame:
-    """``df`` with boolean ``_again``: false only where the hash certainly occurs once.
+    """Pass two: ``df`` with boolean ``_again``, false only where the hash certainly occurs once.
 
     The filter has at most ``max_words`` rows by construction, so its broadcast is bounded.
     """
+    if not words:
+        return df.withColumn("_again", F.lit(True))
     probe = df.withColumns({"_w": _word(h, words), "_m": _mask(h)})
     side = F.broadcast(bloom.select(F.col("word").alias("_w"), F.col("bits").alias("_bits")))
     hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_m")) == F.col("_m"), F.lit(False))
@@ -71,10 +93,10 @@ def digests(docs: DataFrame) -> DataFrame:
     return norm.select("doc_id", F.monotonically_increasing_id().alias("row"), "n", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256"))
 
 
-def exact_duplicates(docs: DataFrame, max_words: int = 1 << 20) -> DataFrame:
+def exact_duplicates(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256."""
     rows = written(digests(docs), "digests")
-    bloom, words = repeated_filter(rows.select("h"), max_words)
+    bloom, words = repeated_filter(rows.select("h"), rows.count(), max_words)
     rows = written(possibly_repeated(rows, F.col("h"), bloom, words), "tested")
     groups = written(
         rows.filter("_again").groupBy("text_sha256").agg(F.count("*").alias("group_size"), F.min(_order(F.col("n"), F.col("doc_id"), F.col("row"))).alias("best")),
@@ -89,10 +111,10 @@ def exact_duplicates(docs: DataFrame, max_words: int = 1 << 20) -> DataFrame:
     return straight.unionByName(grouped)
 
 
-def keep_first(docs: DataFrame, max_words: int = 1 << 20) -> DataFrame:
+def keep_first(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: full rows shuffle only if their hash may be repeated."""
     hashed = apart(docs).withColumn("_norm", normalised(F.col("text"))).withColumn("_h", F.xxhash64("_norm"))
-    bloom, words = repeated_filter(hashed.select(F.col("_h").alias("h")), max_words)
+    bloom, words = repeated_filter(hashed.select(F.col("_h").alias("h")), docs.count(), max_words)
     bloom = written(bloom, "bloom")
     tested = possibly_repeated(hashed, F.col("_h"), bloom, words)
     keyed = tested.filter("_again").withColumns({"_sha": F.sha2("_norm", 256), "_n": F.char_length(F.coalesce("text", F.lit("")))})

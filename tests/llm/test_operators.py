@@ -70,10 +70,27 @@ def test_exact_dedup(docs, rows, empty):
     assert {(r["_h"], r["keep_id"], r["_again"]) for r in kept.collect()} == {(1, "x", "s")}
 
 
-def test_exact_dedup_with_a_saturated_filter(docs):
+@pytest.mark.parametrize("words", [1, 64, 1 << 21])
+def test_exact_dedup_whatever_the_filter(docs, words):
+    """No filter, one with more rows than words, one with room."""
     a = exact_dedup.exact_duplicates(docs).drop("kept").collect()
-    b = exact_dedup.exact_duplicates(docs, max_words=1).drop("kept").collect()
+    b = exact_dedup.exact_duplicates(docs, max_words=words).drop("kept").collect()
     assert ordered(a) == ordered(b)
+    kept = exact_dedup.keep_first(docs, max_words=words).collect()
+    assert len(kept) == len({re.sub(r"[\x20\x09-\x0d]", "", r["text"] or "") for r in docs.collect()})
+
+
+def test_only_possible_repeats_shuffle(spark):
+    """Pass one exchanges words of the filter, and few rows without an equal reach the exchange of pass two."""
+    n, again = 20_000, 300
+    texts = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < again, F.lit("copy ")).otherwise(F.lit("own ")).alias("a"))
+    rows = exact_dedup.digests(texts.select("doc_id", F.concat("a", F.when(F.col("doc_id") < again, F.col("doc_id") % 100).otherwise(F.col("doc_id")).cast("string")).alias("text")))
+    bloom, size = exact_dedup.repeated_filter(rows.select("h"), n)
+    plan = bloom._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" in plan and "hashpartitioning(h" not in plan
+    tested = exact_dedup.possibly_repeated(rows, F.col("h"), bloom, size)
+    assert tested.filter("_again AND doc_id < 300").count() == again
+    assert tested.filter("_again").count() <= again + 0.15 * n
 
 
 def brute_windows(rows, items, size=10):
