@@ -12,50 +12,55 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-#: Methods are suppliers, classes are nations, packages are regions; flags and sources follow the supplier's number.
-UNITS = """
-SELECT 'c' || CAST(n_nationkey AS STRING) AS id, 'p1' AS project_id, 'CLASS' AS kind, 'java' AS language,
-  'com.' || lower(replace(r_name, ' ', '')) || '.' || replace(n_name, ' ', '') AS qualified_name, replace(n_name, ' ', '') AS simple_name,
-  'src/' || lower(replace(r_name, ' ', '')) || '/' || replace(n_name, ' ', '') || '.java' AS file_path, 1 AS start_line, 9 AS end_line,
-  'class ' || replace(n_name, ' ', '') || ' { }' AS raw_source, 'class ' || replace(n_name, ' ', '') AS signature,
+#: Where a part's class stands: classes are nations, packages are regions.
+PLACES = "nation JOIN region ON n_regionkey = r_regionkey"
+CLASS_NAME = "'com.' || lower(replace(r_name, ' ', '')) || '.' || replace(n_name, ' ', '')"
+CLASS_FILE = "'src/' || lower(replace(r_name, ' ', '')) || '/' || replace(n_name, ' ', '') || '.java'"
+#: The parameter list in the name of a method.
+PARAMETERS = "CASE WHEN p_partkey % 3 = 0 THEN '()' WHEN p_partkey % 3 = 1 THEN '(String)' ELSE '(String,int)' END"
+
+#: Methods are parts, classes are nations, packages are regions; flags and sources follow the part's number.
+UNITS = f"""
+SELECT 'c' || CAST(n_nationkey AS STRING) AS id, 'p1' AS project_id, 'CLASS' AS kind, 'java' AS language, {CLASS_NAME} AS qualified_name, replace(n_name, ' ', '') AS simple_name,
+  {CLASS_FILE} AS file_path, 1 AS start_line, 9 AS end_line,
+  'class ' || replace(n_name, ' ', '') || ' {{ }}' AS raw_source, 'class ' || replace(n_name, ' ', '') AS signature,
   CASE WHEN n_nationkey % 4 = 0 THEN '@RestController,@RequestMapping' WHEN n_nationkey % 4 = 1 THEN '@Service' WHEN n_nationkey % 4 = 2 THEN '@Mapper' ELSE '' END AS annotations,
   CAST(NULL AS STRING) AS parent_qualified_name, false AS is_entry_point, false AS is_test, CAST(NULL AS BIGINT) AS num
-FROM nation JOIN region ON n_regionkey = r_regionkey
+FROM {PLACES}
 UNION ALL
-SELECT 'm' || CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 25 = 24 THEN 'p2' ELSE 'p1' END,
-  CASE WHEN s_suppkey % 13 = 0 THEN 'CONSTRUCTOR' WHEN s_suppkey % 17 = 0 THEN 'FUNCTION' ELSE 'METHOD' END, CASE WHEN s_suppkey % 5 = 0 THEN 'python' ELSE 'java' END,
-  'com.' || lower(replace(r_name, ' ', '')) || '.' || replace(n_name, ' ', '') || '#run' || CAST(s_suppkey AS STRING) || CASE WHEN s_suppkey % 3 = 0 THEN '()' WHEN s_suppkey % 3 = 1 THEN '(String)' ELSE '(String,int)' END,
-  'run' || CAST(s_suppkey AS STRING),
-  'src/' || lower(replace(r_name, ' ', '')) || '/' || replace(n_name, ' ', '') || '.java', CAST(10 * s_suppkey AS INT), CAST(10 * s_suppkey + 8 AS INT),
-  'void run' || CAST(s_suppkey AS STRING) || '() { ' || repeat('if (a) { b(); } ', CAST(s_suppkey % 7 AS INT)) || repeat('for (x) { y(); } ', CAST(s_suppkey % 4 AS INT)) || repeat('} else if (c && d) { ', CAST(s_suppkey % 3 AS INT))
-    || CASE WHEN s_suppkey % 9 = 0 THEN 'st.executeQuery("select " + name); ' ELSE '' END || CASE WHEN s_suppkey % 10 = 3 THEN 'Runtime.getRuntime().exec(cmd); ' ELSE '' END
-    || CASE WHEN s_suppkey % 11 = 2 THEN 'String password = "x1"; ' ELSE '' END || CASE WHEN s_suppkey % 8 = 5 THEN 'MessageDigest.getInstance("MD5"); ' ELSE '' END
-    || CASE WHEN s_suppkey % 12 = 7 THEN 'log.info("token " + token);' ELSE '' END || CASE WHEN s_suppkey % 14 = 1 THEN 'in = new ObjectInputStream(x).readObject(); ' ELSE '' END || '}',
-  'void run' || CAST(s_suppkey AS STRING) || CASE WHEN s_suppkey % 3 = 0 THEN '()' WHEN s_suppkey % 3 = 1 THEN '(String a)' ELSE '(String a, int b)' END,
-  CASE WHEN s_suppkey % 6 = 0 THEN '@PreAuthorize,@RequestParam' WHEN s_suppkey % 6 = 3 THEN '@GetMapping' ELSE '' END,
-  'com.' || lower(replace(r_name, ' ', '')) || '.' || replace(n_name, ' ', ''), s_suppkey % 11 = 0, s_suppkey % 7 = 0, s_suppkey
-FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+SELECT 'm' || CAST(p_partkey AS STRING), CASE WHEN p_partkey % 25 = 24 THEN 'p2' ELSE 'p1' END,
+  CASE WHEN p_partkey % 13 = 0 THEN 'CONSTRUCTOR' WHEN p_partkey % 17 = 0 THEN 'FUNCTION' ELSE 'METHOD' END, CASE WHEN p_partkey % 5 = 0 THEN 'python' ELSE 'java' END,
+  {CLASS_NAME} || '#run' || CAST(p_partkey AS STRING) || {PARAMETERS}, 'run' || CAST(p_partkey AS STRING), {CLASS_FILE}, CAST(10 * p_partkey + 10 AS INT), CAST(10 * p_partkey + 18 AS INT),
+  'void run' || CAST(p_partkey AS STRING) || '() {{ ' || repeat('if (a) {{ b(); }} ', CAST(p_partkey % 7 AS INT)) || repeat('for (x) {{ y(); }} ', CAST(p_partkey % 4 AS INT)) || repeat('}} else if (c && d) {{ ', CAST(p_partkey % 3 AS INT))
+    || CASE WHEN p_partkey % 9 = 0 THEN 'st.executeQuery("select " + name); ' ELSE '' END || CASE WHEN p_partkey % 10 = 3 THEN 'Runtime.getRuntime().exec(cmd); ' ELSE '' END
+    || CASE WHEN p_partkey % 11 = 2 THEN 'String password = "x1"; ' ELSE '' END || CASE WHEN p_partkey % 8 = 5 THEN 'MessageDigest.getInstance("MD5"); ' ELSE '' END
+    || CASE WHEN p_partkey % 12 = 7 THEN 'log.info("token " + token);' ELSE '' END || CASE WHEN p_partkey % 14 = 1 THEN 'in = new ObjectInputStream(x).readObject(); ' ELSE '' END || '}}',
+  'void run' || CAST(p_partkey AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN '()' WHEN p_partkey % 3 = 1 THEN '(String a)' ELSE '(String a, int b)' END,
+  CASE WHEN p_partkey % 6 = 0 THEN '@PreAuthorize,@RequestParam' WHEN p_partkey % 6 = 3 THEN '@GetMapping' ELSE '' END,
+  {CLASS_NAME}, p_partkey % 11 = 0, p_partkey % 7 = 0, p_partkey
+FROM part JOIN (SELECT * FROM {PLACES}) places ON p_partkey % 25 = n_nationkey
 """
 
+#: Every line item is a relation of a part to the part of this number; line items tell its kind by their number.
+TARGET = "(l_suppkey * 7 + l_partkey % 50) % (SELECT count(*) FROM part)"
+KIND = """CASE l_linenumber WHEN 1 THEN 'CALLS' WHEN 2 THEN 'DEFINES_TYPE' WHEN 3 THEN 'OVERRIDES' WHEN 4 THEN 'EXTENDS' WHEN 5 THEN 'IMPLEMENTS' ELSE 'IMPORTS' END"""
+
 #: Raw relations: a target is named by id, by qualified name, by name and arity, or not at all.
-RAW_EDGES = """
-SELECT 'm' || CAST(l_suppkey AS STRING) AS source_id,
-  CASE WHEN l_orderkey % 4 = 0 THEN 'm' || CAST(s_suppkey AS STRING) WHEN l_orderkey % 4 = 1 THEN base || CASE WHEN s_suppkey % 3 = 0 THEN '()' WHEN s_suppkey % 3 = 1 THEN '(String)' ELSE '(String,int)' END
-    WHEN l_orderkey % 4 = 2 THEN base || '::arity=' || CAST(s_suppkey % 3 AS STRING) ELSE 'lib.Missing#run()' END AS target_ref,
-  CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' THEN 'DEFINES_TYPE' WHEN l_returnflag = 'A' AND l_quantity = 1 THEN 'EXTENDS' ELSE 'CALLS' END AS kind,
-  'f' || CAST(l_orderkey % 50 AS STRING) || '.java' AS file_path, l_linenumber AS source_line, l_orderkey AS seq
-FROM (SELECT *, l_partkey % (SELECT count(*) FROM supplier) + 1 AS target FROM lineitem WHERE l_quantity <= 2 AND l_linenumber = 1) l JOIN (
-  SELECT s_suppkey, 'com.' || lower(replace(r_name, ' ', '')) || '.' || replace(n_name, ' ', '') || '#run' || CAST(s_suppkey AS STRING) AS base
-  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) t ON s_suppkey = target
+RAW_EDGES = f"""
+SELECT 'm' || CAST(l_partkey AS STRING) AS source_id,
+  CASE WHEN l_orderkey % 4 = 0 THEN 'm' || CAST(p_partkey AS STRING) WHEN l_orderkey % 4 = 1 THEN base || {PARAMETERS}
+    WHEN l_orderkey % 4 = 2 THEN base || '::arity=' || CAST(p_partkey % 3 AS STRING) ELSE 'lib.Missing#run()' END AS target_ref,
+  {KIND} AS kind, 'f' || CAST(l_orderkey % 50 AS STRING) || '.java' AS file_path, l_linenumber AS source_line, l_orderkey AS seq
+FROM (SELECT *, {TARGET} AS target FROM lineitem) l JOIN (
+  SELECT p_partkey, {CLASS_NAME} || '#run' || CAST(p_partkey AS STRING) AS base
+  FROM part JOIN (SELECT * FROM {PLACES}) places ON p_partkey % 25 = n_nationkey) t ON p_partkey = target
 """
 
 #: Resolved relations between units, with containment of methods in classes.
-EDGES = """
-SELECT DISTINCT 'm' || CAST(l_suppkey AS STRING) AS src, 'm' || CAST(l_partkey % (SELECT count(*) FROM supplier) + 1 AS STRING) AS dst,
-  CASE WHEN l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity = 2 THEN 'DEFINES_TYPE' WHEN l_returnflag = 'A' AND l_quantity = 1 THEN 'EXTENDS' ELSE 'CALLS' END AS kind
-FROM lineitem WHERE l_quantity <= 2 AND l_linenumber = 1
+EDGES = f"""
+SELECT DISTINCT 'm' || CAST(l_partkey AS STRING) AS src, 'm' || CAST({TARGET} AS STRING) AS dst, {KIND} AS kind FROM lineitem
 UNION ALL
-SELECT 'c' || CAST(s_nationkey AS STRING), 'm' || CAST(s_suppkey AS STRING), 'CONTAINS' FROM supplier
+SELECT 'c' || CAST(p_partkey % 25 AS STRING), 'm' || CAST(p_partkey AS STRING), 'CONTAINS' FROM part
 """
 
 #: Findings of the engine itself, from events.
@@ -65,7 +70,7 @@ SELECT 'f' || CAST(event_id AS STRING) AS id, CASE WHEN user_id % 5 = 0 THEN 'p2
   CASE event_type WHEN 'error' THEN 'CWE-89' WHEN 'click' THEN 'CWE-327' WHEN 'purchase' THEN 'CWE-22' WHEN 'signup' THEN 'CWE-78' ELSE 'CWE-200' END AS cwe,
   CASE WHEN event_id % 9 = 0 THEN 'CRITICAL' WHEN event_id % 3 = 0 THEN 'HIGH' WHEN event_id % 3 = 1 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   CASE WHEN event_id % 4 = 0 THEN 'CONFIRMED' WHEN event_id % 4 = 1 THEN 'FIXED' WHEN event_id % 4 = 2 THEN 'DISMISSED' ELSE 'SUSPECTED' END AS status,
-  'm' || CAST(user_id % (SELECT count(*) FROM supplier) + 1 AS STRING) AS unit_id, 'fp' || CAST(event_id % 997 AS STRING) AS fingerprint, ts AS found_at, event_id
+  'm' || CAST(event_id % (SELECT count(*) FROM part) AS STRING) AS unit_id, 'fp' || CAST(event_id % 997 AS STRING) AS fingerprint, ts AS found_at, event_id
 FROM events
 """
 
@@ -101,5 +106,6 @@ def duck(select: str, **ctes: str) -> str:
     """DuckDB SQL: ``select`` over the named parts and the adapters that they mention."""
     parts = {k: v for k, v in ctes.items()}
     used = [n for n in ADAPTERS if any(re.search(rf"\b{n}\b", t) for t in (select, *parts.values()))]
-    head = [f"{n} AS MATERIALIZED ({ADAPTERS[n]})" for n in used] + [f"{k} AS ({v})" for k, v in parts.items()]
+    once = lambda k, v: "" if re.search(rf"\b(?:FROM|JOIN) {k}\b", v) else "MATERIALIZED "
+    head = [f"{n} AS MATERIALIZED ({ADAPTERS[n]})" for n in used] + [f"{k} AS {once(k, v)}({v})" for k, v in parts.items()]
     return f"WITH RECURSIVE {', '.join(head)} {select}" if head else select

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,17 +134,167 @@ def evaluate_rules(feedback: DataFrame) -> DataFrame:
     return sums.withColumns({"precision": F.try_divide("confirmed", known), "false_rate": F.try_divide("false_positive", known), "reviewed_rate": F.try_divide(known, "findings")})
 
 
+#: Events of a key that are folded at once.
+BLOCK_EVENTS = 1000
+#: States of a finding.
+STATUSES = ("SUSPECTED", "CONFIRMED", "FIXED", "DISMISSED")
+
+
+def _next(state: Column, action: Column, transitions: list[tuple[str, str, str]]) -> Column:
+    to = F.lit(None).cast("string")
+    for a, act, b in transitions:
+        to = F.when((state == a) & (action == act), b).otherwise(to)
+    return to
+
+
+def _blocks(events: DataFrame, key: str, order: list[str], *columns: Column) -> DataFrame:
+    """(key, block, e): the events of a key in order, cut into blocks of at most ``BLOCK_EVENTS``."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    rows = events.withColumn("place", place).withColumn("block", F.floor(F.col("place") / BLOCK_EVENTS))
+    return rows.groupBy(key, "block").agg(F.sort_array(F.collect_list(F.struct("place", *columns))).alias("e"))
+
+
+def _through(blocks: DataFrame, key: str, transitions: list[tuple[str, str, str]], start: str) -> DataFrame:
+    """(key, t): for each block of a key, in order, where each state leads to through it, and after how many changes."""
+    states = sorted({start, *(a for a, _, _ in transitions), *(b for _, _, b in transitions)})
+
+    def led(state: str) -> Column:
+        def step(acc: Column, e: Column) -> Column:
+            to = _next(acc["state"], e["action"], transitions)
+            return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["changes"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("changes"))
+
+        return F.aggregate("e", F.struct(F.lit(state).alias("state"), F.lit(0).alias("changes")), step)
+
+    table = F.create_map(*[x for s in states for x in (F.lit(s), led(s))])
+    return blocks.select(key, "block", table.alias("to")).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("block", F.map_entries("to").alias("to")))).alias("t"))
+
+
+def _entry(block: Column, state: Column) -> Column:
+    """Where ``state`` leads to through a block."""
+    return F.filter(block["to"], lambda x: x["key"] == state)[0]["value"]
+
+
 def fold(events: DataFrame, key: str, order: list[str], action: str, transitions: list[tuple[str, str, str]], start: str) -> DataFrame:
-    """(key, state, changes): actions applied in order to each key's state; one that doesn't fit the state is ignored."""
+    """(key, state, changes): actions applied in order to each key's state; one that doesn't fit the state is ignored.
+
+    A block of events becomes a table from state to state, and these tables apply one after another: a key of many events
+    is never held whole.
+    """
+    tables = _through(_blocks(events, key, order, F.col(action).alias("action")), key, transitions, start)
+    step = lambda acc, t: F.struct(_entry(t, acc["state"])["state"].alias("state"), (acc["changes"] + _entry(t, acc["state"])["changes"]).alias("changes"))
+    return tables.select(key, F.aggregate("t", F.struct(F.lit(start).alias("state"), F.lit(0).alias("changes")), step).alias("s")).select(key, "s.state", F.col("s.changes").cast("long").alias("changes"))
+
+
+def audit(events: DataFrame, key: str, order: list[str], action: str, transitions: list[tuple[str, str, str]], start: str, expected: str | None = None) -> DataFrame:
+    """(key, place, action, before, after, actor): a row for each action that changed the state, by its place among the key's events.
+
+    ``events`` has a column actor.  With ``expected``, an action applies only if that column is null or names the state at the moment.
+    """
+    own = events if expected is None else events.withColumn("_expected", F.col(expected))
+    want = F.lit(None).cast("string") if expected is None else F.col("_expected")
+    # the expectation becomes part of the action, so that the tables of states still tell where a block leads
+    wanted = F.when(want.isNull(), F.col(action)).otherwise(F.concat_ws("@", action, want))
+    every = [*transitions, *([(a, f"{act}@{a}", b) for a, act, b in transitions] if expected else [])]
+    blocks = _blocks(own, key, order, wanted.alias("action"), "actor")
+    tables = _through(blocks, key, every, start)
+    first = F.struct(F.lit(start).alias("state"), F.array().cast("array<struct<block: bigint, state: string>>").alias("at"))
+    opened = F.aggregate("t", first, lambda acc, t: F.struct(_entry(t, acc["state"])["state"].alias("state"), F.concat(acc["at"], F.array(F.struct(t["block"].alias("block"), acc["state"].alias("state")))).alias("at")))
+    starts = tables.select(key, F.explode(opened["at"]).alias("o")).select(key, "o.block", F.col("o.state").alias("_start"))
 
     def step(acc: Column, e: Column) -> Column:
-        to = F.lit(None).cast("string")
-        for a, act, b in transitions:
-            to = F.when((acc["state"] == a) & (e["action"] == act), b).otherwise(to)
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["changes"] + F.when(to.isNotNull(), 1).otherwise(0)).alias("changes"))
+        to = _next(acc["state"], e["action"], every)
+        row = F.struct(e["place"].alias("place"), F.substring_index(e["action"], "@", 1).alias("action"), acc["state"].alias("before"), to.alias("after"), e["actor"].alias("actor"))
+        return F.struct(F.coalesce(to, acc["state"]).alias("state"), F.when(to.isNull(), acc["rows"]).otherwise(F.concat(acc["rows"], F.array(row))).alias("rows"))
+
+    kinds = dict(events.dtypes)
+    none = F.array().cast(f"array<struct<place: int, action: string, before: string, after: string, actor: {kinds['actor']}>>")
+    done = blocks.join(starts, [key, "block"]).select(key, F.aggregate("e", F.struct(F.col("_start").alias("state"), none.alias("rows")), step)["rows"].alias("rows"))
+    return done.select(key, F.explode("rows").alias("r")).select(key, F.col("r.place").cast("long").alias("place"), "r.action", "r.before", "r.after", "r.actor")
+
+
+def claims(changes: DataFrame, key: str) -> DataFrame:
+    """(key, state, claimed_by) after the changes of ``audit`` over ``REVIEW``: a claim has its actor, a return has none."""
+    last = changes.groupBy(key).agg(F.max_by(F.struct("after", "action", "actor"), "place").alias("x"), F.max_by("actor", F.when(F.col("action") == "claim", F.col("place"))).alias("claimer"))
+    return last.select(key, F.col("x.after").alias("state"), F.when(F.col("x.after") != "PENDING", F.col("claimer")).alias("claimed_by"))
+
 
-    rows = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(action).alias("action")))).alias("e"))
-    return rows.select(key, F.aggregate("e", F.struct(F.lit(start).alias("state"), F.lit(0).alias("changes")), step).alias("s")).select(key, "s.state", F.col("s.changes").cast("long").alias("changes"))
+def set_status(findings: DataFrame, updates: DataFrame) -> DataFrame:
+    """Findings (id, status, ...) with the newest valid status of updates (id, status, updated_at); any may follow any."""
+    valid = updates.withColumn("status", F.upper("status")).filter(F.col("status").isin(*STATUSES))
+    newest = valid.groupBy("id").agg(F.max_by("status", F.struct("updated_at", "status")).alias("_new"))
+    return findings.join(newest, "id", "left").withColumn("status", F.coalesce("_new", "status")).select(*findings.columns)
+
+
+def published(actions: DataFrame) -> DataFrame:
+    """(rule_id, version, status) of rule versions after actions (rule_id, seq, action, version, gate_ok) in order.
+
+    A candidate is submitted, then published if its gate holds, which supersedes the version that was active, or
+    rejected; a rollback takes the active version back and the one published before it is active again.
+    """
+
+    def run(key, rows):
+        import pandas as pd
+
+        status: dict[int, str] = {}
+        line: list[int] = []  # the published versions, the active one last
+        for r in rows.sort_values("seq").itertuples():
+            now = status.setdefault(r.version, "CANDIDATE") if r.action != "rollback" else None
+            if r.action == "submit" and now == "CANDIDATE":
+                status[r.version] = "IN_REVIEW"
+            elif r.action == "reject" and now in ("CANDIDATE", "IN_REVIEW"):
+                status[r.version] = "REJECTED"
+            elif r.action == "publish" and now == "IN_REVIEW" and r.gate_ok:
+                if line:
+                    status[line[-1]] = "SUPERSEDED"
+                line.append(r.version)
+                status[r.version] = "PUBLISHED"
+            elif r.action == "rollback" and len(line) > 1:
+                status[line.pop()] = "ROLLED_BACK"
+                status[line[-1]] = "PUBLISHED"
+        return pd.DataFrame([(key[0], v, s) for v, s in status.items()], columns=["rule_id", "version", "status"])
+
+    return actions.groupBy("rule_id").applyInPandas(run, f"rule_id {dict(actions.dtypes)['rule_id']}, version long, status string")
+
+
+def retried(runs: DataFrame) -> DataFrame:
+    """(task_id, scanner) that a retry runs again: of tasks that failed or are partial, the scanners whose last run (task_id, scanner, seq, status) did not succeed."""
+    last = runs.groupBy("task_id", "scanner").agg(F.max_by("status", "seq").alias("status"))
+    open_ = batch_status(last.withColumnRenamed("task_id", "batch")).filter("status <> 'SUCCEEDED'").select(F.col("batch").alias("task_id"))
+    return last.filter("status <> 'SUCCEEDED'").join(open_, "task_id", "left_semi").select("task_id", "scanner")
+
+
+def after_retry(runs: DataFrame, again: DataFrame) -> DataFrame:
+    """The runs that stand after a retry: the successful last ones of before, and those of the retry (same columns)."""
+    last = runs.withColumn("_r", F.row_number().over(Window.partitionBy("task_id", "scanner").orderBy(F.desc("seq")))).filter("_r = 1").drop("_r")
+    return last.filter("status = 'SUCCEEDED'").join(again.select("task_id", "scanner"), ["task_id", "scanner"], "left_anti").select(*runs.columns).unionByName(again.select(*runs.columns))
+
+
+#: Tasks that may run at once in all, of a project, of a scanner.
+QUOTAS = (4, 2, 2)
+
+
+def started(queue: DataFrame, running: DataFrame, quotas: tuple[int, int, int] = QUOTAS) -> DataFrame:
+    """(task_id, project_id, scanner) of queued tasks (and seq) that may start beside the running ones, first come first
+    served; one that has no place is passed over.  A step a place: no more than the first quota."""
+    names = ["task_id", "project_id", "scanner"]
+    spark, going = queue.sparkSession, [tuple(r) for r in running.select(*names).limit(quotas[0] + 1).collect()]
+    new: list[tuple] = []
+    while len(going) < quotas[0]:
+        full = [[x for x in {r[k] for r in going} if sum(r[k] == x for r in going) >= quotas[k]] for k in (1, 2)]
+        open_ = queue.filter(~F.col("task_id").isin(*[r[0] for r in going] or [None]) if going else F.lit(True))
+        for c, taken in (("project_id", full[0]), ("scanner", full[1])):
+            open_ = open_.filter(~F.col(c).isin(*taken)) if taken else open_
+        first = open_.orderBy("seq", "task_id").select(*names).limit(1).collect()
+        if not first:
+            break
+        new.append(tuple(first[0]))
+        going.append(new[-1])
+    return spark.createDataFrame(new, queue.select(*names).schema)
+
+
+def logged_steps(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The steps of agent runs (step_id, run_id, seq, status, updated_at): one a step, as it was written last."""
+    return latest(old.unionByName(new), ["step_id"], F.desc("updated_at"), F.desc("status"))
 
 
 def batch_status(runs: DataFrame) -> DataFrame:
@@ -173,13 +325,55 @@ def evaluate_advice(samples: DataFrame) -> DataFrame:
     return samples.agg(n.alias("samples"), rate(right, n).alias("heuristic_accuracy"), m.alias("available"), rate(good, m).alias("advice_accuracy"), F.coalesce(F.avg(F.when(done, F.col("latency"))), F.lit(0.0)).alias("mean_latency"), cost.alias("total_cost"))
 
 
-def risk_signals(findings: DataFrame, evidence: int = 20) -> DataFrame:
-    """(signal, n, severity, evidence): findings by rule with their worst severity and the first units, by id."""
-    ranked = findings.select("rule_id", "unit_id", severity_rank(F.col("severity")).alias("rank"), "severity")
-    units = findings.select("rule_id", "unit_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("rule_id").orderBy("unit_id"))).filter(F.col("r") <= evidence)
-    shown = units.groupBy("rule_id").agg(F.array_join(F.sort_array(F.collect_list("unit_id")), ",").alias("evidence"))
-    sums = ranked.groupBy("rule_id").agg(F.count("*").alias("n"), F.min_by("severity", "rank").alias("severity"))
-    return sums.join(shown, "rule_id").select(F.col("rule_id").alias("signal"), "n", "severity", "evidence")
+#: Texts of dangerous sinks, of sensitive keys, and places of configuration, in lower case.
+DANGEROUS = ("runtime.getruntime().exec", "processbuilder", "executequery(", "executeupdate(", "readobject(", ".lookup(")
+SENSITIVE_KEYS = ("password", "secret", "api_key", "api-key", "private_key", "private-key", "access_token", "auth_token")
+SENSITIVE_FOLDERS = ("config", "configuration", "secrets")
+SENSITIVE_EXTENSIONS = ("yml", "yaml", "properties", "toml", "json", "xml")
+MAX_HINT_BYTES = 1024 * 1024
+
+
+def sensitive_config(path: Column) -> Column:
+    """Whether a file may hold configuration with secrets, by its path."""
+    low = F.lower(path)
+    name = F.element_at(F.split(low, "/"), -1)
+    parts = name.startswith(".env") | name.startswith("application.") | name.contains("credential") | name.contains("secret")
+    return F.arrays_overlap(F.split(low, "/"), F.array(*map(F.lit, SENSITIVE_FOLDERS))) | parts | F.regexp_extract(name, r"\.([^.]+)$", 1).isin(*SENSITIVE_EXTENSIONS)
+
+
+def _signal(rows: DataFrame, name: str, severity: Column, evidence: int, keep: str = "evidence") -> DataFrame:
+    """One row of a signal from rows (place, evidence): their number and the first distinct evidence in order of place."""
+    first = rows.filter(F.trim(F.coalesce(keep, F.lit(""))) != "").groupBy(F.col(keep).alias("e")).agg(F.min("place").alias("place"))
+    shown = first.orderBy("place", "e").limit(evidence).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "e"))), lambda x: x["e"]), ",").alias("evidence"))
+    counted = rows.agg(F.count("*").alias("n"), severity.alias("severity")).filter("n > 0")
+    # one row of either side
+    return counted.withColumn("k", F.lit(1)).join(shown.withColumn("k", F.lit(1)), "k").select(F.lit(name).alias("signal"), "n", "severity", "evidence")
+
+
+def risk_signals(units: DataFrame, files: DataFrame, findings: DataFrame, hotspots: DataFrame, evidence: int = 20) -> DataFrame:
+    """(signal, n, severity, evidence): the five signals of a project that has any of them.
+
+    Units are its code units, files (file_path, category, size, content) what was scanned, findings (rule_id, status,
+    severity, title, qualified_name) its findings, hotspots (file_path, score) the most changed complex files.  Evidence
+    is a place of a unit or file, or a title, the first ``evidence`` distinct ones, joined by commas.
+    """
+    place = F.struct("file_path", "start_line", "id")
+    at = F.concat_ws(":", "file_path", F.greatest(F.lit(1), F.col("start_line")).cast("string"))
+    callable_ = F.col("kind").isin("METHOD", "CONSTRUCTOR", "FUNCTION") & (F.trim(F.coalesce("raw_source", F.lit(""))) != "")
+    has = lambda text, marks: F.exists(F.array(*map(F.lit, marks)), lambda m: F.lower(F.coalesce(text, F.lit(""))).contains(m))
+    located = lambda rows: rows.select(place.alias("place"), at.alias("evidence"))
+    config = files.filter((F.col("category") != "GENERATED") & sensitive_config(F.col("file_path")) & (F.col("size") <= MAX_HINT_BYTES) & has(F.col("content"), SENSITIVE_KEYS))
+    open_ = findings.filter("rule_id = 'DEP_VULNERABILITY' AND status NOT IN ('FIXED', 'DISMISSED')")
+    named = open_.select(F.struct("title", "qualified_name").alias("place"), F.when(F.trim(F.coalesce("title", F.lit(""))) == "", F.col("qualified_name")).otherwise(F.col("title")).alias("evidence"), "severity")
+    worst = F.min_by(F.upper(F.coalesce("severity", F.lit("LOW"))), severity_rank(F.coalesce("severity", F.lit("LOW"))))
+    parts = [
+        _signal(located(units.filter("is_entry_point")), "PUBLIC_HTTP_ENTRY", F.max(F.lit("MEDIUM")), evidence),
+        _signal(located(units.filter(callable_ & has(F.col("raw_source"), DANGEROUS))), "DANGEROUS_SINK", F.max(F.lit("HIGH")), evidence),
+        _signal(config.select(F.struct("file_path").alias("place"), F.col("file_path").alias("evidence")), "SENSITIVE_CONFIG", F.max(F.lit("HIGH")), evidence),
+        _signal(named, "DEPENDENCY_CVE", worst, evidence),
+        _signal(hotspots.orderBy(F.desc("score"), "file_path").limit(10).select(F.struct((-F.col("score")).alias("s"), "file_path").alias("place"), F.col("file_path").alias("evidence")), "HIGH_CHURN_HOTSPOT", F.max(F.lit("MEDIUM")), evidence),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def whitelisted(citations: DataFrame, known: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Graph operators: edge resolution, bounded and unbounded reachability, coverage gaps, cascades, cycles.
 
 Units: id, project_id, kind, qualified_name, simple_name, file_path, start_line, end_line, ...; edges: src, dst, kind.
-Loops carry a frontier that is joined to the edges once a step and anti-joined to what was visited, and cut their
-lineage by writing each step, so a step costs what its frontier reaches and an executor's loss costs a step at most.
+Loops keep the edges partitioned by their source for as long as they run, so that a step moves its frontier and never
+the edges, and append what they find to one table of visited nodes: a step costs what its frontier reaches and an
+executor's loss costs a step at most.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlens.plans.lineage import cut
+from graphlens.plans.lineage import Visited, cut
 
 MAX_DEPTH = 50
 IMPACT_KINDS = ("CALLS", "DEFINES_TYPE", "OVERRIDES", "EXTENDS", "IMPLEMENTS")
@@ -55,24 +56,46 @@ def start_set(units: DataFrame, edges: DataFrame, qualified_name: str, project_i
     return own.unionByName(edges.filter("kind = 'CONTAINS'").join(own, edges["src"] == own["id"]).select(F.col("dst").alias("id"))).distinct()
 
 
+def held(links: DataFrame, *keys: str) -> DataFrame:
+    """``links`` partitioned by ``keys`` for a loop; the caller unpersists them after its last step is written."""
+    n = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return links.repartition(n, *keys).persist()
+
+
 def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
     """(id, depth) of the nodes reached from ``start`` along edges (src, dst) by 1..depth steps; depth None: all.
 
     The start is not visited beforehand: it is in the result if a cycle leads back to it within the depth.
     """
-    links = edges.select("src", "dst").distinct()
-    seen, frontier, step = None, start.select("id"), 0
-    while depth is None or step < depth:
+    links = held(edges.select("src", "dst").distinct(), "src")
+    visited = Visited(start.select("id", F.lit(0).alias("depth")))
+    step, grew = 0, 1
+    while grew and (depth is None or step < depth):
+        frontier = visited.rows().filter(F.col("depth") == step).select(F.col("id").alias("src"))
         step += 1
-        new = links.join(frontier.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        if seen is not None:
-            new = new.join(seen, "id", "left_anti")
-        frontier = cut(new.withColumn("depth", F.lit(step)))
-        if not frontier.limit(1).count():
-            break
-        seen = frontier if seen is None else seen.unionByName(frontier)
-        frontier = frontier.select("id")
-    return seen if seen is not None else start.select("id", F.lit(0).alias("depth")).limit(0)
+        new = links.join(frontier, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
+        grew = visited.add(new.join(visited.rows().filter("depth > 0").select("id"), "id", "left_anti").withColumn("depth", F.lit(step)))
+    links.unpersist()
+    return visited.rows().filter("depth > 0")
+
+
+def least_ancestors(edges: DataFrame, marked: DataFrame, k: int) -> DataFrame:
+    """(id, mark): for each node the ``k`` least marks of the marked nodes (id, mark) that reach it along edges (src, dst).
+
+    A node passes on its ``k`` least marks alone, since one that ``k`` lesser ones precede here does so wherever both
+    lead; so a step costs k a node at most, however many nodes reach it.
+    """
+    links = held(edges.select("src", "dst").distinct(), "src")
+    first = links.join(marked.select(F.col("id").alias("src"), "mark"), "src").select(F.col("dst").alias("id"), "mark").distinct()
+    by = Window.partitionBy("id").orderBy("mark")
+    top = lambda df: df.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k).drop("r")
+    state = cut(top(first).withColumn("fresh", F.lit(True)))
+    while state.filter("fresh").limit(1).count():
+        sent = links.join(state.filter("fresh").select(F.col("id").alias("src"), "mark"), "src").select(F.col("dst").alias("id"), "mark").distinct()
+        both = state.select("id", "mark", F.lit(False).alias("fresh")).unionByName(sent.withColumn("fresh", F.lit(True)))
+        state = cut(top(both.groupBy("id", "mark").agg(F.min("fresh").alias("fresh"))))
+    links.unpersist()
+    return state.select("id", "mark")
 
 
 def _reversed(edges: DataFrame) -> DataFrame:
@@ -155,27 +178,51 @@ def package_edges(classes: DataFrame) -> DataFrame:
     return classes.select(package_of(F.col("caller")).alias("src"), package_of(F.col("callee")).alias("dst")).filter("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """Strongly connected components of two or more nodes of edges (src, dst): (component, size, members).
+def _on_ways(links: DataFrame) -> DataFrame:
+    """Links between nodes that have a way in and a way out, also without the others."""
+    before = -1
+    while (now := links.count()) != before:
+        before = now
+        links = cut(links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    return links
+
 
-    Nodes off every cycle are trimmed first (no way in or none out); among the rest, two nodes belong together if each
-    reaches the other.  The reach is a closure by squaring, meant for graphs of packages.
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) of the nodes of edges (src, dst) that lie on cycles of two or more; the component is its least id.
+
+    Forward and backward colouring: each node takes the least node that reaches it as its colour; the nodes that a
+    colour's own node is reached from, inside the colour, are a component.  The rest goes through the same again.
     """
-    links = cut(edges.filter("src <> dst").select("src", "dst").distinct())
-    while True:
-        inner = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(links.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        trimmed = cut(inner)
-        if trimmed.count() == links.count():
-            break
-        links = trimmed
-    closure, before = links, -1
-    while (now := closure.count()) != before:
-        before = now
-        step = closure.withColumnRenamed("dst", "mid").join(closure.withColumnRenamed("src", "mid"), "mid").select("src", "dst")
-        closure = cut(closure.unionByName(step).distinct())
-    mutual = closure.join(closure.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ["src", "dst"], "left_semi")
-    member = mutual.groupBy("src").agg(F.min("dst").alias("component"))
-    return member.groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_set("src")).alias("members")).filter("size >= 2")
+    links = _on_ways(cut(edges.filter("src <> dst").select("src", "dst").distinct()))
+    found: list[DataFrame] = []
+    while links.limit(1).count():
+        colours = cut(links.select(F.col("src").alias("id")).distinct().withColumn("colour", F.col("id")))
+        changed = 1
+        while changed:
+            near = links.join(colours.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("colour").alias("near"))
+            state = Visited(colours.join(near, "id").select("id", F.least("colour", "near").alias("now"), (F.col("near") < F.col("colour")).alias("fresh"))).rows()
+            changed, colours = state.filter("fresh").limit(1).count(), state.select("id", F.col("now").alias("colour"))
+        ends = lambda c: colours.select(F.col("id").alias(c), F.col("colour").alias(f"{c}_colour"))
+        inner = links.join(ends("src"), "src").join(ends("dst"), "dst").filter("src_colour = dst_colour").select("src", "dst")
+        roots = colours.filter("id = colour").select("id")
+        back = reach(_reversed(inner), roots).select("id").unionByName(roots).distinct()
+        own = cut(colours.join(back, "id").select("id", F.col("colour").alias("component")))
+        found.append(own)
+        gone = own.select("id")
+        links = _on_ways(cut(links.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")))
+    if not found:
+        return edges.select(F.col("src").alias("id"), F.col("src").alias("component")).limit(0)
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    several = every.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    return every.join(several, "component", "left_semi").select("id", "component")
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """Strongly connected components of two or more nodes of edges (src, dst), the largest first: (component, size, members)."""
+    member = strong_components(edges)
+    return member.groupBy("component").agg(F.count("*").alias("size"), F.sort_array(F.collect_set("id")).alias("members")).orderBy(F.desc("size"), "component")
 
 
 def rank_in(keys: list[str], order: list[Column]) -> Column:

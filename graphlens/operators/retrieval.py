@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.code import occurrences
-from graphlens.operators.graph import IMPACT_KINDS, reach
+from graphlens.operators.graph import IMPACT_KINDS, least_ancestors, reach
+from graphlens.plans.lineage import cut
 
 CANDIDATES = 5000
 EXPAND_PER_SEED = 20
@@ -77,6 +78,12 @@ def terms_of(text: str) -> list[str]:
     return list(dict.fromkeys(t for t in words if len(t) >= 2 and t not in STOP_WORDS))
 
 
+def query_terms(text: Column) -> Column:
+    """The terms of ``terms_of`` for a column of texts."""
+    words = F.split(F.lower(text), r"[^A-Za-z0-9_.$#/-]+")
+    return F.array_distinct(F.filter(words, lambda w: (F.char_length(w) >= 2) & ~w.isin(*STOP_WORDS)))
+
+
 def keyword_score(terms: list[str]) -> Column:
     """0 to 1: weighted hits of the terms in names and signature, and their occurrences in the source, less for long sources."""
 
@@ -194,24 +201,33 @@ def evaluate(results: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> Da
     return case.agg(F.count("*").alias("cases"), *hits, F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"), F.avg("top").alias("mean_top"))
 
 
-def finding_context(findings: DataFrame, units: DataFrame, edges: DataFrame, impact_units: int = 20) -> DataFrame:
+def _dependents(links: DataFrame, marks: DataFrame, k: int) -> DataFrame:
+    """(id, mark): the ``k`` least marks of the units that depend on each unit, from links (src: what is depended on, dst)."""
+    return least_ancestors(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")), marks, k)
+
+
+def finding_context(findings: DataFrame, units: DataFrame, edges: DataFrame, impact_units: int = IMPACT_PER_SEED) -> DataFrame:
     """(finding_id, qualified_name, relation, score) of located findings (finding_id, unit_id): the unit itself, then its
-    callers and callees at one step (up to 20 each, by name), then security-relevant units that depend on it."""
+    callers and callees at one step (up to 20 each, by name), then the first ``impact_units`` security-relevant units, by
+    name, that depend on it at any distance.  All this is found once a unit, however many findings it has.
+    """
     known = units.withColumn("security", security_score())
-    own = findings.filter("unit_id IS NOT NULL").select("finding_id", F.col("unit_id").alias("id"))
+    own = findings.filter("unit_id IS NOT NULL").select(F.col("unit_id").alias("id")).distinct().withColumn("unit_id", F.col("id"))
     calls = edges.filter("kind = 'CALLS'").select("src", "dst").distinct()
     named = known.select("id", "qualified_name", "security")
-    parts = [own.join(named, "id").select("finding_id", "qualified_name", F.lit(0).alias("stage"), F.lit("FINDING").alias("relation"), (1.0 + 0.5 * F.col("security")).alias("score"))]
-    callers = own.withColumnRenamed("id", "dst").join(calls, "dst").select("finding_id", F.col("src").alias("id"))
-    callees = own.withColumnRenamed("id", "src").join(calls, "src").select("finding_id", F.col("dst").alias("id"))
+    parts = [own.join(named, "id").select("unit_id", "qualified_name", F.lit(0).alias("stage"), F.lit("FINDING").alias("relation"), (1.0 + 0.5 * F.col("security")).alias("score"))]
+    callers = own.withColumnRenamed("id", "dst").join(calls, "dst").select("unit_id", F.col("src").alias("id"))
+    callees = own.withColumnRenamed("id", "src").join(calls, "src").select("unit_id", F.col("dst").alias("id"))
     for stage, (relation, near, base) in enumerate((("CALLER", callers, 0.6), ("CALLEE", callees, 0.5)), 1):
-        hit = near.distinct().join(named, "id").withColumn("r", F.row_number().over(Window.partitionBy("finding_id").orderBy("qualified_name", "id"))).filter(F.col("r") <= EXPAND_PER_SEED)
-        parts.append(hit.select("finding_id", "qualified_name", F.lit(stage).alias("stage"), F.lit(relation).alias("relation"), (base + 0.5 * F.col("security")).alias("score")))
-    near = reduce(DataFrame.unionByName, parts)
-    links = edges.filter(F.col("kind").isin(*IMPACT_KINDS)).select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct()
-    back = own.withColumnRenamed("id", "src").join(links, "src").select("finding_id", F.col("dst").alias("src"))
-    second = back.join(links, "src").select("finding_id", F.col("dst").alias("id")).unionByName(back.withColumnRenamed("src", "id")).distinct()
-    more = second.join(named.filter("security > 0"), "id").join(near.select("finding_id", "qualified_name"), ["finding_id", "qualified_name"], "left_anti")
-    top = more.withColumn("r", F.row_number().over(Window.partitionBy("finding_id").orderBy("qualified_name", "id"))).filter(F.col("r") <= impact_units)
-    found = near.unionByName(top.select("finding_id", "qualified_name", F.lit(3).alias("stage"), F.lit("IMPACT").alias("relation"), (0.2 + 0.5 * F.col("security")).alias("score")))
+        hit = near.distinct().join(named, "id").withColumn("r", F.row_number().over(Window.partitionBy("unit_id").orderBy("qualified_name", "id"))).filter(F.col("r") <= EXPAND_PER_SEED)
+        parts.append(hit.select("unit_id", "qualified_name", F.lit(stage).alias("stage"), F.lit(relation).alias("relation"), (base + 0.5 * F.col("security")).alias("score")))
+    near = cut(reduce(DataFrame.unionByName, parts))
+    links = edges.filter(F.col("kind").isin(*IMPACT_KINDS)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    marks = named.filter("security > 0").select(F.col("id"), F.struct("qualified_name", F.col("id").alias("unit")).alias("mark"))
+    # dependents by name: those that stand nearer already are passed over, so a unit may need that many more
+    dependents = _dependents(links, marks, impact_units + 2 * EXPAND_PER_SEED + 1)
+    more = own.join(dependents, "id").select("unit_id", "mark.qualified_name", F.col("mark.unit").alias("id")).join(near.select("unit_id", "qualified_name"), ["unit_id", "qualified_name"], "left_anti")
+    top = more.join(named.select("id", "security"), "id").withColumn("r", F.row_number().over(Window.partitionBy("unit_id").orderBy("qualified_name", "id"))).filter(F.col("r") <= impact_units)
+    every = near.unionByName(top.select("unit_id", "qualified_name", F.lit(3).alias("stage"), F.lit("IMPACT").alias("relation"), (0.2 + 0.5 * F.col("security")).alias("score")))
+    found = findings.select("finding_id", "unit_id").join(every, "unit_id")
     return found.groupBy("finding_id", "qualified_name").agg(F.min(F.struct("stage", "relation", "score")).alias("x")).select("finding_id", "qualified_name", "x.relation", "x.score")

@@ -146,13 +146,13 @@ def variants(seeds: DataFrame, units: DataFrame, limit: int = 500) -> DataFrame:
         return F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(n).alias("sink"), F.regexp_extract(text, p + r"([^)]*)\)", 1).alias("arg"))) for n, p in SINKS.items()]))
 
     dynamic = lambda a: (F.trim(a) != "") & ~F.trim(a).rlike(r"^(?:\"[^\"]*\"|'[^']*'|[-+]?\d+(\.\d+)?)$")
-    left = seeds.select("project_id", "seed_id", "rule_id", "detail", F.explode(sinks(F.col("detail"))).alias("s")).select("project_id", "seed_id", "rule_id", "detail", "s.sink", F.col("s.arg").alias("seed_arg"))
-    right = units.select("project_id", F.col("id").alias("unit_id"), "raw_source", F.explode(sinks(F.col("raw_source"))).alias("s")).select("project_id", "unit_id", "raw_source", "s.sink", F.col("s.arg").alias("unit_arg"))
+    left = seeds.select("project_id", "seed_id", "rule_id", "detail", F.explode(sinks(F.col("detail"))).alias("s")).select("project_id", "seed_id", "rule_id", source_tokens(F.col("detail")).alias("a"), "s.sink", dynamic(F.col("s.arg")).alias("seed_dynamic"))
+    right = units.select("project_id", F.col("id").alias("unit_id"), "raw_source", F.explode(sinks(F.col("raw_source"))).alias("s")).select("project_id", "unit_id", source_tokens(F.col("raw_source")).alias("b"), "s.sink", dynamic(F.col("s.arg")).alias("unit_dynamic"))
     known = seeds.select("project_id", "rule_id", "unit_id").distinct()
     both = left.join(right, ["project_id", "sink"]).join(known, ["project_id", "rule_id", "unit_id"], "left_anti")
-    a, b = source_tokens(F.col("detail")), source_tokens(F.col("raw_source"))
-    like = F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(0.0))
-    score = F.least(F.lit(0.95), 0.65 + 0.25 * like + F.when(dynamic(F.col("seed_arg")) & dynamic(F.col("unit_arg")), 0.05).otherwise(0.0))
+    shared = F.size(F.array_intersect("a", "b"))
+    like = F.coalesce(F.try_divide(shared, F.size("a") + F.size("b") - shared), F.lit(0.0))
+    score = F.least(F.lit(0.95), 0.65 + 0.25 * like + F.when(F.col("seed_dynamic") & F.col("unit_dynamic"), 0.05).otherwise(0.0))
     rows = both.select("project_id", "seed_id", "rule_id", "unit_id", "sink", score.alias("score")).withColumn("fingerprint", short_hash(F.col("project_id"), F.col("rule_id"), F.col("unit_id"), between="|"))
     return rows.orderBy(F.desc("score"), "fingerprint", "seed_id", "sink").limit(min(limit, 500))
 

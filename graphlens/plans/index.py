@@ -42,3 +42,32 @@ def admitted(history: DataFrame, requests: DataFrame) -> DataFrame:
     """Requests to index (project_id) with whether they are accepted: not while the project is being indexed."""
     running = history.filter("status = 'running'").select("project_id", F.lit(True).alias("busy")).distinct()
     return requests.join(running, "project_id", "left").select("project_id", F.col("busy").isNull().alias("accepted"))
+
+
+def dirty(cache: DataFrame, changed: DataFrame) -> DataFrame:
+    """The cache (project_id, file_path, hash, dirty) with the files (project_id, file_path) about to be parsed marked, new ones without a hash."""
+    both = cache.join(changed.withColumn("_c", F.lit(True)), ["project_id", "file_path"], "full")
+    return both.select("project_id", "file_path", "hash", (F.coalesce("_c", F.lit(False)) | F.coalesce("dirty", F.lit(False))).alias("dirty"))
+
+
+def committed(cache: DataFrame, parsed: DataFrame, current: DataFrame) -> DataFrame:
+    """The cache after a run: a parsed file (project_id, file_path, hash) is clean if it has that hash still; others stay as they are."""
+    seen = parsed.select("project_id", "file_path", F.col("hash").alias("_p")).join(current.select("project_id", "file_path", F.col("hash").alias("_n")), ["project_id", "file_path"])
+    same = seen.filter("_p = _n").select("project_id", "file_path", "_p")
+    return cache.join(same, ["project_id", "file_path"], "left").select("project_id", "file_path", F.coalesce("_p", "hash").alias("hash"), (F.col("dirty") & F.col("_p").isNull()).alias("dirty"))
+
+
+def gone_files(cached: DataFrame, current: DataFrame, units: DataFrame) -> DataFrame:
+    """(project_id, file_path) to take out of the index: cached files that were deleted, and files of units that are not on disk."""
+    keys = ["project_id", "file_path"]
+    return cached.select(*keys).unionByName(units.filter("trim(file_path) <> ''").select(*keys)).distinct().join(current.select(*keys), keys, "left_anti")
+
+
+def upsert_vectors(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Vectors by id: new ones take the place of old ones."""
+    return old.join(new.select("id").distinct(), "id", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+
+
+def without_project(vectors: DataFrame, project_id: str) -> DataFrame:
+    """Vectors without those of a project."""
+    return vectors.filter(F.col("project_id") != project_id)

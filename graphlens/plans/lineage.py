@@ -26,3 +26,24 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/steps/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Visited:
+    """What a loop has found so far: one table in the shared folder that grows by a step at a time.
+
+    A lost executor costs the tasks it ran; no step is planned again after it is written.
+    """
+
+    def __init__(self, first: DataFrame):
+        self.spark, self.schema = first.sparkSession, first.schema
+        self.path, self.n = f"{shared_folder(self.spark)}/steps/{uuid.uuid4().hex}", 0
+        self.add(first)
+
+    def add(self, rows: DataFrame) -> int:
+        """Append ``rows`` and return how many they are, from the files' footers."""
+        rows.select(*self.schema.names).write.mode("append").parquet(self.path)
+        before, self.n = self.n, self.rows().count()
+        return self.n - before
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)

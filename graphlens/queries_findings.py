@@ -39,30 +39,23 @@ def a2_report(spark, sf_dir):
     return fd.report(load(spark, sf_dir, "findings").filter("project_id = 'p1'"))
 
 
-_EXTERNAL = "SELECT 'x' || CAST(event_id AS VARCHAR) AS finding_id, 'p1' AS project_id, u.file_path, CAST(10 * u.num + event_id % 12 AS INT) AS line, u.qualified_name AS symbol FROM events JOIN units u ON u.num = event_id % (SELECT count(*) FROM supplier) + 1 WHERE event_id < 500 AND u.project_id = 'p1'"
+_EXTERNAL = "SELECT 'x' || CAST(event_id AS VARCHAR) AS finding_id, 'p1' AS project_id, u.file_path, CAST(10 * u.num + 10 + event_id % 12 AS INT) AS line, u.qualified_name AS symbol FROM events JOIN units u ON u.num = event_id % (SELECT count(*) FROM part) WHERE u.project_id = 'p1'"
 
 
 @query(
     duck(
-        "SELECT finding_id, coalesce((SELECT arg_min(u.id, [CAST(u.end_line - u.start_line AS VARCHAR), u.id]) FROM units u WHERE u.project_id = e.project_id AND u.file_path = e.file_path AND e.line BETWEEN u.start_line AND u.end_line), (SELECT min(u.id) FROM units u WHERE u.project_id = e.project_id AND u.qualified_name = e.symbol)) AS unit_id FROM ext e",
+        "SELECT finding_id, coalesce(located, named) AS unit_id FROM ext LEFT JOIN at_line USING (finding_id) LEFT JOIN by_name ON ext.project_id = by_name.project_id AND symbol = qualified_name",
         ext=_EXTERNAL,
+        at_line="SELECT finding_id, arg_min(u.id, (u.end_line - u.start_line, u.id)) AS located FROM ext e JOIN units u ON u.project_id = e.project_id AND u.file_path = e.file_path AND e.line BETWEEN u.start_line AND u.end_line GROUP BY 1",
+        by_name="SELECT project_id, qualified_name, min(id) AS named FROM units GROUP BY ALL",
     )
 )
 def j8_finding_units(spark, sf_dir):
-    return _finding_units(spark, sf_dir, load(spark, sf_dir, "events").filter("event_id < 500"))
-
-
-@query(None)
-def j8_finding_units_all(spark, sf_dir):
-    return _finding_units(spark, sf_dir, load(spark, sf_dir, "events"))
-
-
-def _finding_units(spark, sf_dir, events):
     units = load(spark, sf_dir, "units")
-    n = load(spark, sf_dir, "supplier").count()
+    n = load(spark, sf_dir, "part").count()
     own = units.filter("project_id = 'p1'").select("num", "file_path", F.col("qualified_name").alias("symbol"))
-    e = events.withColumn("num", F.col("event_id") % n + 1).join(own, "num")
-    ext = e.select(F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("finding_id"), F.lit("p1").alias("project_id"), "file_path", (10 * F.col("num") + F.col("event_id") % 12).cast("int").alias("line"), "symbol")
+    e = load(spark, sf_dir, "events").withColumn("num", F.col("event_id") % n).join(own, "num")
+    ext = e.select(F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("finding_id"), F.lit("p1").alias("project_id"), "file_path", (10 * F.col("num") + 10 + F.col("event_id") % 12).cast("int").alias("line"), "symbol")
     return fd.units_of(ext, units).select("finding_id", "unit_id")
 
 
@@ -113,12 +106,12 @@ def w8_first_seen(spark, sf_dir):
     return fd.latest(load(spark, sf_dir, "findings"), ["fingerprint"], "event_id").select("fingerprint", "event_id")
 
 
-@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events WHERE event_type = 'signup'")
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS version, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM events")
 def w3_versions(spark, sf_dir):
     from pyspark.sql import Window
 
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return load(spark, sf_dir, "events").filter("event_type = 'signup'").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("version"), F.lag("event_id").over(w).alias("previous"))
+    return load(spark, sf_dir, "events").select("user_id", "event_id", F.row_number().over(w).cast("long").alias("version"), F.lag("event_id").over(w).alias("previous"))
 
 
 def _fold_sql(machine, actions: dict[str, str], start: str) -> str:
@@ -172,17 +165,9 @@ def d3_external_first_seen(spark, sf_dir):
     return fd.merge_first_seen(old, f.filter("event_id % 2 = 1").select("fingerprint", F.col("found_at").alias("seen")))
 
 
-@query("SELECT user_id AS batch, CASE WHEN bool_and(event_type IN ('view', 'click')) THEN 'SUCCEEDED' WHEN bool_or(event_type IN ('view', 'click', 'signup')) THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM events WHERE event_id % 37 = 0 GROUP BY 1")
+@query("SELECT user_id AS batch, CASE WHEN bool_and(event_type IN ('view', 'click')) THEN 'SUCCEEDED' WHEN bool_or(event_type IN ('view', 'click', 'signup')) THEN 'PARTIAL' ELSE 'FAILED' END AS status FROM events GROUP BY 1")
 def a14_batch_status(spark, sf_dir):
-    return _batch_status(load(spark, sf_dir, "events").filter("event_id % 37 = 0"))
-
-
-@query(None)
-def a14_batch_status_all(spark, sf_dir):
-    return _batch_status(load(spark, sf_dir, "events"))
-
-
-def _batch_status(events):
+    events = load(spark, sf_dir, "events")
     s = F.when(F.col("event_type").isin("view", "click"), "SUCCEEDED").when(F.col("event_type") == "signup", "PARTIAL").otherwise("FAILED")
     return fd.batch_status(events.select(F.col("user_id").alias("batch"), s.alias("status")))
 
@@ -218,45 +203,92 @@ def s213_change_bursts(spark, sf_dir):
     return bursts(load(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("project_id"), "ts"), "3 minutes")
 
 
-_SUMMARY = """SELECT 'm' || CAST(s_suppkey AS STRING) AS method, CAST(0 AS INT) AS from_param, CASE WHEN s_suppkey % 5 = 0 THEN 'SINK' WHEN s_suppkey % 7 = 0 THEN 'RETURN' ELSE 'CALL_ARG' END AS kind,
-CASE WHEN s_suppkey % 5 = 0 THEN CASE WHEN s_suppkey % 2 = 0 THEN 'executeQuery' WHEN s_suppkey % 3 = 0 THEN 'exec' ELSE 'lookup' END ELSE 'run' END AS callee, CAST(0 AS INT) AS to_index FROM {supplier}"""
-_CALLS = "SELECT DISTINCT src AS method, dst AS callee_method, 'run' AS callee_name FROM edges WHERE kind = 'CALLS'"
-_TAINT = {
-    "summary": _SUMMARY.replace("{supplier}", "supplier"),
-    "calls": _CALLS,
-    "walk": "SELECT id AS entry, id AS method, 1 AS d FROM units WHERE is_entry_point UNION SELECT entry, callee_method, d + 1 FROM walk JOIN summary USING (method) JOIN calls USING (method) WHERE kind = 'CALL_ARG' AND d < 6",
-    "ends": "SELECT entry, method, min(d) AS d FROM walk GROUP BY ALL",
-}
+#: Sinks that the summaries of parts come to, by a fifth of the part's number; the last has no rule.
+_SINKS = ("executeQuery", "lookup", "exec", "print", "sendRedirect", "parse", "search", "invoke", "mystery")
+_SUMMARY = f"""SELECT 'm' || CAST(p_partkey AS STRING) AS method, CAST(0 AS INT) AS from_param, CASE WHEN p_partkey % 5 = 0 THEN 'SINK' WHEN p_partkey % 7 = 0 THEN 'RETURN' ELSE 'CALL_ARG' END AS kind,
+CASE WHEN p_partkey % 5 <> 0 THEN 'run' {' '.join(f"WHEN CAST(floor(p_partkey / 5) AS INT) % {len(_SINKS)} = {k} THEN '{x}'" for k, x in enumerate(_SINKS))} END AS callee, CAST(0 AS INT) AS to_index FROM {{part}}"""
 
 
-@query(duck("SELECT entry, kind AS end_kind, callee AS sink, d AS depth, count(*) AS paths FROM ends JOIN summary USING (method) WHERE kind = 'SINK' GROUP BY ALL", **_TAINT))
-def x6_taint_paths(spark, sf_dir):
-    paths = _paths(spark, sf_dir).filter("end = 'SINK'")
-    return paths.groupBy("entry", F.col("end").alias("end_kind"), "sink", "depth").agg(F.count("*").alias("paths"))
+def _queue(start: str, hop: str, depth: int, limit: int) -> dict[str, str]:
+    """Parts of SQL for a search from each entry, a level a part: first come first served in the order of paths, ``limit`` nodes an entry.
 
+    ``start`` gives (entry, id, path), ``hop`` (id, next, mark); s<depth> has all nodes (entry, id, path, d) in the end.
+    """
+    parts = {"hop": hop, "l0": start, "s0": "SELECT entry, id, path, 0 AS d FROM l0"}
+    for d in range(1, depth + 1):
+        parts[f"c{d}"] = f"SELECT entry, next AS id, min(list_append(path, mark)) AS path FROM l{d - 1} JOIN hop USING (id) GROUP BY ALL"
+        parts[f"n{d}"] = f"SELECT c{d}.* FROM c{d} ANTI JOIN s{d - 1} USING (entry, id)"
+        parts[f"l{d}"] = f"SELECT entry, id, path FROM (SELECT n{d}.*, have + row_number() OVER (PARTITION BY entry ORDER BY path) AS r FROM n{d} JOIN (SELECT entry, count(*) AS have FROM s{d - 1} GROUP BY 1) USING (entry)) WHERE r <= {limit}"
+        parts[f"s{d}"] = f"SELECT * FROM s{d - 1} UNION ALL SELECT entry, id, path, {d} FROM l{d}"
+    return parts
 
-def _paths(spark, sf_dir):
-    units, edges = load(spark, sf_dir, "units"), load(spark, sf_dir, "edges")
-    summaries = spark.sql(_SUMMARY, supplier=load(spark, sf_dir, "supplier"))
-    calls = edges.filter("kind = 'CALLS'").select(F.col("src").alias("method"), F.col("dst").alias("callee_method"), F.lit("run").alias("callee_name")).distinct()
-    entries = units.filter("is_entry_point").select(F.col("id").alias("entry"), F.lit(0).alias("param"))
-    return flow.taint_paths(summaries, calls, entries, 6)
+
+_TAINT = {
+    "summary": _SUMMARY.replace("{part}", "part"),
+    **_queue(
+        "SELECT id AS entry, id, [id || ':0'] AS path FROM units WHERE is_entry_point",
+        "SELECT DISTINCT src AS id, dst AS next, dst || ':0' AS mark FROM edges JOIN summary ON src = method WHERE edges.kind = 'CALLS' AND summary.kind = 'CALL_ARG'",
+        6, flow.MAX_METHODS,
+    ),
+    "ends": "SELECT entry, summary.kind AS end_kind, CASE WHEN summary.kind = 'SINK' THEN callee END AS sink, d + 1 AS depth, path FROM s6 JOIN summary ON id = method WHERE summary.kind <> 'CALL_ARG'",
+    "first": f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entry ORDER BY depth, path, end_kind, coalesce(sink, '')) AS r, count(*) OVER (PARTITION BY entry) AS every FROM ends) WHERE r <= {flow.MAX_PATHS}",
+}
+
+
+@query(duck("SELECT entry, end_kind, coalesce(sink, '') AS sink, depth, count(*) AS paths FROM first GROUP BY ALL", **_TAINT))
+def x6_taint_paths(spark, sf_dir):
+    return _taint(spark, sf_dir)[0].groupBy("entry", F.col("end").alias("end_kind"), F.coalesce("sink", F.lit("")).alias("sink"), "depth").agg(F.count("*").alias("paths"))
 
 
 @query(
     duck(
-        "SELECT entry, sink, min(d) AS depth, CASE sink WHEN 'executeQuery' THEN 'SQL_INJECTION_TAINT' WHEN 'exec' THEN 'COMMAND_INJECTION_TAINT' ELSE 'TAINT_SINK' END AS rule_id, CASE sink WHEN 'executeQuery' THEN 'CWE-89' WHEN 'exec' THEN 'CWE-78' ELSE 'CWE-XX' END AS cwe FROM (SELECT entry, callee AS sink, d FROM ends JOIN summary USING (method) WHERE kind = 'SINK') GROUP BY entry, sink",
+        f"SELECT entry, count(*) AS methods, count(*) > {flow.MAX_METHODS - 1} AND (SELECT count(*) FROM over_ o WHERE o.entry = s6.entry) > 0 OR bool_or(d = 6 AND id IN (SELECT id FROM hands_on)) OR (SELECT count(*) FROM ends e WHERE e.entry = s6.entry) > {flow.MAX_PATHS} AS truncated FROM s6 GROUP BY entry",
         **_TAINT,
+        hands_on="SELECT method AS id FROM summary WHERE kind = 'CALL_ARG'",
+        over_=" UNION ALL ".join(f"SELECT entry FROM n{d} ANTI JOIN l{d} USING (entry, id)" for d in range(1, 7)),
     )
 )
+def x6_taint_runs(spark, sf_dir):
+    return _taint(spark, sf_dir)[1].select("entry", "methods", "truncated")
+
+
+def _taint(spark, sf_dir):
+    units, edges = load(spark, sf_dir, "units"), load(spark, sf_dir, "edges")
+    summaries = spark.sql(_SUMMARY, part=load(spark, sf_dir, "part"))
+    calls = edges.filter("kind = 'CALLS'").select(F.col("src").alias("method"), F.col("dst").alias("callee_method"), F.lit("run").alias("callee_name")).distinct()
+    entries = units.filter("is_entry_point").select(F.col("id").alias("entry"), F.lit(0).alias("param"))
+    return flow.taint(summaries, calls, entries)
+
+
+#: The rules of the sinks above, written out.
+_RULES = """(VALUES ('executeQuery', 'SQL_INJECTION_TAINT', 'CWE-89', 'HIGH'), ('lookup', 'JNDI_INJECTION_TAINT', 'CWE-917', 'CRITICAL'), ('exec', 'COMMAND_INJECTION_TAINT', 'CWE-78', 'HIGH'), ('print', 'XSS_TAINT', 'CWE-79', 'MEDIUM'),
+('sendRedirect', 'OPEN_REDIRECT_TAINT', 'CWE-601', 'MEDIUM'), ('parse', 'XXE_TAINT', 'CWE-611', 'HIGH'), ('search', 'LDAP_INJECTION_TAINT', 'CWE-90', 'HIGH'), ('invoke', 'UNSAFE_REFLECTION_TAINT', 'CWE-470', 'HIGH'), ('mystery', 'TAINT_SINK', 'CWE-XX', 'HIGH')) rules(sink, rule_id, cwe, severity)"""
+
+
+@query(duck(f"SELECT entry, sink, min(depth) AS depth, rule_id, cwe, severity, substr(sha256('p1:' || rule_id || ':' || entry || ':0:' || sink), 1, 16) AS finding_id FROM first JOIN {_RULES} USING (sink) WHERE end_kind = 'SINK' GROUP BY ALL", **_TAINT))
 def x7_taint_scan(spark, sf_dir):
-    return flow.taint_findings(_paths(spark, sf_dir)).select("entry", "sink", "depth", "rule_id", "cwe")
+    return flow.taint_findings(_taint(spark, sf_dir)[0], "p1").select("entry", "sink", "depth", "rule_id", "cwe", "severity", "finding_id")
+
 
+_ROUTES = _queue("SELECT id AS entry, id, [id] AS path FROM units WHERE is_entry_point", "SELECT DISTINCT src AS id, dst AS next, dst AS mark FROM edges WHERE kind = 'CALLS'", flow.MAX_DEPTH, flow.MAX_METHODS)
 
-@query(duck("SELECT root, id, min(d) AS depth FROM walk GROUP BY ALL", link="SELECT DISTINCT src, dst FROM edges WHERE kind = 'CALLS'", walk="SELECT id AS root, id, 0 AS d FROM units WHERE is_entry_point UNION SELECT root, dst, d + 1 FROM walk JOIN link ON id = src WHERE d < 4"))
+
+@query(duck(f"SELECT entry AS root, id, d AS depth FROM s{flow.MAX_DEPTH}", **_ROUTES))
 def g6_routes(spark, sf_dir):
     units, edges = load(spark, sf_dir, "units"), load(spark, sf_dir, "edges")
-    return flow.routes(edges, units.filter("is_entry_point").select("id"), 4, 1 << 30).select("root", "id", "depth")
+    return flow.routes(edges, units.filter("is_entry_point").select("id")).select("root", "id", "depth")
+
+
+@query(
+    duck(
+        f"SELECT entry AS root, r.kind AS kind, target, qualified_name AS method, min(d) AS depth FROM s{flow.MAX_DEPTH} s JOIN units u ON s.id = u.id JOIN (VALUES ('DATABASE', 'executeQuery', 'executeQuery('), ('DANGEROUS_SINK', 'Runtime.exec', 'Runtime.getRuntime().exec(')) r(kind, target, mark) ON contains(u.raw_source, r.mark) GROUP BY ALL",
+        **_ROUTES,
+    )
+)
+def x9_resource_accesses(spark, sf_dir):
+    units, edges = load(spark, sf_dir, "units"), load(spark, sf_dir, "edges")
+    found = flow.routes(edges, units.filter("is_entry_point").select("id"))
+    return flow.resource_accesses(found, units).select("root", "kind", "target", "method", "depth")
 
 
 @query(duck("SELECT u.id, CAST(count(e.src) AS BIGINT) AS callers, count(e.src) > 0 OR u.is_entry_point AS reachable FROM units u LEFT JOIN (SELECT DISTINCT src, dst FROM edges WHERE kind = 'CALLS') e ON e.dst = u.id WHERE u.num IS NOT NULL GROUP BY u.id, u.is_entry_point"))

@@ -54,21 +54,46 @@ def s1_scanned_files(spark, sf_dir):
     return _paths(spark, sf_dir).filter(files.included(F.col("file_path")))
 
 
-@query(f"SELECT 'category' AS bucket, {_CATEGORY} AS key, count(*) AS n FROM ({_PATHS.replace('{part}', 'part')}) GROUP BY 2 UNION ALL SELECT 'language', {_LANG} AS l, count(*) FROM ({_PATHS.replace('{part}', 'part')}) WHERE l IS NOT NULL GROUP BY 2")
+#: Languages of an asset's files, written out: documents and bytecode have none.
+_FILE_LANG = "CASE WHEN regexp_matches(file_path, '\\.java$') THEN 'java' WHEN regexp_matches(file_path, '\\.tsx$') THEN 'typescript' WHEN regexp_matches(file_path, '\\.js$') THEN 'javascript' WHEN regexp_matches(file_path, '\\.hpp$') THEN 'cpp' END"
+
+
+@query("SELECT p_partkey, CASE p_partkey % 25 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate("java kotlin kotlin c cpp python javascript typescript go rust php ruby swift csharp solidity scala groovy yaml yaml xml json toml properties dockerfile".split())) + " END AS language FROM part")
+def p16_file_languages(spark, sf_dir):
+    names = "A.java b.kt b.kts c.h d.hpp e.py f.jsx g.tsx h.go i.rs j.php k.rb l.swift m.cs n.sol o.scala p.groovy q.yml q.yaml r.xml s.json t.toml u.properties Dockerfile v.unknown".split()
+    path = F.concat(F.lit("src/"), F.element_at(F.array(*map(F.lit, names)), (F.col("p_partkey") % 25 + 1).cast("int")))
+    return load(spark, sf_dir, "part").select("p_partkey", files.file_language(path).alias("language"))
+
+
+@query(f"SELECT 'category' AS bucket, {_CATEGORY} AS key, count(*) AS n FROM ({_PATHS.replace('{part}', 'part')}) GROUP BY 2 UNION ALL SELECT 'language', {_FILE_LANG} AS l, count(*) FROM ({_PATHS.replace('{part}', 'part')}) WHERE l IS NOT NULL GROUP BY 2")
 def a11_asset_distributions(spark, sf_dir):
     return files.distributions(_paths(spark, sf_dir))
 
 
-@query(
-    "WITH f AS (SELECT n_nationkey AS project_id, CASE n_nationkey % 4 WHEN 0 THEN 'java' WHEN 1 THEN 'solidity' WHEN 2 THEN 'python' ELSE '' END AS lang, CASE WHEN n_nationkey % 3 = 0 THEN 'maven' ELSE '' END AS build FROM nation)"
-    " SELECT project_id, 'GRAPH_CODE' AS scanner, lang IN ('java', 'python') AS selected FROM f UNION ALL SELECT project_id, 'GRAPH_TAINT', lang = 'java' FROM f UNION ALL SELECT project_id, 'PRECISE_TAINT', lang = 'java' AND build = 'maven' FROM f"
-    " UNION ALL SELECT project_id, 'SEMGREP', true FROM f UNION ALL SELECT project_id, 'CODEQL', false FROM f UNION ALL SELECT project_id, 'SLITHER', lang = 'solidity' FROM f UNION ALL SELECT project_id, 'DEPENDENCY_CVE', build <> '' FROM f"
+#: Which scanners take a language, written out.
+_TAKES = {"GRAPH_CODE": "java python", "GRAPH_TAINT": "java", "SEMGREP": "java solidity python go cpp", "CODEQL": "java python csharp", "SLITHER": "solidity"}
+_PLAN = "WITH f AS (SELECT n_nationkey AS project_id, ['java', 'solidity', 'python', 'go', 'csharp', 'cpp', '', 'swift'][n_nationkey % 8 + 1] AS lang, CASE WHEN n_nationkey % 3 = 0 THEN 'maven' ELSE '' END AS build FROM nation) " + " UNION ALL ".join(
+    [f"SELECT project_id, '{s}' AS scanner, lang IN ({', '.join(repr(x) for x in v.split())}) AS selected, 'AUTO' AS source FROM f" for s, v in _TAKES.items()]
+    + ["SELECT project_id, 'PRECISE_TAINT', lang = 'java' AND build = 'maven', 'AUTO' FROM f", "SELECT project_id, 'DEPENDENCY_CVE', build <> '', 'AUTO' FROM f"]
 )
-def p17_scanner_plan(spark, sf_dir):
+
+
+def _facts(spark, sf_dir):
     k = F.col("n_nationkey")
-    lang = F.when(k % 4 == 0, F.array(F.lit("java"))).when(k % 4 == 1, F.array(F.lit("solidity"))).when(k % 4 == 2, F.array(F.lit("python"))).otherwise(F.array().cast("array<string>"))
-    facts = load(spark, sf_dir, "nation").select(k.alias("project_id"), lang.alias("languages"), F.when(k % 3 == 0, F.array(F.lit("maven"))).otherwise(F.array().cast("array<string>")).alias("builds"))
-    return files.scanner_plan(facts, include=["SEMGREP"], exclude=["CODEQL"])
+    langs = F.array(*map(F.lit, ("java", "solidity", "python", "go", "csharp", "cpp", "", "swift")))
+    one = F.element_at(langs, (k % 8 + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    return load(spark, sf_dir, "nation").select(k.alias("project_id"), F.when(one == "", none).otherwise(F.array(one)).alias("languages"), F.when(k % 3 == 0, F.array(F.lit("maven"))).otherwise(none).alias("builds"))
+
+
+@query(_PLAN)
+def p17_scanner_plan(spark, sf_dir):
+    return files.scanner_plan(_facts(spark, sf_dir))
+
+
+@query(f"SELECT project_id, scanner, CASE scanner WHEN 'SEMGREP' THEN true WHEN 'CODEQL' THEN false ELSE selected END AS selected, CASE scanner WHEN 'SEMGREP' THEN 'INCLUDE_OVERRIDE' WHEN 'CODEQL' THEN 'EXCLUDE_OVERRIDE' ELSE source END AS source FROM ({_PLAN})")
+def p17_scanner_overrides(spark, sf_dir):
+    return files.scanner_plan(_facts(spark, sf_dir), include=["SEMGREP", "CODEQL"], exclude=["CODEQL"])
 
 
 @query("SELECT 'f' || CAST(o_custkey % 40 AS VARCHAR) || '/a.java' AS file_path, count(*) AS changes FROM orders WHERE o_orderkey % 5 <> 0 GROUP BY 1")
@@ -78,17 +103,9 @@ def s12_churn(spark, sf_dir):
     return files.churn(o.select(line.alias("value")))
 
 
-@query("SELECT p_partkey, 'd' || CAST(p_partkey AS VARCHAR) || '#' || s AS qualified_name FROM part, (VALUES ('One'), ('Two'), ('One-L5')) t(s) WHERE p_partkey < 500 AND p_partkey % 6 <> 0 AND p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'd' || CAST(p_partkey AS VARCHAR) || '#d' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey < 500 AND p_partkey % 2 = 1")
+@query("SELECT p_partkey, 'd' || CAST(p_partkey AS VARCHAR) || '#' || s AS qualified_name FROM part, (VALUES ('One'), ('Two'), ('One-L5')) t(s) WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, 'd' || CAST(p_partkey AS VARCHAR) || '#d' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_partkey % 2 = 1")
 def s3_sections(spark, sf_dir):
-    return _sections(load(spark, sf_dir, "part").filter("p_partkey < 500 AND p_partkey % 6 <> 0"))
-
-
-@query(None)
-def s3_sections_all(spark, sf_dir):
-    return _sections(load(spark, sf_dir, "part"))
-
-
-def _sections(part):
+    part = load(spark, sf_dir, "part")
     k = F.col("p_partkey")
     text = F.when(k % 2 == 0, F.lit("# One\ntext\n## Two\nmore\n### One\n#### deep\n")).otherwise("plain\ntext")
     docs = part.select(F.concat(F.lit("d"), k.cast("string")).alias("file_path"), text.alias("content"))
@@ -154,13 +171,36 @@ def a9_advice_evaluation(spark, sf_dir):
     return fd.evaluate_advice(s).withColumn("mean_latency", F.round("mean_latency", 6))
 
 
+_FIRST = "(SELECT string_agg(e, ',' ORDER BY {by}) FROM (SELECT * FROM {rows} ORDER BY {by} LIMIT 20))"
+
+
 @query(
     duck(
-        "SELECT rule_id AS signal, count(*) AS n, arg_min(severity, CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'MEDIUM' THEN 2 ELSE 3 END) AS severity, (SELECT string_agg(unit_id, ',' ORDER BY unit_id) FROM (SELECT DISTINCT unit_id FROM findings g WHERE g.rule_id = f.rule_id AND g.project_id = 'p1' ORDER BY unit_id LIMIT 20)) AS evidence FROM findings f WHERE project_id = 'p1' GROUP BY rule_id"
+        f"SELECT 'PUBLIC_HTTP_ENTRY' AS signal, count(*) AS n, 'MEDIUM' AS severity, {_FIRST.format(by='place, e', rows='entry_places')} AS evidence FROM own WHERE is_entry_point"
+        f" UNION ALL SELECT 'DANGEROUS_SINK', count(*), 'HIGH', {_FIRST.format(by='place, e', rows='sink_places')} FROM sinks"
+        f" UNION ALL SELECT 'SENSITIVE_CONFIG', count(*), 'HIGH', {_FIRST.format(by='e', rows='config')} FROM config"
+        f" UNION ALL SELECT 'DEPENDENCY_CVE', count(*), 'CRITICAL', {_FIRST.format(by='e', rows='cve_titles')} FROM cve"
+        f" UNION ALL SELECT 'HIGH_CHURN_HOTSPOT', count(*), 'MEDIUM', (SELECT string_agg(e, ',' ORDER BY score DESC, e) FROM hot) FROM hot",
+        own="SELECT *, file_path || ':' || CAST(start_line AS VARCHAR) AS e, (file_path, start_line, id) AS place FROM units WHERE project_id = 'p1'",
+        entry_places="SELECT e, min(place) AS place FROM own WHERE is_entry_point GROUP BY 1",
+        sinks="SELECT * FROM own WHERE kind IN ('METHOD', 'CONSTRUCTOR', 'FUNCTION') AND (contains(raw_source, 'Runtime.getRuntime().exec') OR contains(raw_source, 'executeQuery(') OR contains(raw_source, 'readObject('))",
+        sink_places="SELECT e, min(place) AS place FROM sinks GROUP BY 1",
+        config="SELECT 'conf/' || CAST(s_suppkey AS VARCHAR) || CASE s_suppkey % 3 WHEN 0 THEN '.yml' WHEN 1 THEN '/.env' END AS e FROM supplier WHERE s_suppkey % 3 < 2 AND s_suppkey % 2 = 0 AND s_suppkey % 5 > 0",
+        cve="SELECT 'cve ' || fingerprint AS e FROM findings WHERE project_id = 'p1' AND rule_id = 'SQL_INJECTION' AND status IN ('SUSPECTED', 'CONFIRMED')",
+        cve_titles="SELECT DISTINCT e FROM cve",
+        churn="SELECT 'src/' || lower(replace(r_name, ' ', '')) || '/' || replace(n_name, ' ', '') || '.java' AS e, n_nationkey AS score FROM nation JOIN region ON n_regionkey = r_regionkey",
+        hot="SELECT * FROM churn ORDER BY score DESC, e LIMIT 10",
     )
 )
 def a12_risk_signals(spark, sf_dir):
-    return fd.risk_signals(load(spark, sf_dir, "findings").filter("project_id = 'p1'"))
+    s, findings = F.col("s_suppkey"), load(spark, sf_dir, "findings").filter("project_id = 'p1'")
+    path = F.concat(F.lit("conf/"), s.cast("string"), F.when(s % 3 == 0, ".yml").when(s % 3 == 1, "/.env").otherwise(".txt"))
+    config = load(spark, sf_dir, "supplier").select(path.alias("file_path"), F.when(s % 5 == 0, "GENERATED").otherwise("BUSINESS").alias("category"), F.lit(10).alias("size"), F.when(s % 2 == 0, "db.PASSWORD=x").otherwise("a=b").alias("content"))
+    n, r = load(spark, sf_dir, "nation"), load(spark, sf_dir, "region")
+    hot = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.concat(F.lit("src/"), F.lower(F.replace("r_name", F.lit(" "), F.lit(""))), F.lit("/"), F.replace("n_name", F.lit(" "), F.lit("")), F.lit(".java")).alias("file_path"), F.col("n_nationkey").alias("score"))
+    known = findings.withColumn("rule_id", F.when(F.col("rule_id") == "SQL_INJECTION", "DEP_VULNERABILITY").otherwise(F.col("rule_id")))
+    titled = known.select("rule_id", "status", "severity", F.concat(F.lit("cve "), "fingerprint").alias("title"), F.col("unit_id").alias("qualified_name"))
+    return fd.risk_signals(load(spark, sf_dir, "units").filter("project_id = 'p1'"), config, titled, hot)
 
 
 @query("SELECT conv_id AS case_id, 'a' AS kept, CAST(conv_id % 3 AS VARCHAR) AS rejected FROM (SELECT DISTINCT conv_id FROM conversations)")
@@ -174,26 +214,22 @@ def s5_citation_whitelist(spark, sf_dir):
     duck(
         "SELECT finding_id, qualified_name, relation, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY finding_id, qualified_name ORDER BY stage) AS r FROM allrows) WHERE r = 1",
         sec=f"SELECT id, qualified_name, CAST({_SECURITY} AS DOUBLE) AS security FROM units",
-        own="SELECT id AS finding_id, unit_id FROM findings WHERE event_id < 40",
+        own="SELECT id AS finding_id, unit_id FROM findings",
+        seeds="SELECT DISTINCT unit_id FROM findings",
         calls="SELECT DISTINCT src, dst FROM edges WHERE kind = 'CALLS'",
         links="SELECT DISTINCT dst AS src, src AS dst FROM edges WHERE kind IN ('CALLS', 'DEFINES_TYPE', 'OVERRIDES', 'EXTENDS', 'IMPLEMENTS')",
-        near="SELECT finding_id, qualified_name, 0 AS stage, 'FINDING' AS relation, 1.0 + 0.5 * security AS score FROM own JOIN sec ON sec.id = unit_id UNION ALL SELECT finding_id, qualified_name, 1, 'CALLER', 0.6 + 0.5 * security FROM (SELECT own.finding_id, sec.*, row_number() OVER (PARTITION BY own.finding_id ORDER BY qualified_name, sec.id) AS r FROM own JOIN calls ON dst = unit_id JOIN sec ON sec.id = src) WHERE r <= 20 UNION ALL SELECT finding_id, qualified_name, 2, 'CALLEE', 0.5 + 0.5 * security FROM (SELECT own.finding_id, sec.*, row_number() OVER (PARTITION BY own.finding_id ORDER BY qualified_name, sec.id) AS r FROM own JOIN calls ON src = unit_id JOIN sec ON sec.id = dst) WHERE r <= 20",
-        back="SELECT finding_id, dst AS id FROM own JOIN links ON src = unit_id",
-        second="SELECT * FROM back UNION SELECT finding_id, l.dst FROM back JOIN links l ON l.src = back.id",
-        more="SELECT finding_id, sec.*, row_number() OVER (PARTITION BY finding_id ORDER BY qualified_name, sec.id) AS r FROM second JOIN sec USING (id) WHERE security > 0 AND (finding_id, qualified_name) NOT IN (SELECT (finding_id, qualified_name) FROM near)",
-        allrows="SELECT * FROM near UNION ALL SELECT finding_id, qualified_name, 3, 'IMPACT', 0.2 + 0.5 * security FROM more WHERE r <= 20",
+        callers="SELECT unit_id, qualified_name, security, row_number() OVER (PARTITION BY unit_id ORDER BY qualified_name, sec.id) AS r FROM seeds JOIN calls ON dst = unit_id JOIN sec ON sec.id = src",
+        callees="SELECT unit_id, qualified_name, security, row_number() OVER (PARTITION BY unit_id ORDER BY qualified_name, sec.id) AS r FROM seeds JOIN calls ON src = unit_id JOIN sec ON sec.id = dst",
+        near="SELECT unit_id, qualified_name, 0 AS stage, 'FINDING' AS relation, 1.0 + 0.5 * security AS score FROM seeds JOIN sec ON sec.id = unit_id UNION ALL SELECT unit_id, qualified_name, 1, 'CALLER', 0.6 + 0.5 * security FROM callers WHERE r <= 20 UNION ALL SELECT unit_id, qualified_name, 2, 'CALLEE', 0.5 + 0.5 * security FROM callees WHERE r <= 20",
+        back="SELECT unit_id, dst AS id FROM seeds JOIN links ON src = unit_id UNION SELECT unit_id, l.dst FROM back JOIN links l ON l.src = back.id",
+        others="SELECT unit_id, sec.* FROM back JOIN sec USING (id) WHERE security > 0",
+        more="SELECT unit_id, others.qualified_name, security, row_number() OVER (PARTITION BY unit_id ORDER BY others.qualified_name, id) AS r FROM others ANTI JOIN near USING (unit_id, qualified_name)",
+        units_="SELECT * FROM near UNION ALL SELECT unit_id, qualified_name, 3, 'IMPACT', 0.2 + 0.5 * security FROM more WHERE r <= 20",
+        allrows="SELECT finding_id, qualified_name, stage, relation, score FROM own JOIN units_ USING (unit_id)",
     )
 )
 def v8_finding_context(spark, sf_dir):
-    return _finding_context(spark, sf_dir, load(spark, sf_dir, "findings").filter("event_id < 40"))
-
-
-@query(None)
-def v8_finding_context_all(spark, sf_dir):
-    return _finding_context(spark, sf_dir, load(spark, sf_dir, "findings"))
-
-
-def _finding_context(spark, sf_dir, findings):
+    findings = load(spark, sf_dir, "findings")
     f = findings.select(F.col("id").alias("finding_id"), "unit_id")
     return retrieval.finding_context(f, load(spark, sf_dir, "units"), load(spark, sf_dir, "edges")).withColumn("score", F.round("score", 6))
 

@@ -76,11 +76,15 @@ def accessible(owned: DataFrame, members: DataFrame, actor: str, admin: bool = F
     return own.unionByName(owned.filter("scope = 'ORG'").join(orgs, "owner", "left_semi").select("project_id")).distinct()
 
 
-@query(duck("SELECT project_id FROM owned WHERE (scope = 'PERSONAL' AND owner = 'bob') OR (scope = 'ORG' AND owner = 'org1')", owned=_OWNED))
+@query(
+    "SELECT DISTINCT 'p' || CAST(c_custkey AS VARCHAR) AS project_id FROM customer WHERE (c_custkey % 2 = 0 AND c_custkey % 7 = 3) OR (c_custkey % 2 = 1 AND c_custkey % 5 IN (SELECT s_suppkey % 5 FROM supplier WHERE s_suppkey % 7 = 3 AND s_suppkey % 3 <> 0))"
+)
 def j9_access(spark, sf_dir):
-    owned = spark.createDataFrame([("p1", "PERSONAL", "ann"), ("p2", "ORG", "org1")], "project_id string, scope string, owner string")
-    members = spark.createDataFrame([("bob", "org1", True)], "actor string, org string, active boolean")
-    return accessible(owned, members, "bob")
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    name = lambda head, x: F.concat(F.lit(head), x.cast("string"))
+    owned = load(spark, sf_dir, "customer").select(name("p", k).alias("project_id"), F.when(k % 2 == 0, "PERSONAL").otherwise("ORG").alias("scope"), F.when(k % 2 == 0, name("u", k % 7)).otherwise(name("org", k % 5)).alias("owner"))
+    members = load(spark, sf_dir, "supplier").select(name("u", s % 7).alias("actor"), name("org", s % 5).alias("org"), (s % 3 != 0).alias("active"))
+    return accessible(owned, members, "u3")
 
 
 _TERMS = retrieval.terms_of("How does run1 execute the if (a) token")
@@ -101,9 +105,13 @@ def v4_keyword_search(spark, sf_dir):
     return found.select("id", F.round(F.col("score").cast("double"), 6).alias("score"))
 
 
-@query("SELECT unnest(['does', 'run1', 'execute', 'if', 'token']) AS term")
+_STOP = ", ".join(f"'{w}'" for w in ("the", "and", "for", "with", "from", "this", "that", "into", "where", "what", "when", "how", "why", "是否", "这个", "那个"))
+
+
+@query(f"SELECT item_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^A-Za-z0-9_.$#/-]+'), lambda x: length(x) >= 2 AND x NOT IN ({_STOP})))), ' '), '') AS terms FROM benchmark")
 def p13_query_terms(spark, sf_dir):
-    return spark.createDataFrame([(t,) for t in _TERMS], "term string")
+    items = load(spark, sf_dir, "benchmark")
+    return items.select("item_id", F.coalesce(F.array_join(F.sort_array(retrieval.query_terms(F.col("text"))), " "), F.lit("")).alias("terms"))
 
 
 @query(duck("SELECT id, qualified_name FROM units WHERE project_id = 'p1' AND language = 'python' AND NOT is_test AND trim(raw_source) <> '' ORDER BY file_path, start_line, id LIMIT 50"))
@@ -111,10 +119,10 @@ def s26_search_targets(spark, sf_dir):
     return retrieval.search_targets(load(spark, sf_dir, "units"), "p1", "python", limit=50).select("id", "qualified_name")
 
 
-@query(duck("SELECT id FROM units WHERE project_id = 'p1' AND file_path = (SELECT file_path FROM units WHERE id = 'm3') AND 34 BETWEEN start_line AND end_line ORDER BY end_line - start_line, id LIMIT 1"))
+@query(duck("SELECT id FROM units WHERE project_id = 'p1' AND file_path = (SELECT file_path FROM units WHERE id = 'm3') AND 44 BETWEEN start_line AND end_line ORDER BY end_line - start_line, id LIMIT 1"))
 def p3_locate(spark, sf_dir):
     units = load(spark, sf_dir, "units")
-    return retrieval.locate(units, units.filter("id = 'm3'").first()["file_path"], 34, "p1").select("id")
+    return retrieval.locate(units, units.filter("id = 'm3'").first()["file_path"], 44, "p1").select("id")
 
 
 _RANK = "CASE WHEN lower(qualified_name) = 'run1' THEN 0 WHEN ends_with(lower(qualified_name), 'run1') THEN 1 WHEN contains(lower(qualified_name), 'run1') THEN 2 WHEN contains(lower(simple_name), 'run1') THEN 3 END"
@@ -152,21 +160,13 @@ def v6_graph_rag(spark, sf_dir):
 @query(
     duck(
         "SELECT rank, id, substr(text, 1, CAST(room AS INT)) AS excerpt, 'C' || CAST(row_number() OVER (ORDER BY rank) AS VARCHAR) AS citation, length(text) > room AS truncated FROM pack WHERE room > 0",
-        top="SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id AS id, trim(text, ' ') AS text FROM documents WHERE doc_id < 30 AND trim(text, ' ') <> ''",
+        top="SELECT row_number() OVER (ORDER BY doc_id) AS rank, doc_id AS id, trim(text, ' ') AS text FROM documents WHERE trim(text, ' ') <> ''",
         cap="SELECT *, floor(6000 / greatest(1, least(4, count(*) OVER ()))) AS cap FROM top",
         pack="SELECT *, least(cap, 6000 - coalesce(sum(least(length(text), cap)) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS room FROM cap",
     )
 )
 def v7_context_pack(spark, sf_dir):
-    from pyspark.sql import Window
-
-    top = load(spark, sf_dir, "documents").filter("doc_id < 30 AND trim(text) <> ''").select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("rank"), F.col("doc_id").alias("id"), "text")
-    return retrieval.context_pack(top, 6000)
-
-
-@query(None)
-def v7_context_pack_all(spark, sf_dir):
-    """Over all documents: each takes a character of the budget at least, so no more than 6,000 can have a place."""
+    """All documents in order; each takes a character of the budget at least, so no more than 6,000 can have a place."""
     from pyspark.sql import Window
 
     first = load(spark, sf_dir, "documents").filter("trim(text) <> ''").orderBy("doc_id").limit(6000)
@@ -222,20 +222,12 @@ def j4_affected_components(spark, sf_dir):
     return security.affected_components(load(spark, sf_dir, "components"), load(spark, sf_dir, "advisories")).select("p_partkey", "group_id", "artifact_id", "version", "scope", "advisory_id")
 
 
-@query(duck(f"SELECT p_partkey, version, row_number() OVER (ORDER BY {_key('version')}, p_partkey) AS place FROM components WHERE p_partkey <= 150"))
+@query(duck(f"SELECT p_partkey, version, row_number() OVER (PARTITION BY group_id, artifact_id ORDER BY {_key('version')}, p_partkey) AS place FROM components"))
 def f12_version_order(spark, sf_dir):
-    return _version_order(load(spark, sf_dir, "components").filter("p_partkey <= 150"))
-
-
-@query(None)
-def f12_version_order_all(spark, sf_dir):
-    return _version_order(load(spark, sf_dir, "components"))
-
-
-def _version_order(components: DataFrame) -> DataFrame:
     from pyspark.sql import Window
 
-    return components.select("p_partkey", "version", F.row_number().over(Window.orderBy(version_key(F.col("version")), "p_partkey")).cast("long").alias("place"))
+    order = Window.partitionBy("group_id", "artifact_id").orderBy(version_key(F.col("version")), "p_partkey")
+    return load(spark, sf_dir, "components").select("p_partkey", "version", F.row_number().over(order).cast("long").alias("place"))
 
 
 _CONF = "SELECT 'h' || CAST(s_suppkey AS VARCHAR) AS name, s_suppkey AS k FROM supplier"
@@ -269,19 +261,11 @@ def k2_config_audit(spark, sf_dir):
     duck(
         "SELECT 'brute' AS rule_id, 'HIGH' AS severity, name, CAST(min(line) AS INT) AS line, 'u7' AS value, count(*) AS n FROM logs WHERE m = 0 GROUP BY name HAVING count(*) >= 5"
         " UNION ALL SELECT 'outbound', 'HIGH', name, CAST(line AS INT), '10.' || CAST(event_id % 3 AS VARCHAR) || '.0.9', 0 FROM logs WHERE m = 1 AND event_id % 3 <> 1",
-        logs="SELECT 'log' || CAST(user_id % 20 AS VARCHAR) AS name, event_id, event_id % 4 AS m, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS line FROM events WHERE event_id < 3000",
+        logs="SELECT 'log' || CAST(user_id % 20 AS VARCHAR) AS name, event_id, event_id % 4 AS m, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS line FROM events",
     )
 )
 def k2_threat_report(spark, sf_dir):
-    return _threat_report(load(spark, sf_dir, "events").filter("event_id < 3000"))
-
-
-@query(None)
-def k2_threat_report_all(spark, sf_dir):
-    return _threat_report(load(spark, sf_dir, "events"))
-
-
-def _threat_report(e: DataFrame) -> DataFrame:
+    e = load(spark, sf_dir, "events")
     text = F.when(F.col("event_id") % 4 == 0, F.lit("Failed password for u7 from 1.2.3.4")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("fw DST=10."), (F.col("event_id") % 3).cast("string"), F.lit(".0.9 ok"))).otherwise("nothing")
     logs = e.groupBy(F.concat(F.lit("log"), (F.col("user_id") % 20).cast("string")).alias("name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", text.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
     rules = [
@@ -298,15 +282,8 @@ def f18_whitelist(spark, sf_dir):
     return c.withColumn("held", in_cidr(F.col("address"), F.lit("16.0.0.0/4")))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\b(password|passwd|secret|token|api[_-]?key|access[_-]?key)(\\s*[:=]\\s*)(\"[^\"]*\"|''[^'']*''|[^\\s,;]+)', '\\1\\2[REDACTED]', 'g'), '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g') AS text FROM documents WHERE contains(lower(text), 'token') OR contains(lower(text), 'secret')")
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)\\b(password|passwd|secret|token|api[_-]?key|access[_-]?key)(\\s*[:=]\\s*)(\"[^\"]*\"|''[^'']*''|[^\\s,;]+)', '\\1\\2[REDACTED]', 'g'), '(?i)\\bBearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'g') AS text FROM documents")
 def p18_redaction(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").filter(F.lower("text").contains("token") | F.lower("text").contains("secret"))
-    return d.select("doc_id", redact(F.col("text")).alias("text"))
-
-
-@query(None)
-def p18_redaction_all(spark, sf_dir):
-    """Every document, since other words than those name secrets too."""
     return load(spark, sf_dir, "documents").select("doc_id", redact(F.col("text")).alias("text"))
 
 
@@ -321,20 +298,12 @@ _TOK = "list_distinct(list_filter(string_split_regex(lower({}), '[^a-z0-9_]+'),
 @query(
     duck(
         "SELECT project_id, seed_id, rule_id, unit_id, sink, round(least(0.95, 0.65 + 0.25 * (CASE WHEN len(list_concat(a, b)) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END) + CASE WHEN sink = 'readObject' THEN 0 WHEN dyn THEN 0.05 ELSE 0 END), 9) AS score, fingerprint FROM (SELECT s.project_id, seed_id, rule_id, u.id AS unit_id, 'executeQuery' AS sink, true AS dyn,"
-        + _TOK.format("s.detail") + " AS a, " + _TOK.format("u.raw_source") + " AS b, substr(sha256(s.project_id || '|' || rule_id || '|' || u.id), 1, 16) AS fingerprint FROM seeds s JOIN units u ON s.project_id = u.project_id AND contains(u.raw_source, 'executeQuery(') WHERE u.id NOT IN (SELECT unit_id FROM seeds s2 WHERE s2.project_id = s.project_id AND s2.rule_id = s.rule_id))",
-        seeds="SELECT DISTINCT project_id, unit_id || ':' || rule_id AS seed_id, rule_id, unit_id, 'st.executeQuery(' || chr(34) || 'select' || chr(34) || ' + name)' AS detail FROM findings WHERE rule_id = 'SQL_INJECTION' AND status = 'CONFIRMED' AND event_id < 60",
+        + _TOK.format("s.detail") + " AS a, " + _TOK.format("u.raw_source") + " AS b, substr(sha256(s.project_id || '|' || rule_id || '|' || u.id), 1, 16) AS fingerprint FROM seeds s JOIN units u ON s.project_id = u.project_id AND contains(u.raw_source, 'executeQuery(') WHERE u.id NOT IN (SELECT unit_id FROM seeds s2 WHERE s2.project_id = s.project_id AND s2.rule_id = s.rule_id)) ORDER BY score DESC, fingerprint, seed_id, sink LIMIT 500",
+        seeds="SELECT DISTINCT project_id, unit_id || ':' || rule_id AS seed_id, rule_id, unit_id, 'st.executeQuery(' || chr(34) || 'select' || chr(34) || ' + name)' AS detail FROM findings WHERE rule_id = 'SQL_INJECTION' AND status = 'CONFIRMED'",
     )
 )
 def f17_variants(spark, sf_dir):
-    return _variants(load(spark, sf_dir, "findings").filter("event_id < 60"), load(spark, sf_dir, "units"))
-
-
-@query(None)
-def f17_variants_all(spark, sf_dir):
     """Seeds from all findings; of their variants the operator gives the 500 of the highest scores."""
-    return _variants(load(spark, sf_dir, "findings"), load(spark, sf_dir, "units"))
-
-
-def _variants(findings: DataFrame, units: DataFrame) -> DataFrame:
+    findings, units = load(spark, sf_dir, "findings"), load(spark, sf_dir, "units")
     seeds = findings.filter("rule_id = 'SQL_INJECTION' AND status = 'CONFIRMED'").select("project_id", F.concat_ws(":", "unit_id", "rule_id").alias("seed_id"), "rule_id", "unit_id", F.lit('st.executeQuery("select" + name)').alias("detail")).distinct()
     return security.variants(seeds, units).withColumn("score", F.round("score", 9))

@@ -18,6 +18,16 @@ LANGUAGES = {
 GENERATED = ("target", "build", "out", "dist", "node_modules", "vendor", "__pycache__", "generated", "generated-sources", ".git", ".gradle", ".idea", ".vscode")
 DOCUMENTS = ("md", "markdown", "rst", "adoc", "asciidoc", "txt")
 CODE = ("java", "kt", "kts", "c", "h", "cc", "cpp", "cxx", "hpp", "py", "js", "jsx", "ts", "tsx", "go", "rs", "php", "rb", "swift", "cs", "sol", "scala", "groovy")
+#: Languages of an asset's files by extension; a file named dockerfile is one.
+FILE_LANGUAGES = {
+    "java": ("java",), "kotlin": ("kt", "kts"), "c": ("c", "h"), "cpp": ("cc", "cpp", "cxx", "hpp"), "python": ("py",), "javascript": ("js", "jsx"), "typescript": ("ts", "tsx"),
+    "go": ("go",), "rust": ("rs",), "php": ("php",), "ruby": ("rb",), "swift": ("swift",), "csharp": ("cs",), "solidity": ("sol",), "scala": ("scala",), "groovy": ("groovy",),
+    "yaml": ("yml", "yaml"), "xml": ("xml",), "json": ("json",), "toml": ("toml",), "properties": ("properties",),
+}
+#: Languages that scanners take.
+GRAPH_LANGUAGES = ("java", "c", "python")
+BROAD_LANGUAGES = ("java", "kotlin", "c", "cpp", "python", "javascript", "typescript", "go", "php", "ruby", "solidity")
+BUILDLESS_LANGUAGES = ("java", "kotlin", "python", "javascript", "typescript", "csharp", "ruby")
 CONFIG = ("xml", "yml", "yaml", "properties", "toml", "json", "gradle", "lock")
 
 
@@ -35,6 +45,12 @@ def language(path: Column) -> Column:
     return F.element_at(F.create_map(*pairs), extension(path))
 
 
+def file_language(path: Column) -> Column:
+    """Language of an asset's file, null if unknown: more of them than are parsed (``language``)."""
+    pairs = [F.lit(x) for lang, exts in FILE_LANGUAGES.items() for e in exts for x in (e, lang)]
+    return F.coalesce(F.element_at(F.create_map(*pairs), extension(path)), F.when(_name(path) == "dockerfile", "dockerfile"))
+
+
 def included(path: Column, languages: list[str] | None = None) -> Column:
     """Whether a relative path is scanned: no excluded folder, and a wanted language (by default all but documents and bytecode)."""
     wanted = languages or [x for x in LANGUAGES if x not in ("doc", "class")]
@@ -66,19 +82,25 @@ def classified(path: Column) -> Column:
 
 def distributions(files: DataFrame) -> DataFrame:
     """(bucket, key, n) of classes and languages of files (file_path)."""
-    rows = files.select(F.explode(F.array(F.struct(F.lit("category").alias("bucket"), classified(F.col("file_path")).alias("key")), F.struct(F.lit("language").alias("bucket"), language(F.col("file_path")).alias("key")))).alias("x")).select("x.*")
+    rows = files.select(F.explode(F.array(F.struct(F.lit("category").alias("bucket"), classified(F.col("file_path")).alias("key")), F.struct(F.lit("language").alias("bucket"), file_language(F.col("file_path")).alias("key")))).alias("x")).select("x.*")
     return rows.filter("key IS NOT NULL").groupBy("bucket", "key").agg(F.count("*").alias("n"))
 
 
 def scanner_plan(facts: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """(project_id, scanner, selected) for each scanner, from languages and build systems (arrays); an exclusion wins."""
+    """(project_id, scanner, selected, source) for each scanner, from languages and build systems (arrays).
+
+    The source is AUTO, or the override that decided; an exclusion wins, and a name that is no scanner's is an error.
+    """
     any_of = lambda c, *v: F.arrays_overlap(F.col(c), F.array(*map(F.lit, v)))
     applies = {
-        "GRAPH_CODE": any_of("languages", "java", "c", "cpp", "python", "javascript", "typescript"), "GRAPH_TAINT": any_of("languages", "java"), "PRECISE_TAINT": any_of("languages", "java") & any_of("builds", "maven", "gradle"),
-        "SEMGREP": F.size("languages") > 0, "CODEQL": any_of("languages", "java", "c", "cpp", "python", "javascript", "typescript"), "SLITHER": any_of("languages", "solidity"), "DEPENDENCY_CVE": F.size("builds") > 0,
+        "GRAPH_CODE": any_of("languages", *GRAPH_LANGUAGES), "GRAPH_TAINT": any_of("languages", "java"), "PRECISE_TAINT": any_of("languages", "java") & any_of("builds", "maven", "gradle"),
+        "SEMGREP": any_of("languages", *BROAD_LANGUAGES), "CODEQL": any_of("languages", *BUILDLESS_LANGUAGES), "SLITHER": any_of("languages", "solidity"), "DEPENDENCY_CVE": F.size("builds") > 0,
     }
-    chosen = {s: F.lit(False) if s in (exclude or []) else F.lit(True) if s in (include or []) else c for s, c in applies.items()}
-    return facts.select("project_id", F.explode(F.array(*[F.struct(F.lit(s).alias("scanner"), c.alias("selected")) for s, c in chosen.items()])).alias("x")).select("project_id", "x.*")
+    if unknown := {*(include or []), *(exclude or [])} - set(applies):
+        raise ValueError(f"unknown scanners: {', '.join(sorted(unknown))}")
+    chosen = {s: (F.lit(False), "EXCLUDE_OVERRIDE") if s in (exclude or []) else (F.lit(True), "INCLUDE_OVERRIDE") if s in (include or []) else (c, "AUTO") for s, c in applies.items()}
+    rows = F.array(*[F.struct(F.lit(s).alias("scanner"), c.alias("selected"), F.lit(by).alias("source")) for s, (c, by) in chosen.items()])
+    return facts.select("project_id", F.explode(rows).alias("x")).select("project_id", "x.*")
 
 
 def churn(log: DataFrame) -> DataFrame:

@@ -38,8 +38,11 @@ def semgrep(reports: DataFrame) -> DataFrame:
     return _findings(rows)
 
 
-def sarif(reports: DataFrame, max_findings: int = 1000) -> DataFrame:
-    """SARIF reports; rule tags give the CWE wherever the tool's description stands in the run."""
+def sarif(reports: DataFrame, max_findings: int | None = None) -> DataFrame:
+    """SARIF reports; rule tags give the CWE wherever the tool's description stands in the run.
+
+    All findings of a report are given; ``max_findings`` keeps the first so many of each report, in its order.
+    """
     place = "struct<artifactLocation: struct<uri: string>, region: struct<startLine: int, endLine: int>>"
     schema = f"""runs array<struct<tool: struct<driver: struct<name: string, rules: array<struct<id: string, properties: struct<tags: array<string>>>>>>,
       results: array<struct<ruleId: string, level: string, message: struct<text: string>, locations: array<struct<physicalLocation: {place}>>,
@@ -54,7 +57,9 @@ def sarif(reports: DataFrame, max_findings: int = 1000) -> DataFrame:
         at["artifactLocation"]["uri"].alias("file_path"), at["region"]["startLine"].alias("start_line"), F.coalesce(at["region"]["endLine"], at["region"]["startLine"]).alias("end_line"), F.lit("").alias("symbol"), trace.alias("trace"),
     )
     best = rules.groupBy("name", "run", "rule_id").agg(F.first("cwe", ignorenulls=True).alias("cwe"))
-    kept = out.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("run", "i"))).filter(F.col("n") <= max_findings).drop("n")
+    kept = out
+    if max_findings is not None:
+        kept = out.withColumn("n", F.row_number().over(Window.partitionBy("name").orderBy("run", "i"))).filter(F.col("n") <= max_findings).drop("n")
     return _findings(kept.join(best, ["name", "run", "rule_id"], "left").drop("name", "run", "i"))
 
 

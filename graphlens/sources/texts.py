@@ -1,4 +1,4 @@
-"""Units from texts: sections of documents, heuristic signatures, the syntax tree of Python."""
+"""Units and relations from texts: sections of documents, heuristic signatures, Python by its own parser, Java by tokens."""
 
 from __future__ import annotations
 
@@ -7,7 +7,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-UNIT = "file_path string, kind string, qualified_name string, simple_name string, start_line int, end_line int, raw_source string, signature string, parent_qualified_name string, degraded boolean"
+UNIT = (
+    "id string, project_id string, file_path string, language string, kind string, qualified_name string, simple_name string, start_line int, end_line int, raw_source string, "
+    "signature string, annotations string, parent_qualified_name string, is_entry_point boolean, is_test boolean, degraded boolean"
+)
+RELATION = "source_id string, target_ref string, kind string, file_path string, source_line int, seq long"
 
 
 def sections(files: DataFrame) -> DataFrame:
@@ -41,10 +45,16 @@ SIGNATURES = {
 _NOT_NAMES = frozenset(("if", "for", "while", "switch", "catch", "return", "else", "do", "new", "throw"))
 
 
+def unit_id(project: str, path: str, kind: str, name: str) -> str:
+    import hashlib
+
+    return hashlib.sha256(f"{project}{path}{kind}{name}".encode()).hexdigest()
+
+
 def heuristic(files: DataFrame) -> DataFrame:
-    """Units of files (file_path, language, content) by the shape of their signatures; bodies end with their braces or indent."""
+    """Units of files (file_path, language, content, perhaps project_id) by the shape of their signatures; bodies end with their braces or indent."""
 
-    def units(path: str, lang: str, content: str) -> list[tuple]:
+    def units(project: str, path: str, lang: str, content: str) -> list[tuple]:
         import re
 
         lines, out = (content or "").split("\n"), []
@@ -56,10 +66,11 @@ def heuristic(files: DataFrame) -> DataFrame:
                     continue
                 end = _indented(lines, i) if lang == "python" else _braced(lines, i)
                 if end is not None:
-                    out.append((path, kind, f"{path}#{m[1]}@L{i + 1}", m[1], i + 1, end + 1, "\n".join(lines[i : end + 1]), line.strip().rstrip("{").strip(), None, True))
+                    name = f"{path}#{m[1]}@L{i + 1}"
+                    out.append((unit_id(project, path, kind, name), project, path, lang, kind, name, m[1], i + 1, end + 1, "\n".join(lines[i : end + 1]), line.strip().rstrip("{").strip(), "", None, False, False, True))
         return out
 
-    return _parsed(files, units)
+    return _parsed(files, units, UNIT)
 
 
 def _indented(lines: list[str], at: int) -> int:
@@ -86,52 +97,163 @@ def _braced(lines: list[str], at: int) -> int | None:
     return None
 
 
-def python_units(files: DataFrame) -> DataFrame:
-    """Classes, methods and functions of Python files by the standard library's parser; files it refuses give nothing."""
+def python_file(project: str, path: str, content: str) -> tuple[list[tuple], list[tuple]]:
+    """Units and relations of a Python file: what stands at its top and in the bodies of its classes.
+
+    Methods are named by their class, functions by themselves.  A call is known if it names a function or method that
+    came before it (or itself), or a method of ``self`` or ``cls`` wherever that stands; other calls of plain names keep an
+    id that no unit has, and calls on other objects give nothing.  A file that the parser refuses gives nothing.
+    """
+    import ast
+
+    try:
+        tree = ast.parse(content or "")
+    except (SyntaxError, ValueError, RecursionError):
+        return [], []
+    lines, units, relations = (content or "").split("\n"), [], []
+    classes: dict[str, str] = {}
+    callables: dict[str, str] = {}
+    functions = ast.FunctionDef | ast.AsyncFunctionDef
+    test_file = (name := path.rsplit("/", 1)[-1]).startswith("test_") or name.endswith("_test.py")
+
+    def relate(source: str, target: str, kind: str, line: int) -> None:
+        relations.append((source, target, kind, path, line, len(relations)))
+
+    def add(node, kind: str, name: str, signature: str, marks: list[str], parent: str | None, test: bool) -> str:
+        own = unit_id(project, path, kind, name)
+        text = "\n".join(lines[node.lineno - 1 : node.end_lineno])
+        units.append((own, project, path, "python", kind, name, node.name, node.lineno, node.end_lineno, text.strip(), signature, ",".join(marks), parent, False, test, False))
+        return own
+
+    def shown(args: ast.arguments) -> str:
+        parts = [(a, "") for a in (*args.posonlyargs, *args.args)]
+        parts += [(args.vararg, "*")] if args.vararg else []
+        parts += [(a, "") for a in args.kwonlyargs] + ([(args.kwarg, "**")] if args.kwarg else [])
+        names = [ast.unparse(a.annotation) if a.annotation else star + a.arg for a, star in parts]
+        return ",".join(n for n in names if n not in ("self", "cls"))
+
+    def calls(node):
+        """Calls in the order of the text's tree, without those of definitions inside."""
+        if isinstance(node, ast.Call):
+            yield node
+        for child in ast.iter_child_nodes(node):
+            if not isinstance(child, functions | ast.ClassDef):
+                yield from calls(child)
+
+    def function(node, owner: str | None, owner_id: str | None) -> None:
+        name, types = f"{owner}#{node.name}" if owner else node.name, shown(node.args)
+        marks = ["@" + ast.unparse(d).split("(")[0] for d in node.decorator_list]
+        test = node.name.startswith(("test_", "Test")) or any("test" in m or "Test" in m for m in marks) or test_file
+        head = "async def " if isinstance(node, ast.AsyncFunctionDef) else "def "
+        own = add(node, "METHOD", name, f"{head}{node.name}({types})" + (f" -> {ast.unparse(node.returns)}" if node.returns else ""), marks, owner, test)
+        callables[name] = own
+        if owner_id:
+            relate(owner_id, own, "CONTAINS", node.lineno)
+        for call in (c for s in node.body if not isinstance(s, functions | ast.ClassDef) for c in calls(s)):
+            f = call.func
+            if isinstance(f, ast.Name):
+                relate(own, callables.get(f.id) or callables.get(f"{owner}#{f.id}") or unit_id("", "", "METHOD", f.id), "CALLS", call.lineno)
+            elif isinstance(f, ast.Attribute) and owner and isinstance(f.value, ast.Name) and f.value.id in ("self", "cls"):
+                relate(own, unit_id(project, path, "METHOD", f"{owner}#{f.attr}"), "CALLS", call.lineno)
+
+    def walk(body: list, owner: str | None, owner_id: str | None) -> None:
+        for node in body:
+            if isinstance(node, ast.ClassDef):
+                name = f"{owner}.{node.name}" if owner else node.name
+                own = add(node, "CLASS", name, f"class {node.name}", [], owner, False)
+                classes[name] = classes[node.name] = own
+                for base in (ast.unparse(b) for b in node.bases if isinstance(b, ast.Name | ast.Attribute)):
+                    relate(own, classes.get(base, base), "EXTENDS", node.lineno)
+                walk(node.body, name, own)
+            elif isinstance(node, functions):
+                function(node, owner, owner_id)
+            elif isinstance(node, ast.Import):
+                for a in node.names:
+                    relate(path, a.name, "IMPORTS", node.lineno)
+            elif isinstance(node, ast.ImportFrom) and node.module:
+                relate(path, node.module, "IMPORTS", node.lineno)
 
-    def units(path: str, lang: str, content: str) -> list[tuple]:
-        import ast
+    walk(tree.body, None, None)
+    return units, relations
 
-        module = path.rsplit("/", 1)[-1].removesuffix(".py")
-        try:
-            tree = ast.parse(content or "")
-        except (SyntaxError, ValueError):
-            return []
-        lines, out = (content or "").split("\n"), []
 
-        def add(node, kind: str, owner: str | None) -> str:
-            base = owner or module
-            params = [a.arg for a in node.args.args if a.arg not in ("self", "cls")] if hasattr(node, "args") else []
-            name = f"{base}#{node.name}({','.join(params)})" if kind == "METHOD" else f"{base}.{node.name}"
-            out.append((path, kind, name, node.name, node.lineno, node.end_lineno, "\n".join(lines[node.lineno - 1 : node.end_lineno]), lines[node.lineno - 1].strip().rstrip(":"), owner, False))
-            return name
+def java_file(project: str, path: str, content: str) -> tuple[list[tuple], list[tuple]]:
+    """Units and relations of a Java file."""
+    from graphlens.sources.java import Reader
+
+    lines = (content or "").split("\n")
+    reader = Reader(content or "", path, lambda kind, name: unit_id(project, path, kind, name))
+    reader.read()
+    units = [
+        (unit_id(project, path, u.kind, u.name), project, path, "java", u.kind, u.name, u.simple, u.start, u.end, "\n".join(lines[u.start - 1 : u.end]), u.signature, ",".join(u.marks), u.parent, u.entry, u.test, False)
+        for u in reader.units
+    ]
+    found = [(r.source, r.target, r.kind, path, r.line) for r in reader.relations] + [(path, name, "IMPORTS", path, line) for name, line in reader.imported]
+    return units, [(*r, n) for n, r in enumerate(found)]
 
-        for node in tree.body:
-            if isinstance(node, ast.ClassDef):
-                owner = add(node, "CLASS", None)
-                for x in node.body:
-                    if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef):
-                        add(x, "METHOD", owner)
-            elif isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-                add(node, "METHOD", None)
-        return out
 
-    return _parsed(files.filter("language = 'python'"), units)
+PARSERS = {"python": python_file, "java": java_file}
 
 
-def _parsed(files: DataFrame, units) -> DataFrame:
-    names = [f.split()[0] for f in UNIT.split(", ")]
+def _precise(files: DataFrame, which: int, schema: str) -> DataFrame:
+    parsers = PARSERS
+
+    def made(project: str, path: str, lang: str, content: str) -> list[tuple]:
+        return parsers[lang](project, path, content)[which]
+
+    return _parsed(files.filter(F.col("language").isin(*PARSERS)), made, schema)
+
+
+def precise_units(files: DataFrame) -> DataFrame:
+    """Units of Python and Java files (file_path, language, content, perhaps project_id)."""
+    return _precise(files, 0, UNIT)
+
+
+def python_units(files: DataFrame) -> DataFrame:
+    """Classes, methods and functions of Python files by the standard library's parser; files it refuses give nothing."""
+    return precise_units(files.filter("language = 'python'"))
+
+
+def relations(files: DataFrame) -> DataFrame:
+    """Raw relations (source_id, target_ref, kind, file_path, source_line, seq) of Python and Java files, for ``resolve_edges``.
+
+    An import leads from its file to the file of the project that it names, else to the name as it stands.
+    """
+    raw = _precise(files, 1, RELATION)
+    imports = raw.filter("kind = 'IMPORTS'")
+    as_path = F.replace("target_ref", F.lit("."), F.lit("/"))
+    last = lambda c: F.element_at(F.split(c, "/"), -1)
+    places = files.select(F.col("file_path").alias("to"), last(F.col("file_path")).alias("name"), last(F.regexp_replace("file_path", "/[^/]*$", "")).alias("folder"))
+    wanted = imports.withColumn("as_path", as_path).withColumn("python", F.col("file_path").endswith(".py"))
+    java = wanted.filter("NOT python").withColumn("name", F.concat(last(F.col("as_path")), F.lit(".java"))).join(places, "name").filter(F.col("to").endswith(F.concat("as_path", F.lit(".java"))))
+    module = wanted.filter("python").withColumn("name", F.concat(last(F.col("as_path")), F.lit(".py"))).join(places, "name").filter(F.col("to") == F.concat("as_path", F.lit(".py")))
+    package = wanted.filter("python").withColumn("folder", last(F.col("as_path"))).join(places.filter("name = '__init__.py'"), "folder").filter(F.col("to") == F.concat("as_path", F.lit("/__init__.py")))
+    found = java.select("file_path", "target_ref", "to").unionByName(module.select("file_path", "target_ref", "to")).unionByName(package.select("file_path", "target_ref", "to"))
+    best = found.groupBy("file_path", "target_ref").agg(F.min_by("to", F.struct(F.col("to").endswith("__init__.py"), "to")).alias("to"))
+    known = imports.join(best, ["file_path", "target_ref"], "left").withColumn("target_ref", F.coalesce("to", "target_ref")).select(*raw.columns)
+    return raw.filter("kind <> 'IMPORTS'").unionByName(known)
+
+
+def _parsed(files: DataFrame, rows, schema: str) -> DataFrame:
+    names = [f.split()[0] for f in schema.split(", ")]
+    project = "project_id" if "project_id" in files.columns else F.lit("")
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            yield pd.DataFrame([u for r in batch.itertuples() for u in units(r.file_path, r.language, r.content)], columns=names)
+            yield pd.DataFrame([u for r in batch.itertuples() for u in rows(r.project_id or "", r.file_path, r.language, r.content)], columns=names)
 
-    return files.select("file_path", "language", "content").mapInPandas(run, UNIT)
+    return files.select(F.coalesce(project, F.lit("")).alias("project_id"), "file_path", "language", "content").mapInPandas(run, schema)
 
 
-def dispatched(files: DataFrame) -> DataFrame:
-    """Precise units where there are any, else heuristic ones, marked as degraded, file by file."""
-    precise = python_units(files)
-    return precise.unionByName(heuristic(files).join(precise.select("file_path").distinct(), "file_path", "left_anti"))
+def dispatched(files: DataFrame, mode: str = "AUTO") -> DataFrame:
+    """Units file by file: precise ones (mode PRECISE), heuristic ones (HEURISTIC), or (AUTO) precise ones where there are any, else heuristic ones, marked as degraded."""
+    if mode not in ("PRECISE", "HEURISTIC", "AUTO"):
+        raise ValueError(f"unknown mode: {mode}")
+    if mode == "HEURISTIC":
+        return heuristic(files)
+    precise = precise_units(files)
+    if mode == "PRECISE":
+        return precise
+    return precise.unionByName(heuristic(files).join(precise.select("file_path").distinct(), "file_path", "left_anti").select(*precise.columns))

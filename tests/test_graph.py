@@ -78,6 +78,36 @@ def test_cycles_of_packages(spark):
     assert graph.cycles(spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")).count() == 0
 
 
+def test_strong_components_equal_brute_force(spark):
+    """Random graphs with chains, several cycles and loops."""
+    import random
+
+    for seed in range(3):
+        rng = random.Random(seed)
+        pairs = {(rng.randrange(14), rng.randrange(14)) for _ in range(20 + 4 * seed)}
+        reach = {n: {b for a, b in pairs if a == n} for n in range(14)}
+        for _ in range(14):
+            reach = {n: own | {x for m in own for x in reach[m]} for n, own in reach.items()}
+        groups = {frozenset(m for m in range(14) if m in reach[n] and n in reach[m]) for n in range(14)}
+        want = {tuple(sorted(f"n{m:02d}" for m in g)) for g in groups if len(g) > 1}
+        got = graph.cycles(spark.createDataFrame([(f"n{a:02d}", f"n{b:02d}") for a, b in pairs], "src string, dst string"))
+        assert {tuple(r["members"]) for r in got.collect()} == want
+
+
+def test_least_ancestors_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(rng.randrange(25), rng.randrange(25)) for _ in range(60)]
+    reach = {n: {b for a, b in pairs if a == n} for n in range(25)}
+    for _ in range(25):
+        reach = {n: own | {x for m in own for x in reach[m]} for n, own in reach.items()}
+    marks = spark.createDataFrame([(str(n), 100 - n) for n in range(0, 25, 2)], "id string, mark int")
+    got = graph.least_ancestors(spark.createDataFrame([(str(a), str(b)) for a, b in pairs], "src string, dst string"), marks, 3).collect()
+    want = {(str(b), m) for b in range(25) for m in sorted(100 - n for n in range(0, 25, 2) if b in reach[n])[:3]}
+    assert {(r["id"], r["mark"]) for r in got} == want
+
+
 def test_deleting_files_takes_edges_along(spark):
     u = units(spark, ("a", "A#a"), ("b", "A#b"), ("c", "A#c"))
     left, kept = graph.delete_files(u, edges(spark, ("a", "b"), ("b", "c"), ("a", "c")), u.filter("id = 'b'").select("project_id", "file_path"))

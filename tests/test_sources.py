@@ -2,9 +2,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from graphlens.operators import findings, flow, security
+from graphlens.operators import findings, flow, graph, security
 from graphlens.plans import exports, index
-from graphlens.sources import files, flows, importers, manifests, texts
+from graphlens.sources import files, flows, importers, manifests, rules, texts
 from graphlens.streaming import feed
 
 
@@ -41,7 +41,82 @@ def test_sections(spark):
 def test_units_of_python_and_heuristics(spark):
     rows = [("m.py", "python", "class A:\n    def f(self, x):\n        return x\n\ndef g():\n    pass\n"), ("b.py", "python", "def broken(:\n    pass\n"), ("A.java", "java", "public class A {\n  void run(int a) {\n    go();\n  }\n}\n")]
     got = {(r["file_path"], r["simple_name"], r["start_line"], r["end_line"], r["degraded"]) for r in texts.dispatched(spark.createDataFrame(rows, "file_path string, language string, content string")).collect()}
-    assert {("m.py", "A", 1, 3, False), ("m.py", "f", 2, 3, False), ("m.py", "g", 5, 6, False), ("b.py", "broken", 1, 2, True), ("A.java", "A", 1, 5, True), ("A.java", "run", 2, 4, True)} == got
+    assert {("m.py", "A", 1, 3, False), ("m.py", "f", 2, 3, False), ("m.py", "g", 5, 6, False), ("b.py", "broken", 1, 2, True), ("A.java", "A", 1, 5, False), ("A.java", "run", 2, 4, False)} == got
+    df = spark.createDataFrame(rows, "file_path string, language string, content string")
+    assert {r["file_path"] for r in texts.dispatched(df, "PRECISE").collect()} == {"m.py", "A.java"}
+    assert all(r["degraded"] for r in texts.dispatched(df, "HEURISTIC").collect())
+
+
+JAVA = """package com.a;
+import com.b.Dao;
+import static com.u.Util.check;
+public class Svc extends Base implements Filter, Runnable {
+  private final Dao dao = make("x");
+  public Svc(Dao dao) { this(dao, 1); }
+  Svc(Dao dao, int k) { this.dao = dao; }
+  @Override
+  public List<String> find(String name, int... ids) throws IOException {
+    String q = "a" + name; // call( {
+    for (Dao d : all()) { d.close(); }
+    if (a < b) helper(q);
+    helper(q, 1);
+    new Thread(new Runnable() { public void run() { helper("z"); } }).start();
+    this.dao.query(name).size();
+    check(name);
+    Other.stat((String) q);
+    list.forEach(this::helper);
+    return out;
+  }
+  void helper(String s) { }
+  private void helper(String s, int k) { }
+  enum E { A(1) { void x() {} }, B; void y() { x(); } }
+  record P(int a, String b) { int z() { return a; } }
+  @interface Mark { int v() default 5; }
+}
+"""
+
+
+def test_java_units_and_relations():
+    units, relations = texts.java_file("p", "src/com/a/Svc.java", JAVA)
+    name = {u[0]: u[5] for u in units}
+    assert [(u[4], u[5], u[7], u[8]) for u in units] == [
+        ("CLASS", "com.a.Svc", 4, 26), ("FIELD", "com.a.Svc.dao", 5, 5), ("CONSTRUCTOR", "com.a.Svc#Svc(Dao)", 6, 6), ("CONSTRUCTOR", "com.a.Svc#Svc(Dao,int)", 7, 7),
+        ("METHOD", "com.a.Svc#find(String,int...)", 8, 20), ("METHOD", "com.a.Svc#run()", 14, 14), ("METHOD", "com.a.Svc#helper(String)", 21, 21), ("METHOD", "com.a.Svc#helper(String,int)", 22, 22),
+        ("ENUM", "com.a.Svc$E", 23, 23), ("METHOD", "com.a.Svc$E#x()", 23, 23), ("METHOD", "com.a.Svc$E#y()", 23, 23), ("CLASS", "com.a.Svc$P", 24, 24), ("METHOD", "com.a.Svc$P#z()", 24, 24), ("ANNOTATION", "com.a.Svc$Mark", 25, 25),
+    ]
+    assert [u[5] for u in units if u[13]] == ["com.a.Svc#find(String,int...)"]  # called by a framework
+    calls = [(name.get(r[0], r[0]).split("#")[-1], name.get(r[1], r[1])) for r in relations if r[2] == "CALLS"]
+    assert calls == [
+        ("com.a.Svc.dao", "com.a.Svc#make(String)"), ("Svc(Dao)", "com.a.Svc#Svc(Dao,int)"), ("find(String,int...)", "com.a.Svc#all()"), ("find(String,int...)", "com.b.Dao#close()"),
+        ("find(String,int...)", "com.a.Svc#helper(String)"), ("find(String,int...)", "com.a.Svc#helper(String,int)"), ("find(String,int...)", "com.a.Runnable#<init>()"), ("run()", "com.a.Svc#helper(String)"),
+        ("find(String,int...)", "com.a.Thread#<init>(Object)"), ("find(String,int...)", "com.a.Svc#start()"), ("find(String,int...)", "com.b.Dao#query(String)"), ("find(String,int...)", "this.dao#size()"),
+        ("find(String,int...)", "com.u.Util#check(String)"), ("find(String,int...)", "com.a.Other#stat(String)"), ("find(String,int...)", "com.a.Svc#helper"), ("find(String,int...)", "com.a.Svc#forEach::arity=1"),
+        ("y()", "com.a.Svc$E#x()"),
+    ]
+    kinds = {(name.get(r[0], r[0]), r[2], name.get(r[1], r[1])) for r in relations}
+    assert {("com.a.Svc", "EXTENDS", "com.a.Base"), ("com.a.Svc", "IMPLEMENTS", "com.a.Filter"), ("com.a.Svc#find(String,int...)", "OVERRIDES", "com.a.Svc#find"), ("com.a.Svc", "CONTAINS", "com.a.Svc$E"), ("src/com/a/Svc.java", "IMPORTS", "com.b.Dao")} <= kinds
+
+
+def test_java_that_is_no_java():
+    """What does not parse gives what can be read, and never fails."""
+    for text in ("", "class", "class A { void f( {", "}}}} class B { int x = ; }", "package ;", 'class C { String s = "unclosed; }', "class D { void f() { a.b(( } }", "\x00 é 中 class E<T extends F<G>> { }"):
+        texts.java_file("p", "a/B.java", text)
+
+
+def test_files_to_callers(spark):
+    """From sources of two languages to resolved relations and the callers of a method."""
+    rows = [
+        ("p1", "com/a/A.java", "java", "package com.a;\nimport com.b.B;\nclass A { B b; void run() { b.go(1); } }\n"), ("p1", "com/b/B.java", "java", "package com.b;\npublic class B { public void go(int n) { stop(); } void stop() { } }\n"),
+        ("p1", "m.py", "python", "import pkg.sub\nclass K:\n    def a(self):\n        self.b()\n    def b(self):\n        pass\n"), ("p1", "pkg/sub/__init__.py", "python", "def f():\n    f()\n"),
+    ]
+    files_ = spark.createDataFrame(rows, "project_id string, file_path string, language string, content string")
+    units, raw = texts.precise_units(files_), texts.relations(files_)
+    imports = {(r["source_id"], r["target_ref"]) for r in raw.filter("kind = 'IMPORTS'").collect()}
+    assert imports == {("com/a/A.java", "com/b/B.java"), ("m.py", "pkg/sub/__init__.py")}
+    edges = graph.resolve_edges(raw, units)
+    assert {r["qualified_name"] for r in graph.find_callers(units, edges, "com.b.B#stop()", 3, "p1").collect()} == {"com.a.A#run()", "com.b.B#go(int)"}
+    assert {r["qualified_name"] for r in graph.find_callers(units, edges, "K#b", 1).collect()} == {"K#a"}
+    assert {r["qualified_name"] for r in graph.find_callers(units, edges, "f", 1).collect()} == {"f"}
 
 
 def _report(spark, content):
@@ -105,11 +180,77 @@ def test_taint_direct_two_hops_and_cycle(spark):
     e = spark.createDataFrame([("a", 0), ("x", 0)], "entry string, param int")
     paths = flow.taint_paths(s, c, e, 6)
     assert [(r["entry"], r["sink"], r["depth"], r["path"]) for r in paths.collect()] == [("a", "exec", 2, ["a:0", "b:0"])]
-    found = flow.taint_findings(paths)
+    found = flow.taint_findings(paths, "p1")
     assert found.first()["rule_id"] == "COMMAND_INJECTION_TAINT"
     assert [r["role"] for r in flow.evidence(found).orderBy("sequence").collect()] == ["SOURCE", "PROPAGATION", "SINK"]
 
 
+def test_taint_bounds(spark):
+    """Methods in a queue's order, no more than the bound; paths no more than theirs; what is left out is told."""
+    s = spark.createDataFrame([(m, 0, "CALL_ARG", "go", 0) for m in "abcd"] + [(m, 0, "SINK", "exec", 0) for m in "bcde"], "method string, from_param int, kind string, callee string, to_index int")
+    c = spark.createDataFrame([("a", "b", "go"), ("a", "c", "go"), ("b", "d", "go"), ("c", "e", "go")], "method string, callee_method string, callee_name string")
+    e = spark.createDataFrame([("a", 0)], "entry string, param int")
+
+    def run(**bounds):
+        paths, runs = flow.taint(s, c, e, **bounds)
+        r = runs.first()
+        return sorted(p["path"][-1] for p in paths.collect()), r["methods"], r["truncated"]
+
+    assert run() == (["b:0", "c:0", "d:0", "e:0"], 5, False)
+    assert run(max_methods=1) == ([], 1, True)
+    assert run(max_methods=3) == (["b:0", "c:0"], 3, True)
+    assert run(max_paths=2) == (["b:0", "c:0"], 5, True)
+    assert run(depth=1) == (["b:0", "c:0"], 3, True)
+
+
+def test_sinks_have_their_rules(spark):
+    want = {
+        "executeQuery": "SQL_INJECTION_TAINT", "executeUpdate": "SQL_INJECTION_TAINT", "executeBatch": "SQL_INJECTION_TAINT", "executeLargeUpdate": "SQL_INJECTION_TAINT", "execute": "SQL_INJECTION_TAINT", "exec": "COMMAND_INJECTION_TAINT",
+        "start": "COMMAND_INJECTION_TAINT", "readObject": "INSECURE_DESER_TAINT", "readUnshared": "INSECURE_DESER_TAINT", "deserialize": "INSECURE_DESER_TAINT", "loadClass": "UNSAFE_REFLECTION_TAINT", "forName": "UNSAFE_REFLECTION_TAINT",
+        "invoke": "UNSAFE_REFLECTION_TAINT", "newInstance": "UNSAFE_REFLECTION_TAINT", "lookup": "JNDI_INJECTION_TAINT", "write": "XSS_TAINT", "print": "XSS_TAINT", "println": "XSS_TAINT", "sendRedirect": "OPEN_REDIRECT_TAINT",
+        "sendError": "XSS_TAINT", "parse": "XXE_TAINT", "search": "LDAP_INJECTION_TAINT", "other": "TAINT_SINK",
+    }
+    paths = spark.createDataFrame([("e", 0, "SINK", k, 1, ["e:0"]) for k in want], "entry string, param int, end string, sink string, depth int, path array<string>")
+    assert {r["sink"]: r["rule_id"] for r in flow.taint_findings(paths, "p").collect()} == want
+
+
+def test_many_events_fold_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(findings, "BLOCK_EVENTS", 3)
+    acts = ["claim", "confirm", "claim", "return"]
+    rows = [("k", i, acts[i * 7 % 4], f"u{i}") for i in range(40)] + [("z", 0, "claim", "ann"), ("z", 1, "return", "ann"), ("z", 2, "claim", "bob")]
+    df = spark.createDataFrame(rows, "entry string, seq long, action string, actor string")
+    table = {(a, act): b for a, act, b in findings.REVIEW}
+    want, log = {}, []
+    for key in ("k", "z"):
+        state, n = "PENDING", 0
+        for place, (_, _, act, who) in enumerate(r for r in rows if r[0] == key):
+            if (state, act) in table:
+                log.append((key, place, act, state, table[state, act], who))
+                state, n = table[state, act], n + 1
+        want[key] = (state, n)
+    assert {r["entry"]: (r["state"], r["changes"]) for r in findings.fold(df, "entry", ["seq"], "action", findings.REVIEW, "PENDING").collect()} == want
+    changes = findings.audit(df, "entry", ["seq"], "action", findings.REVIEW, "PENDING")
+    assert sorted(tuple(r) for r in changes.collect()) == sorted(log)
+    assert [(r["entry"], r["state"], r["claimed_by"]) for r in findings.claims(changes.filter("entry = 'z'"), "entry").collect()] == [("z", "IN_REVIEW", "bob")]
+
+
+def test_quotas_pass_over_full_projects_and_scanners(spark):
+    queue = spark.createDataFrame([("a", "p", "s1", 1), ("b", "p", "s2", 2), ("c", "p", "s3", 3), ("d", "q", "s1", 4), ("e", "q", "s1", 5), ("f", "r", "s4", 6)], "task_id string, project_id string, scanner string, seq long")
+    none = queue.limit(0).drop("seq")
+    assert [r["task_id"] for r in findings.started(queue, none).collect()] == ["a", "b", "d", "f"]
+    assert [r["task_id"] for r in findings.started(queue, queue.filter("task_id IN ('a', 'b', 'd', 'f')").drop("seq")).collect()] == []
+
+
+def test_rules_from_files(spark, tmp_path):
+    (tmp_path / "adv.json").write_text(json.dumps([{"id": "A1", "groupId": "g", "artifactId": "a", "fixed": "2.0", "more": 1}, {"id": "A1", "groupId": "g", "artifactId": "a"}, {"id": None}]))
+    (tmp_path / "conf.json").write_text(json.dumps([{"id": "c", "severity": "HIGH", "type": "PRESENT", "key": "K", "unknown": {}}]))
+    (tmp_path / "threat.json").write_text(json.dumps([{"id": "t", "severity": "LOW", "pattern": "x(.)", "group": 1, "minCount": 3}]))
+    seed = rules.advisories(spark, str(tmp_path / "adv.json"))
+    assert seed.count() == 1 and rules.advisories(spark, str(tmp_path / "none.json"), seed).count() == 1
+    assert rules.config_rules(spark, str(tmp_path / "conf.json")) == [{"rule_id": "c", "severity": "HIGH", "type": "PRESENT", "key": "K", "value_pattern": None, "negate": False}]
+    assert rules.threat_rules(spark, str(tmp_path / "threat.json"))[0]["min_count"] == 3
+
+
 def test_replace_files_keeps_edges_into_living_units(spark):
     u = spark.createDataFrame([("1", "p", "A#a()", "a"), ("2", "p", "B#b()", "b"), ("3", "p", "B#c()", "b")], "id string, project_id string, qualified_name string, file_path string")
     e = spark.createDataFrame([("1", "2", "CALLS"), ("1", "3", "CALLS"), ("2", "1", "CALLS")], "src string, dst string, kind string")
@@ -121,9 +262,14 @@ def test_replace_files_keeps_edges_into_living_units(spark):
 
 def test_exports(spark):
     e = spark.createDataFrame([("a.b", "a.c", 2)], "src string, dst string, n long")
-    assert '"a.b" -> "a.c" [label=2];' in exports.dot(e, ["a.b"]) and "a_b -->|2| a_c" in exports.mermaid(e, [])
+    lines = lambda df: [r["line"] for r in df.collect()]
+    red = spark.createDataFrame([("a.b",)], "id string")
+    assert lines(exports.dot(e, red)) == ["digraph packages {", '  "a.b" [color=red];', '  "a.c";', '  "a.b" -> "a.c" [label=2];', "}"]
+    assert lines(exports.mermaid(e, red)) == ["graph LR", "  a_b[a.b]", "  a_c[a.c]", "  a_b -->|2| a_c", "  style a_b fill:#f66"]
     v = spark.createDataFrame([("TRUE_RISK", 0.9, "f", "r", "a.py", 3)], "verdict string, confidence double, finding_id string, rule_id string, file_path string, line int")
-    assert "- TRUE_RISK: 1" in exports.markdown(v)
+    assert "\n".join(lines(exports.markdown(v))) == "# Findings\n\n- TRUE_RISK: 1\n- NEEDS_REVIEW: 0\n- LIKELY_FALSE_POSITIVE: 0\n\n## f TRUE_RISK (0.90)\n\nr at `a.py:3`"
+    rules_ = spark.createDataFrame([("r", ["b", "a"], ["s"])], "rule_id string, sources array<string>, sinks array<string>")
+    assert json.loads(exports.source_sink_rules(rules_).first()["document"]) == {"id": "r", "sources": ["a", "b"], "sinks": ["s"]}
 
 
 def test_states_as_a_stream(spark, tmp_path):
