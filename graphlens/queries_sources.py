@@ -314,6 +314,34 @@ def x5_taint_summaries(spark, sf_dir):
     return flows.summaries(_functions(spark, sf_dir)).select("method", "from_param", "kind", "callee", "to_index")
 
 
+_JAVA_FLOW = "int f@(String a, int b) {\n  String q = a;\n  while (b > 0) {\n    if (q == null) break;\n    b--;\n  }\n  db.executeQuery(q);\n  go(b);\n  this.seen = b;\n  return b;\n}\n"
+
+
+def _methods(spark, sf_dir):
+    k = F.col("p_partkey")
+    return load(spark, sf_dir, "part").select(_text("f@", k).alias("qualified_name"), F.lit("java").alias("language"), F.lit("METHOD").alias("kind"), _text(_JAVA_FLOW, k).alias("raw_source"), (k * 20).cast("int").alias("start_line"), (k * 20 + 10).cast("int").alias("end_line"))
+
+
+@query("SELECT 'f' || CAST(p_partkey AS VARCHAR) AS method, src, dst, kind, CAST(p_partkey * 20 + line AS INT) AS src_line FROM part, (VALUES (0, 1, 'NEXT', 0), (1, 2, 'NEXT', 1), (2, 3, 'TRUE_BRANCH', 2), (3, 4, 'TRUE_BRANCH', 3), (3, 5, 'FALSE_BRANCH', 3), (5, 2, 'LOOP_BACK', 4), (2, 6, 'FALSE_BRANCH', 2), (4, 6, 'NEXT', 3), (6, 7, 'NEXT', 6), (7, 8, 'NEXT', 7), (8, 9, 'NEXT', 8), (9, 10, 'NEXT', 9)) t(src, dst, kind, line)")
+def x1_control_flow(spark, sf_dir):
+    return flows.control_flow(_methods(spark, sf_dir)).select("method", "src", "dst", "kind", "src_line")
+
+
+@query("SELECT 'f' || CAST(p_partkey AS VARCHAR) AS method, src, dst, kind, symbol FROM part, (VALUES (0, 1, 'DATA_DEPENDENCY', 'a'), (0, 2, 'DATA_DEPENDENCY', 'b'), (1, 3, 'DATA_DEPENDENCY', 'q'), (1, 6, 'DATA_DEPENDENCY', 'q'), (5, 7, 'DATA_DEPENDENCY', 'b'), (5, 8, 'DATA_DEPENDENCY', 'b'), (5, 9, 'DATA_DEPENDENCY', 'b'), (3, 4, 'CONTROL_DEPENDENCY', ''), (2, 3, 'CONTROL_DEPENDENCY', ''), (2, 4, 'CONTROL_DEPENDENCY', ''), (2, 5, 'CONTROL_DEPENDENCY', '')) t(src, dst, kind, symbol)")
+def x1_dependences(spark, sf_dir):
+    return flows.dependences(_methods(spark, sf_dir))
+
+
+@query("SELECT 'f' || CAST(p_partkey AS VARCHAR) AS method, 'a,b' AS parameters, '' AS fields_read, 'seen' AS fields_written, 'b' AS return_sources FROM part")
+def x1_data_summaries(spark, sf_dir):
+    return flows.data_summaries(_methods(spark, sf_dir))
+
+
+@query("SELECT 'f' || CAST(p_partkey AS VARCHAR) AS method, from_param, kind, callee, to_index FROM part, (VALUES (0, 'SINK', 'executeQuery', 0), (1, 'CALL_ARG', 'go', 0), (1, 'RETURN', NULL, NULL)) t(from_param, kind, callee, to_index)")
+def x5_java_summaries(spark, sf_dir):
+    return flows.summaries(_methods(spark, sf_dir))
+
+
 @query("SELECT 'm' || CAST(p_partkey AS VARCHAR) AS id, CASE p_partkey % 4 WHEN 0 THEN 'METHOD' WHEN 1 THEN 'CLASS' WHEN 2 THEN 'POLICY' ELSE 'NONE' END AS source, CASE p_partkey % 4 WHEN 0 THEN '@Secured' WHEN 1 THEN '@DenyAll' WHEN 2 THEN 's1' ELSE '' END AS constraint_ FROM part".replace("@", "' || chr(64) || '"))
 def x9_authorization(spark, sf_dir):
     k, s = F.col("p_partkey"), F.col("s_suppkey")

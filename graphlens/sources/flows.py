@@ -1,10 +1,15 @@
-"""Control flow and taint summaries of Python functions (qualified_name, raw_source), by the standard library's parser."""
+"""Control flow, dependences and taint summaries of Python functions, by the standard library's parser, and of Java methods, on tokens.
+
+Units have columns language, qualified_name and raw_source, perhaps kind, start_line and end_line; those of other languages
+and kinds, and sources that can't be read, give nothing.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Methods that count as sinks.
 SINKS = (
@@ -121,23 +126,90 @@ def cfg_of(method: str, source: str) -> list[tuple]:
     return [(method, a, b, kind, *labels[a]) for a, b, kind in edges]
 
 
-def _rows(units: DataFrame, made, schema: str) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(", ")]
+DEPENDENCE = "method string, src int, dst int, kind string, symbol string"
+DATA = "method string, parameters string, fields_read string, fields_written string, return_sources string"
+
+
+def _method(source: str):
+    from graphlens.sources.java_flow import Method, clean
+
+    found = Method(clean(source))
+    return found if found.statements is not None else None
+
+
+def _java_flow(source: str, start: int, end: int):
+    from graphlens.sources.java_flow import Flow
+
+    m = _method(source)
+    return Flow(m, start, end) if m else None
+
+
+def java_cfg(method: str, source: str, start: int = 1, end: int = 0) -> list[tuple]:
+    """Edges of control of a Java method; ENTRY is 0, EXIT is the last."""
+    f = _java_flow(source, start, end)
+    return [(method, a, b, kind, *f.nodes[a][1:]) for a, b, kind, _ in f.control] if f else []
+
+
+def java_dependence(method: str, source: str, start: int = 1, end: int = 0) -> list[tuple]:
+    f = _java_flow(source, start, end)
+    return [(method, a, b, kind, symbol) for a, b, kind, symbol in f.dependence] if f else []
+
+
+def java_summary(method: str, source: str, start: int = 1, end: int = 0) -> list[tuple]:
+    from graphlens.sources.java_flow import taint_summary
+
+    m = _method(source)
+    return [(method, p, kind, callee, k) for p, kind, callee, k in taint_summary(m, SINKS)] if m else []
+
+
+def java_data(method: str, source: str, start: int = 1, end: int = 0) -> list[tuple]:
+    from graphlens.sources.java_flow import data_summary
+
+    m = _method(source)
+    return [(method, *(",".join(x) for x in data_summary(m)))] if m else []
+
+
+#: What reads the functions of a language.
+READERS = {
+    "cfg": {"python": lambda q, s, a, b: cfg_of(q, s), "java": java_cfg},
+    "summary": {"python": lambda q, s, a, b: summary_of(q, s), "java": java_summary},
+    "dependence": {"java": java_dependence},
+    "data": {"java": java_data},
+}
+
+
+def _rows(units: DataFrame, what: str, schema: str) -> DataFrame:
+    names, made = [f.split()[0] for f in schema.split(", ")], READERS[what]
+    own = units.filter(F.col("language").isin(*made))
+    if "kind" in units.columns:
+        own = own.filter(F.col("kind").isin("METHOD", "CONSTRUCTOR", "FUNCTION"))
+    line = lambda c: F.coalesce(c, F.lit(1)).cast("int") if c in units.columns else F.lit(1)
 
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            yield pd.DataFrame([r for q, s in zip(batch["qualified_name"], batch["raw_source"]) for r in made(q, s)], columns=names).astype({n: "Int64" for n, f in zip(names, schema.split(", ")) if f.endswith(" int")})
+            rows = [r for u in batch.itertuples(index=False) for r in made[u[0]](u[1], u[2], u[3], u[4])]
+            yield pd.DataFrame(rows, columns=names).astype({n: "Int64" for n, f in zip(names, schema.split(", ")) if f.endswith(" int")})
 
-    return units.filter("language = 'python'").select("qualified_name", "raw_source").mapInPandas(run, schema)
+    return own.select("language", "qualified_name", F.coalesce("raw_source", F.lit("")), line("start_line").alias("a"), line("end_line").alias("b")).mapInPandas(run, schema)
 
 
 def summaries(units: DataFrame) -> DataFrame:
-    """Taint summaries (method, from_param, kind, callee, to_index) of Python units."""
-    return _rows(units, summary_of, SUMMARY)
+    """Taint summaries (method, from_param, kind, callee, to_index) of Python and Java units."""
+    return _rows(units, "summary", SUMMARY)
 
 
 def control_flow(units: DataFrame) -> DataFrame:
-    """Control-flow edges (method, src, dst, kind, src_label, src_line) of Python units."""
-    return _rows(units, cfg_of, CFG)
+    """Control-flow edges (method, src, dst, kind, src_label, src_line) of Python and Java units."""
+    return _rows(units, "cfg", CFG)
+
+
+def dependences(units: DataFrame) -> DataFrame:
+    """Edges of data and control dependence (method, src, dst, kind, symbol) of Java units, between the nodes of their control flow."""
+    return _rows(units, "dependence", DEPENDENCE)
+
+
+def data_summaries(units: DataFrame) -> DataFrame:
+    """Parameters, fields of ``this`` that are read and written, and names that results come from (comma-joined) of Java units."""
+    return _rows(units, "data", DATA)

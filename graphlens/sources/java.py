@@ -75,12 +75,15 @@ class Reader:
         """``ident`` gives the id of a unit from its kind and qualified name."""
         self.path, self.ident = path, ident
         self.tokens: list[tuple[str, str, int]] = []
+        self.offsets: list[int] = []
         line = 1
         for m in TOKEN.finditer(source):
             if m.lastgroup != "skip":
                 self.tokens.append((m.lastgroup, m[0], line))
+                self.offsets.append(m.start())
             line += m[0].count("\n")
         self.tokens += [("end", "", line)] * 3
+        self.offsets += [len(source)] * 3
         self.package, self.imports, self.statics, self.wildcards = "", {}, {}, []
         self.imported: list[tuple[str, int]] = []
         self.symbols: dict[str, str] = {}

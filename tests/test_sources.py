@@ -313,6 +313,50 @@ def test_python_control_flow():
     }
 
 
+JAVA_METHOD = """@Override
+public String run(String name, int k) throws X {
+    int n = k + 1, m = 0;
+    String q = "a" + name;
+    this.count += n;
+    outer:
+    for (int i = 0; i < n; i++) {
+        if (q.isEmpty()) { continue outer; } else if (k > 2) break;
+        m++;
+    }
+    do { go(q); } while (m < 3);
+    switch (k) { case 1: case 2: a(); break; case 3: b(); default: c(); }
+    switch (k) { case 4, 5 -> a2(); default -> { b2(); } }
+    try (R r = open(name)) { db.executeQuery(q); return q; } catch (E e) { log(e); throw e; } finally { done(); }
+    return this.last + m;
+}"""
+
+
+def test_java_control_flow():
+    edges = flows.java_cfg("m", JAVA_METHOD, 10, 25)
+    label = {a: text for _, a, _, _, text, _ in edges}
+    got = [(label[a], label.get(b, "EXIT"), kind) for _, a, b, kind, *_ in edges]
+    assert sorted(got) == sorted([
+        ("ENTRY", "int n = k + 1, m = 0;", "NEXT"), ("int n = k + 1, m = 0;", 'String q = "a" + name;', "NEXT"), ('String q = "a" + name;', "this.count += n;", "NEXT"), ("this.count += n;", "int i = 0", "NEXT"), ("int i = 0", "i < n", "NEXT"),
+        ("i < n", "q.isEmpty()", "TRUE_BRANCH"), ("q.isEmpty()", "continue outer;", "TRUE_BRANCH"), ("q.isEmpty()", "k > 2", "FALSE_BRANCH"), ("k > 2", "break;", "TRUE_BRANCH"), ("k > 2", "m++;", "FALSE_BRANCH"), ("m++;", "i++", "NEXT"),
+        ("continue outer;", "i++", "NEXT"), ("i++", "i < n", "LOOP_BACK"), ("i < n", "go(q);", "FALSE_BRANCH"), ("break;", "go(q);", "NEXT"), ("go(q);", "m < 3", "NEXT"), ("m < 3", "go(q);", "TRUE_BRANCH"), ("m < 3", "switch (k)", "FALSE_BRANCH"),
+        ("switch (k)", "a();", "CASE_BRANCH"), ("switch (k)", "a();", "CASE_BRANCH"), ("a();", "break;", "NEXT"), ("switch (k)", "b();", "CASE_BRANCH"), ("b();", "c();", "NEXT"), ("switch (k)", "c();", "FALSE_BRANCH"), ("break;", "switch (k)", "NEXT"),
+        ("c();", "switch (k)", "NEXT"), ("switch (k)", "a2();", "CASE_BRANCH"), ("switch (k)", "a2();", "CASE_BRANCH"), ("switch (k)", "b2();", "FALSE_BRANCH"), ("a2();", "R r = open(name)", "NEXT"), ("b2();", "R r = open(name)", "NEXT"),
+        ("R r = open(name)", "db.executeQuery(q);", "NEXT"), ("db.executeQuery(q);", "return q;", "NEXT"), ("db.executeQuery(q);", "catch (E e)", "EXCEPTION_BRANCH"), ("catch (E e)", "log(e);", "NEXT"), ("log(e);", "throw e;", "NEXT"),
+        ("finally", "done();", "NEXT"), ("done();", "return this.last + m;", "NEXT"), ("return q;", "EXIT", "NEXT"), ("throw e;", "EXIT", "NEXT"), ("return this.last + m;", "EXIT", "NEXT"),
+    ])
+    assert {line for *_, line in edges} == {10, 12, 13, 14, 16, 17, 18, 20, 21, 22, 23, 24}
+
+
+def test_java_dependences_and_summaries():
+    data = {(a, b, s) for _, a, b, kind, s in flows.java_dependence("m", JAVA_METHOD, 10, 25) if kind == "DATA_DEPENDENCY"}
+    assert {(0, 1, "k"), (0, 2, "name"), (1, 3, "n"), (4, 5, "i"), (1, 5, "n"), (2, 6, "q"), (0, 8, "k")} <= data and not any(s == "this" for *_, s in data)
+    assert flows.java_data("m", JAVA_METHOD) == [("m", "name,k", "count,last", "count", "q,last,m")]
+    assert {r[1:] for r in flows.java_summary("m", JAVA_METHOD)} == {(0, "CALL_ARG", "go", 0), (0, "CALL_ARG", "log", 0), (0, "CALL_ARG", "open", 0), (0, "RETURN", None, None), (0, "SINK", "executeQuery", 0)}
+    for text in ("", "int x;", "void f(", "void f() { if (", "void f() { for (;;) { } }", "void f() { a = b ? c : d; try { } finally { } }", "}{"):
+        for made in (flows.java_cfg, flows.java_dependence, flows.java_summary, flows.java_data):
+            made("m", text)
+
+
 def test_authorization(spark):
     methods = [("a", "/a", "@GetMapping,@Secured", "@DenyAll"), ("b", "/b", "", "@DenyAll"), ("c", "/c", "", ""), ("d", "/d", None, None)]
     m = spark.createDataFrame(methods, "id string, route string, annotations string, class_annotations string")
