@@ -13,7 +13,7 @@ from graphlens.llm.shared import bucket, release
 def blocks(docs: DataFrame, n: int) -> DataFrame:
     """Rows (block, doc_ids, sizes, texts) from doc_id and text; null text is empty.
 
-    Steps that use the result more than once in a query share one exchange.
+    Steps that use the result more than once in a query share one exchange, of a partition a block whatever the session says.
     """
     id_type = dict(docs.dtypes)["doc_id"]
 
@@ -40,7 +40,18 @@ def blocks(docs: DataFrame, n: int) -> DataFrame:
         release()
 
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).withColumn("block", bucket(n, F.col("doc_id"), F.col("text")))
-    return texts.mapInArrow(pack, f"block int, doc_ids array<{id_type}>, sizes binary, texts binary").repartition("block")
+    return texts.mapInArrow(pack, f"block int, doc_ids array<{id_type}>, sizes binary, texts binary").repartitionById(n, F.col("block"))
+
+
+def unpacked_array(sizes: bytes, packed: bytes):
+    """The texts of one packed row as an Arrow array, without copies."""
+    import numpy as np
+    import pyarrow as pa
+    import zstandard
+
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    places = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, np.uint32), dtype=np.int64)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(raw)])
 
 
 def unpacked(sizes: bytes, packed: bytes) -> list[bytes]:

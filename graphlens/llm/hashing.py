@@ -51,6 +51,18 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.concatenate([[0], np.searchsorted(first, ends, side="right")]).astype(np.int64)
 
 
+def string_hashes(strings) -> np.ndarray:
+    """Hash of every string of an Arrow array (string or binary) that starts at its first place."""
+    _, places, data = strings.buffers()
+    if not len(strings):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(places, np.int32, len(strings) + 1).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8)[: ends[-1]] if data is not None and ends[-1] else np.zeros(0, np.uint8)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTES[raw] * powers(_BASE, len(raw)), out=sums[1:])
+    return mix((sums[ends[1:]] - sums[ends[:-1]]) * powers(inverse(_BASE), len(raw) + 1)[ends[:-1]])
+
+
 def sequence_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of the ``k`` words from each position on (positions with fewer words left are not there)."""
     if len(words) < k:

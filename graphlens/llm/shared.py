@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,13 +51,40 @@ def work_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders of the open ``scratch`` scopes, the innermost last.
+_SCRATCH: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path for a table of that name that no other has."""
+    return f"{work_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+
+
+def removed_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that operators write inside this scope are deleted at its end: write what they return inside it, too."""
+    path = new_path(spark, "scratch")
+    _SCRATCH.append(path)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(path)
+        removed_path(spark, path)
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return a reader of it.
 
     This cuts the lineage: a lost executor costs the tasks it ran, never the steps before the table.
     """
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH[-1]}/{name}-{uuid.uuid4().hex}" if _SCRATCH else new_path(spark, name)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -70,6 +99,32 @@ def input_partitions(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+#: Bytes of text in a block (a bucket) of documents, and in a hash class, on average.
+BLOCK_BYTES = 12 << 20
+
+
+def blocks_of(texts: DataFrame) -> int:
+    """Number of blocks for the whole of column ``text``: it follows the bytes of the texts, however well they compress
+    and however many partitions the session has, so that what one task holds does not grow with the corpus."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cores = texts.sparkSession.sparkContext.defaultParallelism
+    return max(2, -(-size // BLOCK_BYTES), min(cores, -(-size // (1 << 20))))
+
+
+#: A key is hot if it has more than one in HOT of all rows.
+HOT = 10_000
+
+
+def met_by_key(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key; column ``size``: how many of the ``total`` rows have it).
+
+    Hot keys are broadcast, fewer than ``HOT`` by their definition, so that no task gets the rows of one; the others meet by exchange.
+    """
+    hot = keyed.filter(F.col("size") * HOT > total)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.filter(F.col("size") * HOT <= total), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def apart(docs: DataFrame) -> DataFrame:
     """``docs`` with every column but doc_id and text renamed by its place, so that no name of an operator clashes."""
     return docs.toDF(*[c if c in ("doc_id", "text") else f"__c{i}" for i, c in enumerate(docs.columns)])

@@ -36,9 +36,50 @@ TAIL = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 
 
-def core(word: bytes) -> bytes:
-    """What plain words with the same letters share."""
-    return word.lower().rstrip(TAIL)
+#: The same letters in lower case, as a whole word.
+LOWER = "^(?:[a-z]|[ß-öø-ÿ])+$"
+#: Closing punctuation of more bytes is rare and goes its own way.
+TAIL_BYTES = 7
+
+
+def cores(words):
+    """What plain words with the same letters share, of an Arrow array of words: lower case, no closing punctuation."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    return pc.ascii_rtrim(pc.ascii_lower(words.view(pa.string())), characters=TAIL.decode())
+
+
+def word_table(texts):
+    """(distinct, places, cuts) of an Arrow array of texts: the distinct words as they come, the place there of each word
+    of the texts, and where each text's words begin and end."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    split = pc.ascii_split_whitespace(pa.concat_arrays([texts]).view(pa.string()))
+    words = split.flatten()
+    found = words.dictionary_encode()
+    cuts = split.offsets.to_numpy() - split.offsets[0].as_py()
+    return found.dictionary.view(pa.binary()), found.indices.to_numpy(), cuts
+
+
+def joined(table: list[bytes], places, dtype):
+    """(ids, ends): the ids of ``table`` at ``places``, one after another, and where those of each place end."""
+    import numpy as np
+
+    dtype = np.dtype(dtype)
+    n = np.fromiter(map(len, table), np.int64, len(table)) // dtype.itemsize
+    return taken(np.frombuffer(b"".join(table), dtype), n, places)
+
+
+def taken(ids, n, places):
+    """The runs of ``ids`` at ``places``; ``n`` says how long each run is."""
+    import numpy as np
+
+    begin, size = np.cumsum(n) - n, n[places]
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return ids[np.repeat(begin[places] - (ends - size), size) + np.arange(total)], ends
 
 
 def byte_table() -> dict[int, str]:
@@ -84,58 +125,98 @@ class WordIds:
                 known[part] = raw[begin:end]
                 begin = end
 
-    def encode(self, words: list[bytes]) -> list[bytes]:
-        import numpy as np
+    def _plain(self, word: bytes) -> tuple[bytes, bytes] | None:
+        """Letters and closing punctuation of a plain word, None if it is not plain."""
+        head = word.rstrip(TAIL)
+        text = head.decode("utf-8", "replace")
+        return (text.lower().encode(), word[len(head) :]) if text and PLAIN.fullmatch(text) else None
 
-        heads = [w.rstrip(TAIL) for w in words]
-        tails = [w[len(h) :] for w, h in zip(words, heads)]
-        other = []
-        for i, h in enumerate(heads):
-            if h.isalpha():  # of bytes: ASCII letters alone
-                heads[i] = h.lower()
-            elif h.isascii() or not (text := h.decode("utf-8", "replace")) or not PLAIN.fullmatch(text):
-                other.append(i)
-                heads[i] = tails[i] = b""
-            else:
-                heads[i] = text.lower().encode()
-        need = {*heads, *tails}
+    def pieces(self, words):
+        """(table, first, second) of an Arrow array of words (binary, without white space): a list of ids, and the places
+        in it of each word's letters and of its closing punctuation."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        words = words.view(pa.string())  # bytes as they are: only byte-wise functions follow
+        head = cores(words)
+        size, long = (pc.binary_length(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in (head, words))
+        tail = long - size
+        plain = pc.match_substring_regex(head, LOWER).to_numpy(zero_copy_only=False).astype(bool) & (tail <= TAIL_BYTES)
+        # closing punctuation as a number: its bytes, first byte lowest
+        _, places, data = words.buffers()
+        ends = np.frombuffer(places, np.int32, len(words) + 1)[1:].astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+        code = np.zeros(len(words), np.uint64)
+        for k in range(TAIL_BYTES):
+            at = np.flatnonzero(plain & (tail > k))
+            if not len(at):
+                break
+            code[at] |= raw[ends[at] - tail[at] + k].astype(np.uint64) << np.uint64(8 * k)
+        codes, second = np.unique(code, return_inverse=True)
+        tails = [int(c).to_bytes(8, "little").rstrip(b"\0") for c in codes]
+        heads = pc.if_else(pa.array(plain), head, pa.scalar("")).dictionary_encode()
+        first, letters = heads.indices.to_numpy().astype(np.int64), heads.dictionary.view(pa.binary()).to_pylist()
+        second = second.astype(np.int64) + len(letters)
+        odd = np.flatnonzero(~plain).tolist()
+        odd_words = words.take(pa.array(odd, pa.int64())).view(pa.binary()).to_pylist()
+        split = [self._plain(w) if w else (b"", b"") for w in odd_words]
+        need = {*letters, *tails, *(x for p in split if p for x in p)}
         if len(self.parts) + len(need) > self.limit:
             self.parts = {b"": b""}
-        self._learn([part for part in need if part not in self.parts])
+        self._learn(list(need - self.parts.keys()))
         known = self.parts
-        out = [known[h] + known[t] for h, t in zip(heads, tails)]
-        for at in range(0, len(other), 4096):
-            group = other[at : at + 4096]
-            for i, e in zip(group, self.tok.encode_batch_fast([words[i].decode("utf-8", "replace") for i in group], add_special_tokens=False)):
-                out[i] = np.array(e.ids, self.dtype).tobytes()
-        return out
+        table = [known[x] for x in letters] + [known[x] for x in tails]
+        if odd:
+            first[odd] = len(table) + 1 + np.arange(len(odd))
+            second[odd] = len(table)
+            table.append(b"")
+            own = [known[p[0]] + known[p[1]] if p else None for p in split]
+            rest = [i for i, x in enumerate(own) if x is None]
+            for at in range(0, len(rest), 4096):
+                group = rest[at : at + 4096]
+                for i, e in zip(group, self.tok.encode_batch_fast([odd_words[i].decode("utf-8", "replace") for i in group], add_special_tokens=False)):
+                    own[i] = np.array(e.ids, self.dtype).tobytes()
+            table += own
+        return table, first, second
+
+    def encode(self, words: list[bytes]) -> list[bytes]:
+        import pyarrow as pa
 
+        table, first, second = self.pieces(pa.array(words, pa.binary()))
+        return [table[a] + table[b] for a, b in zip(first.tolist(), second.tolist())]
 
-class CachedEncoder:
-    """Ids of whole texts; a word is encoded when first met and looked up afterwards."""
 
-    def __init__(self, path: str, dtype: str, limit: int = MAX_CACHED):
-        self.ids, self.limit, self.known = WordIds(path, dtype, 2 * limit), limit, {}
+class TextIds:
+    """Ids of whole texts: their distinct words are encoded once a batch, and put together by position."""
 
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > self.limit:
-            self.known, new = {}, list(words)
-        self.known.update(zip(new, self.ids.encode(new)))
+    def __init__(self, path: str, dtype: str, limit: int = 2 * MAX_CACHED):
+        self.words = WordIds(path, dtype, limit)
+
+    def encode(self, texts) -> list[bytes]:
+        """Ids of each text of an Arrow array (binary)."""
+        import numpy as np
+        import pyarrow.compute as pc
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
-        while at < len(texts):  # about 2 MB of text at a time
-            split, size = [], 0
-            while at < len(texts) and (not split or size + len(texts[at]) <= 2 << 20):
-                size += len(texts[at])
-                split.append(texts[at].split())
-                at += 1
-            self.learn(set().union(*split))
-            out += [b"".join(map(self.known.__getitem__, words)) for words in split]
+        while at < len(texts):  # about 16 MB of text at a time
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (16 << 20), side="right")))
+            out += self._group(texts.slice(at, stop - at))
+            at = stop
         return out
 
+    def _group(self, texts) -> list[bytes]:
+        import numpy as np
+
+        words, at, cuts = word_table(texts)
+        table, first, second = self.words.pieces(words)
+        ids, ends = joined(table, np.stack([first[at], second[at]], axis=1).ravel(), self.words.dtype)
+        by_word = np.concatenate([[0], ends[1::2]]) * self.words.dtype.itemsize
+        raw, cuts = ids.tobytes(), by_word[cuts].tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
+
 
 def worker_words(path: str, limit: int = MAX_CACHED) -> WordIds:
     """The word encoder of this Python worker, kept over tasks and groups."""
@@ -154,11 +235,11 @@ def pieces_by_id(path: str) -> list[str | None]:
     return kept[path]
 
 
-def worker_encoder(path: str, dtype: str) -> CachedEncoder:
+def worker_encoder(path: str, dtype: str) -> TextIds:
     """The encoder of this Python worker, kept over tasks (functions arrive by value, so it hangs on ``sys``)."""
     kept = sys.__dict__.setdefault("_token_encoders", {})
     if (path, dtype) not in kept:
-        kept[path, dtype] = CachedEncoder(path, dtype)
+        kept[path, dtype] = TextIds(path, dtype)
     return kept[path, dtype]
 
 
