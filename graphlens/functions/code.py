@@ -129,6 +129,31 @@ def filled(template: Column, count: Column, groups: Column) -> Column:
     return F.aggregate(F.transform(groups, lambda g, i: F.struct((i + 1).alias("i"), F.coalesce(g, F.lit("")).alias("g"))), start, lambda t, x: F.replace(t, F.concat(F.lit("{"), x["i"].cast("string"), F.lit("}")), x["g"]))
 
 
+def _stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
+def doc_summary(source: Column) -> Column:
+    """The first sentence of the first documentation comment (else of the first block comment), or its first lines up to 120 characters."""
+    text = F.coalesce(source, F.lit(""))
+    doc = F.instr(text, "/**")
+    start = F.when(doc > 0, doc).otherwise(F.instr(text, "/*"))
+    rest = F.substring(text, start + 2, F.length(text))
+    end = F.instr(rest, "*/")
+    block = F.when((start > 0) & (end > 0), F.substring(rest, F.lit(1), end - 1)).otherwise("")
+    lines = F.transform(F.split(block, "\n"), lambda x: _stripped(F.regexp_replace(x, r"^\s*\*?\s?", "")))
+    told = F.filter(lines, lambda x: (x != "") & ~x.startswith("@") & (x != "*"))
+
+    def step(acc: Column, line: Column) -> Column:
+        grown = F.when(acc["text"] == "", line).otherwise(F.concat(acc["text"], F.lit(" "), line))
+        dot = F.instr(grown, ".")
+        cut = F.when(dot > 0, F.substring(grown, F.lit(1), dot)).otherwise(grown)
+        over = (dot > 0) | (F.length(grown) >= 120)
+        return F.struct(F.when(acc["over"], acc["text"]).otherwise(cut).alias("text"), (acc["over"] | over).alias("over"))
+
+    return _stripped(F.aggregate(told, F.struct(F.lit("").alias("text"), F.lit(False).alias("over")), step)["text"])
+
+
 def regression_ok(kind: Column, pattern: Column, positive: Column, negative: Column) -> Column:
     """Whether a rule matches all its positive samples and none of its negative ones."""
     hit = lambda s: F.when(kind == "SUBSTRING", s.contains(pattern)).otherwise(F.rlike(s, F.concat(F.lit("(?s)"), pattern)))

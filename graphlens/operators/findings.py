@@ -56,6 +56,35 @@ def page(df: DataFrame, number: int, size: int, *order) -> DataFrame:
     return df.orderBy(*order).offset(max(0, number) * size).limit(size)
 
 
+def reviews(entries: DataFrame, project_id: str, severity: str | None = None, verdict: str | None = None, status: str | None = None, rule_id: str | None = None, updated_after: str | None = None, updated_before: str | None = None) -> DataFrame:
+    """Review entries of a project that fit all given conditions, the last changed first; the time is from ``updated_after`` up to, without, ``updated_before``."""
+    own = entries.filter(F.col("project_id") == project_id)
+    for name, value in (("severity", severity), ("verdict", verdict), ("status", status), ("rule_id", rule_id)):
+        if value and value.strip():
+            own = own.filter(F.col(name) == value)
+    if updated_after:
+        own = own.filter(F.col("updated_at") >= updated_after)
+    if updated_before:
+        own = own.filter(F.col("updated_at") < updated_before)
+    return own.orderBy(F.desc("updated_at"), "id")
+
+
+def page_and_more(df: DataFrame, number: int, size: int, *order) -> DataFrame:
+    """A page as ``page`` gives it, each row with whether another page follows."""
+    size = max(1, min(size, 200))
+    rows = df.orderBy(*order).offset(max(0, number) * size).limit(size + 1)
+    place = F.row_number().over(Window.orderBy(*order))  # a page of rows
+    return rows.withColumn("_r", place).withColumn("has_more", F.max("_r").over(Window.partitionBy()) > size).filter(F.col("_r") <= size).drop("_r")
+
+
+def review_contexts(findings: DataFrame, feedback: DataFrame, suppressions: DataFrame, snapshots: DataFrame, now: str) -> DataFrame:
+    """Findings (finding_id, project_id, rule_id, fingerprint, file_path) with the feedback (project_id, fingerprint, status,
+    updated_at) that is newest, the suppression that is in force, and the report (fingerprint, report, created_at) that was first."""
+    said = feedback.groupBy("project_id", "fingerprint").agg(F.max_by("status", F.struct("updated_at", "status")).alias("feedback"))
+    first = snapshots.groupBy("fingerprint").agg(F.min_by("report", F.struct("created_at", "report")).alias("report"))
+    return active_suppressions(findings, suppressions, now).join(said, ["project_id", "fingerprint"], "left").join(first, "fingerprint", "left")
+
+
 def units_of(findings: DataFrame, units: DataFrame) -> DataFrame:
     """Findings with the unit at their line (the shortest, then the least id), else the one with their symbol as name."""
     at = findings.join(units.select("project_id", "file_path", "start_line", "end_line", F.col("id").alias("at_unit")), ["project_id", "file_path"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))

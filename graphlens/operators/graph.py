@@ -62,19 +62,21 @@ def held(links: DataFrame, *keys: str) -> DataFrame:
     return links.repartition(n, *keys).persist()
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
-    """(id, depth) of the nodes reached from ``start`` along edges (src, dst) by 1..depth steps; depth None: all.
+def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, *keys: str) -> DataFrame:
+    """(keys, id, depth) of the nodes reached from ``start`` along edges (src, dst) by 1..depth steps; depth None: all.
 
-    The start is not visited beforehand: it is in the result if a cycle leads back to it within the depth.
+    The start is not visited beforehand: it is in the result if a cycle leads back to it within the depth.  With
+    ``keys``, columns of ``start``, the starts of each key go forward by themselves, all in the same steps.
     """
     links = held(edges.select("src", "dst").distinct(), "src")
-    visited = Visited(start.select("id", F.lit(0).alias("depth")))
+    visited = Visited(start.select(*keys, "id", F.lit(0).alias("depth")))
     step, grew = 0, 1
     while grew and (depth is None or step < depth):
-        frontier = visited.rows().filter(F.col("depth") == step).select(F.col("id").alias("src"))
+        frontier = visited.rows().filter(F.col("depth") == step).select(*keys, F.col("id").alias("src"))
         step += 1
-        new = links.join(frontier, "src", "left_semi").select(F.col("dst").alias("id")).distinct()
-        grew = visited.add(new.join(visited.rows().filter("depth > 0").select("id"), "id", "left_anti").withColumn("depth", F.lit(step)))
+        met = links.join(frontier, "src", "inner" if keys else "left_semi")
+        new = met.select(*keys, F.col("dst").alias("id")).distinct()
+        grew = visited.add(new.join(visited.rows().filter("depth > 0").select(*keys, "id"), [*keys, "id"], "left_anti").withColumn("depth", F.lit(step)))
     links.unpersist()
     return visited.rows().filter("depth > 0")
 

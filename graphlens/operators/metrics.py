@@ -54,6 +54,12 @@ def coupling(classes: DataFrame) -> DataFrame:
     return sums.withColumn("instability", round_half_up(F.col("fan_out") / (F.col("fan_out") + F.col("fan_in")), 3))
 
 
+def top_coupling(classes: DataFrame, by: str = "fan_out", limit: int = 10) -> DataFrame:
+    """Classes by what they use (fan_out) or by what uses them (fan_in), the other number second."""
+    other = {"fan_out": "fan_in", "fan_in": "fan_out"}[by]
+    return coupling(classes).orderBy(F.desc(by), F.desc(other), "class").limit(limit)
+
+
 def hotspots(files: DataFrame, churn: DataFrame, limit: int = 50) -> DataFrame:
     """ln(changes + 1) times the mean complexity of each changed file, from (file_path, complexity) rows and (file_path, changes)."""
     mean = files.groupBy("file_path").agg(F.count("*").alias("methods"), F.avg("complexity").alias("mean"))

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlens.functions.code import occurrences
+from graphlens.functions.code import doc_summary, occurrences
 from graphlens.operators.graph import IMPACT_KINDS, least_ancestors, reach
 from graphlens.plans.lineage import cut
 
@@ -66,6 +66,34 @@ def find_symbols(units: DataFrame, text: str, project_id: str, limit: int = 10)
     return one.orderBy("rank", F.length("qualified_name"), "qualified_name").limit(max(1, min(limit, 50)))
 
 
+def symbol(units: DataFrame, qualified_name: str, project_id: str | None = None) -> DataFrame:
+    """The unit of that very name: of several the first by file, then by id."""
+    own = units.filter(F.col("qualified_name") == qualified_name)
+    if project_id is not None:
+        own = own.filter(F.col("project_id") == project_id)
+    return own.orderBy("file_path", "id").limit(1)
+
+
+#: Kinds that stand for a type, and the length of a document's text.
+CLASS_KINDS = ("CLASS", "INTERFACE", "ENUM", "ANNOTATION")
+DOCUMENT_CHARS = 1024
+
+
+def semantic_text(units: DataFrame) -> DataFrame:
+    """(id, semantic_text): a document's first characters; of other units what their class says of itself (summary of its
+    comment, annotations, signature; of several of one name the least id), then the same of their own."""
+    said = lambda source, marks, signature: F.concat(
+        F.when(doc_summary(source) != "", F.concat(doc_summary(source), F.lit(". "))).otherwise(""),
+        F.when(F.coalesce(marks, F.lit("")) != "", F.concat(F.replace(marks, F.lit(","), F.lit(" ")), F.lit(" "))).otherwise(""), F.coalesce(signature, F.lit("")),
+    )
+    top = units.filter(F.col("kind").isin(*CLASS_KINDS)).groupBy("project_id", F.col("qualified_name").alias("parent_qualified_name")).agg(F.min_by(F.struct("raw_source", "annotations", "signature"), "id").alias("p"))
+    both = units.join(top, ["project_id", "parent_qualified_name"], "left")
+    above = F.when(~F.col("kind").isin(*CLASS_KINDS) & F.col("p").isNotNull(), F.concat(said(F.col("p.raw_source"), F.col("p.annotations"), F.col("p.signature")), F.lit(" "))).otherwise("")
+    own = F.concat(above, said(F.col("raw_source"), F.col("annotations"), F.col("signature")))
+    text = F.when(F.col("kind") == "DOCUMENT", F.substring(F.trim(F.coalesce("raw_source", F.lit(""))), 1, DOCUMENT_CHARS)).otherwise(F.trim(own))
+    return both.select("id", text.alias("semantic_text"))
+
+
 def search_targets(units: DataFrame, project_id: str | None = None, language: str | None = None, kind: str | None = None, no_test: bool = True, limit: int = CANDIDATES) -> DataFrame:
     """Candidates of keyword search in order of file and line."""
     own = units.filter(payload_filter(language, kind, project_id, no_test=no_test)).filter(F.trim(F.coalesce("raw_source", F.lit(""))) != "")
@@ -148,11 +176,11 @@ def graph_rag(units: DataFrame, edges: DataFrame, vector_column: str, query: lis
     known = units.withColumn("security", security_score())
     bonus = 0.5 * F.col("security") if rerank else F.lit(0.0)
     found = vector_search(known, vector_column, query, seeds, where=where).withColumn("seed", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
-    vectors = found.select("id", "qualified_name", "security", F.col("score").alias("base"), "seed")
+    vectors = cut(found.select("id", "qualified_name", "security", F.col("score").alias("base"), "seed"))
     place = lambda stage, *keys: F.struct(F.lit(stage).alias("stage"), *keys)
     row = ("qualified_name", "id", "source", "relation", "security", "score", "place")
     out = [vectors.select("qualified_name", "id", F.lit("VECTOR").alias("source"), F.lit("SEED").alias("relation"), "security", (F.col("base") + bonus).alias("score"), place(0, F.col("seed").alias("a"), F.lit(0).alias("b"), F.col("qualified_name").alias("c")).alias("place"))]
-    words = keyword_search(known, text, seeds, project_id=project_id)
+    words = cut(keyword_search(known, text, seeds, project_id=project_id).select("id", "qualified_name", "security", "score"))
     out.append(words.select("qualified_name", "id", F.lit("KEYWORD").alias("source"), F.lit("SEED").alias("relation"), "security", (F.col("score") + bonus).alias("score"), place(1, (-F.col("score")).cast("int").alias("a"), F.lit(0).alias("b"), F.col("qualified_name").alias("c")).alias("place")))
     scoped = known.filter(payload_filter(project_id=project_id))
     if call_graph:
@@ -167,15 +195,17 @@ def graph_rag(units: DataFrame, edges: DataFrame, vector_column: str, query: lis
             top = hit.withColumn("n", F.row_number().over(Window.partitionBy("seed").orderBy("qualified_name", "id"))).filter(F.col("n") <= EXPAND_PER_SEED)
             out.append(top.select("qualified_name", "id", F.lit("CALL_GRAPH").alias("source"), F.lit(relation).alias("relation"), "security", (factor * F.col("base") + bonus).alias("score"), place(2, F.col("seed").alias("a"), F.lit(k).alias("b"), F.col("qualified_name").alias("c")).alias("place")))
     best = lambda df: df.groupBy("qualified_name").agg(F.min_by(F.struct(*row[1:]), "place").alias("x")).select("qualified_name", "x.*")
-    got = best(reduce(DataFrame.unionByName, out))
+    got = cut(best(reduce(DataFrame.unionByName, out)))
     if impact:
         links = edges.filter(F.col("kind").isin(*IMPACT_KINDS)).select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        for s in range(1, min(seeds, IMPACT_SEEDS) + 1):
-            touched = reach(links, vectors.filter(F.col("seed") == s).select("id"))
-            new = scoped.filter("security > 0").join(touched.select("id"), "id", "left_semi").join(got, "qualified_name", "left_anti")
+        first = min(seeds, IMPACT_SEEDS)
+        touched = reach(links, vectors.filter(F.col("seed") <= first).select("seed", "id"), None, "seed")
+        relevant = cut(touched.join(scoped.filter("security > 0").select("id", "qualified_name", "security"), "id").select("seed", "id", "qualified_name", "security"))
+        for s in range(1, first + 1):  # a name stays with the seed that brought it first
+            new = relevant.filter(F.col("seed") == s).join(got, "qualified_name", "left_anti")
             one = new.groupBy("qualified_name").agg(F.min_by(F.struct("id", "security"), "id").alias("u")).select("qualified_name", "u.*").orderBy("qualified_name").limit(IMPACT_PER_SEED)
             more = one.select("qualified_name", "id", F.lit("IMPACT").alias("source"), F.lit("IMPACT").alias("relation"), "security", (0.2 + bonus).alias("score"), place(3, F.lit(s).alias("a"), F.lit(0).alias("b"), F.col("qualified_name").alias("c")).alias("place"))
-            got = got.unionByName(more)
+            got = cut(got.unionByName(more))
     return got.orderBy(F.desc("score"), "place") if rerank else got.orderBy("place")
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlens.functions.code import in_cidr, short_hash, version_key
+from graphlens.functions.code import filled, in_cidr, short_hash, version_key
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
@@ -100,10 +101,12 @@ def _outside(entry: str):
 
 
 def log_threats(logs: DataFrame, rules: list[dict], whitelist: list[str]) -> DataFrame:
-    """(rule_id, severity, name, line, value, n) of threat rules over logs (name, content).
+    """(rule_id, severity, name, line, value, n, time, detail) of threat rules over logs (name, content).
 
-    Rules are data (rule_id, severity, pattern, group, min_count or None, whitelist_checked): each is one expression over
-    the lines.  A rule with ``min_count`` gives one row a log, at its first match, if it matches often enough.
+    Rules are data (rule_id, severity, pattern, group, min_count or None, whitelist_checked, perhaps time_pattern and
+    detail): each is one expression over the lines.  A rule with ``min_count`` gives one row a log, at its first match, if
+    it matches often enough.  The time is group 1 of the time pattern in the line; the detail is its template with {count}
+    and the groups {1}, {2}, ... filled in, the rule's id where there is none.
     """
     lines = logs.select("name", F.posexplode(F.split("content", "\r?\n")).alias("n", "text")).select("name", (F.col("n") + 1).alias("line"), "text")
     out = []
@@ -112,12 +115,16 @@ def log_threats(logs: DataFrame, rules: list[dict], whitelist: list[str]) -> Dat
         if r.get("whitelist_checked"):
             for entry in whitelist:
                 values = F.filter(values, _outside(entry))
-        found = lines.filter(F.col("text").rlike(r["pattern"])).select("name", "line", F.explode(values).alias("value"))
+        found = lines.filter(F.col("text").rlike(r["pattern"])).select("name", "line", F.explode(values).alias("value"), "text")
         if r.get("min_count"):
-            found = found.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("line", "value")).alias("f")).filter(F.col("n") >= r["min_count"]).select("name", "f.line", "f.value", "n")
+            found = found.groupBy("name").agg(F.count("*").alias("n"), F.min(F.struct("line", "value", "text")).alias("f")).filter(F.col("n") >= r["min_count"]).select("name", "f.line", "f.value", "n", "f.text")
         else:
             found = found.withColumn("n", F.lit(0).cast("long"))
-        out.append(found.select(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), "name", "line", "value", "n"))
+        time = F.nullif(F.regexp_extract("text", r["time_pattern"], 1), F.lit("")) if r.get("time_pattern") else F.lit(None).cast("string")
+        groups = F.array(*[F.regexp_extract("text", r["pattern"], k + 1) for k in range(re.compile(r["pattern"]).groups)]).cast("array<string>")
+        template = F.lit(r.get("detail") or r["rule_id"])
+        detail = F.when(F.col("n") > 0, filled(template, F.col("n"), groups)).otherwise(filled(template, F.lit("{count}"), groups))
+        out.append(found.select(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), "name", "line", "value", "n", time.alias("time"), detail.alias("detail")))
     return reduce(DataFrame.unionByName, out).orderBy("name", "line", "rule_id", "value")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from graphlens.adapters import duck, load
 from graphlens.operators import findings as fd
-from graphlens.operators import flow, graph
+from graphlens.operators import flow, graph, retrieval
 from graphlens.streaming.feed import bursts
 
 QUERIES: dict = {}
@@ -28,10 +28,48 @@ def p8_list_findings(spark, sf_dir):
     return fd.list_findings(load(spark, sf_dir, "findings"), "p1", "high", "suspected").select("id", "severity", "status", "rule_id")
 
 
-@query(duck("SELECT id, status FROM findings WHERE status = 'CONFIRMED' AND found_at >= TIMESTAMP '2020-01-01' ORDER BY found_at DESC, id LIMIT 20 OFFSET 40"))
+_ENTRIES = "SELECT id, project_id, severity, CASE WHEN event_id % 2 = 0 THEN 'TRUE_RISK' ELSE 'NEEDS_REVIEW' END AS verdict, status, rule_id, found_at AS updated_at FROM findings"
+
+
+def _entries(spark, sf_dir):
+    return load(spark, sf_dir, "findings").withColumn("verdict", F.when(F.col("event_id") % 2 == 0, "TRUE_RISK").otherwise("NEEDS_REVIEW")).withColumnRenamed("found_at", "updated_at")
+
+
+@query(duck("SELECT id, severity FROM entries WHERE project_id = 'p1' AND verdict = 'TRUE_RISK' AND status = 'CONFIRMED' AND updated_at >= TIMESTAMP '2020-01-01' ORDER BY updated_at DESC, id LIMIT 20 OFFSET 40", entries=_ENTRIES))
 def p9_review_page(spark, sf_dir):
-    own = load(spark, sf_dir, "findings").filter("status = 'CONFIRMED' AND found_at >= timestamp '2020-01-01'")
-    return fd.page(own, 2, 20, F.desc("found_at"), "id").select("id", "status")
+    own = fd.reviews(_entries(spark, sf_dir), "p1", verdict="TRUE_RISK", status="CONFIRMED", updated_after="2020-01-01")
+    return fd.page(own, 2, 20, F.desc("updated_at"), "id").select("id", "severity")
+
+
+@query(duck("SELECT count(*) AS n FROM entries WHERE project_id = 'p2' AND severity = 'HIGH' AND rule_id = 'WEAK_CRYPTO' AND updated_at >= (SELECT min(found_at) + INTERVAL 1 HOUR FROM findings) AND updated_at < (SELECT max(found_at) - INTERVAL 1 HOUR FROM findings)", entries=_ENTRIES))
+def p9_review_count(spark, sf_dir):
+    times = load(spark, sf_dir, "findings").agg((F.min("found_at") + F.expr("INTERVAL 1 HOUR")).cast("string").alias("a"), (F.max("found_at") - F.expr("INTERVAL 1 HOUR")).cast("string").alias("b")).first()
+    return fd.reviews(_entries(spark, sf_dir), "p2", severity="HIGH", rule_id="WEAK_CRYPTO", updated_after=times["a"], updated_before=times["b"]).agg(F.count("*").alias("n"))
+
+
+@query(duck("SELECT id, (SELECT count(*) FROM findings WHERE severity = 'LOW') > 40 AS has_more FROM findings WHERE severity = 'LOW' ORDER BY event_id LIMIT 20 OFFSET 20"))
+def t5_page_and_more(spark, sf_dir):
+    return fd.page_and_more(load(spark, sf_dir, "findings").filter("severity = 'LOW'"), 1, 20, "event_id").select("id", "has_more")
+
+
+_SAID = "SELECT project_id, fingerprint, max_by(status, [CAST(epoch_us(found_at) AS VARCHAR), status]) AS feedback FROM findings WHERE event_id % 3 = 0 GROUP BY ALL"
+
+
+@query(
+    duck(
+        "SELECT f.id AS finding_id, CASE WHEN f.project_id = 'p1' AND f.rule_id = 'SQL_INJECTION' THEN 's1' END AS suppression_id, feedback, report FROM (SELECT id, project_id, rule_id, fingerprint FROM findings WHERE unit_id IN (SELECT id FROM units)) f LEFT JOIN said USING (project_id, fingerprint) LEFT JOIN snap USING (fingerprint)",
+        said=_SAID,
+        snap="SELECT fingerprint, min_by(id, event_id) AS report FROM findings WHERE event_id % 5 = 0 GROUP BY 1",
+    )
+)
+def j14_review_contexts(spark, sf_dir):
+    f = load(spark, sf_dir, "findings")
+    own = f.join(load(spark, sf_dir, "units").select(F.col("id").alias("unit_id"), "file_path"), "unit_id").withColumnRenamed("id", "finding_id")
+    said = f.filter("event_id % 3 = 0").select("project_id", "fingerprint", "status", F.col("found_at").alias("updated_at"))
+    sup = spark.createDataFrame([("s1", "p1", "SQL_INJECTION", "PROJECT", "", 1, 20, True)], "id string, project_id string, rule_id string, scope string, scope_value string, c long, e long, active boolean")
+    sup = sup.withColumns({"created_at": F.timestamp_seconds("c"), "expires_at": F.timestamp_seconds("e")})
+    snap = f.filter("event_id % 5 = 0").select("fingerprint", F.col("id").alias("report"), F.col("event_id").alias("created_at"))
+    return fd.review_contexts(own, said, sup, snap, "1970-01-01 00:00:10").select("finding_id", "suppression_id", "feedback", "report")
 
 
 @query(duck("SELECT 'total' AS bucket, 'all' AS key, count(*) AS n FROM f UNION ALL SELECT 'severity', severity, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'status', status, count(*) FROM f GROUP BY 2 UNION ALL SELECT 'cwe', cwe, count(*) FROM f GROUP BY 2", f="SELECT * FROM findings WHERE project_id = 'p1'"))
@@ -299,12 +337,21 @@ def g5_reachable(spark, sf_dir):
     return both.select("id", "callers", ((F.col("callers") > 0) | F.col("is_entry_point")).alias("reachable"))
 
 
-@query(duck("SELECT u.id, c.annotations AS parent_annotations, coalesce(c.signature || ' ', '') || u.annotations || ' ' || u.signature AS semantic_text FROM units u LEFT JOIN units c ON c.kind = 'CLASS' AND c.qualified_name = u.parent_qualified_name WHERE u.num IS NOT NULL"))
+_DOC = "'/**\n * Runs ' || id || ' once. More.\n * @return x\n */ '"
+
+
+@query(
+    duck(
+        "SELECT u.id, CASE WHEN u.kind = 'DOCUMENT' THEN substr(u.source, 1, 1024) ELSE trim(CASE WHEN c.id IS NOT NULL THEN CASE WHEN c.annotations <> '' THEN replace(c.annotations, ',', ' ') || ' ' ELSE '' END || c.signature || ' ' ELSE '' END"
+        " || CASE WHEN u.num % 2 = 0 THEN 'Runs ' || u.id || ' once.. ' ELSE '' END || CASE WHEN u.annotations <> '' THEN replace(u.annotations, ',', ' ') || ' ' ELSE '' END || u.signature) END AS semantic_text FROM own u LEFT JOIN units c ON c.kind = 'CLASS' AND u.kind <> 'CLASS' AND c.project_id = u.project_id AND c.qualified_name = u.parent_qualified_name",
+        own=f"SELECT * EXCLUDE (kind), CASE WHEN num % 10 = 9 THEN 'DOCUMENT' ELSE kind END AS kind, CASE WHEN num % 10 = 9 THEN repeat('text ', 300) WHEN num % 2 = 0 THEN {_DOC.replace(chr(92) + 'n', chr(10))} || raw_source ELSE raw_source END AS source FROM units",
+    )
+)
 def p12_semantic_text(spark, sf_dir):
-    units = load(spark, sf_dir, "units")
-    parents = units.filter("kind = 'CLASS'").select(F.col("qualified_name").alias("parent_qualified_name"), F.col("annotations").alias("parent_annotations"), F.col("signature").alias("parent_signature"))
-    both = units.filter("num IS NOT NULL").join(parents, "parent_qualified_name", "left")
-    return both.select("id", "parent_annotations", F.concat(F.coalesce(F.concat("parent_signature", F.lit(" ")), F.lit("")), "annotations", F.lit(" "), "signature").alias("semantic_text"))
+    units, n = load(spark, sf_dir, "units"), F.col("num")
+    doc = F.concat(F.lit("/**\n * Runs "), "id", F.lit(" once. More.\n * @return x\n */ "), "raw_source")
+    own = units.withColumn("raw_source", F.when(n % 10 == 9, F.lit("text " * 300)).when(n % 2 == 0, doc).otherwise(F.col("raw_source"))).withColumn("kind", F.when(n % 10 == 9, "DOCUMENT").otherwise(F.col("kind")))
+    return retrieval.semantic_text(own)
 
 
 @query(duck("SELECT sha256(project_id || file_path || kind || qualified_name) AS unit_id, substr(sha256(file_path), 1, 12) AS project_key, md5(raw_source) AS file_key, id FROM units"))

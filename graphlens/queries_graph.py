@@ -149,7 +149,12 @@ def a3_coupling(spark, sf_dir):
 
 @query(duck("SELECT * FROM coupling ORDER BY fan_out DESC, fan_in DESC, class LIMIT 10", classes=_CLASSES, coupling=_COUPLING))
 def t2_top_fan_out(spark, sf_dir):
-    return metrics.coupling(graph.class_edges(*_graph(spark, sf_dir), "p1")).orderBy(F.desc("fan_out"), F.desc("fan_in"), "class").limit(10)
+    return metrics.top_coupling(graph.class_edges(*_graph(spark, sf_dir), "p1"))
+
+
+@query(duck("SELECT * FROM coupling ORDER BY fan_in DESC, fan_out DESC, class LIMIT 10", classes=_CLASSES, coupling=_COUPLING))
+def t2_top_fan_in(spark, sf_dir):
+    return metrics.top_coupling(graph.class_edges(*_graph(spark, sf_dir), "p1"), "fan_in")
 
 
 _CC = "1 + " + " + ".join(f"CAST((length(lower(raw_source)) - length(replace(lower(raw_source), '{t}', ''))) / {len(t)} AS INT)" for t in BRANCHES)

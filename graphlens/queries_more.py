@@ -257,11 +257,10 @@ def d1_replace_files(spark, sf_dir):
     return index.replace_files(own, edges, gone, own.limit(0), raw)[1]
 
 
-@query(duck("SELECT id, n_kind AS kind FROM (SELECT id, CASE WHEN simple_name = 'run1' THEN 0 ELSE 1 END AS n_kind FROM units WHERE qualified_name = (SELECT qualified_name FROM units WHERE id = 'm1') ORDER BY file_path, id LIMIT 1)"))
+@query(duck("SELECT id, file_path FROM units WHERE project_id = 'p1' AND qualified_name = (SELECT qualified_name FROM units WHERE id = 'm1') ORDER BY file_path, id LIMIT 1"))
 def p4_find_symbol(spark, sf_dir):
     units = load(spark, sf_dir, "units")
-    name = units.filter("id = 'm1'").select("qualified_name")
-    return units.join(name, "qualified_name", "left_semi").orderBy("file_path", "id").limit(1).select("id", F.when(F.col("simple_name") == "run1", 0).otherwise(1).alias("kind"))
+    return retrieval.symbol(units, units.filter("id = 'm1'").first()["qualified_name"], "p1").select("id", "file_path")
 
 
 @query(duck("SELECT q.kind, CAST(q.n AS BIGINT) AS n FROM (SELECT kind, count(*) AS n FROM units WHERE project_id = 'p1' GROUP BY 1) q ORDER BY n DESC"))

@@ -95,6 +95,10 @@ def _held(col: str, t: str, w: float) -> str:
     return f"CASE WHEN trim({x}) = '' THEN 0.0 WHEN {x} = '{t}' THEN {2 * w} WHEN ends_with({x}, '{t}') THEN {1.5 * w} WHEN contains({x}, '{t}') THEN {w} ELSE 0.0 END"
 
 
+def _points(terms: list[str]) -> str:
+    return " + ".join(f"{_held('qualified_name', t, 6.0)} + {_held('simple_name', t, 8.0)} + {_held('signature', t, 4.0)} + CAST((length(raw_source) - length(replace(lower(raw_source), '{t}', ''))) / {len(t)} AS INT)" for t in terms)
+
+
 _SCORE = " + ".join(f"{_held('qualified_name', t, 6.0)} + {_held('simple_name', t, 8.0)} + {_held('signature', t, 4.0)} + CAST((length(raw_source) - length(replace(lower(raw_source), '{t}', ''))) / {len(t)} AS INT)" for t in _TERMS)
 _KEYWORD = f"SELECT *, CAST(least(1.0, CAST({_SCORE} AS DOUBLE) / (10 * (1 + log10(greatest(10, length(raw_source)))))) AS FLOAT) AS score FROM (SELECT * FROM units WHERE project_id = 'p1' AND NOT is_test AND trim(raw_source) <> '' ORDER BY file_path, start_line, id LIMIT 5000)"
 
@@ -151,7 +155,37 @@ def f8_security_score(spark, sf_dir):
     return load(spark, sf_dir, "units").select("id", F.round(retrieval.security_score(), 6).alias("security"))
 
 
-@query(None)
+def _best_impact(seed: int, known: str) -> str:
+    """SQL: the first 20 names that a seed has an impact on and that aren't ``known``."""
+    return f"SELECT qualified_name, 'IMPACT' AS source, 'IMPACT' AS relation, arg_min(security, id) AS security, 0.2 + 0.5 * arg_min(security, id) AS score FROM impact ANTI JOIN {known} USING (qualified_name) WHERE seed = {seed} AND security > 0 GROUP BY qualified_name ORDER BY qualified_name LIMIT 20"
+
+
+_RAG = {
+    "vectors": _VECTORS,
+    "known": f"SELECT *, CAST({_SECURITY} AS DOUBLE) AS security FROM vectors WHERE project_id = 'p1'",
+    "found": f"SELECT *, list_cosine_similarity(semantic_vec, {_Q}) AS base FROM known WHERE NOT is_test ORDER BY base DESC, id LIMIT 5",
+    "seeds": "SELECT *, row_number() OVER (ORDER BY base DESC, id) AS seed FROM found",
+    "targets": "SELECT * FROM known WHERE NOT is_test AND trim(raw_source) <> '' ORDER BY file_path, start_line, id LIMIT 5000",
+    "scored": f"SELECT *, CAST(least(1.0, CAST({_points(['run1', 'token'])} AS DOUBLE) / (10 * (1 + log10(greatest(10, length(raw_source)))))) AS FLOAT) AS points FROM targets",
+    "words": "SELECT * FROM scored WHERE points > 0 ORDER BY points DESC, qualified_name, id LIMIT 5",
+    "calls": "SELECT DISTINCT src, dst FROM edges WHERE kind = 'CALLS'",
+    "callers": "SELECT seed, base, k.*, row_number() OVER (PARTITION BY seed ORDER BY k.qualified_name, k.id) AS n FROM (SELECT seed, base AS base, id FROM seeds) s JOIN calls ON dst = s.id JOIN known k ON k.id = src",
+    "callees": "SELECT seed, base, k.*, row_number() OVER (PARTITION BY seed ORDER BY k.qualified_name, k.id) AS n FROM (SELECT seed, base AS base, id FROM seeds) s JOIN calls ON src = s.id JOIN known k ON k.id = dst",
+    "rows": "SELECT qualified_name, 'VECTOR' AS source, 'SEED' AS relation, security, base + 0.5 * security AS score, [0, seed, 0] AS place FROM seeds UNION ALL SELECT qualified_name, 'KEYWORD', 'SEED', security, points + 0.5 * security, [1, trunc(-points), 0] FROM words"
+    " UNION ALL SELECT qualified_name, 'CALL_GRAPH', 'CALLER', security, 0.6 * base + 0.5 * security, [2, seed, 0] FROM callers WHERE n <= 20 UNION ALL SELECT qualified_name, 'CALL_GRAPH', 'CALLEE', security, 0.5 * base + 0.5 * security, [2, seed, 1] FROM callees WHERE n <= 20",
+    "got": "SELECT qualified_name, source, relation, security, score FROM (SELECT *, row_number() OVER (PARTITION BY qualified_name ORDER BY place) AS r FROM rows) WHERE r = 1",
+    "back": "SELECT DISTINCT dst AS a, src AS b FROM edges WHERE kind IN ('CALLS', 'DEFINES_TYPE', 'OVERRIDES', 'EXTENDS', 'IMPLEMENTS')",
+    "walk": "SELECT seed, b AS id FROM seeds JOIN back ON a = seeds.id WHERE seed <= 3 UNION SELECT seed, b FROM walk JOIN back ON a = walk.id",
+    "impact": "SELECT seed, known.* FROM walk JOIN known USING (id)",
+    "one": _best_impact(1, "got"),
+    "got_one": "SELECT * FROM got UNION ALL SELECT * FROM one",
+    "two": _best_impact(2, "got_one"),
+    "got_two": "SELECT * FROM got_one UNION ALL SELECT * FROM two",
+    "three": _best_impact(3, "got_two"),
+}
+
+
+@query(duck("SELECT qualified_name, source, relation, round(CAST(security AS DOUBLE), 6) AS security, round(CAST(score AS DOUBLE), 6) AS score FROM (SELECT * FROM got_two UNION ALL SELECT * FROM three)", **_RAG))
 def v6_graph_rag(spark, sf_dir):
     found = retrieval.graph_rag(_vectors(spark, sf_dir), load(spark, sf_dir, "edges"), "semantic_vec", _vector(spark, sf_dir), "run1 token", 5, 1, "p1")
     return found.select("qualified_name", "source", "relation", F.round("security", 6).alias("security"), F.round("score", 6).alias("score"))
@@ -259,8 +293,8 @@ def k2_config_audit(spark, sf_dir):
 
 @query(
     duck(
-        "SELECT 'brute' AS rule_id, 'HIGH' AS severity, name, CAST(min(line) AS INT) AS line, 'u7' AS value, count(*) AS n FROM logs WHERE m = 0 GROUP BY name HAVING count(*) >= 5"
-        " UNION ALL SELECT 'outbound', 'HIGH', name, CAST(line AS INT), '10.' || CAST(event_id % 3 AS VARCHAR) || '.0.9', 0 FROM logs WHERE m = 1 AND event_id % 3 <> 1",
+        "SELECT 'brute' AS rule_id, 'HIGH' AS severity, name, CAST(min(line) AS INT) AS line, 'u7' AS value, count(*) AS n, NULL AS time, 'u7 from 1.2.3.4: ' || CAST(count(*) AS VARCHAR) AS detail FROM logs WHERE m = 0 GROUP BY name HAVING count(*) >= 5"
+        " UNION ALL SELECT 'outbound', 'HIGH', name, CAST(line AS INT), '10.' || CAST(event_id % 3 AS VARCHAR) || '.0.9', 0, 'ok', 'outbound' FROM logs WHERE m = 1 AND event_id % 3 <> 1",
         logs="SELECT 'log' || CAST(user_id % 20 AS VARCHAR) AS name, event_id, event_id % 4 AS m, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) AS line FROM events",
     )
 )
@@ -269,8 +303,8 @@ def k2_threat_report(spark, sf_dir):
     text = F.when(F.col("event_id") % 4 == 0, F.lit("Failed password for u7 from 1.2.3.4")).when(F.col("event_id") % 4 == 1, F.concat(F.lit("fw DST=10."), (F.col("event_id") % 3).cast("string"), F.lit(".0.9 ok"))).otherwise("nothing")
     logs = e.groupBy(F.concat(F.lit("log"), (F.col("user_id") % 20).cast("string")).alias("name")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", text.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
     rules = [
-        {"rule_id": "brute", "severity": "HIGH", "pattern": r"Failed password for (?:invalid user )?(\S+) from (\S+)", "group": 1, "min_count": 5},
-        {"rule_id": "outbound", "severity": "HIGH", "pattern": r"DST=([0-9]{1,3}(?:\.[0-9]{1,3}){3})", "group": 1, "whitelist_checked": True},
+        {"rule_id": "brute", "severity": "HIGH", "pattern": r"Failed password for (?:invalid user )?(\S+) from (\S+)", "group": 1, "min_count": 5, "detail": "{1} from {2}: {count}"},
+        {"rule_id": "outbound", "severity": "HIGH", "pattern": r"DST=([0-9]{1,3}(?:\.[0-9]{1,3}){3})", "group": 1, "whitelist_checked": True, "time_pattern": r"\b(ok)$"},
     ]
     return security.log_threats(logs, rules, ["10.1.0.0/16", "host.name"])
 

@@ -126,6 +126,47 @@ def s5_java_relations(spark, sf_dir):
     return found.join(units.select(F.col("id").alias("target_ref"), F.col("qualified_name").alias("known")), "target_ref", "left").select("source", F.coalesce("known", "target_ref").alias("target"), "kind")
 
 
+_JS = "function low@(a) {\n  return a;\n}\nconst high@ = (b) => low@(b);\nclass Box@ {\n  go(c) { high@(c); console.log(low@(c)); }\n}\n"
+
+
+@query("SELECT kind, replace(n, '~', k) AS qualified_name, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part), (VALUES ('FUNCTION', 'low~', 1, 3), ('FUNCTION', 'high~', 4, 4), ('CLASS', 'Box~', 5, 7), ('METHOD', 'Box~.go', 6, 6)) t(kind, n, a, b)")
+def s8_script_units(spark, sf_dir):
+    return texts.precise_units(_part_files(spark, sf_dir, "javascript", "w@.js", _JS)).select("kind", "qualified_name", "start_line", "end_line")
+
+
+def _calls(units, own):
+    edges = graph.resolve_edges(texts.relations(own), units).filter("kind = 'CALLS'")
+    name = lambda end, c: units.select(F.col("id").alias(end), F.col("qualified_name").alias(c))
+    return edges.join(name("src", "caller"), "src").join(name("dst", "callee"), "dst").select("caller", "callee")
+
+
+@query("SELECT replace(a, '~', k) AS caller, replace(b, '~', k) AS callee FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part), (VALUES ('high~', 'low~'), ('Box~.go', 'high~')) t(a, b)")
+def s8_script_calls(spark, sf_dir):
+    own = _part_files(spark, sf_dir, "javascript", "w@.js", _JS)
+    return _calls(texts.precise_units(own), own)
+
+
+_C = "#include \"h@.h\"\n#define N@ 3\nstruct s@ {\n  int a;\n};\nstatic int low@(int a) { return a; }\nint run_@(struct s@ *p) { printf(\"x\"); return low@(p->a) + later@(); }\n"
+
+
+@query("SELECT kind, replace(n, '~', k) AS qualified_name, CAST(a AS INT) AS start_line, e AS is_entry_point FROM (SELECT CAST(p_partkey AS VARCHAR) AS k FROM part), (VALUES ('MACRO', 'N~', 2, false), ('STRUCT', 's~', 3, false), ('FIELD', 's~.a', 4, false), ('FUNCTION', 'low~', 6, false), ('FUNCTION', 'run_~', 7, true)) t(kind, n, a, e)")
+def s6_c_units(spark, sf_dir):
+    return texts.precise_units(_part_files(spark, sf_dir, "c", "c@.c", _C)).select("kind", "qualified_name", "start_line", "is_entry_point")
+
+
+@query("SELECT 'run_' || CAST(p_partkey AS VARCHAR) AS caller, 'low' || CAST(p_partkey AS VARCHAR) AS callee FROM part")
+def s6_c_calls(spark, sf_dir):
+    own = _part_files(spark, sf_dir, "c", "c@.c", _C)
+    return _calls(texts.precise_units(own), own)
+
+
+@query("SELECT 'f' || CAST(p_partkey AS VARCHAR) AS method, src, dst, kind FROM part, (VALUES (0, 1, 'NEXT'), (1, 2, 'TRUE_BRANCH'), (2, 1, 'LOOP_BACK'), (1, 3, 'FALSE_BRANCH'), (3, 4, 'TRUE_BRANCH'), (3, 5, 'FALSE_BRANCH'), (4, 6, 'NEXT'), (5, 6, 'NEXT')) t(src, dst, kind)")
+def x2_c_control_flow(spark, sf_dir):
+    k = F.col("p_partkey")
+    own = load(spark, sf_dir, "part").select(_text("f@", k).alias("qualified_name"), F.lit("c").alias("language"), _text("static int f@(int a) {\n  while (a > 0) { a--; }\n  if (a) return 1;\n  return g(a);\n}", k).alias("raw_source"))
+    return flows.control_flow(own).select("method", "src", "dst", "kind")
+
+
 _TS = "export interface Shape@ {\n  x: number;\n}\nexport async function draw@(s) {\n  go(s);\n}\nexport class Box@ {\n  run() {\n  }\n}\n"
 
 

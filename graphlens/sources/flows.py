@@ -171,7 +171,7 @@ def java_data(method: str, source: str, start: int = 1, end: int = 0) -> list[tu
 
 #: What reads the functions of a language.
 READERS = {
-    "cfg": {"python": lambda q, s, a, b: cfg_of(q, s), "java": java_cfg},
+    "cfg": {"python": lambda q, s, a, b: cfg_of(q, s), "java": java_cfg, "c": java_cfg},
     "summary": {"python": lambda q, s, a, b: summary_of(q, s), "java": java_summary},
     "dependence": {"java": java_dependence},
     "data": {"java": java_data},
@@ -201,7 +201,7 @@ def summaries(units: DataFrame) -> DataFrame:
 
 
 def control_flow(units: DataFrame) -> DataFrame:
-    """Control-flow edges (method, src, dst, kind, src_label, src_line) of Python and Java units."""
+    """Control-flow edges (method, src, dst, kind, src_label, src_line) of Python, Java and C units."""
     return _rows(units, "cfg", CFG)
 
 

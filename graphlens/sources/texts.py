@@ -192,7 +192,34 @@ def java_file(project: str, path: str, content: str) -> tuple[list[tuple], list[
     return units, [(*r, n) for n, r in enumerate(found)]
 
 
-PARSERS = {"python": python_file, "java": java_file}
+def script_file(language: str):
+    """The reader of a JavaScript or TypeScript file."""
+
+    def read(project: str, path: str, content: str) -> tuple[list[tuple], list[tuple]]:
+        from graphlens.sources.scripts import Script
+
+        found = Script(content or "")
+        ids = [unit_id(project, path, u[0], u[1]) for u in found.units]
+        units = [(i, project, path, language, kind, name, simple, a, b, text, signature, "", parent, entry, False, False) for i, (kind, name, simple, a, b, text, signature, parent, entry) in zip(ids, found.units)]
+        target = lambda to: ids[to] if isinstance(to, int) else unit_id("", "", "FUNCTION", to)
+        return units, [(ids[u], target(to), "CALLS", path, line, n) for n, (u, to, line) in enumerate(found.calls)]
+
+    return read
+
+
+def c_file(project: str, path: str, content: str) -> tuple[list[tuple], list[tuple]]:
+    """Units and relations of a C file."""
+    from graphlens.sources.scripts import CSource
+
+    found = CSource(content or "")
+    ids = [unit_id(project, path, u[0], u[9]) for u in found.units]
+    units = [(i, project, path, "c", kind, name, simple, a, b, text, signature, "", parent, entry, False, False) for i, (kind, name, simple, a, b, text, signature, parent, entry, _) in zip(ids, found.units)]
+    target = lambda to: ids[to] if isinstance(to, int) else unit_id("", "", "FUNCTION", to)
+    raw = [(ids[u], target(to), "CALLS", path, line) for u, to, line in found.calls] + [(ids[u], ids[f], "CONTAINS", path, line) for u, f, line in found.contains] + [(path, header, "IMPORTS", path, line) for header, line in found.includes]
+    return units, [(*r, n) for n, r in enumerate(raw)]
+
+
+PARSERS = {"python": python_file, "java": java_file, "javascript": script_file("javascript"), "typescript": script_file("typescript"), "c": c_file}
 
 
 def _precise(files: DataFrame, which: int, schema: str) -> DataFrame:
@@ -205,7 +232,7 @@ def _precise(files: DataFrame, which: int, schema: str) -> DataFrame:
 
 
 def precise_units(files: DataFrame) -> DataFrame:
-    """Units of Python and Java files (file_path, language, content, perhaps project_id)."""
+    """Units of Python, Java, JavaScript, TypeScript and C files (file_path, language, content, perhaps project_id)."""
     return _precise(files, 0, UNIT)
 
 
@@ -215,12 +242,14 @@ def python_units(files: DataFrame) -> DataFrame:
 
 
 def relations(files: DataFrame) -> DataFrame:
-    """Raw relations (source_id, target_ref, kind, file_path, source_line, seq) of Python and Java files, for ``resolve_edges``.
+    """Raw relations (source_id, target_ref, kind, file_path, source_line, seq) of files that ``precise_units`` reads, for ``resolve_edges``.
 
-    An import leads from its file to the file of the project that it names, else to the name as it stands.
+    An import leads from its file to the file of the project that it names, else to the name as it stands; a header that is
+    neither at the project's root nor beside its file gives nothing.
     """
     raw = _precise(files, 1, RELATION)
-    imports = raw.filter("kind = 'IMPORTS'")
+    headers = raw.filter("kind = 'IMPORTS' AND file_path RLIKE '[.][ch]$'")
+    imports = raw.filter("kind = 'IMPORTS' AND NOT file_path RLIKE '[.][ch]$'")
     as_path = F.replace("target_ref", F.lit("."), F.lit("/"))
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     places = files.select(F.col("file_path").alias("to"), last(F.col("file_path")).alias("name"), last(F.regexp_replace("file_path", "/[^/]*$", "")).alias("folder"))
@@ -231,7 +260,11 @@ def relations(files: DataFrame) -> DataFrame:
     found = java.select("file_path", "target_ref", "to").unionByName(module.select("file_path", "target_ref", "to")).unionByName(package.select("file_path", "target_ref", "to"))
     best = found.groupBy("file_path", "target_ref").agg(F.min_by("to", F.struct(F.col("to").endswith("__init__.py"), "to")).alias("to"))
     known = imports.join(best, ["file_path", "target_ref"], "left").withColumn("target_ref", F.coalesce("to", "target_ref")).select(*raw.columns)
-    return raw.filter("kind <> 'IMPORTS'").unionByName(known)
+    beside = F.concat(F.regexp_replace("file_path", "[^/]*$", ""), F.col("target_ref"))
+    there = files.select(F.col("file_path").alias("to")).distinct()
+    both = headers.select("*", F.posexplode(F.array("target_ref", beside)).alias("rank", "to")).join(there, "to")
+    first = both.groupBy(*raw.columns).agg(F.min_by("to", "rank").alias("to")).withColumn("target_ref", F.col("to")).select(*raw.columns)
+    return raw.filter("kind <> 'IMPORTS'").unionByName(known).unionByName(first)
 
 
 def _parsed(files: DataFrame, rows, schema: str) -> DataFrame:

@@ -97,6 +97,74 @@ def test_java_units_and_relations():
     assert {("com.a.Svc", "EXTENDS", "com.a.Base"), ("com.a.Svc", "IMPLEMENTS", "com.a.Filter"), ("com.a.Svc#find(String,int...)", "OVERRIDES", "com.a.Svc#find"), ("com.a.Svc", "CONTAINS", "com.a.Svc$E"), ("src/com/a/Svc.java", "IMPORTS", "com.b.Dao")} <= kinds
 
 
+SCRIPT = """import x from "y";
+// c {
+export function main(a, b) { helper(a); console.log(skip(1)); this.other(b); later(); return /re{/.test(a) ? `t` : main(); }
+async function helper(x) { return x.map(y => main(y)); }
+const later = async (p) => { helper(p); new Foo(p).go(); };
+const val = { m() { helper(1); } }, other = function (q) { return later(q) };
+export default class Box extends Base {
+  size = 3;
+  static make(n) { return new Box(n); }
+  get w() { return this.make(1); }
+  handler = () => { hidden(); };
+}
+describe("x", () => { function inner() { main(); } });
+module.exports = { run(a) { helper(a); }, b: 1 };
+interface Shape { x: number; }
+type T = A | B;
+enum E { A, B }
+"""
+C_SOURCE = """#include "util.h"
+#include <stdio.h>
+#define MAX 10
+#define SQ(x) ((x)*(x))
+struct point { int x, y; const char *name; };
+typedef struct point point_t;
+enum color { RED, GREEN };
+static int helper(int a, const char *s);
+static int helper(int a, const char *s) { printf("%d", a); return twice(a); }
+struct point *make(struct point *p, unsigned long n) { helper(1, "x"); p->cb(2); return p; }
+int main(void) { for (int i = 0; i < 3; i++) { make(0, i); } return 0; }
+#ifdef X
+int hidden(void) { return 1; }
+#endif
+int twice(int a) { return a * 2; }
+int glob = 3;
+union u { int a; float b; };
+"""
+
+
+def test_scripts():
+    units, relations = texts.PARSERS["typescript"]("p", "a.ts", SCRIPT)
+    name = {u[0]: u[5] for u in units}
+    assert [(u[4], u[5], u[7], u[8]) for u in units] == [
+        ("FUNCTION", "main", 3, 3), ("FUNCTION", "helper", 4, 4), ("FUNCTION", "later", 5, 5), ("FUNCTION", "other", 6, 6), ("CLASS", "Box", 7, 12), ("FIELD", "Box.size", 8, 8), ("METHOD", "Box.make", 9, 9), ("METHOD", "Box.w", 10, 10),
+        ("FIELD", "Box.handler", 11, 11), ("FUNCTION", "inner", 13, 13), ("FUNCTION", "run", 14, 14), ("INTERFACE", "Shape", 15, 15), ("TYPEDEF", "T", 16, 16), ("ENUM", "E", 17, 17),
+    ]
+    assert {u[5] for u in units if u[13]} == {"main", "run"}
+    known = [(name[r[0]], name[r[1]]) for r in relations if r[1] in name]
+    assert known == [("main", "main"), ("helper", "main"), ("later", "helper"), ("other", "later"), ("Box.w", "Box.make"), ("inner", "main"), ("run", "helper")]
+    unknown = {(name[r[0]], c) for r in relations for c in ("helper", "skip", "other", "later", "test", "map", "go", "log", "Foo") if r[1] == texts.unit_id("", "", "FUNCTION", c)}
+    assert unknown == {("main", "helper"), ("main", "other"), ("main", "later"), ("main", "test"), ("helper", "map"), ("later", "go")}
+
+
+def test_c_sources(spark):
+    units, relations = texts.c_file("p", "src/a.c", C_SOURCE)
+    name = {u[0]: u[5] for u in units}
+    assert [(u[4], u[5], u[7], u[10]) for u in units] == [
+        ("MACRO", "MAX", 3, "#define MAX"), ("MACRO", "SQ", 4, "#define SQ(...)"), ("STRUCT", "point", 5, "struct point"), ("FIELD", "point.x", 5, "int x"), ("FIELD", "point.y", 5, "int y"), ("FIELD", "point.name", 5, "char name"),
+        ("TYPEDEF", "point_t", 6, "typedef ... point_t"), ("ENUM", "color", 7, "enum color"), ("FUNCTION", "helper", 8, "int helper(int,char)"), ("FUNCTION", "helper", 9, "int helper(int,char)"),
+        ("FUNCTION", "make", 10, "struct point make(struct point,unsigned long)"), ("FUNCTION", "main", 11, "int main(void)"), ("FUNCTION", "twice", 15, "int twice(int)"), ("UNION", "u", 17, "union u"), ("FIELD", "u.a", 17, "int a"), ("FIELD", "u.b", 17, "float b"),
+    ]
+    assert [(name[r[0]], name.get(r[1])) for r in relations if r[2] == "CALLS"] == [("helper", None), ("make", "helper"), ("make", None), ("main", "make")]
+    rows = [("p", "src/a.c", "c", C_SOURCE), ("p", "src/util.h", "c", "int f(void);"), ("p", "b.c", "c", '#include "src/util.h"\n#include "none.h"\n')]
+    raw = texts.relations(spark.createDataFrame(rows, "project_id string, file_path string, language string, content string"))
+    assert {(r["source_id"], r["target_ref"]) for r in raw.filter("kind = 'IMPORTS'").collect()} == {("src/a.c", "src/util.h"), ("b.c", "src/util.h")}
+    flow_ = flows.java_cfg("make", "static int f(int a) {\n  while (a > 0) { a--; }\n  return g(a);\n}", 5, 8)
+    assert [(a, b, k) for _, a, b, k, *_ in flow_] == [(0, 1, "NEXT"), (1, 2, "TRUE_BRANCH"), (2, 1, "LOOP_BACK"), (1, 3, "FALSE_BRANCH"), (3, 4, "NEXT")]
+
+
 def test_java_that_is_no_java():
     """What does not parse gives what can be read, and never fails."""
     for text in ("", "class", "class A { void f( {", "}}}} class B { int x = ; }", "package ;", 'class C { String s = "unclosed; }', "class D { void f() { a.b(( } }", "\x00 é 中 class E<T extends F<G>> { }"):
