@@ -100,7 +100,7 @@ def input_partitions(df: DataFrame) -> int:
 
 
 #: Bytes of text in a block (a bucket) of documents, and in a hash class, on average.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def blocks_of(texts: DataFrame) -> int:

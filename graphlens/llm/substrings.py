@@ -6,7 +6,8 @@ A window is ``WINDOW`` consecutive words.  Documents are dealt into blocks (see
    anchors; about one position in fourteen is an anchor.  Blocks send their distinct anchors to hash classes, which
    answer with those found at more than one place.
 2. Confirmation.  Only windows with a repeated anchor are hashed and counted over all blocks in the same way: the
-   answer to a block names those of its windows whose words start at another place, too.
+   answer to a block names those of its windows whose words start at another place, too.  Windows are equal if 64 bits
+   of their own hash and 32 bits of their anchor's are.
 3. Location.  A block joins its confirmed windows to passages (each distinct window in one passage), cuts the passages
    into tiles of 18 words, of which every window holds one, compiles them into Aho-Corasick automata of at most
    ``SHARD_CHARS`` characters, and streams all its documents through them.  A tile found is extended word by word
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.blocks import blocks, unpacked
 from graphlens.llm.hashing import chunks, sequence_hashes, word_hashes
-from graphlens.llm.shared import input_partitions, release
+from graphlens.llm.shared import blocks_of, release
 
 WINDOW = 35
 ANCHOR = 8
@@ -69,8 +70,8 @@ def _repeats(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return own, n > 1
 
 
-def _send(block: int, own: np.ndarray, many: np.ndarray, classes: int):
-    """Rows (class, block, hashes, many) for each class that gets any."""
+def _send(block: int, own: np.ndarray, many: np.ndarray, classes: int, checks: np.ndarray | None = None):
+    """Rows (class, block, hashes, many, checks) for each class that gets any."""
     import pyarrow as pa
 
     of = (own >> np.uint64(40)) % np.uint64(classes)
@@ -78,13 +79,15 @@ def _send(block: int, own: np.ndarray, many: np.ndarray, classes: int):
     keys, at = np.unique(of[order], return_index=True)
     hashes = np.split(own[order], at[1:]) if len(keys) else []
     flags = np.split(many[order], at[1:]) if len(keys) else []
+    more = np.split(checks[order], at[1:]) if checks is not None and len(keys) else [np.zeros(0, np.uint32)] * len(keys)
     return pa.table({
         "class": pa.array(keys.astype(np.int32), pa.int32()), "block": pa.array([block] * len(keys), pa.int32()),
         "hashes": pa.array([h.tobytes() for h in hashes], pa.binary()), "many": pa.array([np.packbits(f).tobytes() for f in flags], pa.binary()),
+        "checks": pa.array([c.tobytes() for c in more], pa.binary()),
     })
 
 
-SENT = "class int, block int, hashes binary, many binary"
+SENT = "class int, block int, hashes binary, many binary, checks binary"
 
 
 def _ask_anchors(classes: int, window: int):
@@ -107,7 +110,11 @@ def _answer(table):
     sent = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
     flat = np.concatenate(sent)
     many = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=len(h)).astype(bool) for x, h in zip(table.column("many"), sent)])
-    own, at, n = np.unique(flat, return_inverse=True, return_counts=True)
+    own, first, at, n = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+    checks = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in table.column("checks")])
+    if len(checks) and (checks != checks[first][at]).any():  # different windows of one hash are told apart
+        _, at, n = np.unique(np.stack([at, checks]), axis=1, return_inverse=True, return_counts=True)
+        at = at.ravel()
     n[at[many]] = 2
     again = n[at] > 1
     ends = np.cumsum([len(h) for h in sent])
@@ -132,15 +139,20 @@ def _ask_windows(classes: int, window: int):
         import pyarrow as pa
 
         if not table.num_rows:
-            return pa.table({"class": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "hashes": pa.array([], pa.binary()), "many": pa.array([], pa.binary())})
-        repeated, found = _known(answers), []
+            return pa.table({"class": pa.array([], pa.int32()), "block": pa.array([], pa.int32())} | {c: pa.array([], pa.binary()) for c in ("hashes", "many", "checks")})
+        repeated, found, checks = _known(answers), [], []
         for _, words, bounds in _docs(table):
             for a, b in zip(bounds, bounds[1:]):
                 if b - a >= window:
-                    may = _among(anchors(words[a:b], window)[0], repeated)
+                    least = anchors(words[a:b], window)[0]
+                    may = _among(least, repeated)
                     if may.any():
                         found.append(sequence_hashes(words[a:b], window)[may])
-        return _send(table.column("block")[0].as_py(), *_repeats(found), classes)
+                        checks.append((least[may] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+        own, at, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_index=True, return_counts=True)
+        checks = np.concatenate(checks)[at] if checks else np.zeros(0, np.uint32)
+        release()
+        return _send(table.column("block")[0].as_py(), own, n > 1, classes, checks)
 
     return ask
 
@@ -242,13 +254,11 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (UTF-8 bytes: the words that stay, joined by blanks) of each row of ``docs``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    spark = docs.sparkSession
-    classes = 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    dealt = blocks(docs, 2 * input_partitions(docs))
-    answer = "block int, hashes binary"
-    repeated = dealt.groupBy("block").applyInArrow(_ask_anchors(classes, window), SENT).groupBy("class").applyInArrow(_answer, answer)
-    asked = dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_ask_windows(classes, window), SENT)
-    recurring = asked.groupBy("class").applyInArrow(_answer, answer)
+    n = classes = blocks_of(docs)
+    dealt = blocks(docs, n)
+    answered = lambda sent: sent.repartitionById(classes, F.col("class")).groupBy("class").applyInArrow(_answer, "block int, hashes binary").repartitionById(n, F.col("block"))
+    repeated = answered(dealt.groupBy("block").applyInArrow(_ask_anchors(classes, window), SENT))
+    recurring = answered(dealt.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_ask_windows(classes, window), SENT))
     out = f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_removed long, kept binary"
     return dealt.groupBy("block").cogroup(recurring.groupBy("block")).applyInArrow(_locate(window, to_arrow_type(docs.schema["doc_id"].dataType)), out)
 
