@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from graphlens.llm.blocks import unpacked
 from graphlens.llm.hashing import chunks, mix, sequence_hashes, word_hashes
-from graphlens.llm.shared import apart, input_partitions, release, restored, written
+from graphlens.llm.shared import apart, blocks_of, met_by_key, release, restored, written
 
 SHINGLE = 5
 #: The threshold as a fraction of whole numbers.
@@ -49,7 +49,7 @@ BLOOM_BITS = 23
 CHOICES = (1, 2, 4, 8, 16, 32)
 HUBS = 3
 #: Contested postings in a block of documents, on average.
-BLOCK_ROWS = 1_000_000
+BLOCK_ROWS = 500_000
 VERIFY_COST = 4.0
 #: Classes and shingles of a component that are compared in one task.
 PART_CLASSES, PART_SHINGLES = 2000, 4_000_000
@@ -64,13 +64,24 @@ def shingle_sets(texts: list[bytes], k: int = SHINGLE) -> list[np.ndarray]:
     return [np.unique(whole[a : b - k + 1]) if b - a >= k else sequence_hashes(words[a:b], b - a) if b > a else np.zeros(0, np.uint64) for a, b in zip(bounds, bounds[1:])]
 
 
-def class_of(own: np.ndarray) -> int:
-    """64-bit id of a set of shingles, as a signed number."""
+def set_hash(own: np.ndarray, seed: int = 0xA0761D6478BD642F) -> int:
+    """64-bit hash of a set of shingles, as a signed number."""
     with np.errstate(over="ignore"):
-        total = mix(own ^ np.uint64(0xA0761D6478BD642F)).sum(dtype=np.uint64) + np.uint64(len(own))
+        total = mix(own ^ np.uint64(seed)).sum(dtype=np.uint64) + np.uint64(len(own))
     return int(mix(np.array([total], np.uint64)).view(np.int64)[0])
 
 
+def second_hash(own: np.ndarray) -> int:
+    """Another one, which tells different sets of one hash apart."""
+    return set_hash(own, 0xE7037ED1A0B428DB)
+
+
+def class_of(own: np.ndarray, shared: frozenset[int] = frozenset()) -> int:
+    """Id of a set: its hash, or for the hashes that different sets ``shared``, that with the second one."""
+    c = set_hash(own)
+    return c ^ second_hash(own) if c in shared else c
+
+
 def _read(batches: Iterator) -> Iterator:
     """(batch, first row, texts, sets) over groups of bounded size."""
     for batch in batches:
@@ -79,8 +90,12 @@ def _read(batches: Iterator) -> Iterator:
             yield batch, at, group, shingle_sets(group)
 
 
-def survey(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """One row per document (doc_id, text_hash, n, cls), and the sketch of shingle counts.
+SURVEY = ("doc_id", "text_hash", "n", "cls", "second", "slot", "counts", "bucket", "classes", "sizes", "texts")
+
+
+def survey(texts: DataFrame, buckets: int) -> tuple[DataFrame, np.ndarray, frozenset[int], DataFrame]:
+    """One row per document (doc_id, text_hash, n, cls), the sketch of shingle counts, the hashes that different sets share
+    (few, if any), and the texts packed by the buckets of their classes, one copy of a class from a task.
 
     A task counts a set once however many copies it meets; each task sends ``SLOTS`` pieces of the sketch, and the
     driver gets their sums, 2^SKETCH_BITS counters in all.
@@ -90,19 +105,41 @@ def survey(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
         import pyarrow as pa
 
         counts, seen = np.zeros(1 << SKETCH_BITS, np.uint32), set()
-        id_type = None
+        kinds, held, size = None, [], 0
+
+        def rows(size_: int, **columns):
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size_, kinds[c]) for c in SURVEY], names=list(SURVEY))
+
+        def packed():
+            batch = _pack_rows([c % buckets for c, _ in held], [c for c, _ in held], [t for _, t in held], ("bucket", "classes", "sizes", "texts"))
+            held.clear()
+            return rows(batch.num_rows, **dict(zip(batch.schema.names, batch.columns)))
+
         for batch, at, group, sets in _read(batches):
-            id_type = batch.schema.field("doc_id").type
-            cls = [class_of(s) for s in sets]
-            fresh = [s for c, s in zip(cls, sets) if c not in seen and not seen.add(c)]
+            if kinds is None:
+                kinds = {c: pa.int64() for c in ("text_hash", "n", "cls", "second")} | {c: pa.int32() for c in ("slot", "bucket")} | {c: pa.binary() for c in ("counts", "classes", "sizes", "texts")}
+                kinds["doc_id"] = batch.schema.field("doc_id").type
+            cls, second = [set_hash(s) for s in sets], [second_hash(s) for s in sets]
+            fresh = [k for k, c in enumerate(cls) if c not in seen and not seen.add(c)]
             if fresh:
-                at_ = np.concatenate(fresh) & np.uint64((1 << SKETCH_BITS) - 1)
+                at_ = np.concatenate([sets[k] for k in fresh]) & np.uint64((1 << SKETCH_BITS) - 1)
                 counts += np.bincount(at_.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
+            for k in fresh:
+                if len(sets[k]):
+                    held.append((cls[k], group[k]))
+                    size += len(group[k])
             m = len(group)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(at, m), batch.column("text_hash").slice(at, m), pa.array([len(s) for s in sets], pa.int64()), pa.array(cls, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names=names)
-        if id_type is not None:
+            whole = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], cls, second)]
+            yield rows(m, doc_id=batch.column("doc_id").slice(at, m), text_hash=batch.column("text_hash").slice(at, m), n=whole[0], cls=whole[1], second=whole[2])
+            if size > 16 << 20:
+                size = 0
+                yield packed()
+        if held:
+            yield packed()
+        if kinds is not None:
             parts = [c.tobytes() for c in np.split(counts, SLOTS)]
-            yield pa.RecordBatch.from_arrays([pa.nulls(SLOTS, id_type), pa.nulls(SLOTS, pa.int64()), pa.nulls(SLOTS, pa.int64()), pa.nulls(SLOTS, pa.int64()), pa.array(range(SLOTS), pa.int32()), pa.array(parts, pa.binary())], names=names)
+            yield rows(SLOTS, slot=pa.array(range(SLOTS), pa.int32()), counts=pa.array(parts, pa.binary()))
+        release()
 
     def add(table):
         import pyarrow as pa
@@ -112,14 +149,21 @@ def survey(texts: DataFrame) -> tuple[DataFrame, np.ndarray]:
             total += np.frombuffer(x.as_py(), np.uint32)
         return pa.table({"slot": table.column("slot")[:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
-    names = ["doc_id", "text_hash", "n", "cls", "slot", "counts"]
-    both = written(texts.mapInArrow(run, f"doc_id {dict(texts.dtypes)['doc_id']}, text_hash long, n long, cls long, slot int, counts binary"), "survey")
+    schema = f"doc_id {dict(texts.dtypes)['doc_id']}, text_hash long, n long, cls long, second long, slot int, counts binary, bucket int, classes binary, sizes binary, texts binary"
+    both = written(texts.mapInArrow(run, schema), "survey")
     pieces = both.filter("slot IS NOT NULL").select("slot", "counts").groupBy("slot").applyInArrow(add, "slot int, counts binary").collect()
     sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
     for r in pieces:
         size = len(sketch) // SLOTS
         sketch[r["slot"] * size : (r["slot"] + 1) * size] = np.frombuffer(r["counts"], np.uint32)
-    return both.filter("slot IS NULL").select("doc_id", "text_hash", "n", "cls"), sketch
+    rows = both.filter("cls IS NOT NULL")
+    shared = frozenset(r["cls"] for r in rows.groupBy("cls").agg(F.min("second").alias("lo"), F.max("second").alias("hi")).filter("lo <> hi").select("cls").collect())
+    own = F.when(F.col("cls").isin(*shared), F.col("cls").bitwiseXOR(F.col("second"))).otherwise(F.col("cls")) if shared else F.col("cls")
+    if shared:  # the texts that were packed as copies of others are among them, too
+        texts_ = dealt(texts, buckets, shared)
+    else:
+        texts_ = both.filter("bucket IS NOT NULL").select("bucket", F.col("classes").alias("cls"), "sizes", "texts")
+    return rows.select("doc_id", "text_hash", "n", own.alias("cls")), sketch, shared, texts_
 
 
 def bucket_of(cls: Column, n: int) -> Column:
@@ -148,23 +192,21 @@ def _pack_rows(bucket: list[int], cls: list[int], texts: list[bytes], names: tup
     )
 
 
-def dealt(texts: DataFrame, buckets: int, bloom=None) -> DataFrame:
-    """Texts dealt to the buckets of their classes, one copy of a class from a task; with ``bloom``, only classes it may hold."""
+def dealt(texts: DataFrame, buckets: int, shared: frozenset[int]) -> DataFrame:
+    """Texts packed by the buckets of their classes, one copy of a class from a task, where different sets ``shared`` a hash."""
 
     def run(batches: Iterator) -> Iterator:
         seen: set[int] = set()
-        bits = np.frombuffer(bloom.value, np.uint8) if bloom is not None else None
         cls: list[int] = []
         kept: list[bytes] = []
         size = 0
         for _, _, group, sets in _read(batches):
             for t, s in zip(group, sets):
-                if len(s) and (c := class_of(s)) not in seen:
-                    if bits is None or _in_bloom(bits, c):
-                        cls.append(c)
-                        kept.append(t)
-                        size += len(t)
-                        seen.add(c)
+                if len(s) and (c := class_of(s, shared)) not in seen:
+                    cls.append(c)
+                    kept.append(t)
+                    size += len(t)
+                    seen.add(c)
             if size > 16 << 20:
                 yield _pack_rows([c % buckets for c in cls], cls, kept)
                 cls, kept, size = [], [], 0
@@ -172,7 +214,28 @@ def dealt(texts: DataFrame, buckets: int, bloom=None) -> DataFrame:
             yield _pack_rows([c % buckets for c in cls], cls, kept)
         release()
 
-    return texts.mapInArrow(run, PACKED).repartition("bucket")
+    return written(texts.mapInArrow(run, PACKED), "dealt", "none")
+
+
+def possible(packed: DataFrame, bloom) -> DataFrame:
+    """The packed texts without those of classes that the filter does not hold."""
+
+    def run(batches: Iterator) -> Iterator:
+        bits = np.frombuffer(bloom.value, np.uint8)
+        for batch in batches:
+            for row in range(batch.num_rows):
+                cls = np.frombuffer(batch.column("cls")[row].as_py(), np.int64)
+                hit = [i for i, c in enumerate(cls.tolist()) if _in_bloom(bits, c)]
+                if hit:
+                    texts = unpacked(batch.column("sizes")[row].as_py(), batch.column("texts")[row].as_py())
+                    yield _pack_rows([batch.column("bucket")[row].as_py()] * len(hit), cls[hit].tolist(), [texts[i] for i in hit])
+        release()
+
+    return packed.mapInArrow(run, PACKED)
+
+
+def by_bucket(packed: DataFrame, buckets: int) -> DataFrame:
+    return packed.repartitionById(buckets, F.col("bucket"))
 
 
 def _unpack_rows(table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
@@ -404,8 +467,9 @@ def verified(pairs: DataFrame, live: DataFrame, buckets: int) -> DataFrame:
     """The pairs (a, b) of classes that reach the threshold; ``live`` has their texts by bucket."""
     home = pairs.select("a", "b", bucket_of(F.col("a"), buckets).alias("bucket"))
     asked = home.select("b", F.col("bucket").alias("to")).distinct().withColumn("bucket", bucket_of(F.col("b"), buckets)).filter(F.col("bucket") != F.col("to"))
-    shipped = live.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(_ship, PACKED)
-    return live.unionByName(shipped).groupBy("bucket").cogroup(home.groupBy("bucket")).applyInArrow(_verify, "a long, b long")
+    at = lambda df: df.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+    shipped = at(live).cogroup(at(asked)).applyInArrow(_ship, PACKED)
+    return at(live.unionByName(shipped)).cogroup(at(home)).applyInArrow(_verify, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -423,30 +487,40 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _pack_contested(blocks: int):
-    """Contested rows packed by block, a copy for each pair of blocks (i <= j) that the block is in."""
-    names = ("token", "a", "label", "n", "m", "place")
+CONTESTED = ("token", "a", "label", "n", "m", "place")
+#: Copies of contested rows that are packed together, about.
+PACK_ROWS = 500_000
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-        import zstandard
 
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        for batch in batches:
-            cols = {c: batch.column(c).to_numpy() for c in names}
-            of = (mix(cols["a"].view(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-            i, j, own, rows = [], [], [], []
-            for k in np.unique(of).tolist():
-                at = of == k
-                packed = squeeze(np.concatenate([cols[c][at].astype(np.int64) for c in names]).tobytes())
-                for other in range(blocks):
-                    i.append(min(k, other))
-                    j.append(max(k, other))
-                    own.append(k)
-                    rows.append(packed)
-            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(own, pa.int32()), pa.array(rows, pa.binary())], names=["i", "j", "own", "packed"])
+def _pack_contested(batches: Iterator) -> Iterator:
+    """Contested rows packed by pair of blocks (i <= j): a copy for each of the blocks that their list has documents in."""
+    import pyarrow as pa
+    import zstandard
 
-    return run
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def packed():
+        own, other, rows = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held], axis=1)
+        held.clear()
+        i, j = np.minimum(own, other), np.maximum(own, other)
+        order = np.lexsort((own, j, i))
+        i, j, own, rows = i[order], j[order], own[order], rows[:, order]
+        begin = np.flatnonzero(np.concatenate([[True], (i[1:] != i[:-1]) | (j[1:] != j[:-1]) | (own[1:] != own[:-1])]))
+        parts = [squeeze(np.ascontiguousarray(rows[:, lo:hi]).tobytes()) for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), len(i)])]
+        return pa.RecordBatch.from_arrays([pa.array(x[begin].astype(np.int32)) for x in (i, j, own)] + [pa.array(parts, pa.binary())], names=["i", "j", "own", "packed"])
+
+    for batch in batches:
+        blocks = batch.column("blocks")
+        copies = np.diff(blocks.offsets.to_numpy())
+        at = np.repeat(np.arange(batch.num_rows), copies)
+        rows = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in CONTESTED])[:, at]
+        held.append((batch.column("own").to_numpy()[at], blocks.flatten().to_numpy(), rows))
+        if sum(len(h[0]) for h in held) > PACK_ROWS:
+            yield packed()
+    if held:
+        yield packed()
+    release()
 
 
 def _pair_up(table):
@@ -455,8 +529,8 @@ def _pair_up(table):
     import zstandard
 
     unpack = zstandard.ZstdDecompressor().decompress
-    parts = [np.frombuffer(unpack(x.as_py()), np.int64).reshape(6, -1) for x in table.column("packed")]
-    side = np.concatenate([np.full(p.shape[1], k) for p, k in zip(parts, table.column("own").to_pylist())])
+    parts = [np.frombuffer(unpack(x.as_py()), np.int64).reshape(len(CONTESTED), -1) for x in table.column("packed")]
+    side = np.repeat(table.column("own").to_numpy(), [p.shape[1] for p in parts])
     token, cls, label, n, l, place = np.concatenate(parts, axis=1)
     same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
     order = np.lexsort((side, token))
@@ -500,14 +574,25 @@ def _pair_up(table):
     return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
 
-def contested(live: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components in the same posting lists, with enough shared prefix shingles."""
+def contested(live: DataFrame, labels: DataFrame, buckets: int) -> DataFrame:
+    """Pairs (a, b) across components in the same posting lists, with enough shared prefix shingles.
+
+    The documents are dealt to blocks, and a list is met by the pairs of blocks that it has documents in: its rows are
+    copied once for each of its own blocks, not for all blocks there are.
+    """
     labelled = written(live.join(labels.withColumnRenamed("cls", "a"), "a", "left").withColumn("label", F.coalesce("label", "a")), "labelled")
-    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("token")
-    rows = written(labelled.join(mixed, "token", "left_semi").select("token", "a", "label", "n", "m", "place"), "contested")
-    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
-    packed = rows.mapInArrow(_pack_contested(blocks), "i int, j int, own int, packed binary")
-    return packed.groupBy("i", "j").applyInArrow(_pair_up, "a long, b long")
+    mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi").select("token", "size")
+    rows = written(met_by_key(labelled, written(mixed, "mixed"), "token", labelled.count()).select(*CONTESTED), "contested")
+    total = rows.count()
+    blocks = max(1, -(-total // BLOCK_ROWS))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("a"), F.lit(blocks)).cast("int"))
+    lists = rows.groupBy("token").agg(F.count("*").alias("size"), F.collect_set("own").alias("blocks"))
+    met = met_by_key(rows, written(lists, "lists"), "token", total).select(*CONTESTED, "own", "blocks")
+    packed = met.mapInArrow(_pack_contested, "i int, j int, own int, packed binary")
+    tasks = max(1, min(blocks * (blocks + 1) // 2, max(buckets, blocks)))
+    number = F.col("j").cast("long") * (F.col("j") + 1) / 2 + F.col("i")
+    dealt_ = packed.withColumn("pair", F.pmod(number.cast("long"), F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("pair"))
+    return dealt_.groupBy("pair", "i", "j").applyInArrow(_pair_up, "a long, b long")
 
 
 def overlaps(sets: list[np.ndarray], left: int | None) -> np.ndarray:
@@ -613,27 +698,27 @@ def met(classes: DataFrame, kept: DataFrame, buckets: int, pairs: bool) -> DataF
         bucket_of(F.col("cls"), buckets).alias("bucket"), "cls", "label", F.col("size").alias("weight"), "own", "part",
         (F.least("own", "other") + F.when(F.col("whole"), 1).otherwise(0)).cast("int").alias("i"), (F.greatest("own", "other") + F.when(F.col("whole"), 1).otherwise(0)).cast("int").alias("j"),
     )
-    shipped = kept.groupBy("bucket").cogroup(parts.groupBy("bucket")).applyInArrow(_ship_parts, "part long, i int, j int, labels binary, own binary, weights binary, cls binary, sizes binary, texts binary")
-    return shipped.groupBy("part", "i", "j").applyInArrow(_meet(pairs), "a long, b long" if pairs else "cls long, n long")
+    at = lambda df: df.repartitionById(buckets, F.col("bucket")).groupBy("bucket")
+    shipped = at(kept).cogroup(at(parts)).applyInArrow(_ship_parts, "part long, i int, j int, labels binary, own binary, weights binary, cls binary, sizes binary, texts binary")
+    return shipped.repartition(buckets, "part", "i", "j").groupBy("part", "i", "j").applyInArrow(_meet(pairs), "a long, b long" if pairs else "cls long, n long")
 
 
 def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(members, classes, kept, buckets): documents, classes with least id, size and label, texts of classes by bucket."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
-    members, sketch = survey(texts)
-    buckets = 2 * input_partitions(texts)
-    classes = 2 * int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    lists = dealt(texts, buckets).groupBy("bucket").applyInArrow(_emit_prefixes(spark.sparkContext.broadcast(sketch), classes), "class int, cls binary, n binary, l binary, per binary, place binary, tokens binary")
-    found = written(lists.groupBy("class").applyInArrow(_postings, CANDIDATES), "candidates")
+    buckets = classes = blocks_of(texts)
+    members, sketch, _, packed = survey(texts, buckets)
+    lists = by_bucket(packed, buckets).groupBy("bucket").applyInArrow(_emit_prefixes(spark.sparkContext.broadcast(sketch), classes), "class int, cls binary, n binary, l binary, per binary, place binary, tokens binary")
+    found = written(lists.repartitionById(classes, F.col("class")).groupBy("class").applyInArrow(_postings, CANDIDATES), "candidates")
     live = found.filter("token IS NOT NULL")
     first = written(found.filter("token IS NULL").select("a", "b").distinct(), "pairs")
     bloom = spark.sparkContext.broadcast(class_filter(live.select(F.col("a").alias("cls"))))
-    kept = written(dealt(texts, buckets, bloom).groupBy("bucket").applyInArrow(_repack, PACKED), "live", "none")
+    kept = written(by_bucket(possible(packed, bloom), buckets).groupBy("bucket").applyInArrow(_repack, PACKED), "live", "none")
     links = written(verified(first, kept, buckets), "links")
     labels = components(links)
     ordered = first.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    second = written(contested(live, labels).join(ordered, ["a", "b"], "left_anti"), "pairs")
+    second = written(contested(live, labels, buckets).join(ordered, ["a", "b"], "left_anti"), "pairs")
     more = written(verified(second, kept, buckets), "links")
     if more.limit(1).count():
         labels = components(links.unionByName(more))
@@ -643,25 +728,17 @@ def joined(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     return members, by_class, kept, buckets
 
 
-def grouped(docs: DataFrame, count: bool = False) -> DataFrame:
-    """doc_id, text_hash, n_shingles, label (null: no shingles), component_id and, with ``count``, n_links of each row of ``docs``."""
-    members, by_class, kept, buckets = joined(docs)
-    least = by_class.groupBy("label").agg(F.min("own").alias("component_id"))
-    ids = by_class.join(least, "label").select("cls", "label", "component_id", "size")
-    n_links = F.lit(None).cast("long")
-    if count:
-        partners = written(met(by_class, kept, buckets, False), "partners").groupBy("cls").agg(F.sum("n").alias("partners"))
-        ids = ids.join(partners, "cls", "left")
-        n_links = F.col("size") - 1 + F.coalesce("partners", F.lit(0))
-    ids = written(ids.select("cls", "label", "component_id", n_links.alias("n_links")), "components")
-    some = members.filter("n > 0").join(ids, "cls").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "label", "component_id", "n_links")
-    none = members.filter("n = 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return some.unionByName(none)
-
-
 def linked(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and n_links (other documents that reach the threshold) of each row of ``docs``."""
-    return grouped(docs, True).select("doc_id", "n_shingles", "component_id", "n_links")
+    members, by_class, kept, buckets = joined(docs)
+    least = written(by_class.groupBy("label").agg(F.min("own").alias("component_id"), F.count("*").alias("size")), "least")
+    ids = met_by_key(by_class.withColumnRenamed("size", "copies"), least, "label", by_class.count()).drop("size").withColumnRenamed("copies", "size")
+    partners = written(met(by_class, kept, buckets, False), "partners").groupBy("cls").agg(F.sum("n").alias("partners"))
+    n_links = F.col("size") - 1 + F.coalesce("partners", F.lit(0))
+    ids = written(ids.join(partners, "cls", "left").select("cls", "component_id", "size", n_links.alias("n_links")), "components")
+    some = met_by_key(members.filter("n > 0"), ids, "cls", members.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    none = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return some.unionByName(none)
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -673,9 +750,22 @@ def links(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the row of the smallest id."""
-    rows = written(grouped(docs.select("doc_id", "text")).drop("n_links").filter("label IS NOT NULL").withColumn("key", F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))), "grouped")
-    best = written(rows.groupBy("label").agg(F.min("key").alias("best"), F.count("*").alias("size")).filter("size > 1"), "stay")
-    gone = written(rows.join(best, "label").filter(F.col("key") != F.col("best")).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_g")).distinct(), "gone")
+    """The rows of ``docs`` that stay, with all their columns: of each component the row of the smallest id.
+
+    Rows without shingles all stay; of rows that repeat id and text one stays, whichever.
+    """
+    members, by_class, _, _ = joined(docs.select("doc_id", "text"))
+    key = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    least = members.filter("n > 0").groupBy("cls").agg(F.min(key).alias("least"))
+    classes = written(by_class.join(least, "cls").select("cls", "label", "size", "least"), "least")
+    best = classes.groupBy("label").agg(F.min("least").alias("best"), F.count("*").alias("size"), F.sum("size").alias("rows")).filter("rows > 1").drop("rows")
+    several = met_by_key(classes.withColumnRenamed("size", "copies"), written(best, "best"), "label", classes.count()).select("cls", F.col("copies").alias("size"), "best")
+    rows = written(met_by_key(members.filter("n > 0"), written(several, "several"), "cls", members.count()).select("doc_id", "text_hash", (key != F.col("best")).alias("gone")), "grouped")
+    gone = rows.filter("gone").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_g")).distinct()
+    again = written(rows.filter("NOT gone").groupBy(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_g")).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "again")
     hashed = apart(docs).withColumn("_h", F.xxhash64("text"))
-    return restored(hashed.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g")), "left_anti"), docs)
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g"))
+    stay = hashed.join(gone, same, "left_anti")
+    if again.limit(1).count():
+        stay = stay.join(again, same, "left_anti").unionByName(stay.join(again, same, "left_semi").dropDuplicates(["doc_id", "_h"]))
+    return restored(stay, docs)

@@ -116,11 +116,13 @@ HOT = 10_000
 
 
 def met_by_key(rows: DataFrame, keyed: DataFrame, key: str, total: int) -> DataFrame:
-    """``rows`` joined with ``keyed`` (one row a key; column ``size``: how many of the ``total`` rows have it).
+    """``rows`` joined with ``keyed`` (a written table, one row a key; column ``size``: how many of the ``total`` rows have it).
 
     Hot keys are broadcast, fewer than ``HOT`` by their definition, so that no task gets the rows of one; the others meet by exchange.
     """
     hot = keyed.filter(F.col("size") * HOT > total)
+    if not hot.limit(1).count():
+        return rows.join(keyed, key)
     cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(keyed.filter(F.col("size") * HOT <= total), key)
     return cold.unionByName(rows.join(F.broadcast(hot), key))
 
