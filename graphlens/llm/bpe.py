@@ -128,8 +128,8 @@ def _decoded(ids, cuts, path: str, between: str):
     return pc.binary_join(rows, between)
 
 
-#: Ids that are decoded at once.
-DECODED_IDS = 4_000_000
+#: Words that are put together at once.
+JOINED_WORDS = 200_000
 
 
 def _assemble(classes: int, path: str, between: str | None):
@@ -152,17 +152,19 @@ def _assemble(classes: int, path: str, between: str | None):
             raw.append(unpack(ids))
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
-        ids, ends = taken(np.frombuffer(b"".join(raw), np.uint32), n, place[at])
-        by_text = np.concatenate([[0], ends])[cuts]
-        del raw, words, at, ends
-        out = {"doc_id": own, "ids": pa.chunked_array([_binary(ids, by_text)])}
-        if between is not None:
-            parts, lo = [], 0
-            while lo < len(by_text) - 1:
-                hi = max(lo + 1, int(np.searchsorted(by_text, by_text[lo] + DECODED_IDS, side="right")) - 1)
-                parts.append(_decoded(ids[by_text[lo] : by_text[hi]], by_text[lo : hi + 1] - by_text[lo], path, between))
-                lo = hi
-            out["decoded"] = pa.chunked_array(parts, pa.string())
+        own_ids = np.frombuffer(b"".join(raw), np.uint32)
+        del raw, words
+        found, decoded, lo = [], [], 0
+        while lo < len(cuts) - 1:  # a bounded number of words at a time, a text at least
+            hi = max(lo + 1, int(np.searchsorted(cuts, cuts[lo] + JOINED_WORDS, side="right")) - 1)
+            ids, ends = taken(own_ids, n, place[at[cuts[lo] : cuts[hi]]])
+            by_text = np.concatenate([[0], ends])[cuts[lo : hi + 1] - cuts[lo]]
+            found.append(_binary(ids, by_text))
+            if between is not None:
+                decoded.append(_decoded(ids, by_text, path, between))
+            lo = hi
+        out = {"doc_id": own, "ids": pa.chunked_array(found, pa.binary())} | ({} if between is None else {"decoded": pa.chunked_array(decoded, pa.string())})
+        del own_ids, at, place
         release()
         return pa.table(out)
 

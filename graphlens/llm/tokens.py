@@ -11,7 +11,7 @@ import re
 import sys
 
 #: Words a worker keeps between batches; beyond it the store starts anew (ids don't depend on it).
-MAX_CACHED = 400_000
+MAX_CACHED = 200_000
 
 
 def default_vocabulary() -> str:
@@ -201,8 +201,8 @@ class TextIds:
         out: list[bytes] = []
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
-        while at < len(texts):  # about 16 MB of text at a time
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (16 << 20), side="right")))
+        while at < len(texts):  # about 8 MB of text at a time
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (8 << 20), side="right")))
             out += self._group(texts.slice(at, stop - at))
             at = stop
         return out
@@ -218,8 +218,8 @@ class TextIds:
         return [raw[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
-def worker_words(path: str, limit: int = MAX_CACHED) -> WordIds:
-    """The word encoder of this Python worker, kept over tasks and groups."""
+def worker_words(path: str, limit: int = MAX_CACHED // 2) -> WordIds:
+    """The word encoder of this Python worker, kept over tasks and groups; classes of words share little but punctuation."""
     kept = sys.__dict__.setdefault("_token_words", {})
     if path not in kept:
         kept[path] = WordIds(path, "<u4", limit)
