@@ -7,7 +7,9 @@ the profile lacks it; the language with the least sum wins.  Profiles are learne
 counts added up in Spark.  Scoring reads every whole text.
 
 Defined cases: null text, or text without a letter, is ``und`` with score 0; null ids are never held out and never
-learned from; without labelled rows every text is ``und``; ties go to the language first in alphabetical order.
+learned from; without labelled rows every text is ``und``; ties go to the language first in alphabetical order; a
+repeated id is judged row by row; columns of the input named lang_pred or score give way to the operator's own; an
+empty table gives no rows; a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.llm.shared import crc_mod
@@ -81,14 +83,19 @@ def learn(labelled: DataFrame, top: int = TOP, rows_per_language: int = ROWS_PER
             own, n = np.unique(np.concatenate(codes), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
 
-    added = drawn.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
-    return {str(lang): g.sort_values(["n", "code"], ascending=[False, True])["code"].tolist()[:top] for lang, g in added.groupby("lang")}
+    added = drawn.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    first = added.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("place") <= top)
+    profiles: dict[str, list[int]] = {}
+    for r in sorted(first.select("lang", "place", "code").collect()):  # ``top`` rows a language
+        profiles.setdefault(r["lang"], []).append(r["code"])
+    return profiles
 
 
 def identify(docs: DataFrame, profiles: dict[str, list[int]], top: int = TOP) -> DataFrame:
     """``docs`` with lang_pred and score, from column text alone.  The profiles (``top`` codes a language) travel with the code."""
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
+    docs = docs.drop("lang_pred", "score")
     langs = sorted(profiles)
     known = np.array(sorted({c for p in profiles.values() for c in p}), np.uint64)
     ranks = np.full((len(known), len(langs)), -1, np.int32)

@@ -7,7 +7,8 @@ these are ``KNOWN``, the whole texts in the folder ``licence_texts`` (a file eac
 variants, and one-line notices of ``NAMES``.  The known side is broadcast up to ``MAX_BROADCAST`` texts and joined by exchange beyond.
 
 Defined cases: null text counts as empty; a form without any word matches nothing; of several known texts with one
-form the least id is given; each row of ``docs`` gives a row, repeated ids included.
+form the least id is given; each row of ``docs`` gives a row, repeated ids included; texts of any length are read whole;
+columns other than doc_id and text play no part; an empty table gives no rows, no known text no licences.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ NAMES = {
 SUBJECTS = ("", "This work is ", "This project is ", "This software is ", "This program is ", "This file is ", "This code is ")
 VERBS = ("licensed under", "released under", "distributed under")
 
-COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*$"
+#: A line that says who holds the rights: a sign or a year tells it from a line of the text that begins with the word.
+COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright[ \t:]*(?:\(c\)|©|[<\[{(]?(?:yyyy|year|19xx|20xx)\b)|(?:copyright\b|\(c\)|©)[^\n]*\b(?:19|20)[0-9][0-9]\b|©)[^\n]*$"
 
 
 def canonical(text: Column) -> Column:

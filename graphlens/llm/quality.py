@@ -9,7 +9,10 @@ needs one number a bucket: the executors get a table of ``BUCKETS`` floats, what
 A pair of words is hashed by the exclusive or of its words, so all immediate repetitions share one bucket.
 
 Defined cases: null and empty texts get the score of the bias alone; without rows of both classes every text gets the
-smoothed share of good labels; null ids are never held out and never learned from; a repeated id is scored row by row.
+smoothed share of good labels; null ids are never held out and never learned from; a repeated id is scored row by row,
+and learned from in the order of its texts' hashes; of several labels of an id the greatest counts; texts of more than
+``TRAIN_BYTES`` are scored whole but not learned from, which bounds what the driver gets; a column of the input named score gives way to
+the operator's own where both would be returned; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ BUCKET_BITS = 18
 BUCKETS = 1 << BUCKET_BITS
 THRESHOLD = 0.7
 ROWS_PER_CLASS = 2000
+TRAIN_BYTES = 1 << 17
+
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of every feature of every text, and the index of its text."""
@@ -111,7 +116,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS
     part = F.create_map(*[F.lit(x) for q, n in counts.items() for x in (q, min(1.0, rows_per_class / n))])
     drawn = marked.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.element_at(part, F.col("quality")) * (1 << 30))
     # the drawn labels are bounded by rows_per_class, so the small side of this join is
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(F.broadcast(drawn), "doc_id").toArrow().sort_by("doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.xxhash64("text").alias("tie")).filter(F.octet_length("text") <= TRAIN_BYTES)
+    rows = texts.join(F.broadcast(drawn), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("tie", "ascending")])
     return train(rows.column("text").to_pylist(), rows.column("quality").to_numpy(), share)
 
 
@@ -119,6 +125,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with column score (0 to 1), from column text alone."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    docs = docs.drop("score")
     held = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))
 
     def run(batches: Iterator) -> Iterator:

@@ -8,7 +8,9 @@ turn that has it.  A message answers the latest turn that it quotes on the first
 start of its thread to itself, and rows come ordered by conversation and path, over as many partitions as that takes.
 
 Defined cases: null text is empty; messages with a null conversation or turn are linked to nothing; rows that repeat a
-conversation and turn share its place; quotes of unknown origin are dropped and linked to nothing.
+conversation and turn share its place; quotes of unknown origin are dropped and linked to nothing; negative turns come
+before others; texts of any length are read whole; columns other than conv_id, turn, role and text are not given; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -170,8 +172,10 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     rows = written(parsed(messages), "messages")
     links = written(parents(rows), "links")
     placed = paths(links)
-    width = F.lit(20)
-    key = F.array_join(F.transform(F.coalesce("path", F.array("turn")), lambda t: F.lpad(t.cast("string"), width, F.lit("0"))), "/")
+    # of one width, and in the order of numbers: negative turns count from the least number there is
+    negative = lambda t: F.concat(F.lit("-"), F.lpad((t + F.lit(9223372036854775807)).cast("string"), F.lit(19), F.lit("0")))
+    step = lambda t: F.when(t < 0, negative(t.cast("long"))).otherwise(F.lpad(t.cast("string"), F.lit(20), F.lit("0")))
+    key = F.array_join(F.transform(F.coalesce("path", F.array("turn")), step), "/")
     out = rows.join(links, ["conv_id", "turn"], "left").join(placed, ["conv_id", "turn"], "left")
     out = out.select(
         "conv_id", "turn", "role", F.col("clean").alias("text"), F.col("parent").alias("parent_turn"), (F.size(F.coalesce("path", F.array("turn"))) - 1).cast("long").alias("depth"),

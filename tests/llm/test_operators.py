@@ -126,6 +126,8 @@ def test_decontamination(spark, docs, rows, empty):
     kept = decontam.clean(docs.withColumn("_d", F.lit(0)).withColumn("_h", F.lit(1)), bench)
     assert kept.columns == ["doc_id", "text", "_d", "_h"] and kept.count() == sum(not r[-1] for r in brute_windows(rows, items))
     assert decontam.contamination(empty, bench).collect() == []
+    shuffled = docs.orderBy(F.rand()).repartition(5, F.rand())  # another order each time the plan runs
+    assert ordered(tuple(r)[:3] for r in decontam.contamination(shuffled, bench).collect()) == ordered(r[:3] for r in brute_windows(rows, items))
     none = decontam.contamination(docs, bench.limit(0)).collect()
     assert len(none) == len(rows) and not any(r["contaminated"] for r in none)
 
@@ -139,6 +141,75 @@ def test_licences(spark, docs, rows, empty):
     assert licences.scan(empty, licences.known_licences(spark)).count() == 0
 
 
+@pytest.mark.parametrize("licence", ["MIT", "Apache-2.0", "BSD-3-Clause"])
+def test_licences_whatever_the_width(spark, licence):
+    """Paragraphs wrapped at every width from 40 to 120, a notice of the holder first, ties, a long text around nothing."""
+    import textwrap
+
+    shipped = Path(licences.__file__).parent / "licence_texts" / f"{licence}.txt"
+    text = shipped.read_text(encoding="utf-8") if shipped.exists() else dict(licences.KNOWN)[licence]
+    text = re.sub(r"(?m)^[ \t]*copyright[ \t]*(\(c\)|[0-9\[]).*$", "", text, flags=re.I)
+    wrap = lambda width: "\n\n".join(textwrap.fill(" ".join(p.split()), width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n", text))
+    made = [(width, f"Copyright (c) 2021 Ann\n\n{wrap(width)}") for width in range(40, 121)] + [(1000, wrap(60)), (1000, wrap(61)), (1001, wrap(60) + " word " * 50_000)]
+    got = licences.scan(spark.createDataFrame(made, DOCS), licences.known_licences(spark)).collect()
+    assert len(got) == len(made) and {(r["doc_id"], r["license_id"]) for r in got if r["license_id"] != licence} == {(1001, None)}
+
+
+def brute_quotes(messages):
+    """(conv, turn) -> parent, by trying every run of lines of every earlier message."""
+    split = lambda t: [line.lower().split() for line in t.split("\n") if line.split()]
+    own = {(c, i): split(quotes.parse(t)[0]) for c, i, _, t in messages}
+    flat = lambda lines: tuple(w for line in lines for w in line)
+    runs = {k: {flat(v[a:b]) for a in range(len(v)) for b in range(a + 1, len(v) + 1)} for k, v in own.items()}
+    out = {}
+    for c, i, _, t in messages:
+        origins = []
+        for level, passage in quotes.parse(t)[1]:
+            paragraphs = [p for p in (split(x) for x in re.split(r"\n\s*\n", passage)) if p]
+            earliest = lambda words: min((j for (d, j), found in runs.items() if d == c and words in found), default=None)
+            before = lambda words: j if words and (j := earliest(words)) is not None and j < i else None
+            whole = before(flat([line for p in paragraphs for line in p]))
+            parts = [before(flat(p)) if before(flat(p)) is not None else max((j for line in p if (j := before(tuple(line))) is not None), default=None) for p in paragraphs]
+            at = whole if whole is not None else max((p for p in parts if p is not None), default=None)
+            if at is not None and level == 1:
+                origins.append(at)
+        out[c, i] = max(origins, default=None)
+    return out
+
+
+def test_quotes_of_a_generated_mailbox_equal_brute_force(spark):
+    """Threads with whole, partial, nested and unknown quotes, inline replies and repeated lines."""
+    rng, data = random.Random(12), []
+    for conv in range(12):
+        plain_lines = []
+        for turn in range(14):
+            new = [" ".join(words(rng, rng.randrange(1, 6), 40)) for _ in range(rng.randrange(1, 6))]
+            text = []
+            if turn:
+                source = plain_lines[rng.randrange(turn)]
+                a = rng.randrange(len(source))
+                b = rng.randrange(a, len(source)) + 1
+                quoted = source[a:b]
+                if rng.random() < 0.2:
+                    quoted = [*quoted, "nobody wrote this line " + str(rng.random())]
+                text += [f"> {line.upper() if rng.random() < 0.3 else line}" for line in quoted]
+                if rng.random() < 0.3:
+                    text += [">> " + plain_lines[0][0], ">"]
+            middle = rng.randrange(len(new) + 1)
+            data.append((conv, turn, "u", "\n".join([*new[:middle], *text, *new[middle:]])))
+            plain_lines.append(new)
+    got = quotes.reply_ordered(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)).collect()
+    want = brute_quotes(data)
+    assert {(r["conv_id"], r["turn"]): r["parent_turn"] for r in got} == want and sum(v is not None for v in want.values()) > 100
+
+
+def test_quotes_of_negative_turns_and_long_texts(spark):
+    long = "\n".join(f"line {i} of many" for i in range(20_000))
+    data = [(1, -5, "u", "first words"), (1, -2, "u", "> first words\nsecond"), (1, 3, "u", long), (1, 4, "u", "> line 19998 of many\n> line 19999 of many\nok"), (1, 10, "u", "tail")]
+    got = quotes.reply_ordered(spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("x"))).collect()
+    assert [(r["turn"], r["parent_turn"]) for r in got] == [(-5, None), (-2, -5), (3, None), (4, 3), (10, None)]
+
+
 def test_language_identification(spark, empty):
     rng = random.Random(1)
     parts = {"aa": ["ka", "ro", "mi", "ta"], "bb": ["schl", "ung", "ver", "ei"], "cc": ["ção", "inho", "lha", "que"]}
@@ -161,6 +232,59 @@ def test_out_of_place_distance_by_hand():
     assert len(langid.grams("12 !", letters)) == 0
 
 
+def brute_language(data, top=langid.TOP):
+    """Profiles and out-of-place distances from strings alone."""
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+
+    def rank(texts):
+        count = Counter()
+        for t in texts:
+            for w in letters(t):
+                padded = f" {w} "
+                count.update(w)
+                count.update(padded[k : k + 2] for k in range(len(padded) - 1))
+                count.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - k) for k, c in enumerate(g))
+        return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], code(x[0])))[:top]]
+
+    known = defaultdict(list)
+    for i, t, lang in data:
+        if None not in (i, t, lang) and zlib.crc32(str(i).encode()) % 5:
+            known[lang].append(t)
+    profiles = {lang: rank(texts) for lang, texts in known.items()}
+    out = []
+    for i, t, _ in data:
+        own = rank([t or ""])
+        if not own:
+            out.append((i, "und", 0.0))
+            continue
+        cost = {lang: sum(abs(k - p.index(g)) if g in p else top for k, g in enumerate(own)) for lang, p in sorted(profiles.items())}
+        best = min(cost, key=cost.get)
+        out.append((i, best, round(1 - cost[best] / (top * len(own)), 9)))
+    return ordered(out)
+
+
+def test_language_identification_equals_brute_force(spark):
+    """Ties, a long text, repeated ids, mixed languages, letters outside ASCII."""
+    rng = random.Random(8)
+    parts = {"aa": "kaţ ro mi ta ßü".split(), "bb": "schl ung ver ei ka".split(), "cc": "ção inho lha que mi".split()}
+    made = lambda langs, n: " ".join("".join(rng.choice(parts[rng.choice(langs)]) for _ in range(3)) + rng.choice(["", ",", " 12 "]) for _ in range(n))
+    data = [(i, made([("aa", "bb", "cc")[i % 3]], rng.randrange(1, 60)), ("aa", "bb", "cc")[i % 3]) for i in range(60)]
+    data += [(100 + i, made(["aa", "bb", "cc"], 12), None) for i in range(30)] + [(300, made(["bb"], 20_000), None), (3, data[3][1], "aa"), (301, "ka", None), (302, None, None), (303, " 1!", None), (None, "schl", "cc")]
+    got = langid.predicted(spark.createDataFrame(data, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert ordered((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in got) == brute_language(data)
+
+
+def test_own_columns_win_over_columns_of_their_names(spark):
+    docs = spark.createDataFrame([(1, "ka ro", "x", 5)], "doc_id long, text string, lang_pred string, score long")
+    got = langid.identify(docs, {"aa": [ord("k")]})
+    assert got.columns == ["doc_id", "text", "lang_pred", "score"] and got.select("lang_pred").first()[0] == "aa"
+    model = quality.Model(np.zeros(quality.BUCKETS), 0.0)
+    assert [tuple(r) for r in quality.score(docs, model).collect()] == [(1, "ka ro", "x", 0.5)]
+    ids = spark.createDataFrame([(1, np.array([320], "<u4").tobytes(), 7)], "doc_id long, ids binary, decoded long")
+    assert [r["decoded"] for r in bpe.decode(ids).collect()] == ["a</w>"]
+
+
 def brute_repeats(rows, size):
     split = [(i, (t or "").encode().split()) for i, t in rows]
     count = Counter(tuple(w[k : k + size]) for _, w in split for k in range(len(w) - size + 1))
@@ -221,6 +345,77 @@ def test_quality(spark, empty):
     assert quality.scored(docs, labels.limit(0)).count() == 303 and quality.scored(empty, labels).count() == 0
 
 
+def plain_features(text):
+    """The features of one text, as Counter of buckets, from strings of bytes alone."""
+    mask, found = (1 << 64) - 1, Counter()
+    mixed = lambda x: ((y := (((z := (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask) ^ (z >> 27)) * 0x94D049BB133111EB) & mask)) ^ (y >> 31)
+    value = [mixed((b + 1) * 0xD1B54A32D192ED03 & mask) for b in range(256)]
+    hashed = lambda w: mixed(sum(value[b] * pow(0x9E3779B97F4A7C15, k, 1 << 64) for k, b in enumerate(w)) & mask)
+    padded = bytes(32 if b == 32 or 9 <= b <= 13 else b for b in b" " + text + b" ")
+    for k in range(len(padded) - 2):
+        if padded[k + 1] != 32:
+            found[(int.from_bytes(padded[k : k + 3], "little") * 2654435761 & 0xFFFFFFFF) >> 14] += 1
+    for k in range(len(padded) - 3):
+        if 32 not in padded[k + 1 : k + 3]:
+            found[(int.from_bytes(padded[k : k + 4], "little") * 2246822519 + 374761393 & 0xFFFFFFFF) >> 14] += 1
+    words_ = [hashed(w) for w in padded.split()]
+    found.update((h * 0xC2B2AE3D27D4EB4F & mask) >> 46 for h in words_)
+    found.update(((a ^ b) * 0x165667B19E3779F9 & mask) >> 46 for a, b in zip(words_, words_[1:]))
+    return found
+
+
+def test_quality_features_and_score_equal_brute_force():
+    texts = [b"", b"a", b"one two  two\tthree", "é ß x".encode(), b"same same same", b" long " * 3000]
+    buckets, owner = quality.features(texts)
+    for k, t in enumerate(texts):
+        assert Counter(buckets[owner == k].tolist()) == plain_features(t)
+    model = quality.Model(np.random.default_rng(1).normal(size=quality.BUCKETS), 0.3)
+    for t, score in zip(texts, model.score(texts)):
+        own = plain_features(t)
+        mean = sum(float(model.table[b]) * n for b, n in own.items()) / max(1, sum(own.values()))
+        assert abs(score - 1 / (1 + np.exp(-(0.3 + mean)))) < 1e-5
+
+
+def test_quality_training_follows_its_gradient():
+    """One pass over few documents against the same steps with the loss's gradient by differences."""
+    texts, labels = [b"aa bb", b"cc dd ee", b"aa cc"], np.array([1, 0, 1])
+    model = quality.train(texts, labels, 0.6, dim=3, epochs=1, rate=0.5, seed=3)
+    rng = np.random.default_rng(3)
+    vectors, out, bias = rng.uniform(-1 / 3, 1 / 3, (quality.BUCKETS, 3)).astype(np.float32).astype(float), np.zeros((2, 3)), np.zeros(2)
+    for done, i in enumerate(rng.permutation(3)):
+        own = plain_features(texts[i])
+        keys, share = list(own), np.array(list(own.values())) / sum(own.values())
+
+        def loss(rows, out, bias, i=i, share=share):
+            z = out @ (share @ rows) + bias
+            return np.log(np.exp(z).sum()) - z[labels[i]]
+
+        def slope(f, x):
+            g = np.zeros_like(x)
+            for at in np.ndindex(x.shape):
+                up, down = x.copy(), x.copy()
+                up[at] += 1e-5
+                down[at] -= 1e-5
+                g[at] = (f(up) - f(down)) / 2e-5
+            return g
+
+        rows, step = vectors[keys], 0.5 * (1 - done / 3)
+        g_out, g_bias, g_rows = slope(lambda x: loss(rows, x, bias), out), slope(lambda x: loss(rows, out, x), bias), slope(lambda x: loss(x, out, bias), rows)
+        out, bias = out - 0.1 * step * g_out, bias - 0.02 * step * g_bias
+        vectors[keys] = rows - step * g_rows
+    prior = np.log(0.6 / 0.4) - np.log((2 / 3) / (1 / 3))
+    assert np.allclose(model.table, vectors @ (out[1] - out[0]), atol=1e-4) and abs(model.bias - (bias[1] - bias[0] + prior)) < 1e-4
+
+
+def test_quality_of_repeated_ids_and_long_texts(spark):
+    """The same model whatever the order of the rows; texts beyond the bound are scored, not learned from."""
+    rng = random.Random(9)
+    data = [(i % 40, " ".join(words(rng, 30)) if i % 3 else "junk!! " * 20) for i in range(120)] + [(1, "x " * quality.TRAIN_BYTES)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0)], "doc_id long, quality int")
+    runs = [quality.scored(spark.createDataFrame(data, DOCS).orderBy(F.rand(seed)).repartition(seed + 1), labels).collect() for seed in (1, 2)]
+    assert ordered(runs[0]) == ordered(runs[1]) and len(runs[0]) == len(data)
+
+
 def test_quotes(spark):
     data = [
         (1, 0, "user", "Hello there.\n\nSecond  paragraph here."), (1, 1, "assistant", "Ann wrote:\n> second paragraph HERE.\nI agree."), (1, 2, "user", ">> second paragraph here.\n> I agree.\nGreat"),
@@ -284,8 +479,10 @@ def test_ngram_join(docs, rows, empty):
     got = ngram_join.linked(docs).collect()
     assert ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
     assert ngram_join.linked(empty).collect() == []
-    kept = ngram_join.keep_one(docs.dropDuplicates().withColumn("label", F.lit("own")).withColumn("_g", F.lit(1)))
+    kept = ngram_join.keep_one(docs.withColumn("label", F.lit("own")).withColumn("_g", F.lit(1)))
     assert kept.columns == ["doc_id", "text", "label", "_g"] and kept.count() == groups
+    once = ngram_join.keep_one(docs.sparkSession.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "A b c"), (None, "a b C"), (3, ""), (3, "")], DOCS)).collect()
+    assert ordered(tuple(r) for r in once) == ordered([(1, "a b c"), (3, ""), (3, "")])
 
 
 def brute_links(rows):
@@ -319,6 +516,32 @@ def test_ngram_links_are_all_met(spark, docs, rows, part, monkeypatch):
     assert sum(r["size_a"] * r["size_b"] for r in ngram_join.links(frame).collect()) == pairs
 
 
+def test_ngram_join_where_different_sets_share_a_hash(docs, rows, monkeypatch):
+    """Hashes of four bits: the second hash tells the sets apart."""
+    whole = ngram_join.set_hash
+
+    def short(own, seed=0xA0761D6478BD642F):
+        return whole(own, seed) & 15 if seed == 0xA0761D6478BD642F else whole(own, seed)
+
+    monkeypatch.setattr(ngram_join, "set_hash", short)
+    got = ngram_join.linked(docs).collect()
+    assert ordered((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows)[0]
+
+
+def test_windows_of_one_hash_are_told_apart():
+    """Blocks that send one hash get it back only if their windows' checks agree, or if one has it twice."""
+    import pyarrow as pa
+
+    def answers(*sent):
+        tables = [substrings._send(b, np.array(h, np.uint64), np.array(m), 1, np.array(c, np.uint32)) for b, h, m, c in sent]
+        got = substrings._answer(pa.concat_tables(tables))
+        return {b: np.frombuffer(h, np.uint64).tolist() for b, h in zip(got.column("block").to_pylist(), got.column("hashes").to_pylist())}
+
+    assert answers((0, [5, 9], [False, False], [1, 1]), (1, [5, 8], [False, False], [1, 1])) == {0: [5], 1: [5]}
+    assert answers((0, [5, 9], [False, False], [1, 1]), (1, [5, 8], [False, False], [2, 1])) == {}
+    assert answers((0, [5, 9], [True, False], [1, 1]), (1, [5, 9], [False, False], [2, 1]), (2, [9], [False], [7])) == {0: [5, 9], 1: [9]}
+
+
 def test_ngram_join_on_chains_of_near_copies(spark, monkeypatch):
     """Families whose pairs lie on both sides of the threshold, with many blocks of contested lists."""
     monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 500)
@@ -359,6 +582,25 @@ def test_token_store(spark, docs, rows, empty, tmp_path):
     assert token_store.stored(empty).collect() == []
 
 
+def test_token_store_opens_only_the_shards_with_the_keys(spark, docs, rows, tmp_path):
+    """Far keys, a null id, repeated ids, and no key at all; every key of the store is found."""
+    path, tok = str(tmp_path / "store"), tokenizer(default_vocabulary())
+    token_store.write_store(docs.withColumn("shard", F.lit("own")), path, shard_bytes=3000)
+    assert len(list(Path(path, "shards").glob("*.parquet"))) == spark.read.parquet(f"{path}/index").count() > 8
+    ids = sorted({i for i, _ in rows if i is not None})
+    far = [ids[0], ids[-1], ids[len(ids) // 2], 10**12, -5]
+    where = token_store.places(spark, path, far).collect()
+    assert {r["doc_id"] for r in where} == set(far[:3])
+    opened = token_store.fetch(spark, path, far)
+    assert len(opened.inputFiles()) == len({r["file"] for r in where}) <= 3
+    encoded = defaultdict(list)
+    for i, t in rows:
+        encoded[i].append(tok.encode(t or "", add_special_tokens=False).ids + [1])
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in token_store.fetch(spark, path, ids).collect()}
+    assert set(got) == set(ids) and all(v in encoded[k] for k, v in got.items())
+    assert token_store.fetch(spark, path, []).collect() == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 5, 3000])
 def test_perfect_hash(n):
     keys = np.unique(np.random.default_rng(n).integers(-(2**62), 2**62, n))
