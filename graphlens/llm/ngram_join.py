@@ -243,14 +243,23 @@ def _unpack_rows(table) -> Iterator[tuple[np.ndarray, list[bytes]]]:
         yield np.frombuffer(cls.as_py(), np.int64), unpacked(sizes.as_py(), packed.as_py())
 
 
-def _distinct(table) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Classes and texts of a bucket, each class once, in groups of bounded size."""
+def _distinct(table, size: int = 1 << 20) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Classes and texts of a bucket, each class once, in groups of about ``size`` bytes however many packed rows hold them:
+    a bucket has a row from each task before, so that groups that end with a row would be more and smaller on a larger corpus."""
     seen: set[int] = set()
+    own, kept, held = [], [], 0
     for cls, texts in _unpack_rows(table):
-        fresh = [i for i, c in enumerate(cls.tolist()) if c not in seen and not seen.add(c)]
-        own, kept = [int(cls[i]) for i in fresh], [texts[i] for i in fresh]
-        for at, group in chunks(kept):
-            yield own[at : at + len(group)], group
+        for c, t in zip(cls.tolist(), texts):
+            if c not in seen:
+                seen.add(c)
+                own.append(c)
+                kept.append(t)
+                held += len(t)
+                if held >= size:
+                    yield own, kept
+                    own, kept, held = [], [], 0
+    if own:
+        yield own, kept
 
 
 def prefixes(sets: list[np.ndarray], sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -288,28 +297,31 @@ def _emit_prefixes(sketch, classes: int):
         import zstandard
 
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        rows: dict[int, list[tuple[np.ndarray, ...]]] = {}
+        parts, before = [], 0
         for cls, texts in _distinct(table):
             sets = shingle_sets(texts)
             tokens, owner, place, l = prefixes(sets, sketch.value)
-            tokens = tokens >> np.uint64(16)
-            of = (tokens % np.uint64(classes)).astype(np.int64)
-            order = np.lexsort((owner, of))
-            tokens, owner, of, place = tokens[order], owner[order], of[order], place[order].astype(np.uint32)
-            ids, n = np.array(cls, np.int64), np.fromiter(map(len, sets), np.uint32, len(sets))
-            keys, at = np.unique(of, return_index=True)
-            for k, a, b in zip(keys.tolist(), at.tolist(), [*at[1:].tolist(), len(of)]):
-                docs, per = np.unique(owner[a:b], return_counts=True)
-                rows.setdefault(k, []).append((ids[docs], n[docs], l[docs].astype(np.uint8), per.astype(np.uint32), place[a:b], tokens[a:b]))
-        out = {"class": list(rows), "cls": [], "n": [], "l": [], "per": [], "place": [], "tokens": []}
-        for parts in rows.values():
-            cls, n, l, per, place, tokens = (np.concatenate(x) for x in zip(*parts))
-            out["cls"].append(cls.tobytes())
-            out["n"].append(squeeze(n.tobytes()))
-            out["l"].append(squeeze(l.tobytes()))
-            out["per"].append(squeeze(per.tobytes()))
-            out["place"].append(squeeze(place.tobytes()))
-            out["tokens"].append(np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes())
+            parts.append((tokens >> np.uint64(16), owner + before, place.astype(np.uint32), np.array(cls, np.int64), np.fromiter(map(len, sets), np.uint32, len(sets)), l.astype(np.uint8)))
+            before += len(cls)
+        tokens, owner, place, ids, n, l = (np.concatenate(x) for x in zip(*parts))
+        of = (tokens % np.uint64(classes)).astype(np.uint16 if classes <= 1 << 16 else np.int64)
+        order = np.argsort(of, kind="stable")  # owners ascend in each class, as they do before
+        tokens, owner, of, place = tokens[order], owner[order], of[order], place[order]
+        fresh = np.concatenate([[True], of[1:] != of[:-1]])
+        run = np.flatnonzero(fresh | np.concatenate([[True], owner[1:] != owner[:-1]]))
+        docs, per = owner[run], np.diff(np.append(run, len(of))).astype(np.uint32)
+        begin = np.flatnonzero(fresh)
+        first = np.searchsorted(run, begin)
+        six = np.ascontiguousarray(tokens.view(np.uint8).reshape(-1, 8)[:, :6])
+        out = {"class": of[begin].tolist(), "cls": [], "n": [], "l": [], "per": [], "place": [], "tokens": []}
+        for lo, hi, a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(of)], first.tolist(), [*first[1:].tolist(), len(run)]):
+            own = docs[a:b]
+            out["cls"].append(ids[own].tobytes())
+            out["n"].append(squeeze(n[own].tobytes()))
+            out["l"].append(squeeze(l[own].tobytes()))
+            out["per"].append(squeeze(per[a:b].tobytes()))
+            out["place"].append(squeeze(place[lo:hi].tobytes()))
+            out["tokens"].append(six[lo:hi].tobytes())
         release()
         return pa.table({"class": pa.array(out["class"], pa.int32())} | {c: pa.array(out[c], pa.binary()) for c in PREFIX_PARTS})
 
@@ -523,6 +535,48 @@ def _pack_contested(batches: Iterator) -> Iterator:
     release()
 
 
+#: Pairs of rows that are looked at together, about.
+MEET_ROWS = 200_000
+
+
+def _across(token: np.ndarray, side: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+    """An order of the rows, and the places (x, y) in it of all pairs of a token and different labels: across the two sides
+    where there are two, else each once.
+
+    No list and no pair of one label costs a step of its own: the rows of a label in a list stand together, and a row
+    meets those before and after them.
+    """
+    _, lab = np.unique(label, return_inverse=True)
+    sides, half = np.unique(side, return_inverse=True)
+    order = np.lexsort((lab, half, token))
+    token, half, lab = token[order], half[order], lab[order].astype(np.int64)
+    lists = np.cumsum(np.concatenate([[0], token[1:] != token[:-1]])) if len(token) else np.zeros(0, np.int64)
+    width = int(lab.max()) + 1 if len(lab) else 1
+    last = len(sides) - 1 if len(sides) else 0
+    key = (lists * (last + 1) + half) * width + lab
+    row = np.flatnonzero(half == 0)
+    run = (lists[row] * (last + 1) + last) * width  # where the rows that these meet begin
+    end = np.searchsorted(key, run + width)
+    after = np.searchsorted(key, run + lab[row], side="right")
+    x, begin, count = row, after, end - after
+    if last:
+        start, before = np.searchsorted(key, run), np.searchsorted(key, run + lab[row])
+        x, begin, count = np.concatenate([x, row]), np.concatenate([begin, start]), np.concatenate([count, before - start])
+    some = count > 0
+    x, begin, count = x[some], begin[some], count[some]
+
+    def runs() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        total = np.cumsum(count)
+        cuts = np.unique(np.searchsorted(total, np.arange(0, int(total[-1]) + MEET_ROWS, MEET_ROWS))) if len(total) else []
+        for lo, hi in zip(cuts, [*cuts[1:], len(count)]):
+            if hi > lo:
+                each = count[lo:hi]
+                first = np.cumsum(each) - each
+                yield np.repeat(x[lo:hi], each), np.arange(int(each.sum())) + np.repeat(begin[lo:hi] - first, each)
+
+    return order, runs()
+
+
 def _pair_up(table):
     """Pairs (a, b) of the two blocks, of different components, with enough shared shingles."""
     import pyarrow as pa
@@ -533,10 +587,7 @@ def _pair_up(table):
     side = np.repeat(table.column("own").to_numpy(), [p.shape[1] for p in parts])
     token, cls, label, n, l, place = np.concatenate(parts, axis=1)
     same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    order = np.lexsort((side, token))
-    token, cls, label, n, l, place, side = (x[order] for x in (token, cls, label, n, l, place, side))
     ids, doc = np.unique(cls, return_inverse=True)
-    begin = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist()
     keys, held, merged = [], 0, (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def merge(keys, merged):
@@ -546,24 +597,16 @@ def _pair_up(table):
         own, at = np.unique(both, return_inverse=True)
         return own, np.bincount(at, weights=n, minlength=len(own)).astype(np.int64)
 
-    for lo, hi in zip(begin, [*begin[1:], len(token)]):
-        mid = hi if same else lo + int(np.searchsorted(side[lo:hi], side[lo], side="right"))
-        left, right = np.arange(lo, mid), np.arange(lo, hi) if same else np.arange(mid, hi)
-        if not len(right) or (label[lo:hi] == label[lo]).all():
-            continue
-        step = max(1, 500_000 // len(right))
-        for at in range(0, len(left), step):  # a bounded piece of the list against the other side
-            x, y = left[at : at + step, None], right[None, :]
-            ok = (label[x] != label[y]) & near_enough(n[x], l[x], place[x], n[y], l[y], place[y])
-            if same:
-                ok &= x < y
-            p, q = np.nonzero(ok)
-            if len(p):
-                u, v = doc[left[at + p]], doc[right[q]]
-                keys.append(np.minimum(u, v) * len(ids) + np.maximum(u, v))
-                held += len(p)
-                if held > 1_000_000:
-                    merged, keys, held = merge(keys, merged), [], 0
+    order, runs = _across(token, side if not same else np.zeros(len(token), np.int64), label)
+    doc, n, l, place = (x[order] for x in (doc, n, l, place))
+    for x, y in runs:  # bounded numbers of pairs, of all lists one after the other
+        ok = np.flatnonzero(near_enough(n[x], l[x], place[x], n[y], l[y], place[y]))
+        if len(ok):
+            u, v = doc[x[ok]], doc[y[ok]]
+            keys.append(np.minimum(u, v) * len(ids) + np.maximum(u, v))
+            held += len(ok)
+            if held > max(1_000_000, len(merged[0])):
+                merged, keys, held = merge(keys, merged), [], 0
     own, count = merge(keys, merged) if keys else merged
     u, v = own // max(1, len(ids)), own % max(1, len(ids))
     asks = np.zeros(len(ids), np.int64)

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -620,3 +621,32 @@ def test_shipped_licences(spark):
     got = {r["doc_id"]: r for r in licences.scan(docs, licences.known_licences(spark)).collect()}
     assert {k: got[k]["license_id"] for k, _, _ in whole} == {k: i for k, i, _ in whole}
     assert {k: got[k]["notices"] for k, _, _ in lines} == {k: i for k, i, _ in lines}
+
+
+def test_ngram_join_groups_of_a_bucket_do_not_follow_its_packed_rows():
+    """A bucket of many small packed rows, as a larger corpus has, is hashed and sent in as few steps as one of a single row."""
+    import pyarrow as pa
+
+    texts = [f"word{i} common words of text {i % 7}".encode() for i in range(300)]
+    names = ("bucket", "cls", "sizes", "texts")
+    whole = pa.Table.from_batches([ngram_join._pack_rows([0] * 300, list(range(300)), texts, names)])
+    small = pa.Table.from_batches([ngram_join._pack_rows([0], [i], [t], names) for i, t in [*enumerate(texts), *enumerate(texts[:40])]])
+    (cls, kept), = ngram_join._distinct(small)
+    assert cls == list(range(300)) and kept == texts
+    groups = list(ngram_join._distinct(small, 1000))
+    assert [t for _, g in groups for t in g] == texts and all(sum(map(len, g)) < 1100 for _, g in groups)
+    emit = ngram_join._emit_prefixes(SimpleNamespace(value=np.zeros(1 << ngram_join.SKETCH_BITS, np.uint32)), 16)
+    assert emit(small).equals(emit(whole)) and emit(whole).num_rows == 16
+
+
+def test_ngram_join_meets_all_pairs_of_a_list_across_labels(monkeypatch):
+    """Against brute force, for lists of one and of two blocks, in pieces of any size."""
+    rng = np.random.default_rng(5)
+    for trial in range(60):
+        monkeypatch.setattr(ngram_join, "MEET_ROWS", int(rng.integers(1, 50)))
+        m = int(rng.integers(2, 60))
+        token, label, side = rng.integers(0, 8, m), rng.integers(0, 5, m) * 7 - 9, rng.integers(0, 2, m) * 3 * (trial % 2)
+        order, runs = ngram_join._across(token, side, label)
+        got = sorted(tuple(sorted(p)) for x, y in runs for p in zip(order[x].tolist(), order[y].tolist()))
+        two = len(set(side.tolist())) == 2
+        assert got == [(i, j) for i in range(m) for j in range(i + 1, m) if token[i] == token[j] and label[i] != label[j] and (not two or side[i] != side[j])]
