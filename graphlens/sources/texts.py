@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphlens.plans.lineage import cut
+from graphlens.sources.read import read
+
 UNIT = (
     "id string, project_id string, file_path string, language string, kind string, qualified_name string, simple_name string, start_line int, end_line int, raw_source string, "
     "signature string, annotations string, parent_qualified_name string, is_entry_point boolean, is_test boolean, degraded boolean"
@@ -177,13 +178,13 @@ def python_file(project: str, path: str, content: str) -> tuple[list[tuple], lis
     return units, relations
 
 
-def java_file(project: str, path: str, content: str) -> tuple[list[tuple], list[tuple]]:
-    """Units and relations of a Java file."""
+def java_file(project: str, path: str, content: str, units_only: bool = False) -> tuple[list[tuple], list[tuple]]:
+    """Units and relations of a Java file; of the latter the imports alone with ``units_only``."""
     from graphlens.sources.java import Reader
 
     lines = (content or "").split("\n")
     reader = Reader(content or "", path, lambda kind, name: unit_id(project, path, kind, name))
-    reader.read()
+    reader.read(units_only)
     units = [
         (unit_id(project, path, u.kind, u.name), project, path, "java", u.kind, u.name, u.simple, u.start, u.end, "\n".join(lines[u.start - 1 : u.end]), u.signature, ",".join(u.marks), u.parent, u.entry, u.test, False)
         for u in reader.units
@@ -222,18 +223,14 @@ def c_file(project: str, path: str, content: str) -> tuple[list[tuple], list[tup
 PARSERS = {"python": python_file, "java": java_file, "javascript": script_file("javascript"), "typescript": script_file("typescript"), "c": c_file}
 
 
-def _precise(files: DataFrame, which: int, schema: str) -> DataFrame:
-    parsers = PARSERS
+def precise_units(files: DataFrame) -> DataFrame:
+    """Units of Python, Java, JavaScript, TypeScript and C files (file_path, language, content, perhaps project_id)."""
+    parsers = {**PARSERS, "java": lambda project, path, content: java_file(project, path, content, True)}
 
     def made(project: str, path: str, lang: str, content: str) -> list[tuple]:
-        return parsers[lang](project, path, content)[which]
+        return parsers[lang](project, path, content)[0]
 
-    return _parsed(files.filter(F.col("language").isin(*PARSERS)), made, schema)
-
-
-def precise_units(files: DataFrame) -> DataFrame:
-    """Units of Python, Java, JavaScript, TypeScript and C files (file_path, language, content, perhaps project_id)."""
-    return _precise(files, 0, UNIT)
+    return _parsed(files.filter(F.col("language").isin(*PARSERS)), made, UNIT)
 
 
 def python_units(files: DataFrame) -> DataFrame:
@@ -241,43 +238,66 @@ def python_units(files: DataFrame) -> DataFrame:
     return precise_units(files.filter("language = 'python'"))
 
 
+def _raw(files: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """Units, with these columns alone, and raw relations of files: each file is read once, and what it gives is written
+    to the shared folder, since all that follows takes it several times."""
+    parsers, own = PARSERS, [(i, f) for i, f in enumerate(UNIT.split(", ")) if f.split()[0] in columns]
+    links = [f"_{f}" for f in RELATION.split(", ")]
+    places, no_unit, no_link = [i for i, _ in own], (None,) * len(own), (None,) * len(links)
+
+    def made(project: str, path: str, lang: str, content: str) -> list[tuple]:
+        units, found = parsers[lang](project, path, content)
+        return [(*[u[i] for i in places], *no_link) for u in units if places] + [(*no_unit, *r) for r in found]
+
+    both = cut(_parsed(files.filter(F.col("language").isin(*PARSERS)), made, ", ".join([f for _, f in own] + links)))
+    names = [f.split()[0] for _, f in own]
+    return both.filter("_source_id IS NULL").select(*names), both.filter("_source_id IS NOT NULL").select(*[F.col(n).alias(n[1:]) for n in both.columns if n.startswith("_")])
+
+
 def relations(files: DataFrame) -> DataFrame:
     """Raw relations (source_id, target_ref, kind, file_path, source_line, seq) of files that ``precise_units`` reads, for ``resolve_edges``.
 
     An import leads from its file to the file of the project that it names, else to the name as it stands; a header that is
     neither at the project's root nor beside its file gives nothing.
     """
-    raw = _precise(files, 1, RELATION)
+    return _with_places(_raw(files)[1], files)
+
+
+def units_and_relations(files: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """``precise_units``, with these columns alone, and ``relations`` of files that are read once."""
+    units, raw = _raw(files, *columns)
+    return units, _with_places(raw, files)
+
+
+def _with_places(raw: DataFrame, files: DataFrame) -> DataFrame:
+    """Raw relations whose imports and headers lead to files.
+
+    A name is looked up once, however many files import it.  Tables of a row a file meet by exchange: the optimiser would
+    judge them by the bytes of the table that the paths are made from, and send them to the driver.
+    """
+    apart = lambda df: df.hint("merge")
     headers = raw.filter("kind = 'IMPORTS' AND file_path RLIKE '[.][ch]$'")
-    imports = raw.filter("kind = 'IMPORTS' AND NOT file_path RLIKE '[.][ch]$'")
-    as_path = F.replace("target_ref", F.lit("."), F.lit("/"))
+    imports = raw.filter("kind = 'IMPORTS' AND NOT file_path RLIKE '[.][ch]$'").withColumn("python", F.col("file_path").endswith(".py"))
     last = lambda c: F.element_at(F.split(c, "/"), -1)
     places = files.select(F.col("file_path").alias("to"), last(F.col("file_path")).alias("name"), last(F.regexp_replace("file_path", "/[^/]*$", "")).alias("folder"))
-    wanted = imports.withColumn("as_path", as_path).withColumn("python", F.col("file_path").endswith(".py"))
-    java = wanted.filter("NOT python").withColumn("name", F.concat(last(F.col("as_path")), F.lit(".java"))).join(places, "name").filter(F.col("to").endswith(F.concat("as_path", F.lit(".java"))))
-    module = wanted.filter("python").withColumn("name", F.concat(last(F.col("as_path")), F.lit(".py"))).join(places, "name").filter(F.col("to") == F.concat("as_path", F.lit(".py")))
-    package = wanted.filter("python").withColumn("folder", last(F.col("as_path"))).join(places.filter("name = '__init__.py'"), "folder").filter(F.col("to") == F.concat("as_path", F.lit("/__init__.py")))
-    found = java.select("file_path", "target_ref", "to").unionByName(module.select("file_path", "target_ref", "to")).unionByName(package.select("file_path", "target_ref", "to"))
-    best = found.groupBy("file_path", "target_ref").agg(F.min_by("to", F.struct(F.col("to").endswith("__init__.py"), "to")).alias("to"))
-    known = imports.join(best, ["file_path", "target_ref"], "left").withColumn("target_ref", F.coalesce("to", "target_ref")).select(*raw.columns)
+    wanted = imports.select("target_ref", "python").distinct().withColumn("as_path", F.replace("target_ref", F.lit("."), F.lit("/")))
+    java = wanted.filter("NOT python").withColumn("name", F.concat(last(F.col("as_path")), F.lit(".java"))).join(apart(places), "name").filter(F.col("to").endswith(F.concat("as_path", F.lit(".java"))))
+    module = wanted.filter("python").withColumn("name", F.concat(last(F.col("as_path")), F.lit(".py"))).join(apart(places), "name").filter(F.col("to") == F.concat("as_path", F.lit(".py")))
+    package = wanted.filter("python").withColumn("folder", last(F.col("as_path"))).join(apart(places.filter("name = '__init__.py'")), "folder").filter(F.col("to") == F.concat("as_path", F.lit("/__init__.py")))
+    found = java.select("target_ref", "python", "to").unionByName(module.select("target_ref", "python", "to")).unionByName(package.select("target_ref", "python", "to"))
+    best = found.groupBy("target_ref", "python").agg(F.min_by("to", F.struct(F.col("to").endswith("__init__.py"), "to")).alias("to"))
+    known = imports.join(apart(best), ["target_ref", "python"], "left").withColumn("target_ref", F.coalesce("to", "target_ref")).select(*raw.columns)
     beside = F.concat(F.regexp_replace("file_path", "[^/]*$", ""), F.col("target_ref"))
     there = files.select(F.col("file_path").alias("to")).distinct()
-    both = headers.select("*", F.posexplode(F.array("target_ref", beside)).alias("rank", "to")).join(there, "to")
+    both = headers.select("*", F.posexplode(F.array("target_ref", beside)).alias("rank", "to")).join(apart(there), "to")
     first = both.groupBy(*raw.columns).agg(F.min_by("to", "rank").alias("to")).withColumn("target_ref", F.col("to")).select(*raw.columns)
     return raw.filter("kind <> 'IMPORTS'").unionByName(known).unionByName(first)
 
 
 def _parsed(files: DataFrame, rows, schema: str) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(", ")]
     project = "project_id" if "project_id" in files.columns else F.lit("")
-
-    def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
-        for batch in batches:
-            yield pd.DataFrame([u for r in batch.itertuples() for u in rows(r.project_id or "", r.file_path, r.language, r.content)], columns=names)
-
-    return files.select(F.coalesce(project, F.lit("")).alias("project_id"), "file_path", "language", "content").mapInPandas(run, schema)
+    own = files.select(F.coalesce(project, F.lit("")).alias("project_id"), "file_path", "language", "content")
+    return read(own, "content", ["project_id", "file_path"], rows, schema)
 
 
 def dispatched(files: DataFrame, mode: str = "AUTO") -> DataFrame:
