@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphlens.functions.code import filled, in_cidr, short_hash, version_key
@@ -146,22 +146,33 @@ def source_tokens(text: Column) -> Column:
 def variants(seeds: DataFrame, units: DataFrame, limit: int = 500) -> DataFrame:
     """Units with the sink of a confirmed finding (project_id, seed_id, rule_id, unit_id, detail), by score.
 
-    Sinks are extracted once on either side, so the match is an equi join on project and sink name.
+    Sinks are extracted once on either side, so the match is an equi join on project and sink name.  Seeds of one rule and
+    detail score alike, so they meet the units once, as a class: the classes of the first rows are among the first by their
+    least seeds, and no row of the result needs more than ``limit`` seeds of a class.
     """
+    limit = min(limit, 500)
 
     def sinks(text: Column) -> Column:
         return F.array_compact(F.array(*[F.when(text.rlike(p), F.struct(F.lit(n).alias("sink"), F.regexp_extract(text, p + r"([^)]*)\)", 1).alias("arg"))) for n, p in SINKS.items()]))
 
     dynamic = lambda a: (F.trim(a) != "") & ~F.trim(a).rlike(r"^(?:\"[^\"]*\"|'[^']*'|[-+]?\d+(\.\d+)?)$")
-    left = seeds.select("project_id", "seed_id", "rule_id", "detail", F.explode(sinks(F.col("detail"))).alias("s")).select("project_id", "seed_id", "rule_id", source_tokens(F.col("detail")).alias("a"), "s.sink", dynamic(F.col("s.arg")).alias("seed_dynamic"))
+    like = ["project_id", "rule_id", "detail"]
+    classes = seeds.groupBy(*like).agg(F.min("seed_id").alias("first_seed"))
+    left = classes.select(*like, "first_seed", source_tokens(F.col("detail")).alias("a"), F.explode(sinks(F.col("detail"))).alias("s")).select(*like, "first_seed", "a", "s.sink", dynamic(F.col("s.arg")).alias("seed_dynamic"))
     right = units.select("project_id", F.col("id").alias("unit_id"), "raw_source", F.explode(sinks(F.col("raw_source"))).alias("s")).select("project_id", "unit_id", source_tokens(F.col("raw_source")).alias("b"), "s.sink", dynamic(F.col("s.arg")).alias("unit_dynamic"))
     known = seeds.select("project_id", "rule_id", "unit_id").distinct()
     both = left.join(right, ["project_id", "sink"]).join(known, ["project_id", "rule_id", "unit_id"], "left_anti")
     shared = F.size(F.array_intersect("a", "b"))
-    like = F.coalesce(F.try_divide(shared, F.size("a") + F.size("b") - shared), F.lit(0.0))
-    score = F.least(F.lit(0.95), 0.65 + 0.25 * like + F.when(F.col("seed_dynamic") & F.col("unit_dynamic"), 0.05).otherwise(0.0))
-    rows = both.select("project_id", "seed_id", "rule_id", "unit_id", "sink", score.alias("score")).withColumn("fingerprint", short_hash(F.col("project_id"), F.col("rule_id"), F.col("unit_id"), between="|"))
-    return rows.orderBy(F.desc("score"), "fingerprint", "seed_id", "sink").limit(min(limit, 500))
+    alike = F.coalesce(F.try_divide(shared, F.size("a") + F.size("b") - shared), F.lit(0.0))
+    score = F.least(F.lit(0.95), 0.65 + 0.25 * alike + F.when(F.col("seed_dynamic") & F.col("unit_dynamic"), 0.05).otherwise(0.0))
+    rows = both.select(*like, "first_seed", "unit_id", "sink", score.alias("score")).withColumn("fingerprint", short_hash(F.col("project_id"), F.col("rule_id"), F.col("unit_id"), between="|"))
+    best = rows.orderBy(F.desc("score"), "fingerprint", "first_seed", "sink").limit(limit)
+    place = F.row_number().over(Window.partitionBy(*like).orderBy("seed_id"))
+    own = seeds.select(*[F.col(c).alias(f"_{c}") for c in like], "seed_id")
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_{c}")), like, F.lit(True))
+    first = own.join(best.select(*like).distinct(), same, "left_semi").withColumnsRenamed({f"_{c}": c for c in like}).withColumn("_r", place).filter(F.col("_r") <= limit)
+    every = best.join(first.select(*[F.col(c).alias(f"_{c}") for c in like], "seed_id"), same).select("project_id", "seed_id", "rule_id", "unit_id", "sink", "score", "fingerprint")
+    return every.orderBy(F.desc("score"), "fingerprint", "seed_id", "sink").limit(limit)
 
 
 #: Annotations that restrict or open a route.
