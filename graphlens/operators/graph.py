@@ -8,8 +8,11 @@ executor's loss costs a step at most.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from graphlens.plans.lineage import Visited, cut
 
@@ -81,23 +84,52 @@ def reach(edges: DataFrame, start: DataFrame, depth: int | None = None, *keys: s
     return visited.rows().filter("depth > 0")
 
 
+#: Marks that a word of a mask stands for.
+WORD = 63
+
+
 def least_ancestors(edges: DataFrame, marked: DataFrame, k: int) -> DataFrame:
     """(id, mark): for each node the ``k`` least marks of the marked nodes (id, mark) that reach it along edges (src, dst).
 
-    A node passes on its ``k`` least marks alone, since one that ``k`` lesser ones precede here does so wherever both
-    lead; so a step costs k a node at most, however many nodes reach it.
+    First the least marks of all go forward together, each a bit of a mask.  Where ``k`` of them come to, no other mark
+    matters, and so it is in all that follows from there.  Only the rest of the graph, where no way leads from such a
+    node, passes on marks themselves: its ``k`` least at each node, since one that ``k`` lesser ones precede here does so
+    wherever both lead.
     """
     links = held(edges.select("src", "dst").distinct(), "src")
-    first = links.join(marked.select(F.col("id").alias("src"), "mark"), "src").select(F.col("dst").alias("id"), "mark").distinct()
+    n = -(-2 * k // WORD)  # twice the marks that are kept: some of the least may not lead to a node that all others lead to
+    least = marked.join(links.select(F.col("src").alias("id")), "id", "left_semi").select("mark").distinct().orderBy("mark").limit(WORD * n)
+    spark, kind = links.sparkSession, marked.schema["mark"].dataType
+    bits = spark.createDataFrame([(i, r[0]) for i, r in enumerate(least.collect())], StructType([StructField("bit", IntegerType()), StructField("mark", kind)]))
+    words = [f"w{i}" for i in range(n)]
+    own = marked.join(F.broadcast(bits), "mark")
+    some = [F.bit_or(F.when(F.floor(F.col("bit") / WORD) == i, F.expr(f"shiftleft(1L, bit % {WORD})")).otherwise(F.lit(0).cast("long"))).alias(w) for i, w in enumerate(words)]
+    met = links.join(own.groupBy(F.col("id").alias("src")).agg(*some), "src")
+    every = lambda df: df.groupBy("id").agg(*[F.bit_or(w).alias(w) for w in words])
+    masks, step = Visited(every(met.select(F.col("dst").alias("id"), *words)).withColumn("step", F.lit(0))), 0
+    grew = masks.n
+    while grew:
+        frontier = masks.rows().filter(F.col("step") == step).select(F.col("id").alias("src"), *words)
+        step += 1
+        sent = every(links.join(frontier, "src").select(F.col("dst").alias("id"), *words))
+        known = every(masks.rows()).withColumnsRenamed({w: f"k{w}" for w in words})
+        new = sent.join(known, "id", "left").select("id", *[F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"k{w}", F.lit(0).cast("long")))).alias(w) for w in words])
+        grew = masks.add(new.filter(reduce(lambda x, w: x | (F.col(w) != 0), words, F.lit(False))).withColumn("step", F.lit(step)))
+    full = cut(every(masks.rows()).filter(reduce(lambda x, w: x + F.bit_count(w), words, F.lit(0)) >= k))
+    there = F.flatten(F.array(*[F.expr(f"transform(filter(sequence(0, {WORD - 1}), x -> (shiftright({w}, x) & 1L) = 1L), x -> x + {WORD * i})") for i, w in enumerate(words)]))
+    filled = full.select("id", F.explode(F.slice(there, 1, k)).alias("bit")).join(F.broadcast(bits), "bit").select("id", "mark")
+    rest = held(links.join(full.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst"), "src")
+    links.unpersist()
+    first = rest.join(marked.select(F.col("id").alias("src"), "mark"), "src").select(F.col("dst").alias("id"), "mark").distinct()
     by = Window.partitionBy("id").orderBy("mark")
     top = lambda df: df.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= k).drop("r")
     state = cut(top(first).withColumn("fresh", F.lit(True)))
     while state.filter("fresh").limit(1).count():
-        sent = links.join(state.filter("fresh").select(F.col("id").alias("src"), "mark"), "src").select(F.col("dst").alias("id"), "mark").distinct()
+        sent = rest.join(state.filter("fresh").select(F.col("id").alias("src"), "mark"), "src").select(F.col("dst").alias("id"), "mark").distinct()
         both = state.select("id", "mark", F.lit(False).alias("fresh")).unionByName(sent.withColumn("fresh", F.lit(True)))
         state = cut(top(both.groupBy("id", "mark").agg(F.min("fresh").alias("fresh"))))
-    links.unpersist()
-    return state.select("id", "mark")
+    rest.unpersist()
+    return state.select("id", "mark").unionByName(filled)
 
 
 def _reversed(edges: DataFrame) -> DataFrame:

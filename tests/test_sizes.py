@@ -87,3 +87,33 @@ def test_archives_of_the_query_stay_under_the_bound_of_entries(spark, tmp_path):
     spark.range(120_000).withColumnRenamed("id", "p_partkey").write.parquet(str(tmp_path / "part.parquet"))
     n = {r["refused"]: r["count"] for r in s11_archive_entries(spark, str(tmp_path)).groupBy("refused").count().collect()}
     assert n == {None: 24_000, "link": 24_000, "absolute": 24_000, "traversal": 24_000, "duplicate": 24_000}
+
+
+def test_least_marks_of_large_and_small_parts_of_a_graph(spark):
+    """A dense part whose nodes have far more marks than are kept, one behind it, and a small part with fewer; two words a mask."""
+    import random
+
+    from graphlens.operators import graph
+
+    draw = random.Random(3)
+    pairs = {(draw.randrange(150), draw.randrange(150)) for _ in range(900)} | {(5, 200), (200, 201), (300, 301), (301, 302), (302, 300), (400, 401)}
+    marks = {i: f"{draw.randrange(10**6):06d}" for i in [*range(0, 150, 1), 200, 300, 302] if i % 7}
+    for k in (3, 70):
+        got: dict = {}
+        for r in graph.least_ancestors(spark.createDataFrame(sorted(pairs), "src long, dst long"), spark.createDataFrame(sorted(marks.items()), "id long, mark string"), k).collect():
+            got.setdefault(r["id"], []).append(r["mark"])
+        before: dict = {}
+        for _ in range(160):
+            before = {d: set().union(*[before.get(s, set()) | ({marks[s]} if s in marks else set()) for s, x in pairs if x == d]) for d in {d for _, d in pairs}}
+        assert {i: sorted(v) for i, v in got.items()} == {i: sorted(v)[:k] for i, v in before.items() if v}
+
+
+def test_a_finding_of_two_units_has_each_name_once(spark):
+    from graphlens.operators import retrieval
+
+    columns = "id string, qualified_name string, simple_name string, raw_source string, annotations string, is_entry_point boolean, file_path string, kind string, signature string"
+    units = spark.createDataFrame([(i, f"q{i}", f"login{i}", "password", "", False, "a", "METHOD", "") for i in "abc"], columns)
+    edges = spark.createDataFrame([("a", "b", "CALLS"), ("b", "c", "CALLS")], "src string, dst string, kind string")
+    findings = spark.createDataFrame([("1", "b"), ("2", "b"), ("2", "c"), ("2", "c"), ("3", None)], "finding_id string, unit_id string")
+    rows = sorted((r["finding_id"], r["qualified_name"], r["relation"]) for r in retrieval.finding_context(findings, units, edges).collect())
+    assert rows == [("1", "qa", "CALLER"), ("1", "qb", "FINDING"), ("1", "qc", "CALLEE"), ("2", "qa", "CALLER"), ("2", "qb", "FINDING"), ("2", "qc", "FINDING")]
